@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, simhash
+from . import linededup, mixing, packing, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -24,9 +24,27 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_docs(spark, sf_dir, "doc_id", "text", "source"), weights=(5, 2, 1), most=3)
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def byte_bpe() -> str:
+    """The tokenizer that packing counts tokens by: a file of the installed public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_docs(spark, sf_dir), byte_bpe(), capacity=2048, end_id=0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
+    "op6_mixing": op6_mixing,
     "op9_simhash": op9_simhash,
+    "op10_packing": op10_packing,
 }
 
 _WS = r"\x20\x09-\x0D"
