@@ -1,27 +1,52 @@
-"""A corpus pipeline: each stage takes the documents that the one before it kept."""
+"""A corpus pipeline of five stages; each takes the documents that the one before it kept.
+
+A stage is a function of (spark, docs, sf_dir). All but the last return the columns of documents, so any
+of them can be left out or run alone. Nulls, empty texts, repeated rows and empty tables are dealt with
+as the operators state."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilflow.llm import linededup, simhash
+from veilflow.llm import linededup, mixing, packing, quality, simhash
 from veilflow.llm.common import cut
+from veilflow.llm.queries import byte_bpe
 
 ORACLE_SQL = None  # the stages hold models, tokens and searches that SQL can't express
 
 
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that the rule ensemble holds for low quality (score under 0.5). Labels are
+    learned as in the query of its own: rows with crc32(doc_id) mod 3 = 1 are held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    scored = quality.classify(docs, labels)
+    return scored.where("predicted = 1").select(*docs.columns)
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that ten documents or more hold; n_chars is counted again."""
     return linededup.rewrite(docs, min_documents=10, min_chars=1)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave one document of each group of near copies."""
-    return simhash.keep_one(docs)
+    """Leave one document of each group of near copies, the one with the smallest id. Shingles have five
+    words here, and fingerprints link at three differing bits of 64."""
+    return simhash.keep_one(docs, width=5)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the mix of its source asks: none to three times, as rows."""
+    copies = mixing.mix(docs, weights=(5, 2, 1), most=3, carry=tuple(docs.columns))
+    return copies.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of 2048 tokens."""
+    return packing.pack_documents(docs, byte_bpe(), capacity=2048, end_id=0)
 
 
-STAGES = [("line_dedup", line_dedup), ("near_dedup", near_dedup)]
+STAGES = [("quality_filter", quality_filter), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("mix", mix), ("pack", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

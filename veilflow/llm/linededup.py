@@ -199,16 +199,16 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, min_documents: int, min_c
     # an exact count of documents, by key: once per document, then summed
     per_doc = suspects.groupBy("doc_id", "th", "key").agg(F.lit(1).alias("one"))
     frequent = per_doc.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("key")
-    gone = suspects.join(frequent, "key").groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("gone"))
-    return gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "gone")
+    gone = suspects.join(frequent, "key").groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("__gone"))
+    return gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "__gone")
 
 
 def _outcome(text):
-    """n_lines, n_dropped and kept, from a text and its column ``gone`` of line numbers."""
-    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i))
-    kept = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(left, "\n"))
+    """n_lines, n_dropped and kept, from a text and its column ``__gone`` of line numbers."""
+    left = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(left, "\n"))
     n = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept")
+    return n.cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"), kept.alias("kept")
 
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars", **how) -> DataFrame:
@@ -217,7 +217,7 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cou
     gone = _gone(docs, id_col, text_col, **how)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     match = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
-    new = docs.join(gone, match, "left").withColumn(text_col, F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(_outcome(text)[2]))
+    new = docs.join(gone, match, "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(_outcome(text)[2]))
     if count_col in docs.columns:
-        new = new.withColumn(count_col, F.when(F.col("gone").isNull(), F.col(count_col)).otherwise(F.length(text_col)).cast(docs.schema[count_col].dataType))
+        new = new.withColumn(count_col, F.when(F.col("__gone").isNull(), F.col(count_col)).otherwise(F.length(text_col)).cast(docs.schema[count_col].dataType))
     return new.select(*[F.col(f"`{c}`") for c in docs.columns])

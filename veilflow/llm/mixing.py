@@ -98,7 +98,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``size`` is the number of words; null and empty texts have none and are taken once. A null source is a source of
     its own, ordered last. No document is taken more than ``most`` times. Rows with equal id and text get
-    equal copies, so reruns agree. ``carry`` names further columns to return. An empty table gives none."""
+    equal copies, so reruns agree. ``carry`` names further
+    columns to return, which stand for a result column of the same name. An empty table gives none."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit("copies"), F.col(id_col).cast("string"), text).alias("h"), *[F.col(f"`{c}`").alias(f"_carry_{i}") for i, c in enumerate(carry)])
     rows = cut(rows)
@@ -114,7 +115,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     dealt = _lookup(rows, lam, small).withColumn("rate", rate).withColumn("base", F.floor("rate").cast("long"))
     chance = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
     dealt = cut(dealt.withColumn("copies", F.col("base") + (chance < F.col("rate") - F.col("base")).cast("long")).drop("mean", "lam", "base", "rate"))
-    return _mend(dealt, most, small).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)])
+    own = ("doc_id", "size", "source_size", "target", "taken", "copies")
+    done = _mend(dealt, most, small).withColumn("taken", F.col("size") * F.col("copies"))
+    return done.select(*[c for c in own if c not in carry], *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)])
 
 
 def _with_mean(totals: DataFrame, goal: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, simhash
+from . import linededup, mixing, packing, quality, simhash
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.classify(_docs(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def byte_bpe() -> str:
     """The tokenizer that packing counts tokens by: a file of the installed public tokenizers."""
     import public_tokenizers
@@ -43,6 +48,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op6_mixing": op6_mixing,
+    "op7_quality": op7_quality,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }

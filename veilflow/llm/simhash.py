@@ -33,17 +33,20 @@ def fingerprint(text: bytes, width: int = 3) -> int:
     return int(np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches):
-    for batch in batches:
-        texts = filled(batch.column("text")).cast(pa.binary())
-        prints = np.array([fingerprint(t) for t in texts.to_pylist()], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+def _fingerprints(width: int):
+    def run(batches):
+        for batch in batches:
+            texts = filled(batch.column("text")).cast(pa.binary())
+            prints = np.array([fingerprint(t, width) for t in texts.to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
 
+    return run
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One (doc_id, fp) per row; fp holds the 64 bits as a signed long."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return rows.mapInArrow(_fingerprints(width), "doc_id long, fp long")
 
 
 def _ball(value, bits: int):
@@ -74,14 +77,14 @@ def links(prints: DataFrame, max_distance: int = 3) -> DataFrame:
     return found.distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest id reachable by links.
 
     Null texts are empty texts, whose fingerprint is zero and links like any other. Rows with equal
     fingerprints are one node, however many there are, so groups of copies add no links. A null id is
     never a component's id unless no row of the component has one. Repeated rows each return. An empty
     table returns none. Other columns, whatever their names, are not read."""
-    rows = cut(fingerprints(docs, id_col, text_col))
+    rows = cut(fingerprints(docs, id_col, text_col, width))
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(prints.select("fp"), max_distance))
     node = prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
@@ -90,23 +93,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 3, width: int = 3) -> DataFrame:
     """The rows of ``docs``, one of each group of near copies: the one with the smallest id.
 
     Rows that repeat an id within a group count as one; rows of a group without any id leave one."""
-    groups = near_duplicates(docs, id_col, text_col, max_distance)
+    groups = near_duplicates(docs, id_col, text_col, max_distance, width)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp")).select("doc_id", "fp")
     # only ids that a table holds more than once need their fingerprints compared again
     twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count()
     if not twice:
         return docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    marked = docs.withColumn("_fp", F.pandas_udf(_print_series, T.LongType())(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    marked = docs.withColumn("_fp", F.pandas_udf(_print_series(width), T.LongType())(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     first = marked.join(kept.select(F.col("doc_id").alias("_kept"), F.col("fp").alias("_of")), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_of")), "left_semi")
     return first.dropDuplicates([id_col, "_fp"]).drop("_fp")
 
 
-def _print_series(texts: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t.encode()) for t in texts], np.uint64).view(np.int64))
+def _print_series(width: int):
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t.encode(), width) for t in texts], np.uint64).view(np.int64))
+
+    return run
 
 
 def hex16(fp):
