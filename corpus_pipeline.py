@@ -30,9 +30,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave one document of each group of near copies, the one with the smallest id. Shingles have five
-    words here, and fingerprints link at three differing bits of 64."""
-    return simhash.keep_one(docs, width=5)
+    """Leave one document of each group of near copies, the one with the smallest id, as the operator's
+    own query links them: 3-word shingles, at most three differing bits."""
+    return simhash.keep_one(docs, width=3)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
