@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, lm, mixing, packing, quality, simhash, topk
+from . import linededup, lm, mixing, packing, quality, simhash, topk, urlfilter
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -43,6 +43,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_docs(spark, sf_dir), labels).select("doc_id", "held_out", "score", "predicted")
 
 
+#: Verdicts of hosts and their subdomains, by the start of the path.
+URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def byte_bpe() -> str:
     """The tokenizer that packing counts tokens by: a file of the installed public tokenizers."""
     import public_tokenizers
@@ -60,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_topk": op3_topk,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
+    "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
