@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, lm, mixing, packing, quality, simhash, topk, urlfilter
+from . import linededup, lm, minhash, mixing, packing, quality, simhash, topk, urlfilter
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.fingerprint_edits(_docs(spark, sf_dir))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_docs(spark, sf_dir, "doc_id", "text", "source"), weights=(5, 2, 1), most=3)
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_line_dedup": op2_line_dedup,
     "op3_topk": op3_topk,
+    "op4_fingerprints": op4_fingerprints,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
