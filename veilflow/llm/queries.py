@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, lm, minhash, mixing, packing, quality, simhash, topk, urlfilter
+from . import linededup, lm, minhash, mixing, packing, quality, simhash, suffixdedup, topk, urlfilter
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(_docs(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(_docs(spark, sf_dir), min_bytes=200)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mixing.mix(_docs(spark, sf_dir, "doc_id", "text", "source"), weights=(5, 2, 1), most=3)
     return found.select("doc_id", "size", "source_size", "target", "taken")
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_line_dedup": op2_line_dedup,
     "op3_topk": op3_topk,
     "op4_fingerprints": op4_fingerprints,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_mixing": op6_mixing,
     "op7_quality": op7_quality,
     "op8_url_filter": op8_url_filter,
