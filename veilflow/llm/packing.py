@@ -21,7 +21,7 @@ from .common import cut, filled
 #: Pieces that one partition packs, and partitions that exchange documents in a round.
 PIECES, FAN_IN = 1 << 14, 16
 #: Words that a task remembers the token ids of.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 _TOKENIZERS: dict[str, tuple] = {}
 
 
@@ -52,8 +52,8 @@ def token_ids(texts: list[str], path: str) -> list[bytes]:
     parts = [t.split(" ") for t in texts]
     for known, mark, missing in ((first, "", {p[0] for p in parts} - first.keys()), (inner, " ", set().union(*[p[1:] for p in parts]) - inner.keys())):
         safe = [w for w in missing if w and not w[0].isspace() and not w[-1].isspace()]
-        for i in range(0, len(safe), 20_000):
-            some = safe[i : i + 20_000]
+        for i in range(0, len(safe), 5_000):
+            some = safe[i : i + 5_000]
             known.update(zip(some, _ids(tok, [mark + w for w in some])))
         known.update((w, None) for w in missing if w not in known)
     out = []
