@@ -192,26 +192,22 @@ def expand(order: np.ndarray, rank: np.ndarray, eight: np.ndarray, depth: int) -
 
 
 def repeated_windows(segments: list[tuple[bytes, int]], min_bytes: int) -> list[np.ndarray]:
-    """For each (bytes, copies): which of its windows (their first bytes) are found elsewhere too. What is
-    found as a whole more than once stands in the text twice."""
-    text, own, first = [], [], []
-    for i, (data, copies) in enumerate(segments):
-        for _ in range(min(copies, 2)):
-            own.append(i)
-            first.append(sum_ := (first[-1] + len(text[-1]) if text else 0))
-            text.append(data)
-    del sum_
-    data = np.frombuffer(b"".join(text), np.uint8)
+    """For each (bytes, copies): which of its windows (their first bytes) are found elsewhere too. A suffix
+    counts as often as its segment is there, so the text holds each segment once."""
+    sizes = np.array([len(data) for data, _ in segments])
+    first = np.r_[0, np.cumsum(sizes)]
+    data = np.frombuffer(b"".join(data for data, _ in segments), np.uint8)
     order, rank, eight = suffix_array(data, min_bytes)
     ids = expand(order, rank, eight, min_bytes)
     by_place = np.empty(len(data), np.int64)
     by_place[order] = ids
-    windows = np.concatenate([np.arange(f, f + len(t) - min_bytes + 1) for f, t in zip(first, text)])
-    count = np.bincount(by_place[windows], minlength=len(data))
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(segments)
-    for i, f, t in zip(own, first, text):
-        out[i] = np.flatnonzero(count[by_place[f : f + len(t) - min_bytes + 1]] > 1)
-    return out
+    inside = np.ones(len(data), bool)  # windows that end within their segment
+    for e in first[1:]:
+        inside[e - min_bytes + 1 : e] = False
+    weight = np.repeat(np.array([copies for _, copies in segments], np.float64), sizes) * inside
+    count = np.bincount(by_place, weights=weight, minlength=len(data))
+    again = inside & (count[by_place] > 1.5)
+    return [np.flatnonzero(again[x:y]) for x, y in zip(first, first[1:])]
 
 
 def spans(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
@@ -282,30 +278,30 @@ def repeated_ranges(rows: DataFrame, min_bytes: int = 200, most_bytes: int = MOS
     wanted = taken.groupBy("_id", "_th").agg(F.collect_list("w").alias("wanted"))
     own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     texts = rows.join(wanted, own).select("text", "wanted")
-    segments = cut(texts.mapInArrow(_cut_segments(min_bytes), _SEGMENT).dropDuplicates(["a", "u"]))
+    segments = cut(texts.mapInArrow(_cut_segments(min_bytes), _SEGMENT))
     _tidy(spark)
-    size = F.length("data") * F.least("copies", F.lit(2))
-    ready = []
+    group, ready = ["g", "low", "high"], []
     while True:
-        sums = segments.groupBy("g", "low", "high").agg(F.sum(size).alias("bytes"), F.sum("copies").alias("n"))
-        sums = sums.where("n > 1").withColumn("large", (F.col("bytes") > most_bytes) & (F.col("low") < F.col("high"))).select("g", "low", "high", "large")
-        marked = segments.join(sums, ["g", "low", "high"])
-        large = marked.where("large").limit(1).count()
-        ready.append(marked.where("not large").drop("large"))
-        if not large:
+        sums = segments.groupBy(*group).agg(F.sum(F.length("data")).alias("bytes"), F.sum("copies").alias("n"))
+        # a group that is found once holds no repeat; the first groups, by anchor, all are found twice
+        if ready:
+            segments = segments.join(sums.where("n > 1").select(*group), group)
+        large = sums.where((F.col("bytes") > most_bytes) & (F.col("low") < F.col("high")) & (F.col("n") > 1)).select(*group)
+        large = cut(large)
+        if not large.limit(1).count():
+            ready.append(segments)
             break
-        segments = cut(marked.where("large").drop("large").mapInArrow(_halve(min_bytes), _SEGMENT))
+        ready.append(segments.join(large, group, "left_anti"))
+        segments = cut(segments.join(large, group, "left_semi").mapInArrow(_halve(min_bytes), _SEGMENT))
     all_ = ready[0]
     for more in ready[1:]:
         all_ = all_.unionByName(more.select(*all_.columns))
-    all_ = cut(all_)
-    total = all_.agg(F.sum(size)).first()[0] or 0
+    total = all_.agg(F.sum(F.length("data"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
-    sharded = all_.withColumn("shard", F.pmod(F.xxhash64("g", "low", "high"), F.lit(shards)))
+    sharded = all_.withColumn("shard", F.pmod(F.xxhash64(*group), F.lit(shards)))
     found = cut(sharded.groupBy("shard").applyInArrow(_shard(min_bytes), "a long, u long, x int, y int"))
-    drop_table(all_)
     _tidy(spark)
-    covered = found.groupBy("a", "u").agg(F.collect_list(F.struct("x", "y")).alias("r"))
+    covered = found.groupBy("a", "u").agg(F.collect_set(F.struct("x", "y")).alias("r"))
     each = live.join(covered, ["a", "u"]).select("doc_id", "th", "start", F.explode("r").alias("r"))
     return each.select("doc_id", "th", (F.col("start") + F.col("r.x")).alias("x"), (F.col("start") + F.col("r.y")).alias("y"))
 
