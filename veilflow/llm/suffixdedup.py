@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import BYTE_KEYS, cut, drop_table, filled, mix, powers, steps, text_bytes
 
 #: Bytes of an anchor; bytes of a shard's text; bytes of different runs that one anchor may bring to a shard.
-ANCHOR, SHARD_BYTES, MOST_BYTES = 32, 1 << 20, 1 << 23
+ANCHOR, SHARD_BYTES, MOST_BYTES = 32, 1 << 19, 1 << 23
 
 
 def runs_of(data: np.ndarray, places: np.ndarray, min_bytes: int):
@@ -144,20 +144,22 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     eight = np.zeros(n, np.uint64)
     for k in range(8):
         eight |= padded[k : n + k] << np.uint64(56 - 8 * k)
-    order = np.argsort(eight, kind="stable")
+    order = np.argsort(eight)
     key, reach = eight, 8
+    fold = 3 if n < 1 << 21 else 2  # ranks that fit one number: prefixes grow threefold or twofold
+    bits = 63 // fold
     while True:
         own = key[order]
-        new = np.r_[False, own[1:] != own[:-1]]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new)
+        rank[order] = np.cumsum(np.r_[False, own[1:] != own[:-1]])
         if reach >= depth or int(rank[order[-1]]) == n - 1:
             break
-        after = np.zeros(n, np.int64)
-        after[: max(n - reach, 0)] = rank[reach:] + 1
-        key = rank << 32 | after
-        order = np.argsort(key, kind="stable")
-        reach *= 2
+        key = rank.copy()
+        for k in range(1, fold):
+            key <<= bits
+            key[: max(n - k * reach, 0)] |= rank[k * reach :] + 1
+        order = np.argsort(key)
+        reach *= fold
     rank[order] = np.arange(n)
     return order, rank, eight
 
@@ -175,8 +177,7 @@ def expand(order: np.ndarray, rank: np.ndarray, eight: np.ndarray, depth: int) -
         return np.where(place < n, rank[np.minimum(place, n - 1)], n)
 
     symbols, after = eight[order], behind(8)
-    ids = np.zeros(n + 1, np.int64)
-    ids[n] = -1
+    ids = np.zeros(n + 1, np.int32)  # the last for what lies behind the text: all share the empty prefix
     length = 0
     while length < depth:
         step = min(8, depth - length)
@@ -186,7 +187,8 @@ def expand(order: np.ndarray, rank: np.ndarray, eight: np.ndarray, depth: int) -
         new = (symbols[1:] != symbols[:-1]) | (came[1:] != came[:-1])
         if new.all():  # no interval holds two suffixes
             return np.arange(n)
-        np.cumsum(new, out=ids[1:n])
+        np.cumsum(new, dtype=np.int32, out=ids[1:n])
+        ids[n] = -1
         length += step
     return ids[:n]
 
@@ -199,7 +201,7 @@ def repeated_windows(segments: list[tuple[bytes, int]], min_bytes: int) -> list[
     data = np.frombuffer(b"".join(data for data, _ in segments), np.uint8)
     order, rank, eight = suffix_array(data, min_bytes)
     ids = expand(order, rank, eight, min_bytes)
-    by_place = np.empty(len(data), np.int64)
+    by_place = np.empty(len(data), np.int32)
     by_place[order] = ids
     inside = np.ones(len(data), bool)  # windows that end within their segment
     for e in first[1:]:
