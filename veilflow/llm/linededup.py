@@ -177,7 +177,7 @@ def drop_frequent_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
     gone = _gone(docs, id_col, text_col, min_documents, min_chars, expected_lines)
-    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
+    joined = keyed.join(gone, F.col("doc_id").eqNullSafe(F.col("__line_id")) & (F.col("th") == F.col("__line_th")), "left")
     return joined.select("doc_id", *_outcome(F.col("text")))
 
 
@@ -200,7 +200,7 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, min_documents: int, min_c
     per_doc = suspects.groupBy("doc_id", "th", "key").agg(F.lit(1).alias("one"))
     frequent = per_doc.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("key")
     gone = suspects.join(frequent, "key").groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("__gone"))
-    return gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "__gone")
+    return gone.select(F.col("doc_id").alias("__line_id"), F.col("th").alias("__line_th"), "__gone")
 
 
 def _outcome(text):
@@ -216,7 +216,7 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cou
     where the table has a column for that. Null texts stay null if nothing is there to drop."""
     gone = _gone(docs, id_col, text_col, **how)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    match = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th"))
+    match = F.col(id_col).cast("long").eqNullSafe(F.col("__line_id")) & (F.xxhash64(text) == F.col("__line_th"))
     new = docs.join(gone, match, "left").withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(_outcome(text)[2]))
     if count_col in docs.columns:
         new = new.withColumn(count_col, F.when(F.col("__gone").isNull(), F.col(count_col)).otherwise(F.length(text_col)).cast(docs.schema[count_col].dataType))

@@ -4,7 +4,8 @@ Each document gets a rate: how often the mix takes it. Of all rates between 0 an
 source's token target, entropy balancing picks those nearest to 1 in relative entropy. These are
 exponentially tilted, min(most, exp(lambda_source * size / mean_size_source)), and the dual in lambda is
 convex with one coordinate a source. Newton steps, kept inside a bracket, solve it over a table of
-(source, size, documents); rates are then rounded to copies by a hash of the row."""
+(source, size, documents); rates are then rounded to copies by a hash of the row,
+so that each source comes near its target."""
 
 from __future__ import annotations
 
@@ -19,6 +20,8 @@ SMALL = 100_000
 NEWTON, CLOSE = 24, 1e-9
 #: Rounds that mend what rounding to whole copies leaves of a target.
 MENDS = 3
+#: Cells into which a source's documents fall by hash and fraction, for rounding.
+CELLS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -114,12 +117,24 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rate = F.when(F.col("size") == 0, 1.0).otherwise(F.round(rate, 9))
     dealt = _lookup(rows, lam, small).withColumn("rate", rate).withColumn("base", F.floor("rate").cast("long"))
     chance = F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53))
-    dealt = cut(dealt.withColumn("copies", F.col("base") + (chance < F.col("rate") - F.col("base")).cast("long")).drop("mean", "lam", "base", "rate"))
+    # a document has one copy more than its rate's whole part if its hash lies under the fraction: moved by
+    # as much, the same for all of a source, as brings the source's words to its target
+    over = chance - (F.col("rate") - F.col("base"))
+    dealt = cut(dealt.withColumn("cell", F.when(F.col("base") >= most, CELLS).otherwise(F.floor((over + 1) * (CELLS // 2)))).drop("mean", "lam", "rate"))
+    dealt = cut(_lookup(dealt, _edges(dealt), small).withColumn("copies", F.col("base") + (F.col("cell") <= F.col("edge")).cast("long")).drop("base", "cell", "edge"))
     own = ("doc_id", "size", "source_size", "target", "taken", "copies")
     done = _mend(dealt, most, small).withColumn("taken", F.col("size") * F.col("copies"))
     return done.select(*[c for c in own if c not in carry], *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)])
 
 
+def _edges(dealt: DataFrame) -> DataFrame:
+    """(source, edge): documents in cells up to the edge get a copy more. CELLS rows a source at most."""
+    sums = dealt.groupBy("source", "cell").agg(F.sum("size").alias("w"), F.sum(F.col("size") * F.col("base")).alias("b"), F.first("target").alias("target"))
+    run = sums.selectExpr("source", "cell", "target - sum(b) OVER (PARTITION BY source) AS rest", "sum(w) OVER (PARTITION BY source ORDER BY cell) AS run")
+    fits = F.when((F.col("run") <= F.col("rest")) & (F.col("cell") < CELLS), F.col("cell"))
+    return run.groupBy("source").agg(F.coalesce(F.max(fits), F.lit(-1)).alias("edge"))
+
+
 def _with_mean(totals: DataFrame, goal: DataFrame) -> DataFrame:
     mean = totals.select(F.col("source").alias("_s"), (F.col("source_size") / F.col("n")).alias("mean"))
     return goal.join(mean, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")

@@ -102,10 +102,10 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     # only ids that a table holds more than once need their fingerprints compared again
     twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count()
     if not twice:
-        return docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    marked = docs.withColumn("_fp", F.pandas_udf(_print_series(width), T.LongType())(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    first = marked.join(kept.select(F.col("doc_id").alias("_kept"), F.col("fp").alias("_of")), F.col(id_col).cast("long").eqNullSafe(F.col("_kept")) & (F.col("_fp") == F.col("_of")), "left_semi")
-    return first.dropDuplicates([id_col, "_fp"]).drop("_fp")
+        return docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    marked = docs.withColumn("__fp", F.pandas_udf(_print_series(width), T.LongType())(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    first = marked.join(kept.select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__of")), F.col(id_col).cast("long").eqNullSafe(F.col("__kept")) & (F.col("__fp") == F.col("__of")), "left_semi")
+    return first.dropDuplicates([id_col, "__fp"]).drop("__fp")
 
 
 def _print_series(width: int):
