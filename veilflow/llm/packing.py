@@ -9,7 +9,10 @@ round, until one partition holds what is left. Closed bins never move again, so
 from __future__ import annotations
 
 import math
+import os
+import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +23,19 @@ from .common import cut, filled
 
 #: Pieces that one partition packs, and partitions that exchange documents in a round.
 PIECES, FAN_IN = 1 << 14, 16
-#: Words that a task remembers the token ids of.
-REMEMBERED = 120_000
+#: Words that a task remembers the token ids of, in each of two generations.
+REMEMBERED = 250_000
 _TOKENIZERS: dict[str, tuple] = {}
+#: Letters for which the pattern below splits texts as byte-level tokenizers of this family do.
+_L = "A-Za-zÀ-ÖØ-öø-ÿ"
+_OTHER = re.compile(rf"[^\x00-\x1b\x20-\x7f{_L}]")
+#: Fixed value: words with the space before them, contractions, digits, marks, white space.
+_WORDS = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[0-9]+| ?[^\s0-9{_L}]+|\s+(?!\S)|\s+").findall
 
 
 def _tokenizer(path: str):
     if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(path)
@@ -36,35 +45,28 @@ def _tokenizer(path: str):
 
 
 def _ids(tok, texts: list[str]) -> list[bytes]:
-    return [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
+    return [array("I", e.ids).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def token_ids(texts: list[str], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of each text.
 
-    A byte-level tokenizer of this family splits a text before each single space, so the words between
-    single spaces are encoded once and remembered. Where white space meets white space the whole text
-    goes through the tokenizer."""
-    tok, inner, first = _tokenizer(path)
-    if len(inner) + len(first) > REMEMBERED:
-        inner.clear()
-        first.clear()
-    parts = [t.split(" ") for t in texts]
-    for known, mark, missing in ((first, "", {p[0] for p in parts} - first.keys()), (inner, " ", set().union(*[p[1:] for p in parts]) - inner.keys())):
-        safe = [w for w in missing if w and not w[0].isspace() and not w[-1].isspace()]
-        for i in range(0, len(safe), 5_000):
-            some = safe[i : i + 5_000]
-            known.update(zip(some, _ids(tok, [mark + w for w in some])))
-        known.update((w, None) for w in missing if w not in known)
-    out = []
-    for text, own in zip(texts, parts):
-        head = first[own[0]]
-        tail = list(map(inner.__getitem__, own[1:]))
-        if head is None or None in tail:
-            out.append(_ids(tok, [text])[0])
-        else:
-            out.append(head + b"".join(tail))
-    return out
+    A tokenizer of this family works on each word by itself, so words are encoded once and remembered. Texts
+    with letters or white space beyond Latin ones go through the tokenizer as wholes."""
+    tok, new, old = _tokenizer(path)
+    if len(new) > REMEMBERED:  # words not seen for a generation are forgotten
+        new, old = {}, new
+        _TOKENIZERS[path] = (tok, new, old)
+    parts = [None if _OTHER.search(t) else _WORDS(t) for t in texts]
+    missing = set().union(*[p for p in parts if p]) - new.keys()
+    known = missing & old.keys()
+    new.update((w, old[w]) for w in known)
+    fresh = list(missing - known)
+    for i in range(0, len(fresh), 10_000):
+        some = fresh[i : i + 10_000]
+        new.update(zip(some, _ids(tok, some)))
+    find = new.__getitem__
+    return [_ids(tok, [t])[0] if p is None else b"".join(map(find, p)) for t, p in zip(texts, parts)]
 
 
 def cut_points(n: int, capacity: int) -> list[tuple[int, int]]:
