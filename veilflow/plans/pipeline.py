@@ -91,5 +91,11 @@ def anonymize_blocks(docs: DataFrame, cfg: Config = Config(), blocks_col: str =
     return out.withColumn("anonymized_blocks", F.transform(F.col(blocks_col), block)).drop("_texts", "_joined", "_ranges")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores if it came in fewer partitions, as one small file does. Large inputs stay as they are."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def project(spans: Column, first: Column, last: Column, text: Column) -> Column:
     return to_block(spans, first, last, text)

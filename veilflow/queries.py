@@ -19,7 +19,7 @@ from .operators import recognizers as R
 from .operators import rewriting as W
 from .plans import review, templates
 from .plans.config import Config
-from .plans.pipeline import anonymize
+from .plans.pipeline import anonymize, spread
 
 TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -382,7 +382,7 @@ def template_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(mode: str, style: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = _sql(spark, sf_dir, "SELECT doc_id, text FROM documents")
+        docs = spread(_sql(spark, sf_dir, "SELECT doc_id, text FROM documents"))
         out = anonymize(docs, Config(mode=mode, redact_style=style))
         return out.select("doc_id", F.size("hits").alias("n_hits"), "anonymized_text", F.array_join("language.languages", ",").alias("languages"))
 
