@@ -270,7 +270,8 @@ def repeated_ranges(rows: DataFrame, min_bytes: int = 200, most_bytes: int = MOS
     """(doc_id, th, x, y): byte ranges to remove, from (doc_id, th, text), th a hash of the text."""
     spark = rows.sparkSession
     runs = cut(rows.mapInArrow(_run_task(min_bytes), _RUN))
-    twice = runs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a")
+    # written out, so that the join reads plain tables on both sides and Spark can split a frequent anchor
+    twice = cut(runs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     live = cut(runs.join(twice, "a", "left_semi"))
     drop_table(runs)
     _tidy(spark)
@@ -303,7 +304,7 @@ def repeated_ranges(rows: DataFrame, min_bytes: int = 200, most_bytes: int = MOS
     sharded = all_.withColumn("shard", F.pmod(F.xxhash64(*group), F.lit(shards)))
     found = cut(sharded.groupBy("shard").applyInArrow(_shard(min_bytes), "a long, u long, x int, y int"))
     _tidy(spark)
-    covered = found.groupBy("a", "u").agg(F.collect_set(F.struct("x", "y")).alias("r"))
+    covered = cut(found.groupBy("a", "u").agg(F.collect_set(F.struct("x", "y")).alias("r")))
     each = live.join(covered, ["a", "u"]).select("doc_id", "th", "start", F.explode("r").alias("r"))
     return each.select("doc_id", "th", (F.col("start") + F.col("r.x")).alias("x"), (F.col("start") + F.col("r.y")).alias("y"))
 
