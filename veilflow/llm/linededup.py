@@ -198,7 +198,8 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, min_documents: int, min_c
     suspects = cut(keyed.mapInArrow(_suspects(filter_, blocks, min_chars), "doc_id long, th long, line_no int, key binary"))
     # an exact count of documents, by key: once per document, then summed
     per_doc = suspects.groupBy("doc_id", "th", "key").agg(F.lit(1).alias("one"))
-    frequent = per_doc.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("key")
+    # written out, so that the join reads plain tables on both sides and Spark can split a frequent key
+    frequent = cut(per_doc.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents).select("key"))
     gone = suspects.join(frequent, "key").groupBy("doc_id", "th").agg(F.collect_set("line_no").alias("__gone"))
     return gone.select(F.col("doc_id").alias("__line_id"), F.col("th").alias("__line_th"), "__gone")
 
