@@ -89,7 +89,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links(prints.select("fp"), max_distance))
     node = prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     least = node.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = node.join(least, "root").select("fp", "component_id")
+    named = cut(node.join(least, "root").select("fp", "component_id"))
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
