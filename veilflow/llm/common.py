@@ -59,6 +59,12 @@ def steps(texts: pa.Array, most: int = STEP_BYTES):
         first = last
 
 
+def portions(texts: pa.Array, kind: pa.DataType, most: int = 1 << 20):
+    """(first row, values) of a text array in portions of about ``most`` bytes, so that few are Python objects at once."""
+    for a, b in steps(texts, most):
+        yield a, texts.slice(a, b - a).cast(kind).to_pylist()
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a text array, one after another, and each text's place in them (n + 1 places)."""
     offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4).astype(np.int64)

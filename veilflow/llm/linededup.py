@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, filled
+from .common import cut, filled, portions
 
 #: Bits of one block of the filter; all bits of a key lie in one block.
 BLOCK_BITS = 1 << 16
@@ -97,9 +97,10 @@ def _sketcher(blocks: int, min_chars: int):
     def run(batches):
         sketch = _Sketch(blocks)
         for batch in batches:
-            for text in filled(batch.column("text")).cast(pa.binary()).to_pylist():
-                if found := doc_hashes(text, min_chars):
-                    sketch.add(np.fromiter(found, np.uint64, len(found)))
+            for _, part in portions(filled(batch.column("text")), pa.binary()):
+                for text in part:
+                    if found := doc_hashes(text, min_chars):
+                        sketch.add(np.fromiter(found, np.uint64, len(found)))
         rows = list(sketch.rows())
         for i in range(0, len(rows), 1000):
             b, once, twice = zip(*rows[i : i + 1000])
@@ -148,7 +149,8 @@ def _suspects(filter_, blocks: int, min_chars: int):
         bitmap = np.frombuffer(zlib.decompress(filter_.value), np.uint8)
         for batch in batches:
             rows, line_no, keys = [], [], []
-            for row, text in enumerate(filled(batch.column("text")).cast(pa.binary()).to_pylist()):
+            texts = ((a + i, t) for a, part in portions(filled(batch.column("text")), pa.binary()) for i, t in enumerate(part))
+            for row, text in texts:
                 own = [line_key(x) for x in text.split(b"\n")]
                 for i, k in enumerate(own):
                     if _is_key(k, min_chars):

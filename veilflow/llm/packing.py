@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, filled
+from .common import cut, filled, portions
 
 #: Pieces that one partition packs, and partitions that exchange documents in a round.
 PIECES, FAN_IN = 1 << 14, 16
 #: Words that a task remembers the token ids of, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 180_000
 _TOKENIZERS: dict[str, tuple] = {}
 #: Letters for which the pattern below splits texts as byte-level tokenizers of this family do.
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
@@ -83,15 +83,9 @@ def _pieces(path: str, capacity: int, end_id: int):
 
     def run(batches):
         for batch in batches:
-            texts = filled(batch.column("text")).to_pylist()
             rows, piece, start, length, crc = [], [], [], [], []
-            at = 0
-            while at < len(texts):
-                upto, size = at, 0
-                while upto < len(texts) and (upto == at or size + len(texts[upto]) < 4_000_000):
-                    size += len(texts[upto])
-                    upto += 1
-                for row, ids in enumerate(token_ids(texts[at:upto], path), at):
+            for at, texts in portions(filled(batch.column("text")), pa.string()):
+                for row, ids in enumerate(token_ids(texts, path), at):
                     view = memoryview(ids + end)
                     for k, (a, n) in enumerate(cut_points(len(view) // 4, capacity)):
                         rows.append(row)
@@ -99,7 +93,6 @@ def _pieces(path: str, capacity: int, end_id: int):
                         start.append(a)
                         length.append(n)
                         crc.append(zlib.crc32(view[4 * a : 4 * (a + n)]))
-                at = upto
             ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, filled
+from .common import cut, filled, portions
 from .graph import components
 
 
@@ -36,8 +36,8 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 def _fingerprints(width: int):
     def run(batches):
         for batch in batches:
-            texts = filled(batch.column("text")).cast(pa.binary())
-            prints = np.array([fingerprint(t, width) for t in texts.to_pylist()], np.uint64).view(np.int64)
+            found = [fingerprint(t, width) for _, part in portions(filled(batch.column("text")), pa.binary()) for t in part]
+            prints = np.array(found, np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
 
     return run
