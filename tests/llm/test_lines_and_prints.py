@@ -88,6 +88,13 @@ def test_keep_one(docs):
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]
 
 
+def test_keep_one_of_each_group_whatever_its_ids(docs):
+    text = {k: " ".join(random.Random(k).choices([f"w{i}" for i in range(500)], k=80)) for k in range(6)}
+    rows = [(None, text[0]), (None, text[1]), (None, text[1]), (7, text[2]), (7, text[3]), (7, text[3]), (9, text[3]), (None, text[4]), (8, text[4]), (5, text[5])]
+    kept = simhash.keep_one(docs(rows, True)).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted([(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (8, text[4]), (5, text[5])], key=repr)
+
+
 def test_components(spark):
     rng = random.Random(2)
     pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(500, i) for i in range(501, 540)] + [(i, i + 1) for i in range(600, 640)]

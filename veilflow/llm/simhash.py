@@ -77,6 +77,17 @@ def links(prints: DataFrame, max_distance: int = 3) -> DataFrame:
     return found.distinct()
 
 
+def _groups(docs: DataFrame, id_col: str, text_col: str, max_distance: int, width: int) -> DataFrame:
+    """(doc_id, fp, root, component_id) for each row: root is the smallest fingerprint reachable by links."""
+    rows = cut(fingerprints(docs, id_col, text_col, width))
+    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    roots = components(links(prints.select("fp"), max_distance))
+    node = prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
+    least = node.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = cut(node.join(least, "root").select("fp", "root", "component_id"))
+    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for each row of ``docs``; component_id is the smallest id reachable by links.
 
@@ -84,21 +95,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints are one node, however many there are, so groups of copies add no links. A null id is
     never a component's id unless no row of the component has one. Repeated rows each return. An empty
     table returns none. Other columns, whatever their names, are not read."""
-    rows = cut(fingerprints(docs, id_col, text_col, width))
-    prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(prints.select("fp"), max_distance))
-    node = prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
-    least = node.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = cut(node.join(least, "root").select("fp", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _groups(docs, id_col, text_col, max_distance, width).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 3, width: int = 3) -> DataFrame:
     """The rows of ``docs``, one of each group of near copies: the one with the smallest id.
 
-    Rows that repeat an id within a group count as one; rows of a group without any id leave one."""
-    groups = near_duplicates(docs, id_col, text_col, max_distance, width)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "component_id").agg(F.min("fp").alias("fp")).select("doc_id", "fp")
+    Rows that repeat an id within a group count as one; rows of a group without any id leave one. Groups
+    are told apart by their links, not by that id, so rows without an id or with one id in two groups stay."""
+    groups = _groups(docs, id_col, text_col, max_distance, width)
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp")
     # only ids that a table holds more than once need their fingerprints compared again
     twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count()
     if not twice:
