@@ -142,3 +142,49 @@ def test_minhash_near_duplicates(docs):
     rows = [(1, base), (2, base + " more"), (3, base), (4, "other text " * 9), (None, ""), (6, None)]
     got = {(r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(docs(rows, True)).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (None, 6), (6, 6)}
+
+
+def _template(rng, base, share):
+    """A copy of ``base`` in which runs of words are replaced, about ``share`` of them."""
+    out = list(base)
+    for _ in range(int(len(base) * share / 5)):
+        at = rng.randrange(len(base) - 5)
+        out[at : at + 5] = [f"r{rng.randrange(10**6)}" for _ in range(5)]
+    return out
+
+
+def brute_groups(texts, similarity=0.8):
+    """The least index of each text's group by all pairs of 5-word shingle sets."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    best = list(range(len(texts)))
+
+    def root(i):
+        while best[i] != i:
+            i = best[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= similarity:
+                a, b = sorted((root(i), root(j)))
+                best[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def skewed():
+    """Texts of one template, about 0.7 alike, each with a near copy at about 0.8."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(300)]
+    texts = []
+    for _ in range(100):
+        one = _template(rng, base, 0.0501)
+        at = rng.randrange(277)
+        texts += [" ".join(one), " ".join(one[:at] + [f"c{rng.randrange(10**6)}" for _ in range(22)] + one[at + 22 :])]
+    return texts
+
+
+def test_minhash_near_duplicates_in_skewed_buckets(docs):
+    texts = skewed()
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(list(enumerate(texts)), True)).collect()}
+    want = brute_groups(texts)
+    assert 10 < len(set(want)) < 190 and [got[i] for i in range(len(texts))] == want

@@ -168,26 +168,63 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(sets, pa.list_(pa.int64()))], ["th", "set"])
 
 
+def _groups_of(bands: DataFrame, edges: DataFrame) -> DataFrame:
+    """(band, th, c): the members of bands that hold two groups or more, with the group of each."""
+    found = components(edges)
+    own = bands.join(found.select(F.col("u").alias("th"), F.col("v").alias("root")), "th", "left").select("band", "th", F.coalesce("root", "th").alias("c"))
+    split = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
+    return cut(own.join(split, "band"))
+
+
+def links(texts: DataFrame, similarity: float = 0.8, stars: int = 2) -> DataFrame:
+    """(u, v), u > v: links between texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
+
+    ``texts`` holds (th, text), th naming a text; rows may repeat. Texts that agree in a band of their
+    signature are candidates, and every pair of a band's group is compared unless links join it already:
+    first, in ``stars`` rounds, members against one of them that the band picks by a hash of its own, then
+    all pairs of a group that are still in different components. The first keep large groups of near copies
+    in step with their size; the last costs the product of the components' sizes. A link counts if the exact
+    similarity reaches the threshold."""
+    signed = texts.select("th", "text").mapInArrow(_signed, "th long, bands array<long>").dropDuplicates(["th"])
+    signed = cut(signed.select("th", F.explode("bands").alias("band")))
+    shared = signed.groupBy("band").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low < high").select("band")
+    bands = cut(signed.join(shared, "band"))
+    drop_table(signed)
+    sets = cut(texts.join(bands.select("th").distinct(), "th", "left_semi").select("th", "text").mapInArrow(_sets, "th long, set array<long>").dropDuplicates(["th"]))
+    sizes = cut(sets.select("th", F.size("set").alias("n")))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (u, v), either way round, that are similar enough. Sizes that rule it out are told first."""
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        n = pairs.join(sizes.withColumnsRenamed({"th": "u", "n": "p"}), "u").join(sizes.withColumnsRenamed({"th": "v", "n": "q"}), "v")
+        able = n.where(F.least("p", "q") / F.greatest("p", "q") >= similarity).select("u", "v")
+        held = able.join(sets.withColumnsRenamed({"th": "u", "set": "x"}), "u").join(sets.withColumnsRenamed({"th": "v", "set": "y"}), "v")
+        common = F.size(F.array_intersect("x", "y"))
+        return cut(held.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("u", "v"))
+
+    edges = texts.sparkSession.createDataFrame([], "u long, v long")
+    for k in range(stars):
+        open_ = _groups_of(bands, edges)
+        chosen = open_.groupBy("band").agg(F.min_by(F.struct("th", "c"), F.xxhash64("th", "band", F.lit(k))).alias("s"))
+        pairs = open_.join(chosen, "band").where(F.col("c") != F.col("s.c")).select(F.col("th").alias("u"), F.col("s.th").alias("v"))
+        edges = edges.unionByName(verified(pairs))
+    open_ = _groups_of(bands, edges)
+    groups = open_.select("band", "c").distinct()
+    facing = groups.withColumnRenamed("c", "c1").join(groups.withColumnRenamed("c", "c2"), "band").where("c1 < c2")
+    one = open_.select("band", F.col("c").alias("c1"), F.col("th").alias("u"))
+    two = open_.select("band", F.col("c").alias("c2"), F.col("th").alias("v"))
+    return edges.unionByName(verified(facing.join(one, ["band", "c1"]).join(two, ["band", "c2"]).select("u", "v")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): ids of documents linked by a shingle Jaccard similarity of ``similarity`` or more.
 
-    Texts that are equal are one node. Texts that agree in a band of their signature are candidates; within
-    a band's group each is held against the smallest only, which keeps the work in step with the group,
-    and a link counts if the exact similarity of both shingle sets reaches the threshold. component_id is the smallest id reachable; null
-    ids are never chosen unless a component has no other."""
+    Texts that are equal are one node; ``links`` says which pairs are compared. component_id is the smallest
+    id reachable; null ids are never chosen unless a component has no other."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
     nodes = cut(rows.groupBy("th").agg(F.min("doc_id").alias("least")))
-    one = rows.groupBy("th").agg(F.first("text").alias("text"))
-    bands = cut(one.mapInArrow(_signed, "th long, bands array<long>").select("th", F.explode("bands").alias("band")))
-    least = bands.groupBy("band").agg(F.min("th").alias("v"), F.max("th").alias("top")).where("v < top").select("band", "v")
-    pairs = bands.join(least, "band").where("th > v").select(F.col("th").alias("u"), "v").distinct()
-    sets = cut(one.mapInArrow(_sets, "th long, set array<long>"))
-    held = pairs.join(sets.withColumnsRenamed({"th": "u", "set": "x"}), "u").join(sets.withColumnsRenamed({"th": "v", "set": "y"}), "v")
-    common = F.size(F.array_intersect("x", "y"))
-    links = held.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("u", "v")
-    roots = components(links).select(F.col("u").alias("th"), F.col("v").alias("root"))
-    drop_table(bands)
+    roots = components(links(rows, similarity)).select(F.col("u").alias("th"), F.col("v").alias("root"))
     node = nodes.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root"))
     named = node.join(node.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("th", "component_id")
     return rows.select("doc_id", "th").join(named, "th").select("doc_id", "component_id")
