@@ -30,9 +30,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leave one document of each group of near copies, the one with the smallest id, as the operator's
-    own query links them: 3-word shingles, at most three differing bits."""
-    return simhash.keep_one(docs, width=3)
+    """Leave one document of each group of near copies, the one with the smallest id. Linked are texts with a
+    5-word shingle similarity of 0.8 or more, and those that the operator's own query links: 3-word
+    shingles, at most three differing bits."""
+    return simhash.keep_one(docs, width=3, similarity=0.8)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

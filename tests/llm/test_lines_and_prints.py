@@ -188,3 +188,13 @@ def test_minhash_near_duplicates_in_skewed_buckets(docs):
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(list(enumerate(texts)), True)).collect()}
     want = brute_groups(texts)
     assert 10 < len(set(want)) < 190 and [got[i] for i in range(len(texts))] == want
+
+
+def test_near_dedup_leaves_no_pair_of_similar_texts(docs, spark):
+    import corpus_pipeline
+
+    texts = skewed()
+    kept = {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs(list(enumerate(texts)), True), "").collect()}
+    # every group by similarity leaves one at most, and its first text unless a fingerprint links it to an earlier one
+    assert kept <= set(brute_groups(texts)) and len(kept) > 10
+    assert corpus_pipeline.near_dedup(spark, docs(EDGE).where("false"), "").count() == 0

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import minhash
 from .common import cut, filled, portions
 from .graph import components
 
@@ -38,7 +39,8 @@ def _fingerprints(width: int):
         for batch in batches:
             found = [fingerprint(t, width) for _, part in portions(filled(batch.column("text")), pa.binary()) for t in part]
             prints = np.array(found, np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], ["doc_id", "fp"])
+            names = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(prints)], [*names, "fp"])
 
     return run
 
@@ -77,11 +79,24 @@ def links(prints: DataFrame, max_distance: int = 3) -> DataFrame:
     return found.distinct()
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, max_distance: int, width: int) -> DataFrame:
-    """(doc_id, fp, root, component_id) for each row: root is the smallest fingerprint reachable by links."""
-    rows = cut(fingerprints(docs, id_col, text_col, width))
+def _groups(docs: DataFrame, id_col: str, text_col: str, max_distance: int, width: int, similarity: float | None = None) -> DataFrame:
+    """(doc_id, fp, root, component_id) for each row: root is the smallest fingerprint reachable by links.
+
+    With a ``similarity``, texts whose 5-word shingle sets are that similar (Jaccard) are linked too."""
+    if similarity is None:
+        rows = cut(fingerprints(docs, id_col, text_col, width))
+        more = None
+    else:
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+        rows = cut(texts.mapInArrow(_fingerprints(width), "doc_id long, th long, fp long"))
+        of = rows.groupBy("th").agg(F.min("fp").alias("fp"))
+        more = minhash.links(texts.select("th", "text"), similarity)
+        more = more.join(of.withColumnsRenamed({"th": "u", "fp": "fu"}), "u").join(of.withColumnsRenamed({"th": "v", "fp": "fv"}), "v")
+        more = more.select(F.col("fu").alias("u"), F.col("fv").alias("v")).where("u <> v")
     prints = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(prints.select("fp"), max_distance))
+    found = links(prints.select("fp"), max_distance)
+    roots = components(found if more is None else found.unionByName(more))
     node = prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     least = node.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(node.join(least, "root").select("fp", "root", "component_id"))
@@ -98,12 +113,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return _groups(docs, id_col, text_col, max_distance, width).select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 3, width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 3, width: int = 3, similarity: float | None = None) -> DataFrame:
     """The rows of ``docs``, one of each group of near copies: the one with the smallest id.
 
+    Near copies are linked by fingerprints, and with a ``similarity`` also by 5-word shingle sets.
     Rows that repeat an id within a group count as one; rows of a group without any id leave one. Groups
     are told apart by their links, not by that id, so rows without an id or with one id in two groups stay."""
-    groups = _groups(docs, id_col, text_col, max_distance, width)
+    groups = _groups(docs, id_col, text_col, max_distance, width, similarity)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp")
     # only ids that a table holds more than once need their fingerprints compared again
     twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count()
