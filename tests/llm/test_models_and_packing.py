@@ -142,6 +142,22 @@ def test_token_ids_equal_the_tokenizers():
     assert [np.frombuffer(b, "<u4").tolist() for b in packing.token_ids(texts, byte_bpe())] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_token_ids_of_special_tokens_odd_characters_and_long_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(byte_bpe())
+    rng = random.Random(3)
+    letters = ["a", "S", "s", "re", "ll", "'", " ", "  ", "\n", "\t", "\x85", "\xa0", "\u2003", "\u200b", "1", "\u00b2", "\u216f", "\u4e2d", "\U0001f600", "-", "\x1c", "\U00010400", "\ua64e", "\u180e"]
+    texts = ["a<|endoftext|>b", "<|endoftext|>"] + ["".join(rng.choices(letters, k=rng.randint(0, 30))) for _ in range(2000)]
+    monkeypatch.setattr(packing, "WINDOW", 50)
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    packing._encoder.cache_clear()
+    texts += [" ".join(rng.choices(["it's", "x", "don't ", "y\n"], k=400))]
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.token_ids(texts, byte_bpe())] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(packing.token_ids(texts[:1], byte_bpe())[0], "<u4").tolist() == [64, 50256, 65]
+    packing._encoder.cache_clear()
+
+
 def test_packing(docs):
     rng = random.Random(1)
     rows = EDGE + [(10 + i, " ".join(rng.choices(["alpha", "beta", "gamma"], k=rng.randint(1, 900)))) for i in range(200)]
@@ -177,6 +193,25 @@ def test_packing_exchanges_between_partitions(spark, monkeypatch):
     assert len({r["sequence_id"] for r in got}) <= packing.lower_bound(lengths, 100) * 1.03 + 1
 
 
+def test_certified_partitions_close():
+    """Where nothing fits the room that is left nothing travels; what does is bounded."""
+    lengths = np.full(16384, 1200)
+    assert not packing.given_up(lengths, packing.best_fit(lengths, 2048), 2048, 1200).any()
+    rng = np.random.default_rng(5)
+    for lengths in (rng.integers(1, 700, 16384), rng.choice([683, 700, 1100, 400], 16384), np.ones(16384, int)):
+        where = packing.best_fit(lengths, 2048)
+        assert np.bincount(where)[packing.given_up(lengths, where, 2048, int(lengths.min()))].sum() <= packing.GIVE
+
+
+def test_packing_of_equal_rows_and_ties(docs):
+    rows = [(None, "same words here")] * 300 + [(7, "")] * 50
+    got = packing.pack_documents(docs(rows, True), byte_bpe(), capacity=64).collect()
+    fill = Counter()
+    for r in got:
+        fill[r["sequence_id"]] += r["length"]
+    assert len(got) == 350 and max(fill.values()) <= 64 and len(fill) <= -(-sum(fill.values()) // 64) + 1
+
+
 def test_bounds_hold():
     rng = np.random.default_rng(3)
     for _ in range(30):
