@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -73,24 +73,26 @@ def _unpack(data: bytes) -> np.ndarray:
 
 
 class _Sketch:
-    """A task's two filters, block by block, from hashes that come in one by one."""
+    """A task's two filters as bitmaps of fixed size, from hashes that come in portions.
+
+    A key that is twice in a portion, or that all bits of the portions before it hold, is seen twice."""
 
     def __init__(self, blocks: int):
-        self.blocks, self.once = blocks, {}
-        self.twice: dict[int, set] = {}
+        self.blocks = blocks
+        self.once, self.twice = (np.zeros(blocks * BLOCK_BITS // 8, np.uint8) for _ in range(2))
 
     def add(self, hashes: np.ndarray) -> None:
-        block, bits = places(hashes, self.blocks)
-        for b, row in zip(block.tolist(), bits.tolist()):
-            seen = self.once.setdefault(b, set())
-            if seen.issuperset(row):
-                self.twice.setdefault(b, set()).update(row)
-            else:
-                seen.update(row)
+        own, count = np.unique(hashes, return_counts=True)
+        block, bits = places(own, self.blocks)
+        at, bit = block[:, None] * (BLOCK_BITS // 8) + (bits >> 3), np.uint8(1) << (bits & 7).astype(np.uint8)
+        again = (self.once[at] & bit).astype(bool).all(axis=1) | (count > 1)
+        np.bitwise_or.at(self.once, at.ravel(), bit.ravel())
+        np.bitwise_or.at(self.twice, at[again].ravel(), bit[again].ravel())
 
     def rows(self):
-        for b, seen in self.once.items():
-            yield b, _pack(np.array(sorted(seen))), _pack(np.array(sorted(self.twice.get(b, ())), np.int64))
+        once, twice = (x.reshape(self.blocks, -1) for x in (self.once, self.twice))
+        for b in np.flatnonzero(once.any(axis=1)).tolist():
+            yield b, *(_pack(np.flatnonzero(np.unpackbits(x[b], bitorder="little"))) for x in (once, twice))
 
 
 def _sketcher(blocks: int, min_chars: int):
@@ -98,12 +100,11 @@ def _sketcher(blocks: int, min_chars: int):
         sketch = _Sketch(blocks)
         for batch in batches:
             for _, part in portions(filled(batch.column("text")), pa.binary()):
-                for text in part:
-                    if found := doc_hashes(text, min_chars):
-                        sketch.add(np.fromiter(found, np.uint64, len(found)))
-        rows = list(sketch.rows())
-        for i in range(0, len(rows), 1000):
-            b, once, twice = zip(*rows[i : i + 1000])
+                found = [doc_hashes(text, min_chars) for text in part]
+                sketch.add(np.fromiter(chain.from_iterable(found), np.uint64, sum(map(len, found))))
+        rows = sketch.rows()
+        while some := list(islice(rows, 256)):
+            b, once, twice = zip(*some)
             yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array([0] * len(b), pa.int32()), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["block", "part", "once", "twice"])
 
     return run
@@ -123,8 +124,8 @@ def _merge(table: pa.Table) -> pa.Table:
 _SKETCH = "block long, part int, once binary, twice binary"
 
 
-def twice_seen(sketches: DataFrame, blocks: int) -> bytes:
-    """The twice-seen filter of all sketches, compressed; MOST_BLOCKS bound its size.
+def twice_seen(sketches: DataFrame, blocks: int) -> np.ndarray:
+    """The twice-seen filter of all sketches, as bytes; MOST_BLOCKS bound its size.
 
     Blocks are first added up in 16 parts each, by the task that made them, so a merge never holds more
     than a sixteenth of a block's sketches."""
@@ -134,7 +135,7 @@ def twice_seen(sketches: DataFrame, blocks: int) -> bytes:
     table = merged.select("block", "twice").toArrow()
     for b, t in zip(table["block"].to_pylist(), table["twice"].to_pylist()):
         out[b] = np.packbits(_unpack(t), bitorder="little")
-    return zlib.compress(out.tobytes(), 1)
+    return out.ravel()
 
 
 def asked(bitmap: np.ndarray, hashes: np.ndarray, blocks: int) -> np.ndarray:
@@ -146,24 +147,21 @@ def asked(bitmap: np.ndarray, hashes: np.ndarray, blocks: int) -> np.ndarray:
 
 def _suspects(filter_, blocks: int, min_chars: int):
     def run(batches):
-        bitmap = np.frombuffer(zlib.decompress(filter_.value), np.uint8)
         for batch in batches:
-            rows, line_no, keys = [], [], []
-            texts = ((a + i, t) for a, part in portions(filled(batch.column("text")), pa.binary()) for i, t in enumerate(part))
-            for row, text in texts:
-                own = [line_key(x) for x in text.split(b"\n")]
-                for i, k in enumerate(own):
-                    if _is_key(k, min_chars):
-                        rows.append(row)
-                        line_no.append(i)
-                        keys.append(k)
-            if not keys:
-                continue
-            h = np.fromiter(map(_hash, keys), np.uint64, len(keys))
-            hit = np.flatnonzero(asked(bitmap, h, blocks))
-            at = pa.array(np.array(rows, np.int64)[hit])
-            digests = pa.array([hashlib.blake2b(keys[i], digest_size=16).digest() for i in hit.tolist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(np.array(line_no, np.int32)[hit]), digests], ["doc_id", "th", "line_no", "key"])
+            for first, part in portions(filled(batch.column("text")), pa.binary()):
+                rows, line_no, keys = [], [], []
+                for row, text in enumerate(part, first):
+                    for i, k in enumerate(map(line_key, text.split(b"\n"))):
+                        if _is_key(k, min_chars):
+                            rows.append(row)
+                            line_no.append(i)
+                            keys.append(k)
+                if not keys:
+                    continue
+                hit = np.flatnonzero(asked(filter_.value, np.fromiter(map(_hash, keys), np.uint64, len(keys)), blocks))
+                at = pa.array(np.array(rows, np.int64)[hit])
+                digests = pa.array([hashlib.blake2b(keys[i], digest_size=16).digest() for i in hit.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), batch.column("th").take(at), pa.array(np.array(line_no, np.int32)[hit]), digests], ["doc_id", "th", "line_no", "key"])
 
     return run
 
