@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,21 +16,34 @@ STEP_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. ``spark.checkpoint.dir`` names it; only where
-    that is unset (tests on one machine) a temporary folder is made."""
+    """The folder that driver and executors share. ``spark.checkpoint.dir`` names it. Only on one machine
+    (tests) a temporary folder stands in where it is unset; on a cluster that is an error."""
     sc = spark.sparkContext
     known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not known:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
         known = sc.getCheckpointDir()
     return known
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, lost executors lose nothing."""
+    """Write ``df`` to the shared folder and read it back: lineage ends, lost executors lose nothing.
+
+    Once the table is written nothing reads the shuffles that made it, so Spark is asked to remove their
+    files at the end of the write."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
