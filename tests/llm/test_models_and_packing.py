@@ -105,6 +105,21 @@ def test_mixing(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, again))
 
 
+def test_mixing_of_repeated_rows_and_clashing_names(spark):
+    """40 equal rows of 10 words: the source comes within one row of its target, copies differ within the group."""
+    rows = [(1, " ".join(["w"] * 10), "a")] * 40 + [(i, " ".join(["v"] * 9), "b") for i in range(2, 102)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for c in ("h", "rid", "size", "copies", "_again", "target", "cell"):
+        df = df.withColumn(c, mixing.F.lit(1))
+    got = mixing.mix(df, weights=(6, 2)).collect()
+    own = [r for r in got if r["doc_id"] == 1]
+    target = own[0]["target"]
+    assert len(got) == 140 and 400 < target < 1200 and abs(sum(r["taken"] for r in own) - target) <= 10
+    assert abs(sum(r["taken"] for r in got if r["doc_id"] != 1) - next(r["target"] for r in got if r["doc_id"] != 1)) <= 9
+    again = mixing.mix(df, weights=(6, 2)).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, again))
+
+
 def test_mixing_empty(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 

@@ -20,6 +20,8 @@ SMALL = 100_000
 NEWTON, CLOSE = 24, 1e-9
 #: Rounds that mend what rounding to whole copies leaves of a target.
 MENDS = 3
+#: Hashes of repeated rows that are broadcast at most (8 MB).
+REPEATED = 1 << 20
 #: Cells into which a source's documents fall by hash and fraction, for rounding.
 CELLS = 4096
 WORD = r"[^\x20\x09-\x0D]+"
@@ -100,12 +102,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """(doc_id, size, source_size, target, taken, copies): how often the mix takes each document.
 
     ``size`` is the number of words; null and empty texts have none and are taken once. A null source is a source of
-    its own, ordered last. No document is taken more than ``most`` times. Rows with equal id and text get
-    equal copies, so reruns agree. ``carry`` names further
+    its own, ordered last. No document is taken more than ``most`` times. A row's share in the rounding is a
+    hash of its id and text, so reruns agree; rows alike in both are told apart by their place in the table, and
+    how many of them get a copy more agrees as long as the input's files are read alike. ``carry`` names further
     columns to return, which stand for a result column of the same name. An empty table gives none."""
     text = F.col(text_col).cast("string")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"), F.xxhash64(F.lit("copies"), F.col(id_col).cast("string"), text).alias("h"), *[F.col(f"`{c}`").alias(f"_carry_{i}") for i, c in enumerate(carry)])
-    rows = cut(rows)
+    rows = cut(rows.withColumn("rid", F.monotonically_increasing_id()))
+    rows = _told_apart(rows)
     counts = cut(rows.groupBy("source", "size").agg(F.count("*").alias("docs")))
     totals = counts.groupBy("source").agg(F.sum(F.col("size") * F.col("docs")).alias("source_size"), F.sum("docs").alias("n"))
     goal = cut(_with_mean(totals, targets(totals.select("source", "source_size"), weights, most)))
@@ -127,6 +131,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return done.select(*[c for c in own if c not in carry], *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)])
 
 
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` with a hash ``h`` of its own for each row. Only rows whose hash others share take their place
+    ``rid`` in; what tells these is one number a repeated hash, broadcast up to REPEATED of them."""
+    again = cut(rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select(F.col("h").alias("_again")))
+    n = again.limit(REPEATED + 1).count()
+    if not n:
+        return rows.drop("rid")
+    marked = rows.join(F.broadcast(again) if n <= REPEATED else again, F.col("h") == F.col("_again"), "left")
+    own = F.when(F.col("_again").isNull(), F.col("h")).otherwise(F.xxhash64("h", "rid"))
+    return cut(marked.withColumn("h", own).drop("rid", "_again"))
+
+
 def _edges(dealt: DataFrame) -> DataFrame:
     """(source, edge): documents in cells up to the edge get a copy more. CELLS rows a source at most."""
     sums = dealt.groupBy("source", "cell").agg(F.sum("size").alias("w"), F.sum(F.col("size") * F.col("base")).alias("b"), F.first("target").alias("target"))
@@ -156,7 +172,7 @@ def _mend(dealt: DataFrame, most: int, small: bool) -> DataFrame:
 
 
 def _changed(dealt: DataFrame, changes: DataFrame, small: bool) -> DataFrame:
-    """Copies after the changes, MENDS rows a source at most. Of rows alike in size and hash all change."""
+    """Copies after the changes, MENDS rows a source at most."""
     own = changes.groupBy(F.col("source"), "_h").agg(F.sum("_by").alias("_by")).select(F.col("source").alias("_source"), "_h", "_by")
     own = F.broadcast(own) if small else own
     joined = dealt.join(own, F.col("source").eqNullSafe(F.col("_source")) & (F.col("h") == F.col("_h")), "left")
