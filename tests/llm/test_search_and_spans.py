@@ -15,7 +15,7 @@ def test_topk(spark):
     rows = [(i, [float(x) for x in rng.normal(size=40)]) for i in range(300)]
     rows += [(300 + i, rows[i % 3][1]) for i in range(30)]  # ties
     rows += [(900, None), (901, [float("nan")] * 40), (902, [1.0] * 39 + [None]), (903, [1.0, 2.0]), (904, [2.0, 1.0]), (None, [0.0] * 40), (905, []), (906, [float("inf")] * 40)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int" if False else "vec_id long, embedding array<float>")
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in topk.search(df, df.where("vec_id % 20 = 0 or vec_id > 890"), k=4).collect())
     ok = {i: np.floor(256 * np.array(v, np.float32).astype(float)).astype(int) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     want = []
@@ -65,6 +65,28 @@ def test_suffix_dedup(docs, most):
     assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(_rows(), 100)
 
 
+def test_anchors_do_not_depend_on_the_batch():
+    """Equal windows choose equal anchors at equal places, in batches of any size."""
+    rng = np.random.default_rng(9)
+    own = rng.integers(97, 101, 5000, dtype=np.uint8)
+    seen = []
+    for before in (0, 17, 70_000, 1_100_000):
+        data = np.r_[rng.integers(97, 101, before, dtype=np.uint8), own]
+        text, first, last, at, a, u = suffixdedup.runs_of(data, np.array([0, before, len(data)] if before else [0, len(data)]), 100)
+        mine = first >= before
+        seen.append(list(zip((first - before)[mine].tolist(), (last - before)[mine].tolist(), (at - before)[mine].tolist(), a[mine].tolist(), u[mine].tolist())))
+    assert all(x == seen[0] for x in seen)
+
+
+def test_one_window_in_many_contexts(docs):
+    """A string of the least length between ever different bytes: its group can't be halved, and no shard sorts it."""
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(100))
+    rows = [(i, "".join(rng.choice("xyz") for _ in range(90)) + line + "".join(rng.choice("uvw") for _ in range(90))) for i in range(400)]
+    got = suffixdedup.dedup(docs(rows), min_bytes=100, most_bytes=4000)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == brute(rows, 100)
+
+
 def test_suffix_dedup_edges(docs):
     assert sorted((tuple(r) for r in suffixdedup.dedup(docs(EDGE), min_bytes=200).collect()), key=repr) == brute(EDGE, 200)
     assert suffixdedup.dedup(docs(EDGE).where("false")).count() == 0

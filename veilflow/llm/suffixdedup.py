@@ -25,6 +25,7 @@ from .common import BYTE_KEYS, cut, drop_table, filled, mix, powers, steps, text
 
 #: Bytes of an anchor; bytes of a shard's text; bytes of different runs that one anchor may bring to a shard.
 ANCHOR, SHARD_BYTES, MOST_BYTES = 32, 1 << 19, 1 << 23
+_HALF = np.uint64(32)
 
 
 def runs_of(data: np.ndarray, places: np.ndarray, min_bytes: int):
@@ -44,8 +45,8 @@ def runs_of(data: np.ndarray, places: np.ndarray, min_bytes: int):
 
     m = n - ANCHOR + 1
     gram = mix((sums[ANCHOR:] - sums[:m]) * down[:m] + np.uint64(ANCHOR))
-    low = max(n.bit_length(), 1)
-    packed = (gram >> np.uint64(low) << np.uint64(low)) | np.arange(m, dtype=np.uint64)
+    # half of the hash decides and then the place, in a batch of any size: equal windows choose alike
+    packed = (gram >> _HALF << _HALF) | np.arange(m, dtype=np.uint64)
     blocks = -(-m // w) + 1
     padded = np.full(blocks * w, np.iinfo(np.uint64).max)
     padded[:m] = packed
@@ -54,7 +55,7 @@ def runs_of(data: np.ndarray, places: np.ndarray, min_bytes: int):
     behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     starts = n - min_bytes + 1
     least = np.minimum(behind[:starts], ahead[w - 1 : w - 1 + starts])
-    anchor = (least & np.uint64((1 << low) - 1)).astype(np.int64)
+    anchor = (least & np.uint64((1 << 32) - 1)).astype(np.int64)
     valid = np.zeros(starts + 1, np.int8)
     ok = np.diff(places) >= min_bytes
     np.add.at(valid, places[:-1][ok], 1)
@@ -258,23 +259,14 @@ def _apply(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 3 + [pa.string()]))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _tidy(spark) -> None:
-    """Let Spark drop shuffle files that nothing refers to any more; its cleaner follows the JVM's collector."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_ranges(rows: DataFrame, min_bytes: int = 200, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc_id, th, x, y): byte ranges to remove, from (doc_id, th, text), th a hash of the text."""
-    spark = rows.sparkSession
     runs = cut(rows.mapInArrow(_run_task(min_bytes), _RUN))
     # written out, so that the join reads plain tables on both sides and Spark can split a frequent anchor
     twice = cut(runs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     live = cut(runs.join(twice, "a", "left_semi"))
     drop_table(runs)
-    _tidy(spark)
+    drop_table(twice)
     place = F.struct("doc_id", "th", "start", "size", "anchor_at")
     groups = live.groupBy("a", "u").agg(F.count("*").alias("copies"), F.min(place).alias("at"))
     taken = groups.select(F.col("at.doc_id").alias("_id"), F.col("at.th").alias("_th"), F.struct("a", "u", "copies", "at.start", "at.size", "at.anchor_at").alias("w"))
@@ -282,19 +274,21 @@ def repeated_ranges(rows: DataFrame, min_bytes: int = 200, most_bytes: int = MOS
     own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     texts = rows.join(wanted, own).select("text", "wanted")
     segments = cut(texts.mapInArrow(_cut_segments(min_bytes), _SEGMENT))
-    _tidy(spark)
-    group, ready = ["g", "low", "high"], []
+    group, ready, repeats, used = ["g", "low", "high"], [], [], []
     while True:
         sums = segments.groupBy(*group).agg(F.sum(F.length("data")).alias("bytes"), F.sum("copies").alias("n"))
         # a group that is found once holds no repeat; the first groups, by anchor, all are found twice
-        if ready:
+        if used:
             segments = segments.join(sums.where("n > 1").select(*group), group)
-        large = sums.where((F.col("bytes") > most_bytes) & (F.col("low") < F.col("high")) & (F.col("n") > 1)).select(*group)
-        large = cut(large)
+            # all segments of a group that can't be halved are one window: it repeats, and nothing need be sorted
+            repeats.append(segments.where("low = high").select("a", "u", F.col("p").alias("x"), (F.col("p") + min_bytes).alias("y")))
+            segments = segments.where("low < high")
+        large = cut(sums.where((F.col("bytes") > most_bytes) & (F.col("low") < F.col("high")) & (F.col("n") > 1)).select(*group))
         if not large.limit(1).count():
             ready.append(segments)
             break
         ready.append(segments.join(large, group, "left_anti"))
+        used.append(segments)
         segments = cut(segments.join(large, group, "left_semi").mapInArrow(_halve(min_bytes), _SEGMENT))
     all_ = ready[0]
     for more in ready[1:]:
@@ -302,9 +296,13 @@ def repeated_ranges(rows: DataFrame, min_bytes: int = 200, most_bytes: int = MOS
     total = all_.agg(F.sum(F.length("data"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     sharded = all_.withColumn("shard", F.pmod(F.xxhash64(*group), F.lit(shards)))
-    found = cut(sharded.groupBy("shard").applyInArrow(_shard(min_bytes), "a long, u long, x int, y int"))
-    _tidy(spark)
+    found = sharded.groupBy("shard").applyInArrow(_shard(min_bytes), "a long, u long, x int, y int")
+    for more in repeats:
+        found = found.unionByName(more.select("a", "u", F.col("x").cast("int"), F.col("y").cast("int")))
+    found = cut(found)
     covered = cut(found.groupBy("a", "u").agg(F.collect_set(F.struct("x", "y")).alias("r")))
+    for table in (segments, found, *used):
+        drop_table(table)
     each = live.join(covered, ["a", "u"]).select("doc_id", "th", "start", F.explode("r").alias("r"))
     return each.select("doc_id", "th", (F.col("start") + F.col("r.x")).alias("x"), (F.col("start") + F.col("r.y")).alias("y"))
 
