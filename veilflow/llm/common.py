@@ -57,6 +57,15 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a table of keys that a join broadcasts at most (32 MB of longs).
+FEW = 1 << 22
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """A table of one or two long columns, marked for broadcast if a count shows FEW rows or fewer."""
+    return F.broadcast(keys) if keys.limit(FEW + 1).count() <= FEW else keys
+
+
 def train_rows(column: str = "doc_id", modulus: int = 10, held: int = 0):
     """Column: true for rows to hold out (crc32 of the id as text leaves ``held``)."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % modulus == held, F.lit(False))

@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, filled, mix, steps, text_bytes, words
+from .common import cut, drop_table, few, filled, mix, steps, text_bytes, words
 from .graph import components
 
 #: Permutations, words of a shingle, and bytes of a band (rows of a banded signature).
-PERMUTATIONS, WIDTH, BAND = 128, 5, 4
+PERMUTATIONS, WIDTH, BAND = 128, 5, 5
+#: Bands of a signature. Texts alike by 0.8 agree in none of them with a chance of 1 in 20,000.
+BANDS = PERMUTATIONS // BAND
+#: What a fingerprint's estimate may lie under the similarity asked for: over five standard deviations.
+SLACK = 0.2
 _RNG = np.random.default_rng(8128)
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -148,14 +152,23 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 def _signed(batches):
     for batch in batches:
-        minima = _sign(filled(batch.column("text")))
-        bands = minima.reshape(len(minima), PERMUTATIONS // BAND, BAND).astype(np.uint64)
-        key = np.zeros(bands.shape[:2], np.uint64)
-        for k in range(BAND):
-            key = mix(key * _ROLL + bands[:, :, k])
-        key = mix(key + np.arange(PERMUTATIONS // BAND, dtype=np.uint64))
-        keys = pa.ListArray.from_arrays(pa.array(np.arange(len(key) + 1) * key.shape[1], pa.int32()), pa.array(key.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("th"), keys], ["th", "bands"])
+        texts = filled(batch.column("text"))
+        prints, keys, sizes = [], [], []
+        for a, b in steps(texts):
+            h, starts = shingles(*text_bytes(texts.slice(a, b - a)))
+            minima = signatures(h, starts)
+            bands = minima[:, : BANDS * BAND].reshape(len(minima), BANDS, BAND).astype(np.uint64)
+            key = np.zeros(bands.shape[:2], np.uint64)
+            for k in range(BAND):
+                key = mix(key * _ROLL + bands[:, :, k])
+            keys.append(mix(key + np.arange(BANDS, dtype=np.uint64)))
+            prints += [row.tobytes() for row in short(minima)]
+            sizes.append(np.diff(starts))
+        if not prints:
+            continue
+        flat = np.concatenate(keys).ravel().view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * BANDS, pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(prints, pa.binary()), pa.array(np.concatenate(sizes)), lists], ["th", "print", "n", "bands"])
 
 
 def _sets(batches):
@@ -164,56 +177,98 @@ def _sets(batches):
         sets = []
         for a, b in steps(texts):
             h, starts = shingles(*text_bytes(texts.slice(a, b - a)))
-            sets += [np.unique(h[x:y]).view(np.int64) for x, y in zip(starts[:-1], starts[1:])]
-        yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(sets, pa.list_(pa.int64()))], ["th", "set"])
+            h = (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            sets += [np.unique(h[x:y]) for x, y in zip(starts[:-1], starts[1:])]
+        yield pa.RecordBatch.from_arrays([batch.column("th"), pa.array(sets, pa.list_(pa.int32()))], ["th", "set"])
+
+
+def _near(similarity: float):
+    """The pairs whose fingerprints don't rule the similarity out."""
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("pu", "pv"))
+                yield batch.select(["u", "v"]).filter(pa.array(likeness(x, y) >= similarity - SLACK))
+
+    return run
+
+
+def _grouped(keyed: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """(key, th, c): the rows of keys that still hold two groups or more, with the group of each."""
+    own = keyed.join(roots, "th", "left").withColumn("c", F.coalesce("root", "th")).drop("root")
+    split = own.groupBy(key).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(key)
+    return cut(own.join(split, key))
+
 
+def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """(s, th, n, asks, stands): the rare shingles of each set by which similar sets are sure to meet.
 
-def _groups_of(bands: DataFrame, edges: DataFrame) -> DataFrame:
-    """(band, th, c): the members of bands that hold two groups or more, with the group of each."""
-    found = components(edges)
-    own = bands.join(found.select(F.col("u").alias("th"), F.col("v").alias("root")), "th", "left").select("band", "th", F.coalesce("root", "th").alias("c"))
-    split = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("band")
-    return cut(own.join(split, "band"))
+    With shingles in one order, the rarest first, the larger of two sets that are similar enough holds in its
+    first n - ceil(t n) + 1 one of the first n - ceil(2t / (1 + t) n) + 1 of the smaller."""
+    flat = sets.select("th", F.size("set").alias("n"), F.explode("set").alias("s"))
+    held = cut(flat.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
+    rank = F.row_number().over(Window.partitionBy("th").orderBy("df", F.xxhash64("s"), "s"))
+    ranked = flat.join(held, "s", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", rank).where("df > 1")
+    t = F.lit(similarity - 1e-9)
+    asks = F.col("rank") <= F.col("n") - F.ceil(t * F.col("n")) + 1
+    stands = F.col("rank") <= F.col("n") - F.ceil(t * 2 / (t + 1) * F.col("n")) + 1
+    return cut(ranked.select("s", "th", "n", asks.alias("asks"), stands.alias("stands")).where("asks"))
 
 
 def links(texts: DataFrame, similarity: float = 0.8, stars: int = 2) -> DataFrame:
     """(u, v), u > v: links between texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     ``texts`` holds (th, text), th naming a text; rows may repeat. Texts that agree in a band of their
-    signature are candidates, and every pair of a band's group is compared unless links join it already:
-    first, in ``stars`` rounds, members against one of them that the band picks by a hash of its own, then
-    all pairs of a group that are still in different components. The first keep large groups of near copies
-    in step with their size; the last costs the product of the components' sizes. A link counts if the exact
-    similarity reaches the threshold."""
-    signed = texts.select("th", "text").mapInArrow(_signed, "th long, bands array<long>").dropDuplicates(["th"])
-    signed = cut(signed.select("th", F.explode("bands").alias("band")))
-    shared = signed.groupBy("band").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low < high").select("band")
-    bands = cut(signed.join(shared, "band"))
+    signature are candidates. First, in ``stars`` rounds, each band's members are held against one of them,
+    which it picks by a hash: this links groups of near copies, however large, in step with their size. Texts
+    of bands that still hold several components then meet by their rarest shingles (``_prefixes``), which
+    finds every similar pair among them, and templates that many unlike texts share make none meet. A
+    link counts if the exact similarity reaches the threshold; fingerprints rule most others out before."""
+    signed = cut(texts.select("th", "text").mapInArrow(_signed, "th long, print binary, n long, bands array<long>").dropDuplicates(["th"]))
+    flat = signed.select("th", F.explode("bands").alias("band"))
+    shared = flat.groupBy("band").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low < high").select("band")
+    bands = cut(flat.join(cut(shared), "band"))
+    wanted = cut(bands.select("th").distinct())
+    prints = cut(signed.join(wanted, "th").select("th", "print", "n"))
     drop_table(signed)
-    sets = cut(texts.join(bands.select("th").distinct(), "th", "left_semi").select("th", "text").mapInArrow(_sets, "th long, set array<long>").dropDuplicates(["th"]))
-    sizes = cut(sets.select("th", F.size("set").alias("n")))
+    sets = cut(texts.join(few(wanted), "th", "left_semi").select("th", "text").mapInArrow(_sets, "th long, set array<int>").dropDuplicates(["th"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v), either way round, that are similar enough. Sizes that rule it out are told first."""
+        """The pairs (u, v), either way round, that are similar enough. Sizes and fingerprints rule most others out."""
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        n = pairs.join(sizes.withColumnsRenamed({"th": "u", "n": "p"}), "u").join(sizes.withColumnsRenamed({"th": "v", "n": "q"}), "v")
-        able = n.where(F.least("p", "q") / F.greatest("p", "q") >= similarity).select("u", "v")
+        both = pairs.join(prints.withColumnsRenamed({"th": "u", "print": "pu", "n": "p"}), "u").join(prints.withColumnsRenamed({"th": "v", "print": "pv", "n": "q"}), "v")
+        able = both.select("u", "v", "pu", "pv").mapInArrow(_near(similarity), "u long, v long")
         held = able.join(sets.withColumnsRenamed({"th": "u", "set": "x"}), "u").join(sets.withColumnsRenamed({"th": "v", "set": "y"}), "v")
         common = F.size(F.array_intersect("x", "y"))
         return cut(held.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("u", "v"))
 
     edges = texts.sparkSession.createDataFrame([], "u long, v long")
     for k in range(stars):
-        open_ = _groups_of(bands, edges)
-        chosen = open_.groupBy("band").agg(F.min_by(F.struct("th", "c"), F.xxhash64("th", "band", F.lit(k))).alias("s"))
+        open_ = _grouped(bands, "band", _roots(edges))
+        pick = F.xxhash64("th") if not k else F.xxhash64("th", "band", F.lit(k))
+        chosen = open_.groupBy("band").agg(F.min_by(F.struct("th", "c"), pick).alias("s"))
         pairs = open_.join(chosen, "band").where(F.col("c") != F.col("s.c")).select(F.col("th").alias("u"), F.col("s.th").alias("v"))
         edges = edges.unionByName(verified(pairs))
-    open_ = _groups_of(bands, edges)
-    groups = open_.select("band", "c").distinct()
-    facing = groups.withColumnRenamed("c", "c1").join(groups.withColumnRenamed("c", "c2"), "band").where("c1 < c2")
-    one = open_.select("band", F.col("c").alias("c1"), F.col("th").alias("u"))
-    two = open_.select("band", F.col("c").alias("c2"), F.col("th").alias("v"))
-    return edges.unionByName(verified(facing.join(one, ["band", "c1"]).join(two, ["band", "c2"]).select("u", "v")))
+        drop_table(open_)
+    roots = cut(_roots(edges))
+    open_ = _grouped(bands, "band", roots)
+    rare = _prefixes(sets.join(open_.select("th").distinct(), "th", "left_semi"), similarity)
+    own = _grouped(rare, "s", roots)
+    groups = own.groupBy("s", "c").agg(F.max("n").alias("most"), F.min(F.when(F.col("stands"), F.col("n"))).alias("least"))
+    facing = groups.select("s", F.col("c").alias("c1"), "most").join(groups.where("least is not null").select("s", F.col("c").alias("c2"), "least"), "s")
+    facing = facing.where((F.col("c1") != F.col("c2")) & (F.col("least") <= F.col("most"))).select("s", "c1", "c2")
+    one = own.select("s", F.col("c").alias("c1"), F.col("th").alias("u"), F.col("n").alias("p"))
+    two = own.where("stands").select("s", F.col("c").alias("c2"), F.col("th").alias("v"), F.col("n").alias("q"))
+    pairs = facing.join(one, ["s", "c1"]).join(two, ["s", "c2"]).where((F.col("p") >= F.col("q")) & (F.col("q") >= F.col("p") * (similarity - 1e-9))).select("u", "v")
+    found = cut(edges.unionByName(verified(pairs)))
+    for table in (bands, prints, sets, open_, rare, own, roots, wanted):
+        drop_table(table)
+    return found
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    return components(edges).select(F.col("u").alias("th"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
