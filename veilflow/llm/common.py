@@ -28,7 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a write: files of shuffles that nothing reads any more go, and batches that Python gets are bounded by bytes.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -38,12 +39,14 @@ def cut(df: DataFrame) -> DataFrame:
     files at the end of the write."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    before = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -135,15 +138,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes that are hashed at once; longer texts go in windows cut at white space.
+_WINDOW = 1 << 22
+
+
 def words(data: np.ndarray, places: np.ndarray, lower: bool = True):
     """Words ``[^\\x20\\x09-\\x0D]+`` of texts laid end to end.
 
     Returns (hash, first byte, end byte, index of the text) of each word, in order. Equal words have
     equal 64-bit hashes; ``lower`` takes A-Z as a-z."""
-    n = len(data)
-    if not n:
+    n, at, found = len(data), 0, []
+    while at < n:
+        end = min(at + _WINDOW, n)
+        while end < n and not SPACE[data[end]]:
+            more = np.flatnonzero(SPACE[data[end : end + 4096]])
+            end = end + int(more[0]) if len(more) else min(end + 4096, n)
+        inner = places[np.searchsorted(places, at) : np.searchsorted(places, end, "right")] - at
+        found.append([x if i == 0 else x + at for i, x in enumerate(_words(data[at:end], inner, lower))])
+        at = end
+    if not found:
         z = np.zeros(0, np.int64)
         return z.astype(np.uint64), z, z, z
+    h, first, last = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found))
+    return h, first, last, np.searchsorted(places, first, "right") - 1
+
+
+def _words(data: np.ndarray, places: np.ndarray, lower: bool):
+    n = len(data)
     ink = ~SPACE[data]
     cut_at = np.zeros(n + 1, bool)
     cut_at[places] = True
@@ -156,5 +177,4 @@ def words(data: np.ndarray, places: np.ndarray, lower: bool = True):
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum((LOWER_KEYS if lower else BYTE_KEYS)[data] * up, dtype=np.uint64, out=sums[1:])
-    h = mix((sums[last] - sums[first]) * down[first])
-    return h, first, last, np.searchsorted(places, first, "right") - 1
+    return mix((sums[last] - sums[first]) * down[first]), first, last
