@@ -1,12 +1,14 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
-The next token depends on hashed features of the words before it: the last word, the last two, skips to
-the second and third last, and the classes of the last three. The softmax is factored by class: frequent
-tokens belong to classes of a few tokens each, whose members compete in a softmax of their own; all
-other words belong to classes told by their last letters, and share their class by smoothed counts - so
-every word, known or not, has a probability, and all of them sum to one. Weights are learnt by rounds of
-distributed gradient updates: a task follows the gradient over its own documents of the round from the
-common weights, and the changes are averaged by token. Every training document is in one round.
+The next token depends on hashed features of the words before it: the last word, the last two, a skip to the
+second last, and the classes of the last three. The softmax is factored by class, in three levels of
+16: a class, a group in it and a place in the group. In the first HEADS classes a place is a frequent word;
+all other words share the places of the other classes, told by their last letters and their hash, and
+share a place by smoothed counts - so every word, known or not, has a probability, and all of them sum to
+one. Weights are learnt by rounds of distributed gradient updates: a task follows the gradient over its own
+documents of the round from the common weights, and the changes are averaged by token. Every training
+document is in one round. The weight table grows with the square root of the training tokens, and the
+tasks that learn do as well, so that what they exchange grows in step with the input.
 
 Counts of words cover all training documents. The most frequent words, a bounded number, travel to the
 tasks; the others are looked up by a join, and no text moves."""
@@ -20,16 +22,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, LOWER_KEYS, cut, filled, mix, steps, text_bytes, train_rows, words
+from .common import BYTE_KEYS, LOWER_KEYS, cut, drop_table, filled, mix, steps, text_bytes, train_rows, words
 
-#: Tokens with weights of their own, in classes of SLOTS; END is one of them.
-SLOTS, HEADS = 16, 15
-#: Classes of all other words, by their last two letters.
-TAILS = 17
+#: Members of a softmax. Classes whose places are single frequent words (END is one of them), and of all other words.
+SLOTS, HEADS, TAILS = 16, 8, 8
 CLASSES = HEADS + TAILS
-#: Rows of the hashed weight table, and features of a token that share it.
-ROWS, FEATURES = 1 << 13, 5
-WIDTH = CLASSES + SLOTS
+GROUP = SLOTS * SLOTS
+#: Words with a place of their own, and places that all other words share.
+HEAD_WORDS, TAIL_PLACES = HEADS * GROUP, TAILS * GROUP
+#: Features of a token, and columns of the weight table: one softmax of each level.
+FEATURES, WIDTH = 4, CLASSES + 2 * SLOTS
+#: Rows of the hashed weight table that features share: least and most (50 MB).
+LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 18
+#: Training tokens for each row and task that a task sees in a round at least.
+TOKENS_PER_ROW = 64
 #: Words that are sent to every task at most.
 FREQUENT = 1 << 17
 ROUNDS, STEP_TOKENS, RATE = 4, 16384, 0.5
@@ -37,12 +43,17 @@ END = np.uint64(0x5851F42D4C957F2D)
 _SALTS = mix(np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+def table_rows(tokens: int) -> int:
+    """Rows of the weight table for so many training tokens: a power of two near the root of eight times as many."""
+    return int(min(max(1 << int(np.log2(max(8 * tokens, 1)) / 2), LEAST_ROWS), MOST_ROWS))
+
+
 @dataclass
 class Tokens:
-    """Tokens of some texts, each text closed by END: hash, tail class by letters, text, place in it."""
+    """Tokens of some texts, each text closed by END: hash, place among the tails, text, place in it."""
 
     h: np.ndarray
-    letters: np.ndarray
+    tail: np.ndarray
     text: np.ndarray
     first: np.ndarray  # index of the first token of each token's text
 
@@ -54,13 +65,14 @@ def tokenize(data: np.ndarray, places: np.ndarray) -> Tokens:
     starts = np.r_[0, np.cumsum(count + 1)[:-1]]
     total = int(count.sum()) + n
     at = np.arange(len(h)) + text
-    hash_, letters = np.full(total, END), np.zeros(total, np.int8)
+    hash_, tail = np.full(total, END), np.zeros(total, np.int16)
     hash_[at] = h
     if len(h):
         last, before = data[b - 1], np.where(b - a > 1, data[np.maximum(b - 2, 0)], 0)
-        letters[at] = (mix(LOWER_KEYS[last] ^ (LOWER_KEYS[before] << np.uint64(1))) % np.uint64(TAILS)).astype(np.int8)
+        letters = mix(LOWER_KEYS[last] ^ (LOWER_KEYS[before] << np.uint64(1))) % np.uint64(TAILS)
+        tail[at] = (letters * np.uint64(GROUP) + (h >> np.uint64(40)) % np.uint64(GROUP)).astype(np.int16)
     texts = np.repeat(np.arange(n), count + 1)
-    return Tokens(hash_, letters, texts, starts[texts])
+    return Tokens(hash_, tail, texts, starts[texts])
 
 
 class Lookup:
@@ -104,16 +116,18 @@ class Vocabulary:
     keys: np.ndarray
     counts: np.ndarray
     ends: int  # training documents
-    tail_mass: np.ndarray  # log10 of N_k + 0.1 (V_k + 1) for each tail class
+    tail_mass: np.ndarray  # log10 of N_k + 0.1 (V_k + 1) for each place of the tails
 
     def __post_init__(self):
         # END takes the place among the tokens with weights that its count gives it
         self.lookup = Lookup(self.keys)
-        self.n_items = min(len(self.keys) + 1, HEADS * SLOTS)
+        self.n_items = min(len(self.keys) + 1, HEAD_WORDS)
         self.end_item = min(int(np.searchsorted(-self.counts, -self.ends)), self.n_items - 1)
-        used = np.arange(HEADS * SLOTS).reshape(HEADS, SLOTS) < self.n_items
-        self.slot_off = np.where(used, 0, -1e9).astype(np.float32)
-        self.class_off = np.r_[np.where(used.any(1), 0, -1e9), np.zeros(TAILS)].astype(np.float32)
+        # without features a place has its share of the counts: biases are logarithms of these
+        items = np.insert(self.counts[: self.n_items - 1].astype(float), self.end_item, self.ends) + 0.1
+        mass = np.r_[items, np.zeros(HEAD_WORDS - self.n_items), 10.0**self.tail_mass].reshape(CLASSES, SLOTS, SLOTS)
+        log = lambda m: np.where(m > 0, np.log(np.maximum(m, 1e-30)), -1e9).astype(np.float32)
+        self.bias = log(mass.sum((1, 2)))[None], log(mass.sum(2)), log(mass.reshape(-1, SLOTS))
 
     def __getstate__(self):
         return self.keys, self.counts, self.ends, self.tail_mass
@@ -122,18 +136,17 @@ class Vocabulary:
         self.__init__(*state)
 
     def code(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of each token among the frequent words (-1: not there, -2: END), its class, its slot (-1: tail)."""
+        """Index of each token among the frequent words (-1: not there, -2: END), its place, whether others share it."""
         index = self.lookup(t.h)
         end = t.h == END
         index[end] = -2
         item = np.where(index >= self.end_item, index + 1, index)
         item[end] = self.end_item
         head = (item >= 0) & (item < self.n_items)
-        item = np.where(head, item, 0)
-        return index, np.where(head, item // SLOTS, HEADS + t.letters).astype(np.int64), np.where(head, item % SLOTS, -1)
+        return index, np.where(head, item, HEAD_WORDS + t.tail).astype(np.int64), ~head
 
 
-def features(t: Tokens, cls: np.ndarray, a: int, b: int) -> np.ndarray:
+def features(t: Tokens, place: np.ndarray, a: int, b: int) -> np.ndarray:
     """Hashes of the features of tokens a to b: FEATURES x tokens."""
     at = np.arange(a, b)
 
@@ -141,26 +154,27 @@ def features(t: Tokens, cls: np.ndarray, a: int, b: int) -> np.ndarray:
         j = at - k
         return np.where(j >= t.first[a:b], values[np.maximum(j, 0)], none)
 
-    one, two, three = (back(t.h, k, _SALTS[k]) for k in (1, 2, 3))
-    c1, c2, c3 = (back(cls, k, CLASSES).astype(np.uint64) for k in (1, 2, 3))
+    one, two = (back(t.h, k, _SALTS[k]) for k in (1, 2))
+    node = place // SLOTS
+    n1, n2, n3 = (back(node, k, CLASSES * SLOTS).astype(np.uint64) for k in (1, 2, 3))
     s = _SALTS
-    return np.stack([mix(one + s[11]), mix(one * s[12] + two + s[13]), mix(two + s[14]), mix(three + s[15]), mix((c1 * np.uint64(64) + c2) * np.uint64(64) + c3 + s[16])])
+    return np.stack([mix(one + s[11]), mix(one * s[12] + two + s[13]), mix(two + s[14]), mix((n1 * np.uint64(512) + n2) * np.uint64(32) + n3 // np.uint64(SLOTS) + s[16])])
 
 
 class Weights:
-    """Class weights, slot weights and biases. Rows of a table are shared by hashed features."""
+    """Weights of the three levels; hashed features share their rows."""
 
-    def __init__(self, table: np.ndarray | None = None):
-        table = np.zeros((ROWS + 1 + HEADS, WIDTH), np.float32) if table is None else table
-        self.classes, self.slots = np.ascontiguousarray(table[:, :CLASSES]), np.ascontiguousarray(table[:, CLASSES:])
-
-    @property
-    def bias(self):
-        return self.classes[ROWS], self.slots[ROWS + 1 :]
+    def __init__(self, table: np.ndarray):
+        self.rows = len(table)
+        self.levels = [np.ascontiguousarray(table[:, a:b]) for a, b in ((0, CLASSES), (CLASSES, CLASSES + SLOTS), (CLASSES + SLOTS, WIDTH))]
 
     @property
     def table(self):
-        return np.concatenate([self.classes, self.slots], axis=1)
+        return np.concatenate(self.levels, axis=1)
+
+
+def new_table(rows: int) -> np.ndarray:
+    return np.zeros((rows, WIDTH), np.float32)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -170,45 +184,44 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return z
 
 
-def _rows(f: np.ndarray) -> np.ndarray:
-    return (f & np.uint64(ROWS - 1)).astype(np.int64)
-
-
-def _slot_rows(f: np.ndarray, cls: np.ndarray) -> np.ndarray:
-    return ((f >> np.uint64(20)) * np.uint64(33) + cls.astype(np.uint64) * np.uint64(0x9E37) & np.uint64(ROWS - 1)).astype(np.int64)
-
-
-def forward(w: Weights, v: Vocabulary, f: np.ndarray, cls: np.ndarray, slot: np.ndarray):
-    """Probabilities of all classes for each token, and of all slots for tokens that have one."""
-    class_bias, slot_bias = w.bias
-    z = np.tile(class_bias + v.class_off, (f.shape[1], 1))
-    rows = _rows(f)
-    for r in rows:
-        z += np.take(w.classes, r, axis=0)
-    heads = np.flatnonzero(slot >= 0)
-    own = cls[heads]
-    y = slot_bias[own] + v.slot_off[own]
-    slots = _slot_rows(f[:, heads], own)
-    for r in slots:
-        y += np.take(w.slots, r, axis=0)
-    return _softmax(z), _softmax(y), rows, slots, heads
+def forward(w: Weights, v: Vocabulary, f: np.ndarray, place: np.ndarray):
+    """For each level (probabilities of its members, the token's member, rows of its features). The history of
+    classes, the last feature, tells classes apart; groups and places go by the words before."""
+    cls, node = place // GROUP, place // SLOTS
+    wide = np.uint64(w.rows - 1)
+    out = []
+    for level, own, member in ((0, np.zeros_like(cls), cls), (1, cls, node % SLOTS), (2, node, place % SLOTS)):
+        used = f if not level else f[:-1]
+        rows = ((used >> np.uint64(20 * level)) + own.astype(np.uint64) * np.uint64(0x9E3779B1) & wide).astype(np.int32)
+        z = v.bias[level][own]
+        for r in rows:
+            z += np.take(w.levels[level], r, axis=0)
+        out.append((_softmax(z), member, rows))
+    return out
 
 
-def log_probs(w: Weights, v: Vocabulary, t: Tokens, cls: np.ndarray, slot: np.ndarray) -> np.ndarray:
-    """log10 of each token's class, times that of its slot in it where it has one."""
-    out = np.empty(len(cls))
-    for a in range(0, len(cls), STEP_TOKENS):
-        b = min(a + STEP_TOKENS, len(cls))
-        z, y, _, _, heads = forward(w, v, features(t, cls, a, b), cls[a:b], slot[a:b])
-        p = z[np.arange(b - a), cls[a:b]].astype(np.float64)
-        p[heads] *= y[np.arange(len(heads)), slot[a:b][heads]]
+def log_probs(w: Weights, v: Vocabulary, t: Tokens, place: np.ndarray) -> np.ndarray:
+    """log10 of each token's place: of its class, its group in the class and its place in the group."""
+    out = np.empty(len(place))
+    for a in range(0, len(place), STEP_TOKENS):
+        b = min(a + STEP_TOKENS, len(place))
+        at, p = np.arange(b - a), np.ones(b - a)
+        for z, member, _ in forward(w, v, features(t, place, a, b), place[a:b]):
+            p *= z[at, member]
         out[a:b] = np.log10(np.maximum(p, 1e-30))
     return out
 
 
+def _order(rows: np.ndarray) -> np.ndarray:
+    """A stable order of row numbers, by radix sorts of 16 bits."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")
+    high = rows >> 16
+    return order[np.argsort(high[order].astype(np.uint16), kind="stable")] if high.any() else order
+
+
 def _push(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     """Adagrad by row: add up the gradient of each row, and step along it."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort
+    order = _order(rows)
     own = rows[order]
     at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
     g = np.add.reduceat(np.take(grad, order, axis=0), at, axis=0)
@@ -223,26 +236,18 @@ class Trainer:
 
     def __init__(self, table: np.ndarray, v: Vocabulary):
         self.w, self.v, self.n = Weights(table), v, 0
-        self.seen = np.zeros((2, len(table)), np.float32)
+        self.seen = np.zeros((3, len(table)), np.float32)
 
     def show(self, t: Tokens) -> None:
-        _, cls, slot = self.v.code(t)
-        for a in range(0, len(cls), STEP_TOKENS):
-            b = min(a + STEP_TOKENS, len(cls))
-            z, y, rows, slots, heads = forward(self.w, self.v, features(t, cls, a, b), cls[a:b], slot[a:b])
-            z[np.arange(b - a), cls[a:b]] -= 1
-            y[np.arange(len(heads)), slot[a:b][heads]] -= 1
-            table = self.w.classes
-            for r in rows:
-                _push(table, self.seen[0], r, z)
-            g = z.sum(axis=0)
-            self.seen[0, ROWS] += g @ g
-            table[ROWS] -= RATE / np.sqrt(1.0 + self.seen[0, ROWS]) * g
-            if len(heads):
-                for r in slots:
-                    _push(self.w.slots, self.seen[1], r, y)
-                _push(self.w.slots, self.seen[1], ROWS + 1 + cls[a:b][heads], y)
-        self.n += len(cls)
+        _, place, _ = self.v.code(t)
+        for a in range(0, len(place), STEP_TOKENS):
+            b = min(a + STEP_TOKENS, len(place))
+            at = np.arange(b - a)
+            for level, (z, member, rows) in enumerate(forward(self.w, self.v, features(t, place, a, b), place[a:b])):
+                z[at, member] -= 1
+                for r in rows:
+                    _push(self.w.levels[level], self.seen[level], r, z)
+        self.n += len(place)
 
 
 def _tokens(batch, column: str = "text"):
@@ -252,7 +257,7 @@ def _tokens(batch, column: str = "text"):
 
 
 def _counter(batches):
-    """(h, letters, c, ends): word counts of a task, merged whenever they have grown to a few million."""
+    """(h, tail, c): word counts of a task, merged whenever they have grown to a few million."""
     held, size = [], 0
 
     def merged(parts):
@@ -265,11 +270,11 @@ def _counter(batches):
     def out(h, k, c):
         for i in range(0, len(h), 1 << 16):
             s = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(k[s].astype(np.int32)), pa.array(c[s])], ["h", "letters", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(k[s].astype(np.int32)), pa.array(c[s])], ["h", "tail", "c"])
 
     for batch in batches:
         for _, t in _tokens(batch):
-            held.append((t.h, t.letters, np.ones(len(t.h), np.int64)))
+            held.append((t.h, t.tail, np.ones(len(t.h), np.int64)))
             size += len(t.h)
             if size > 2_000_000:
                 held = [merged(held)]
@@ -282,9 +287,9 @@ def _counter(batches):
 
 
 def count_words(train: DataFrame) -> DataFrame:
-    """(h, letters, c) of all training texts; END is a word like any other."""
-    counts = train.select("text").mapInArrow(_counter, "h long, letters int, c long")
-    return counts.groupBy("h").agg(F.min("letters").alias("letters"), F.sum("c").alias("c"))
+    """(h, tail, c) of all training texts; END is a word like any other."""
+    counts = train.select("text").mapInArrow(_counter, "h long, tail int, c long")
+    return counts.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
 def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
@@ -296,17 +301,17 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
     level = F.floor(F.log2("c") * 4).cast("int")
     levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).toPandas().sort_values("level", ascending=False)
     if not len(levels):
-        return Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, np.full(TAILS, -1.0)), 0, 0
+        return Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, np.full(TAIL_PLACES, -1.0)), 0, 0
     ok = levels.v.cumsum() <= FREQUENT
     least = int(levels.level[ok].min()) if ok.any() else int(levels.level.max()) + 1
     top = counts.where((level >= least) | (F.col("h") == end)).toPandas().sort_values(["c", "h"], ascending=[False, True])
     ends = int(top.c[top.h == end].sum())
     top = top[top.h != end]
-    by_class = counts.where(F.col("h") != end).groupBy("letters").agg(F.count("*").alias("v"), F.sum("c").alias("n")).toPandas().set_index("letters")
-    v = Vocabulary(top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64), ends, np.zeros(TAILS))
-    heads = top.iloc[: v.n_items - 1].groupby("letters").c.agg(["count", "sum"])
-    n, kinds = np.zeros(TAILS), np.zeros(TAILS)
-    n[by_class.index], kinds[by_class.index] = by_class.n, by_class.v
+    by_place = counts.where(F.col("h") != end).groupBy("tail").agg(F.count("*").alias("v"), F.sum("c").alias("n")).toPandas().set_index("tail")
+    v = Vocabulary(top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64), ends, np.zeros(TAIL_PLACES))
+    heads = top.iloc[: v.n_items - 1].groupby("tail").c.agg(["count", "sum"])
+    n, kinds = np.zeros(TAIL_PLACES), np.zeros(TAIL_PLACES)
+    n[by_place.index], kinds[by_place.index] = by_place.n, by_place.v
     n[heads.index] -= heads["sum"]
     kinds[heads.index] -= heads["count"]
     v.tail_mass = np.log10(n + 0.1 * (kinds + 1))
@@ -332,18 +337,21 @@ def _train_task(table_, vocab_):
     return run
 
 
-def train(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS) -> np.ndarray:
+def train(docs: DataFrame, v: Vocabulary, tokens: int, rounds: int = ROUNDS) -> np.ndarray:
     """Weights after ``rounds`` rounds, each over the documents whose hash falls to it. Rows of the weight
-    table are summed over tasks by Spark; the driver gets one table of fixed size a round."""
+    table are summed over tasks by Spark; the driver gets one table of at most MOST_ROWS rows a round."""
     sc = docs.sparkSession.sparkContext
-    table = Weights().table
+    rows = table_rows(tokens)
+    table = new_table(rows)
+    tasks = max(1, tokens // (rounds * rows * TOKENS_PER_ROW))
     vocab_ = sc.broadcast(v)
     schema = "row int, " + ", ".join(f"w{j} float" for j in range(WIDTH))
     for k in range(rounds):
         table_ = sc.broadcast(table)
-        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k).select("text")
-        sums = part.mapInArrow(_train_task(table_, vocab_), schema).groupBy("row").agg(*[F.sum(f"w{j}").alias(f"w{j}") for j in range(WIDTH)])
+        part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k).select("text").coalesce(tasks)
+        sums = cut(part.mapInArrow(_train_task(table_, vocab_), schema).groupBy("row").agg(*[F.sum(f"w{j}").cast("float").alias(f"w{j}") for j in range(WIDTH)]))
         got = sums.toPandas().set_index("row")
+        drop_table(sums)
         if -1 in got.index:
             change = got.drop(index=-1)
             table = table.copy()
@@ -359,17 +367,16 @@ def _score_task(table_, vocab_):
         for batch in batches:
             got = []
             for _, t in _tokens(batch):
-                index, cls, slot = v.code(t)
+                index, place, shared = v.code(t)
                 n = int(t.text[-1]) + 1
                 own = value[index]
                 rare = index == -1
-                model = log_probs(w, v, t, cls, slot)
-                tail = slot < 0
-                model[tail] -= v.tail_mass[cls[tail] - HEADS]
-                model[tail & ~rare] += own[tail & ~rare]
+                model = log_probs(w, v, t, place)
+                model[shared] -= v.tail_mass[place[shared] - HEAD_WORDS]
+                model[shared & ~rare] += own[shared & ~rare]
                 base = np.where(rare, 0, own)
                 known = ~rare & ((index >= 0) | (v.ends > 0))
-                sums = [np.bincount(t.text, weights=x, minlength=n) for x in (np.ones(len(cls)), known, base, model)]
+                sums = [np.bincount(t.text, weights=x, minlength=n) for x in (np.ones(len(place)), known, base, model)]
                 ends = np.cumsum(np.bincount(t.text, weights=rare, minlength=n)).astype(np.int64)
                 got.append((*sums, ends, t.h[rare]))
             if not got:
@@ -399,7 +406,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     learn = rows.where("not held_out")
     counts = cut(count_words(learn))
     v, n, kinds = vocabulary(counts)
-    table = train(learn, v, rounds)
+    table = train(learn, v, n, rounds)
     table_, vocab_ = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(v)
     scored = cut(rows.mapInArrow(_score_task(table_, vocab_), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>").withColumn("rid", F.monotonically_increasing_id()))
     rare = scored.select("rid", F.explode("rare").alias("h"))
