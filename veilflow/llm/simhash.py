@@ -13,9 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import minhash
-from .common import cut, filled, portions
+from .common import cut, few, filled, portions
 from .graph import components
 
+#: Fingerprints that may have one value in a segment before it is split.
+HOT = 1000
+
 
 def fingerprint(text: bytes, width: int = 3) -> int:
     """64-bit SimHash of a text: shingles of ``width`` words, repeats included, hashed by XXH64 (seed 42)."""
@@ -58,25 +61,44 @@ def _ball(value, bits: int):
     return F.concat(F.array(value), F.transform(F.filter(one, lambda m: value.bitwiseAND(m) == 0), lambda m: value.bitwiseOR(m)))
 
 
-def links(prints: DataFrame, max_distance: int = 3) -> DataFrame:
+def _around(value, bits: int):
+    """The value and every value one bit away."""
+    return F.concat(F.array(value), F.transform(F.array(*[F.lit(1 << b).cast("long") for b in range(bits)]), lambda m: value.bitwiseXOR(m)))
+
+
+def links(prints: DataFrame, max_distance: int = 3, hot: int = HOT) -> DataFrame:
     """Pairs (u > v) of different fingerprints that differ in at most ``max_distance`` (up to 3) bits.
 
     Multi-index hashing with two 32-bit segments: three differing bits leave one segment with at most
     one, so the table of a segment is asked for each fingerprint's Hamming ball of radius 1 there, and
-    whole distances are verified. ``prints`` holds distinct fingerprints (fp)."""
+    whole distances are verified. A value that more than ``hot`` fingerprints have in a segment is split by
+    the other segment in the same way: of its two 16-bit halves one differs in one bit at most, so members
+    and those who ask meet by a half and its ball. ``prints`` holds distinct fingerprints (fp)."""
     if not 0 <= max_distance <= 3:
         raise ValueError("two segments with balls of radius 1 find distances up to 3")
-    half = F.lit((1 << 32) - 1).cast("long")
-    segments = [F.col("fp").bitwiseAND(half), F.shiftrightunsigned("fp", 32)]
-    found = None
-    for seg in segments:
-        table = prints.select(seg.alias("at"), F.col("fp").alias("v"))
-        asks = prints.select(F.explode(_ball(seg, 32)).alias("key"), F.col("fp").alias("u"))
-        near = asks.join(table, F.col("key") == F.col("at")).where(F.col("u") != F.col("v"))
-        near = near.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance)
-        near = near.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        found = near if found is None else found.unionByName(near)
-    return found.distinct()
+    half, quarter = F.lit((1 << 32) - 1).cast("long"), F.lit((1 << 16) - 1).cast("long")
+    low, high = F.col("fp").bitwiseAND(half), F.shiftrightunsigned("fp", 32)
+    found = []
+    for seg, rest in ((low, high), (high, low)):
+        table = prints.select(seg.alias("at"), F.col("fp").alias("v"), rest.alias("rest"))
+        asks = prints.select(F.explode(_ball(seg, 32)).alias("key"), F.col("fp").alias("u"), rest.alias("other"))
+        crowded = cut(table.groupBy("at").agg(F.count("*").alias("n")).where(F.col("n") > hot).select(F.col("at").alias("crowd")))
+        if crowded.limit(1).count():
+            crowd = few(crowded)
+            halves = lambda x: ((0, x.bitwiseAND(quarter)), (1, F.shiftrightunsigned(x, 16)))
+            dense = table.join(crowd, F.col("at") == F.col("crowd")).drop("crowd")
+            dense = dense.select("at", "v", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), h.alias("h")) for k, h in halves(F.col("rest"))])).alias("at2"))
+            ring = asks.join(crowd, F.col("key") == F.col("crowd")).drop("crowd")
+            ring = ring.select("key", "u", F.explode(F.concat(*[F.transform(_around(h, 16), lambda y, k=k: F.struct(F.lit(k).alias("k"), y.alias("h"))) for k, h in halves(F.col("other"))])).alias("key2"))
+            found.append(ring.join(dense, (F.col("key") == F.col("at")) & (F.col("key2") == F.col("at2"))))
+            table, asks = table.join(crowd, F.col("at") == F.col("crowd"), "left_anti"), asks.join(crowd, F.col("key") == F.col("crowd"), "left_anti")
+        found.append(asks.join(table, F.col("key") == F.col("at")))
+    near = None
+    for pairs in found:
+        pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
+        pairs = pairs.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= max_distance)
+        near = pairs if near is None else near.unionByName(pairs)
+    return near.distinct()
 
 
 def _groups(docs: DataFrame, id_col: str, text_col: str, max_distance: int, width: int, similarity: float | None = None) -> DataFrame:
