@@ -3,8 +3,8 @@
 Candidates lie in vertical layout, one row a dimension. Scores accumulate block of dimensions by block of
 dimensions; what the dimensions still to come can add is bounded by the product of the remaining norms
 of query and candidate (Cauchy-Schwarz). Pairs whose bound stays below the query's k-th best so far
-are dropped, and the survivors are compacted before the next block. Queries are taken in blocks of fixed
-size, so what a task holds doesn't grow with the table."""
+are dropped, and the survivors are compacted before the next block. Queries are dealt to blocks by their
+bytes, one scan and broadcast each, so what a task holds doesn't grow with the table."""
 
 from __future__ import annotations
 
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Queries of one block (broadcast: this many vectors at most), and dimensions of one step.
-QUERIES, STEP = 2048, 16
-#: Candidates that are scored together.
-CHUNK = 2048
+#: Bytes of the queries of one block, which is broadcast; dimensions of one step.
+QUERY_BYTES, STEP = 1 << 25, 16
+#: Queries and candidates that are scored together.
+QUERIES, CHUNK = 2048, 2048
 _SAFE = 1 << 52
 
 
@@ -108,7 +108,7 @@ def _by_length(vectors: pa.Array):
 
 def _task(queries_, k: int):
     def run(batches):
-        searches = {d: Search(ids, m, k) for d, ids, m in queries_.value}
+        searches = {d: [Search(ids[a : a + QUERIES], m[a : a + QUERIES], k) for a in range(0, len(ids), QUERIES)] for d, ids, m in queries_.value}
         most = {d: int(np.abs(m).max(initial=0)) for d, _, m in queries_.value}
         slow: dict = {}
         for batch in batches:
@@ -117,11 +117,12 @@ def _task(queries_, k: int):
                 if d not in searches:
                     continue
                 if most[d] * int(np.abs(m).max(initial=0)) * d < _SAFE:
-                    searches[d].show(ids[rows], m)
+                    for one in searches[d]:
+                        one.show(ids[rows], m)
                 else:
                     own = next(x for x in queries_.value if x[0] == d)
                     _exact(ids[rows].tolist(), m.tolist(), slow, list(zip(own[1].tolist(), own[2].tolist())), k)
-        out = [s.results() for s in searches.values()]
+        out = [s.results() for own in searches.values() for s in own]
         out += [(np.array([q] * len(b)), np.array([i for _, i in b]), np.array([-s for s, _ in b])) for q, b in slow.items() if b]
         for q, v, s in out:
             if len(q):
@@ -135,22 +136,31 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
 
     Scores are inner products of floor(scale * x). A query is no candidate for itself; only vectors of its
     own length are candidates for it. Vectors that are null or empty, or hold a null or a component that isn't
-    finite, and rows with a null id take no part. Of queries that repeat an id one is asked; candidates
-    that repeat an id are candidates each. Scores beyond 64 bits stop at their ends. Queries are read to the driver in blocks of
-    QUERIES, one scan of the candidates each; a task returns k rows a query at most."""
+    finite, and rows with a null id take no part. Of queries that repeat an id one is asked, the one with the least
+    vector; rows that repeat a query's id count as its own and are no candidates for it; other candidates
+    that repeat an id are candidates each. Scores beyond 64 bits stop at their ends.
+
+    Queries are read to the driver in blocks of about QUERY_BYTES, one scan of the candidates each; a task returns
+    k rows a query at most. With several blocks each one's result is written before the next begins, and its
+    broadcast is given back."""
     sc = vectors.sparkSession.sparkContext
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), quantised(F.col(vector_col), scale).alias("v")).where("vec_id IS NOT NULL AND v IS NOT NULL")
     asked = asked.groupBy("vec_id").agg(F.min("v").alias("v"))
-    n = asked.count()
-    blocks = max(1, -(-n // (QUERIES * 3 // 4)))  # hashed blocks vary in size
+    size = asked.agg(F.sum(F.size("v") + 1)).first()[0] or 0
+    blocks = max(1, -(-size * 8 // QUERY_BYTES))
     asked = cut(asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(min(blocks, 64), "block"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     found = None
     for b in range(blocks):
         table = asked.where(F.col("block") == b).select("vec_id", "v").toArrow().combine_chunks()
-        ids = table["vec_id"].to_numpy()
-        block = [(d, ids[r], m) for d, r, m in _by_length(table["v"].combine_chunks() if isinstance(table["v"], pa.ChunkedArray) and table["v"].num_chunks else pa.array([], pa.list_(pa.int64())))]
-        part = rows.mapInArrow(_task(sc.broadcast(block), k), "query_id long, vec_id long, score long")
+        ids, lists = table["vec_id"].to_numpy(), table["v"].combine_chunks()
+        lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
+        block = sc.broadcast([(d, ids[r], m) for d, r, m in _by_length(lists)])
+        part = rows.mapInArrow(_task(block, k), "query_id long, vec_id long, score long")
+        part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+        if blocks > 1:
+            part = cut(part)
+            block.destroy()
         found = part if found is None else found.unionByName(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found
