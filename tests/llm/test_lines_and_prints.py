@@ -83,6 +83,18 @@ def test_simhash(docs, spark):
     assert simhash.near_duplicates(docs(rows).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [1000, 20])
+def test_links_of_crowded_segments(spark, hot):
+    """Hundreds of fingerprints share a segment: the split finds the same pairs as all pairs do."""
+    rng = random.Random(7)
+    prints = {0xABCDEF01 << 32 | rng.getrandbits(32) for _ in range(150)} | {rng.getrandbits(32) << 32 | 0x1234 for _ in range(150)}
+    for p in list(prints):
+        prints.add(p ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 4))))
+    prints = sorted(p - (1 << 64) if p >> 63 else p for p in prints)
+    got = {(r["u"], r["v"]) for r in simhash.links(spark.createDataFrame([(p,) for p in prints], "fp long"), 3, hot).collect()}
+    assert got == {(u, v) for i, u in enumerate(prints) for v in prints[:i] if ((u ^ v) & ((1 << 64) - 1)).bit_count() <= 3}
+
+
 def test_keep_one(docs):
     kept = simhash.keep_one(docs(EDGE, True))
     assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3, 4, 5]

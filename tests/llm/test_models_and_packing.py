@@ -26,17 +26,39 @@ def test_lm_scores(docs):
 
 
 def test_lm_is_a_distribution():
-    """Over all tokens with weights, and the tail classes as wholes, probabilities sum to one after any context."""
+    """After any context the probabilities of all words with a place of their own and of all shared places sum to one."""
     rng = np.random.default_rng(0)
-    v = lm.Vocabulary(np.arange(1, 60, dtype=np.uint64), np.arange(60, 1, -1), 5, np.zeros(lm.TAILS))
-    w = lm.Weights(rng.normal(size=(lm.ROWS + 1 + lm.HEADS, lm.WIDTH)).astype(np.float32))
-    total = np.zeros(1)
-    f = mixed = np.full((lm.FEATURES, 1), 7, np.uint64)
-    del mixed
-    for item in range(v.n_items):
-        z, y, *_ = lm.forward(w, v, f, np.array([item // lm.SLOTS]), np.array([item % lm.SLOTS]))
-        total += z[0, item // lm.SLOTS] * y[0, item % lm.SLOTS]
-    assert abs(total[0] + z[0, lm.HEADS :].sum() - 1) < 1e-4
+    for words in (59, 5000):
+        v = lm.Vocabulary(np.arange(1, words + 1, dtype=np.uint64), np.arange(words, 0, -1), 5, np.zeros(lm.TAIL_PLACES))
+        w = lm.Weights(rng.normal(size=lm.new_table(256).shape).astype(np.float32))
+        places = np.r_[np.arange(v.n_items), lm.HEAD_WORDS + np.arange(lm.TAIL_PLACES)]
+        f = np.tile(rng.integers(0, 1 << 63, (lm.FEATURES, 1), dtype=np.uint64), (1, len(places)))
+        p = np.ones(len(places))
+        for z, member, _ in lm.forward(w, v, f, places):
+            p *= z[np.arange(len(places)), member]
+        assert abs(p.sum() - 1) < 1e-4
+
+
+def test_lm_shares_of_a_place_sum_to_one(spark):
+    """Known words of a shared place by their counts, and one unknown word, have its whole probability."""
+    rows = [(i, i % lm.TAIL_PLACES if i < 3000 else 7, 1 + 4000 // (i + 1)) for i in range(6000)]
+    counts = spark.createDataFrame([*rows, (int(lm.END.view(np.int64)), 0, 9)], "h long, tail int, c long")
+    v, n, kinds = lm.vocabulary(counts)
+    heads = {int(k) for k in v.keys[: v.n_items - 1]}
+    assert n == sum(r[2] for r in rows) + 9 and kinds == 6001 and v.n_items == lm.HEAD_WORDS
+    for place in (0, 7, 100):
+        own = [c for h, t, c in rows if t == place and h not in heads]
+        assert abs((sum(c + 0.1 for c in own) + 0.1) / 10 ** v.tail_mass[place] - 1) < 1e-9
+
+
+def test_lm_gains_from_contexts_held_out(docs):
+    """Words that only their neighbours tell: the model's held-out score is far above that by counts alone."""
+    rng = random.Random(1)
+    pairs = [(f"a{i}", f"b{i}") for i in range(60)]
+    rows = [(i, " ".join(x for _ in range(60) for x in rng.choice(pairs))) for i in range(600)]
+    got = [r for r in lm.score(docs(rows)).collect() if r["held_out"]]
+    tokens = sum(r["n_tokens"] for r in got)
+    assert (sum(r["score"] for r in got) - sum(r["base_score"] for r in got)) / tokens > 0.3
 
 
 def test_lm_empty_and_untaught(docs):
@@ -235,3 +257,76 @@ def test_bounds_hold():
         assert packing.lower_bound(lengths, 50) <= where.max() + 1
         assert np.bincount(where, weights=lengths).max() <= 50
     assert packing.lower_bound(np.full(10, 26), 50) == 10
+
+
+def plain_difference(labelled, url, kept=None):
+    """The two models' log-likelihood difference a character by dictionaries; ``kept``: contexts that count."""
+    order, out = urlfilter.ORDER, 0.0
+    counts = {x: Counter() for x in ("allow", "block")}
+    for u, label in labelled:
+        t = "\x02" * order + u + "\x03"
+        for i in range(order, len(t)):
+            for o in range(order + 1):
+                counts[label][t[i - o : i], t[i]] += 1
+    totals = {x: Counter() for x in counts}
+    for x, c in counts.items():
+        for (g, _), n in c.items():
+            totals[x][g] += n
+
+    def chance(label, t, i):
+        p = 1 / urlfilter.CHARACTERS
+        for o in range(order + 1):
+            g = t[i - o : i]
+            if kept is None or g in kept:
+                p = (counts[label][g, t[i]] + urlfilter.PRIOR * p) / (totals[label][g] + urlfilter.PRIOR)
+        return p
+
+    t = "\x02" * order + url + "\x03"
+    for i in range(order, len(t)):
+        out += math.log(chance("allow", t, i)) - math.log(chance("block", t, i))
+    seen = {x for c in counts.values() for _, x in c}
+    some = t[:order] + "a"
+    for label in counts:  # all characters together have probability one, seen and unseen ones
+        total = sum(chance(label, some + x, order + 1) for x in seen) + (urlfilter.CHARACTERS - len(seen)) * chance(label, some + "\U0010fff0", order + 1)
+        assert abs(total - 1) < 1e-9
+    return out / (len(t) - order)
+
+
+@pytest.mark.parametrize("most", [1 << 17, 60])
+def test_url_likelihood_by_dictionaries(spark, monkeypatch, most):
+    monkeypatch.setattr(urlfilter, "KEPT", most)
+    rng = random.Random(3)
+    labelled = [("".join(rng.choices("abc/é", k=rng.randint(0, 12))), rng.choice(["allow", "block"])) for _ in range(150)]
+    urls = ["", "abc", "zz", "ab/c" * 2000, "é😀"]
+    tables = urlfilter.count_tables(spark.createDataFrame(labelled, "url string, label string").groupBy("url", "label").agg(urlfilter.F.count("*").alias("n")))
+    rows = tables.collect()
+    for o in range(urlfilter.ORDER + 1):
+        assert sum(r["o"] == o for r in rows) <= most
+    got = {r["url"]: r["difference"] for r in urlfilter.differences(spark.createDataFrame([(u,) for u in urls], "url string"), tables).collect()}
+    kept = {r["g"] for r in rows}
+    assert (most > 1000) == (len(rows) == len({(t[i - o : i], t[i]) for u, _ in labelled for t in ["\x02" * 4 + u + "\x03"] for i in range(4, len(t)) for o in range(5)}))
+    for u in urls:
+        assert abs(got[u] - plain_difference(labelled, u, kept)) < 1e-9
+
+
+def test_url_ties_repeats_and_clashing_names(spark):
+    rules = [("allow", "a.com/x/"), ("block", "a.com/x/"), ("block", "b.com/")]
+    rows = [(1, "http://a.com/x/1"), (1, "http://a.com/x/1"), (2, "http://b.com/"), (None, "http://c.com/"), (None, "http://c.com/"), (3, "http://d.com/" + "y" * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    for c in ("host", "path", "rule", "given", "verdict", "difference", "_rid", "_t"):
+        df = df.withColumn(c, urlfilter.F.lit("z"))
+    got = urlfilter.judge(df, rules).collect()
+    assert len(got) == 6 and [r["verdict"] for r in got if r["page_id"] == 1] == ["allow", "allow"]
+    assert len({(r["page_id"], r["verdict"]) for r in got if r["page_id"] is None}) == 1
+
+
+def test_compiled_rules_equal_a_plain_evaluation(spark, docs):
+    rng = np.random.default_rng(2)
+    x = rng.random((400, len(quality.STATS)))
+    y = ((x[:, 1] > 0.5) & (x[:, 4] <= 0.7)).astype(int)
+    model = quality.fit_rules(x, y)
+    assert len(model.rules) > 3
+    own = spark.createDataFrame([(tuple(map(float, row)),) for row in x], f"{quality.NAME} struct<{', '.join(f'{s}: double' for s in quality.STATS)}>")
+    got = np.array([r["p"] for r in own.select(model.score().alias("p")).collect()])
+    total = model.bias + sum(w * quality._holds(x, rule) for rule, w in model.rules)
+    assert np.abs(got - 1 / (1 + np.exp(-total))).max() < 1e-9 and ((got > 0.5) == y).mean() > 0.95

@@ -27,6 +27,23 @@ def test_topk(spark):
     assert topk.search(df.where("false"), df, k=2).count() == 0
 
 
+def test_topk_in_blocks_with_repeated_ids_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERY_BYTES", 1 << 12)
+    monkeypatch.setattr(topk, "QUERIES", 7)
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=12)]) for i in range(200)] + [(5, [1.0] * 12), (7, [3.0] * 12), (7, [3.0] * 12)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for c in ("v", "block", "query_id", "rank", "score"):
+        df = df.withColumn(c, topk.F.lit(1))
+    got = sorted(tuple(r) for r in topk.search(df, df.where("vec_id % 2 = 1"), k=3).collect())
+    whole = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in whole if i % 2}):
+        own = min((v.tolist() for i, v in whole if i == q))
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(sorted((-int(np.dot(own, v)), i) for i, v in whole if i != q)[:3])]
+    assert got == sorted(want)
+
+
 def test_topk_beyond_doubles(spark):
     df = spark.createDataFrame([(0, [1e6, 3e6]), (1, [2e6, 1e6]), (2, [1e6, 1.0])], "vec_id long, embedding array<double>")
     got = [tuple(r) for r in topk.search(df, df.where("vec_id = 0"), k=2).orderBy("rank").collect()]

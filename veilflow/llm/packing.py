@@ -297,10 +297,10 @@ def given_up(lengths: np.ndarray, where: np.ndarray, capacity: int, least: int)
 
     ``least`` is the smallest piece of the table: a bin with less room has nothing to gain. A partition with a
     gap to its bound gives bins that aren't full. One that meets its bound is certified and closes, but
-    for bins under 15/16 full, which what others hold may fill."""
+    for bins under 63/64 full, which what others hold may fill."""
     fill = np.bincount(where, weights=lengths).astype(np.int64)
     gap = len(fill) > lower_bound(lengths, capacity)
-    open_ = fill < (capacity if gap else capacity * 15 // 16)
+    open_ = fill < (capacity if gap else capacity * 63 // 64)
     open_ &= capacity - fill >= least
     order = np.flatnonzero(open_)[np.argsort(fill[open_], kind="stable")]
     out = np.zeros(len(fill), bool)
