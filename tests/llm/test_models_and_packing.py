@@ -34,8 +34,8 @@ def test_lm_is_a_distribution():
         places = np.r_[np.arange(v.n_items), lm.HEAD_WORDS + np.arange(lm.TAIL_PLACES)]
         f = np.tile(rng.integers(0, 1 << 63, (lm.FEATURES, 1), dtype=np.uint64), (1, len(places)))
         p = np.ones(len(places))
-        for z, member, _ in lm.forward(w, v, f, places):
-            p *= z[np.arange(len(places)), member]
+        for z, total, member, _ in lm.forward(w, v, f, places):
+            p *= z[np.arange(len(places)), member] / total
         assert abs(p.sum() - 1) < 1e-4
 
 

@@ -126,8 +126,12 @@ class Vocabulary:
         # without features a place has its share of the counts: biases are logarithms of these
         items = np.insert(self.counts[: self.n_items - 1].astype(float), self.end_item, self.ends) + 0.1
         mass = np.r_[items, np.zeros(HEAD_WORDS - self.n_items), 10.0**self.tail_mass].reshape(CLASSES, SLOTS, SLOTS)
-        log = lambda m: np.where(m > 0, np.log(np.maximum(m, 1e-30)), -1e9).astype(np.float32)
-        self.bias = log(mass.sum((1, 2)))[None], log(mass.sum(2)), log(mass.reshape(-1, SLOTS))
+
+        def log(m):
+            share = m / np.maximum(m.sum(axis=-1, keepdims=True), 1e-30)
+            return np.where(m > 0, np.log(np.maximum(share, 1e-30)), -80).astype(np.float32)
+
+        self.bias = log(mass.sum((1, 2))), log(mass.sum(2)), log(mass.reshape(-1, SLOTS))
 
     def __getstate__(self):
         return self.keys, self.counts, self.ends, self.tail_mass
@@ -177,27 +181,30 @@ def new_table(rows: int) -> np.ndarray:
     return np.zeros((rows, WIDTH), np.float32)
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _exps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of each row, in place, and its sum; large ones are scaled first."""
+    if z.max(initial=0) > 60:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
+    return z, np.einsum("ij->i", z)
 
 
 def forward(w: Weights, v: Vocabulary, f: np.ndarray, place: np.ndarray):
-    """For each level (probabilities of its members, the token's member, rows of its features). The history of
-    classes, the last feature, tells classes apart; groups and places go by the words before."""
+    """For each level (weights of its members, their sum, the token's member, rows of its features). The history
+    of classes, the last feature, tells classes apart; groups and places go by the words before."""
     cls, node = place // GROUP, place // SLOTS
     wide = np.uint64(w.rows - 1)
-    out = []
-    for level, own, member in ((0, np.zeros_like(cls), cls), (1, cls, node % SLOTS), (2, node, place % SLOTS)):
-        used = f if not level else f[:-1]
-        rows = ((used >> np.uint64(20 * level)) + own.astype(np.uint64) * np.uint64(0x9E3779B1) & wide).astype(np.int32)
-        z = v.bias[level][own]
+    for level, own, member in ((0, None, cls), (1, cls, node % SLOTS), (2, node, place % SLOTS)):
+        table = w.levels[level]
+        if level:
+            rows = ((f[:-1] >> np.uint64(20 * level)) + (own.astype(np.uint64) * np.uint64(0x9E3779B1)) & wide).astype(np.int32)
+            z = np.take(v.bias[level], own, axis=0)
+        else:
+            rows = (f & wide).astype(np.int32)
+            z = np.tile(v.bias[0], (len(place), 1))
         for r in rows:
-            z += np.take(w.levels[level], r, axis=0)
-        out.append((_softmax(z), member, rows))
-    return out
+            z += np.take(table, r, axis=0)
+        yield *_exps(z), member, rows
 
 
 def log_probs(w: Weights, v: Vocabulary, t: Tokens, place: np.ndarray) -> np.ndarray:
@@ -206,8 +213,8 @@ def log_probs(w: Weights, v: Vocabulary, t: Tokens, place: np.ndarray) -> np.nda
     for a in range(0, len(place), STEP_TOKENS):
         b = min(a + STEP_TOKENS, len(place))
         at, p = np.arange(b - a), np.ones(b - a)
-        for z, member, _ in forward(w, v, features(t, place, a, b), place[a:b]):
-            p *= z[at, member]
+        for z, total, member, _ in forward(w, v, features(t, place, a, b), place[a:b]):
+            p *= z[at, member] / total
         out[a:b] = np.log10(np.maximum(p, 1e-30))
     return out
 
@@ -243,7 +250,8 @@ class Trainer:
         for a in range(0, len(place), STEP_TOKENS):
             b = min(a + STEP_TOKENS, len(place))
             at = np.arange(b - a)
-            for level, (z, member, rows) in enumerate(forward(self.w, self.v, features(t, place, a, b), place[a:b])):
+            for level, (z, total, member, rows) in enumerate(forward(self.w, self.v, features(t, place, a, b), place[a:b])):
+                z /= total[:, None]
                 z[at, member] -= 1
                 for r in rows:
                     _push(self.w.levels[level], self.seen[level], r, z)
