@@ -159,7 +159,7 @@ def company(text: Column) -> Column:
 
     def strip(x: Column) -> Column:
         cut = F.length(F.regexp_extract(x["surface"], role, 0))
-        return span("ORG", x["start"] + cut, x["end"], 0.90, F.substring(x["surface"], cut + 1, 999))
+        return span("ORG", x["start"] + cut, x["end"], 0.90, F.substring(x["surface"], cut + 1, F.length(x["surface"])))
 
     found = F.transform(pattern_spans(text, COMPANY, "ORG", 0.90, guard=text.rlike(LEGAL)), strip)
     return F.filter(found, lambda x: (F.length(F.trim(x["surface"])) >= 4) & F.trim(x["surface"]).rlike(r"\s"))
@@ -208,7 +208,7 @@ def brand(text: Column, lexicon: Lexicon = Lexicon()) -> Column:
             out = y["surface"]
             role = (F.size(F.split(out, r"[ \t]+")) >= 3) & _among(S.fold(F.regexp_extract(out, r"^\S+", 0)), prefixes)
             cut = F.when(role, F.length(F.regexp_extract(out, shape, 0))).otherwise(0)
-            return let(cut, lambda c: F.struct((y["start"] + c).cast("int").alias("start"), F.substring(out, c + 1, F.lit(999)).alias("surface")))
+            return let(cut, lambda c: F.struct((y["start"] + c).cast("int").alias("start"), F.substring(out, c + 1, F.length(out)).alias("surface")))
 
         # up to four words, two of which stay
         return let(less(let(x, less)), lambda y: span("ORG", y["start"], y["start"] + F.length(y["surface"]), F.when(y["surface"] == F.upper(y["surface"]), 0.78).otherwise(0.72), y["surface"]))
@@ -226,11 +226,11 @@ def person(text: Column) -> Column:
         return ~short(first) & ~short(last) & ~S.fold(last).isin(*NOT_LAST) & ~S.fold(first).isin(*NOT_FIRST) & ~s.rlike(r"(?iu)\b(oy|oyj|ab|ltd|inc)\b")
 
     pairs = pattern_spans(text, LAST_FIRST, "PERSON", 0.88, pair_ok, guard=text.contains(","))
-    value = rf"[{UP}][^\n]{{2,60}}"
+    value = rf"(?iu:[{UP}])[^\n]{{2,60}}"  # a label's value may be in small letters
     lines = pattern_spans(text, "(?m)" + NAME_LABEL + value, "PERSON", 0.88, part=f"(?m)^({NAME_LABEL})({value})$", guard=text.rlike(r"(?iu)(nimi|name|yhteyshenkilö|contact)\s*(person)?\s*:"))
 
     def inside(x: Column) -> Column:
-        s = F.regexp_replace(F.trim(x["surface"]), r"[.,;]+$", "")
+        s = F.regexp_replace(F.regexp_replace(x["surface"], r"(?U)\s+$", ""), r"[.,;]+$", "")
         inner = F.regexp_extract(s, LAST_FIRST, 0)
         at = x["start"] + F.instr(s, inner) - 1
         return F.when(inner != "", span("PERSON", at, at + F.length(inner), 0.88, inner)).otherwise(span("PERSON", x["start"], x["start"] + F.length(s), 0.88, s))

@@ -4,6 +4,8 @@ Detectors without hits in the tables read texts derived by SQL that both engines
 
 from __future__ import annotations
 
+import re
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,11 +29,12 @@ ORACLE: dict[str, str] = {}
 
 
 def _sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    """A query over views of the tables; only those that it names are read."""
-    for t in TABLES:
-        if t in query:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(query)
+    """A query over the tables that it names after FROM or JOIN, each a view of the folder's own name."""
+    mark = f"t{zlib.crc32(sf_dir.encode()):08x}"
+    own = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
+    for t in {m[1] for m in own.findall(query)}:
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"{mark}_{t}")
+    return spark.sql(own.sub(rf"\1 {mark}_\2", query))
 
 
 def register(name: str, oracle: str | None = None):
@@ -62,7 +65,8 @@ PHONES = "SELECT c_custkey AS id, concat('call 0', CASE WHEN c_custkey % 2 = 0 T
 VINS = "SELECT o_orderkey AS id, concat('VIN ', 'WVWZZZ1J', CAST(o_orderkey % 10 AS STRING), 'XW', lpad(CAST(o_orderkey % 1000000 AS STRING), 6, '0'), ' end') AS text FROM orders"
 IBANS = "SELECT s_suppkey AS id, concat('pay FI', lpad(CAST(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 97 ELSE 98 - ((s_suppkey * 1000003 + 21000000000000) % 97 * 27 + 92) % 97 END AS STRING), 2, '0'), CAST(s_suppkey * 1000003 + 21000000000000 AS STRING), ' now') AS text FROM supplier"
 COMPANIES = "SELECT s_suppkey AS id, concat(CASE WHEN s_suppkey % 2 = 0 THEN 'Client ' ELSE 'with ' END, 'Acme Trade', CAST(s_suppkey AS STRING), CASE WHEN s_suppkey % 3 = 0 THEN ' Works' ELSE ' Ltd' END, ' today') AS text FROM supplier"
-PEOPLE = "SELECT c_custkey AS id, concat('seen Virtanen, ', CASE WHEN c_custkey % 3 = 0 THEN 'LOI' WHEN c_custkey % 3 = 1 THEN 'Maija' ELSE 'Majeure' END, ' at work') AS text FROM customer"
+PEOPLE = "SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN 'seen Virtanen, LOI at work' WHEN 1 THEN 'seen Virtanen, Maija at work' WHEN 2 THEN 'seen Virtanen, Majeure at work' WHEN 3 THEN concat('nimi: matti meikäläinen', CAST(c_custkey AS STRING)) WHEN 4 THEN concat('Name: john smith ', CAST(c_custkey AS STRING), '.') WHEN 5 THEN 'x: y, Contact person: Korhonen, Maija (sales)' ELSE 'Name: Widgets Oy' END AS text FROM customer"
+_PERSON = "SELECT id, 'PERSON' AS entity_type, start_at, CAST(start_at + length(surface) AS INTEGER) AS end_at, CAST(0.88 AS DOUBLE) AS score, surface FROM (SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 1 THEN 5 WHEN 5 THEN 22 ELSE 6 END AS start_at, CASE c_custkey % 7 WHEN 1 THEN 'Virtanen, Maija' WHEN 3 THEN 'matti meikäläinen' || c_custkey WHEN 4 THEN 'john smith ' || c_custkey WHEN 5 THEN 'Korhonen, Maija' END AS surface FROM customer) WHERE surface IS NOT NULL"
 BROKEN = "SELECT c_custkey AS id, concat('mail u', CAST(c_custkey AS STRING), CASE WHEN c_custkey % 3 = 0 THEN concat('@', chr(10), 'example.com') WHEN c_custkey % 3 = 1 THEN concat('@exam', chr(10), 'ple.com') ELSE '@example.com' END, ' end') AS text FROM customer"
 
 
@@ -111,10 +115,37 @@ register("vins", span_sql(VINS, r"[A-HJ-NPR-Z0-9]{17}", "VEHICLE_VIN", _VIN_SCOR
 register("ibans", span_sql(IBANS, r"FI[0-9]{16}", "IBAN_CODE", "1.0", "(CAST(surface[5:18] AS HUGEINT) * 1000000 + 151800 + CAST(surface[3:4] AS HUGEINT)) % 97 = 1"))(found(IBANS, R.iban))
 register("urls", span_sql(PAGES, r"https?://[^\s<>\"')\]]+", "URL", "0.9"))(found(PAGES, R.url))
 register("companies", span_sql(COMPANIES, r"Acme Trade[0-9]+ Ltd", "ORG", "0.9"))(found(COMPANIES, R.company))
-register("person_pairs", span_sql(PEOPLE, r"Virtanen, Maija", "PERSON", "0.88"))(found(PEOPLE, R.person))
-register("intl_phones")(found(DOCS, R.intl_phone))
-register("addresses")(found("SELECT c_custkey AS id, concat('Avainkierto ', CAST(c_custkey % 90 + 1 AS STRING), ', ', lpad(CAST(c_custkey % 90000 + 100 AS STRING), 5, '0'), ' Espoo') AS text FROM customer", R.address))
-register("brands")(found(DOCS, R.brand))
+register("person_names", _PERSON)(found(PEOPLE, R.person))
+
+
+def shaped(entity: str, score: str, before: str, shapes: list[tuple[str, bool]], table: str = "customer", key: str = "c_custkey") -> tuple[str, str]:
+    """(texts, SQL of spans): texts of ``before``, one of the shapes by the key, and a word; of each shape, is it found?"""
+    case = lambda xs: f"CASE {key} % {len(xs)} " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(xs)) + " END"
+    text = f"SELECT {key} AS id, concat('{before} ', {case([x for x, _ in shapes])}, ' now') AS text FROM {table}"
+    surface = f"SELECT {key} AS id, {case([x if ok else 'NULL' for x, ok in shapes])} AS surface FROM {table}"
+    at = len(before) + 1
+    return text, f"SELECT id, '{entity}' AS entity_type, CAST({at} AS INTEGER) AS start_at, CAST({at} + length(surface) AS INTEGER) AS end_at, CAST({score} AS DOUBLE) AS score, surface FROM ({surface}) WHERE surface IS NOT NULL"
+
+
+FOUR = "lpad(CAST(c_custkey % 10000 AS STRING), 4, '0')"
+PHONE_TEXTS, _PHONES = shaped("PHONE_NUMBER", "0.9", "soita", [(f"concat('+358 50 987 ', {FOUR})", True), (f"concat('+358 (0) 40 123 ', {FOUR})", True), (f"concat('00358 40 123 ', {FOUR})", True), (f"concat('050-987-', {FOUR})", True), (f"concat('040123', {FOUR})", True), (f"concat('09 1', {FOUR.replace('4', '3').replace('10000', '1000')}, ' 567')", True), (f"concat('010 832 ', {FOUR})", True), (f"concat('(09) 123 ', {FOUR})", True), ("'040 12'", False), ("'+358 1'", False), ("'1234567-1'", False)])
+INTL_TEXTS, _INTL = shaped("PHONE_NUMBER", "0.4", "ring", [(f"concat('+1 415 555 ', {FOUR})", True), (f"concat('(415) 555-', {FOUR})", True), (f"concat('+4420794', {FOUR})", True), (f"concat('415.555.', {FOUR})", True), ("concat('2025-01-11-', lpad(CAST(c_custkey % 100 AS STRING), 2, '0'))", False), ("'12 34 56'", False), ("'0737546-2'", False)])
+register("fi_phone_shapes", _PHONES)(found(PHONE_TEXTS, R.phone))
+register("intl_phones", _INTL)(found(INTL_TEXTS, R.intl_phone))
+BRAND_TEXTS, _BRANDS = shaped("ORG", "CASE WHEN surface = upper(surface) THEN 0.78 ELSE 0.72 END", "saw", [("'SILVER PINE'", True), ("'Copper Lake'", True), ("concat('Copper ', repeat('Lake', 300))", True), ("'Letter of Intent'", False), ("'Payment IBAN'", False), ("'European Contract Law'", False), ("'Initial Delivery Date'", False), ("'FORCE MAJEURE'", False), ("'CC BY-SA'", False)])
+register("brands", _BRANDS)(found(BRAND_TEXTS, R.brand))
+LONG_COMPANIES, _LONG = shaped("ORG", "0.9", "with", [("concat(repeat('Ab', 600), ' Trade Ltd')", True), ("'Acme Oyj'", True), ("'Nordic Widgets Oy Ab'", True), ("'Copper & Lake GmbH'", True), ("'acme oy'", False), ("'Oy'", False)])
+register("company_names", _LONG)(found(LONG_COMPANIES, R.company))
+_NUMBER, _CODE = "CAST(c_custkey % 90 + 1 AS STRING)", "lpad(CAST(c_custkey % 90000 + 100 AS STRING), 5, '0')"
+ADDRESSES = f"SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN concat('Avainkierto ', {_NUMBER}, ', ', {_CODE}, ' Espoo') WHEN 1 THEN concat('Kauppakatu ', {_NUMBER}, chr(10), {_CODE}, ' Helsinki') WHEN 2 THEN concat({_NUMBER}, ' Baker Street, London') ELSE concat({_CODE}, ' Turku') END AS text FROM customer"
+_ADDRESS = f"""
+WITH t AS ({ADDRESSES}), p AS (SELECT id, text, strpos(text, ', ') AS comma, strpos(text, chr(10)) AS line, CASE id % 4 WHEN 0 THEN 0.96 WHEN 1 THEN 0.96 WHEN 2 THEN 0.93 ELSE 0.91 END AS score,
+  CASE id % 4 WHEN 0 THEN 'Espoo' WHEN 1 THEN 'Helsinki' WHEN 2 THEN 'London' ELSE 'Turku' END AS city FROM t),
+x AS (SELECT id, 'STREET' AS entity_type, 0 AS start_at, substr(text, 1, CASE WHEN line > 0 THEN line - 1 ELSE comma - 1 END) AS surface, score FROM p WHERE id % 4 < 3
+  UNION ALL SELECT id, 'CITY', length(text) - length(city), city, score FROM p
+  UNION ALL SELECT id, 'FI_POSTAL_CODE', length(text) - length(city) - 6, substr(text, length(text) - length(city) - 5, 5), score FROM p WHERE id % 4 <> 2)
+SELECT id, entity_type, CAST(start_at AS INTEGER) AS start_at, CAST(start_at + length(surface) AS INTEGER) AS end_at, CAST(score AS DOUBLE) AS score, surface FROM x"""
+register("addresses", _ADDRESS)(found(ADDRESSES, R.address))
 TOKEN_RULE = r"token = \"[A-Za-z0-9_\-]+\""
 register("plugin_rules", span_sql(DOCS, TOKEN_RULE, "SECRET", "0.85"))(found(DOCS, R.rule_recognizer("secret", "SECRET", [(TOKEN_RULE, 7.0)]).spans))
 register("deny_hits", span_sql(DOCS, "(?i)apache license", "ORG", "1.0"))(found(DOCS, lambda t: R.deny_spans(t, [("Apache License", "org")])))
@@ -163,11 +194,11 @@ def counts_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("lang").agg(F.count("*").alias("docs"), F.count_if(F.size("hits") > 0).alias("docs_hit"), F.sum(F.size("hits")).cast("long").alias("hits"), F.sum("k").cast("long").alias("entities"))
 
 
-@register("allow_anti", f"WITH e AS ({_EMAILS}) SELECT id AS doc_id, surface FROM e WHERE NOT ends_with(lower(surface), '.com') OR lower(surface) NOT IN (SELECT min(lower(surface)) FROM e GROUP BY id)")
+@register("allow_anti", f"WITH e AS ({_EMAILS}) SELECT id AS doc_id, surface FROM e WHERE lower(surface) NOT IN (SELECT lower(surface) FROM e WHERE length(surface) % 2 = 0)")
 def allow_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Allowed surfaces as a table: spans whose normal form it holds are dropped by an anti join."""
     e = _email_hits(spark, sf_dir).select("doc_id", F.explode("hits").alias("h")).select("doc_id", "h.surface", "h.norm")
-    allow = e.groupBy("doc_id").agg(F.min("norm").alias("norm")).where(F.col("norm").endswith(".com")).select("norm").distinct()
+    allow = e.where(F.length("surface") % 2 == 0).select("norm").distinct()
     return e.join(allow, "norm", "left_anti").select("doc_id", "surface")
 
 
@@ -197,14 +228,17 @@ def merge_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARAGRAPHS = "SELECT doc_id, replace(text, chr(10), concat(chr(10), chr(10))) AS text FROM documents"
 
 
-@register("block_split", f"""
-WITH t AS ({PARAGRAPHS}), b AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS p FROM t)
-SELECT doc_id, CAST(count(*) AS INTEGER) AS n_blocks, CAST(count(*) FILTER (starts_with(ltrim(p), '- ') OR regexp_matches(ltrim(p), '^[0-9][.)] ')) AS INTEGER) AS n_items, CAST(sum(length(p)) AS BIGINT) AS chars
-FROM b WHERE trim(p) <> '' AND NOT starts_with(ltrim(p), '#') GROUP BY doc_id""")
+_BLOCKS = f"""
+WITH t AS ({PARAGRAPHS}), q AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) AS i, regexp_replace(unnest(string_split(text, chr(10) || chr(10))), '^\\n+|\\n+$', '', 'g') AS p FROM t),
+n AS (SELECT doc_id, i, p, regexp_replace(p, '^\\s+', '') AS bare FROM q WHERE regexp_replace(p, '\\s+', '', 'g') <> ''),
+k AS (SELECT doc_id, i, length(regexp_extract(bare, '^#+')) AS marks, regexp_matches(bare, '^([-*+] |[0-9][.)] )') AS item, CASE WHEN starts_with(bare, '#') THEN regexp_replace(regexp_replace(bare, '^#+', ''), '^\\s+|\\s+$', '', 'g') ELSE p END AS x FROM n)"""
+
+
+@register("block_split", _BLOCKS + " SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (marks > 0) AS n_headings, count(*) FILTER (marks = 0 AND item) AS n_items, CAST(max(least(marks, 6)) AS INTEGER) AS deepest, CAST(sum(length(x)) AS BIGINT) AS chars FROM k GROUP BY doc_id")
 def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = _sql(spark, sf_dir, PARAGRAPHS).withColumn("b", F.filter(B.blocks(F.col("text")), lambda x: x["kind"] != "heading"))
-    n = F.size("b")
-    return b.where(n > 0).select("doc_id", n.alias("n_blocks"), F.size(F.filter("b", lambda x: x["kind"] == "list_item")).alias("n_items"), F.aggregate("b", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"])).alias("chars"))
+    b = spread(_sql(spark, sf_dir, PARAGRAPHS)).select("doc_id", F.explode(B.blocks(F.col("text"))).alias("b"))
+    kind = F.col("b.kind")
+    return b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if(kind == "heading").alias("n_headings"), F.count_if(kind == "list_item").alias("n_items"), F.max(F.coalesce("b.level", F.lit(0))).alias("deepest"), F.sum(F.length("b.text")).cast("long").alias("chars"))
 
 
 @register("block_project", f"""
@@ -219,15 +253,25 @@ def block_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select("doc_id", "block", F.explode("own").alias("x")).select("doc_id", "block", F.col("x.start").alias("start_at"), F.col("x.end").alias("end_at"))
 
 
-_HEADED = "SELECT source, doc_id AS page, doc_id AS pos, CASE WHEN doc_id % 3 = 0 THEN concat('Running head of ', source) WHEN doc_id % 7 = 0 THEN '12 (34)' ELSE substr(text, 1, 60) END AS text FROM documents"
+_PATTERN = {k: getattr(B, k).replace("(?iu)", "(?i)").replace("'", "''") for k in ("PAGE_MARK", "DOC_STAMP", "HEAD_LEGAL", "HEAD_STREET", "FIELD", "ONLY_URLS", "ONLY_PHONE")}
+_MARK = f"(regexp_matches({{0}}, '{_PATTERN['PAGE_MARK']}') OR regexp_matches({{0}}, '{_PATTERN['DOC_STAMP']}'))"
 
 
 @register("header_filter", f"""
-WITH t AS ({_HEADED}), n AS (SELECT *, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS norm FROM t),
-g AS (SELECT source, norm FROM n WHERE norm <> '' GROUP BY ALL HAVING count(DISTINCT page) >= 3)
-SELECT source, page FROM n WHERE text <> '12 (34)' AND (source, norm) NOT IN (SELECT source, norm FROM g)""")
+WITH l AS (SELECT source, doc_id AS page, doc_id * 1000000 + generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents),
+n AS (SELECT *, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS norm FROM l),
+g AS (SELECT source, norm, count(*) AS c, count(DISTINCT page) AS p, arg_min(text, pos) AS s, trim(arg_min(text, pos)) AS t FROM n WHERE norm <> '' GROUP BY ALL),
+h AS (SELECT *, t <> '' AND length(t) <= 220 AND ({_MARK.format('t')}
+  OR length(t) BETWEEN 20 AND 200 AND regexp_matches(t, '{_PATTERN['HEAD_LEGAL']}') AND (regexp_matches(t, '[0-9]{{5}}') OR regexp_matches(t, '(?i)https?://|www\.') OR regexp_matches(t, '{_PATTERN['HEAD_STREET']}'))
+  OR regexp_matches(t, '{_PATTERN['FIELD']}') AND length(t) <= 180 AND NOT regexp_matches(t, '[.!].{{40,}}')
+  OR regexp_matches(t, '{_PATTERN['ONLY_URLS']}') OR regexp_matches(t, '{_PATTERN['ONLY_PHONE']}') AND length(t) < 40
+  OR regexp_matches(t, '(?i)y-tunnus') AND regexp_matches(t, '(?i)alv') AND length(t) < 120) AS chrome FROM g),
+gone AS (SELECT source, norm FROM h WHERE {_MARK.format('t')} OR chrome AND (p >= 2 OR c >= 2) OR p >= 3 AND length(s) <= 200)
+SELECT n.source, n.page, n.pos, n.text FROM n LEFT JOIN gone ON gone.source = n.source AND gone.norm = n.norm WHERE gone.norm IS NULL AND NOT {_MARK.format('trim(n.text)')}""")
 def header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.drop_running_headers(_sql(spark, sf_dir, _HEADED), "source", "pos", "page", "text").select("source", "page")
+    """Every line of every text as a block: sources as documents, texts as pages."""
+    lines = _sql(spark, sf_dir, "SELECT source, doc_id AS page, text FROM documents").select("source", "page", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
+    return B.drop_running_headers(lines.select("source", "page", (F.col("page") * 1000000 + F.col("i")).alias("pos"), "text"), "source", "pos", "page", "text")
 
 
 @register("repair_emails", f"SELECT id, replace(text, chr(10), '') AS fixed FROM ({BROKEN}) WHERE contains(text, chr(10)) UNION ALL SELECT id, text FROM ({BROKEN}) WHERE NOT contains(text, chr(10))")
@@ -235,24 +279,35 @@ def repair_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, BROKEN).select("id", B.repair(F.col("text")).alias("fixed"))
 
 
-@register("reflow_lines")
+_CAPS = "length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g')) >= 2 AND length(regexp_replace({0}, '[^\\p{{Lu}}]', '', 'g')) >= length(regexp_replace({0}, '[^\\p{{L}}]', '', 'g')) * 0.85"
+_HEAD = f"({{0}} <> '' AND length({{0}}) <= 50 AND {_CAPS})"
+_WORDS = "len(string_split_regex({0}, '\\s+'))"
+_LABEL = f"({{0}} <> '' AND NOT regexp_matches({{0}}, '^\\p{{{{Ll}}}}') AND (ends_with({{0}}, '/') AND length({{0}}) < 80 AND {_WORDS} <= 12 OR regexp_matches({{0}}, '[:：]$') AND length({{0}}) <= 55 AND {_WORDS} <= 6))"
+
+
+@register("reflow_lines", f"""
+WITH RECURSIVE l AS (SELECT doc_id AS id, generate_subscripts(string_split(text, chr(10)), 1) AS i, trim(unnest(string_split(text, chr(10)))) AS x FROM documents),
+o AS (SELECT id, x, row_number() OVER (PARTITION BY id ORDER BY i) AS k, {_HEAD.format('x')} AS head, {_LABEL.format('x')} AS label FROM l WHERE x <> ''),
+f AS (SELECT id, k, x AS last, {_HEAD.format('x')} OR {_LABEL.format('x')} AS stays, x AS text FROM o WHERE k = 1
+  UNION ALL SELECT f.id, o.k, CASE WHEN glue THEN f.last || o.x ELSE o.x END, CASE WHEN glue THEN {_HEAD.format('(f.last || o.x)')} OR {_LABEL.format('(f.last || o.x)')} ELSE o.head OR o.label END,
+    f.text || CASE WHEN stay THEN chr(10) WHEN glue THEN '' ELSE ' ' END || o.x
+  FROM f JOIN o ON o.id = f.id AND o.k = f.k + 1, LATERAL (SELECT f.stays OR o.label OR o.head AND length(o.x) <= 40 AS stay) s, LATERAL (SELECT NOT s.stay AND ends_with(f.last, '-') AND regexp_matches(o.x, '^\\p{{L}}') AS glue) g)
+SELECT d.doc_id AS id, coalesce(r.text, '') AS text FROM documents d LEFT JOIN (SELECT id, arg_max(text, k) AS text FROM f GROUP BY id) r ON r.id = d.doc_id""")
 def reflow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sql(spark, sf_dir, DOCS).select("id", B.reflow(F.split("text", "\n")).alias("text"))
 
 
-@register("markdown_blocks", "SELECT doc_id, rtrim(replace(text, chr(10), chr(10) || chr(10))) AS body FROM documents WHERE NOT regexp_matches(text, '(^|\\n)\\s*(#|[-*+] |[0-9][.)] )|\\n\\n|^\\n|\\n$|[ \\t]\\n|[ \\t]$') AND trim(text) <> ''")
+@register("markdown_blocks", _BLOCKS + ", m AS (SELECT doc_id, i, CASE WHEN marks > 0 THEN repeat('#', least(marks, 6)) || ' ' ELSE '' END || regexp_replace(x, '\\s+$', '') AS y FROM k WHERE regexp_replace(x, '\\s+', '', 'g') <> '') SELECT d.doc_id, coalesce(string_agg(y, chr(10) || chr(10) ORDER BY i), '') AS body FROM documents d LEFT JOIN m ON m.doc_id = d.doc_id GROUP BY d.doc_id")
 def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    plain = _sql(spark, sf_dir, "SELECT doc_id, text FROM documents").where(~t.rlike(r"(^|\n)\s*(#|[-*+] |[0-9][.)] )|\n\n|^\n|\n$|[ \t]\n|[ \t]$") & (F.trim(t) != ""))
-    return plain.select("doc_id", B.markdown(B.blocks(F.replace(t, F.lit("\n"), F.lit("\n\n")))).alias("body"))
+    return _sql(spark, sf_dir, PARAGRAPHS).select("doc_id", B.markdown(B.blocks(F.col("text"))).alias("body"))
 
 
 _TRIMMED = "regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')"
 
 
-@register("language_sample", f"SELECT doc_id, CASE WHEN length({_TRIMMED}) <= 3000 THEN {_TRIMMED} ELSE substr({_TRIMMED}, 1, 1000) || chr(10) || substr({_TRIMMED}, CAST(floor((length({_TRIMMED}) - 1000) / 2) AS BIGINT) + 1, 1000) || chr(10) || right({_TRIMMED}, 1000) END AS sample FROM documents")
+@register("language_sample", f"SELECT doc_id, CASE WHEN length({_TRIMMED}) <= 12000 THEN {_TRIMMED} ELSE substr({_TRIMMED}, 1, 4000) || chr(10) || substr({_TRIMMED}, CAST(floor((length({_TRIMMED}) - 4000) / 2) AS BIGINT) + 1, 4000) || chr(10) || right({_TRIMMED}, 4000) END AS sample FROM documents")
 def language_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, "SELECT doc_id, text FROM documents").select("doc_id", L.sample(F.col("text"), 3000).alias("sample"))
+    return _sql(spark, sf_dir, "SELECT doc_id, text FROM documents").select("doc_id", L.sample(F.col("text")).alias("sample"))
 
 
 @register("alpha_tokens", "SELECT doc_id, CAST(len(regexp_extract_all(text, '\\p{L}+')) AS INTEGER) AS n FROM documents")
@@ -347,11 +402,21 @@ def added_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.add(table, new).where("source = 'user'").select("doc_id", "placeholder")
 
 
-@register("review_apply", "SELECT doc_id, text AS anonymized_text FROM documents")
+def _replaced(source: str, tag: str) -> str:
+    """SQL of texts with their e-mails replaced: (doc_id, text, n) from a query of (id, text); ``tag`` may name k, the number."""
+    return f"""
+WITH d AS ({source}), e AS ({span_sql('SELECT id, text FROM d', R.EMAIL, 'EMAIL_ADDRESS', '1.0')}),
+v AS (SELECT id, lower(surface) AS norm, min(start_at) AS first FROM e GROUP BY ALL), w AS (SELECT id, norm, dense_rank() OVER (PARTITION BY id ORDER BY first) AS k FROM v),
+o AS (SELECT e.id, e.start_at, e.end_at, e.surface, w.k, coalesce(lag(e.end_at) OVER (PARTITION BY e.id ORDER BY e.start_at), 0) AS before FROM e JOIN w ON w.id = e.id AND w.norm = lower(e.surface)),
+z AS (SELECT o.id, string_agg(substr(d.text, before + 1, start_at - before) || {tag}, '' ORDER BY start_at) AS head, max(end_at) AS last, count(*) AS n FROM o JOIN d ON d.id = o.id GROUP BY o.id)
+SELECT d.id AS doc_id, coalesce(head || substr(d.text, last + 1), d.text) AS text, CAST(coalesce(n, 0) AS INTEGER) AS n FROM d LEFT JOIN z ON z.id = d.id"""
+
+
+@register("review_apply", f"SELECT doc_id, text AS anonymized_text FROM ({_replaced(DOCS, "CASE WHEN k = 1 THEN surface ELSE '[EMAIL_' || k || ']' END")})")
 def review_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """With every finding switched off, texts come back as they were."""
+    """With the first finding of each document switched off, its surfaces stay and others are replaced."""
     docs = _email_hits(spark, sf_dir).withColumn("clean_text", F.col("text"))
-    off = review.findings(docs).withColumn("enabled", F.lit(False))
+    off = review.reject(review.findings(docs), "email_1")
     return review.apply(docs, off).select("doc_id", "anonymized_text")
 
 
@@ -393,6 +458,24 @@ register("anonymize_strict")(_run("strict", "placeholder"))
 register("anonymize_standard_remove")(_run("standard", "remove"))
 register("anonymize_extract", "SELECT doc_id, CAST(0 AS INTEGER) AS n_hits, text AS anonymized_text FROM documents")(lambda spark, sf_dir: _run("extract", "placeholder")(spark, sf_dir).drop("languages"))
 
+_REPAIRED = "text"
+for _pattern in B.BREAKS * 4:
+    _REPAIRED = f"regexp_replace({_REPAIRED}, '{_pattern}', '\\1\\2', 'g')"
+_REPAIRED = f"SELECT doc_id AS id, CASE WHEN contains(text, chr(10)) AND contains(text, '@') THEN {_REPAIRED} ELSE text END AS text FROM documents"
+
+
+def _emails_only(style: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = spread(_sql(spark, sf_dir, "SELECT doc_id, text FROM documents"))
+        out = anonymize(docs, Config(entities=("EMAIL_ADDRESS",), redact_style=style))
+        return out.select("doc_id", F.size("hits").alias("n"), "anonymized_text")
+
+    return run
+
+
+register("anonymize_emails", f"SELECT doc_id, n, text AS anonymized_text FROM ({_replaced(_REPAIRED, "'[EMAIL_' || k || ']'")})")(_emails_only("placeholder"))
+register("anonymize_emails_remove", f"SELECT doc_id, n, regexp_replace(text, '[^\\S\\n]{{2,}}', ' ', 'g') AS anonymized_text FROM ({_replaced(_REPAIRED, "''")})")(_emails_only("remove"))
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["anonymize_strict"](spark, sf_dir)
