@@ -136,6 +136,51 @@ def test_fingerprint_edits(docs):
     assert lone["edited_sha256"] == hashlib.sha256(b"abab").hexdigest() and lone["near_next"] == 1.0
 
 
+def test_fingerprints_by_brute_force(docs):
+    """Each byte of a fingerprint is the least permuted hash of the text's shingles, cut to 8 bits."""
+    rows = [(i, " ".join(random.Random(i).choices("Ab cé def gh ijk".split(), k=3 + i))) for i in range(12)] + [(50, None), (51, " \t ")]
+    got = {r["doc_id"]: r["fingerprint"] for r in minhash.fingerprint_edits(docs(rows, True)).collect()}
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        texts = [b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))]
+        hashes = [minhash.shingles(np.frombuffer(x, np.uint8), np.array([0, len(x)]))[0][0].item() for x in texts]
+        least = [min((int(a) * h + int(b)) % (1 << 64) >> 32 for h in hashes) for a, b in zip(minhash._A, minhash._B)]
+        assert got[i] == bytes((x >> 3) & 255 for x in least).hex()
+
+
+def test_edits_of_a_crowded_id_in_many_parts(docs, monkeypatch):
+    """Ranges are split by the text's hash where many rows have one id or none; the order stays."""
+    monkeypatch.setattr(minhash, "PART_BYTES", 2000)
+    monkeypatch.setattr(minhash, "CROWDED", 20)
+    rows = [(i if i % 3 else 30 if i % 2 else None, f"text number {i} " * (i % 7)) for i in range(300)]
+    got = minhash.fingerprint_edits(docs(rows)).collect()
+    th = {t: h for t, h in minhash_hashes(docs(rows))}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, th[r[1]]), reverse=True)
+    want = []
+    for k, (i, t) in enumerate(order):
+        nxt, half = order[(k + 1) % len(order)][1], len(t) // 2
+        want.append((i, hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
+    assert sorted(((r["doc_id"], r["edited_sha256"]) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def minhash_hashes(df):
+    return [(r["text"], r["h"]) for r in df.select("text", minhash.F.xxhash64("text").alias("h")).collect()]
+
+
+def test_recall_of_links(docs):
+    """Pairs from 0.8 on are joined in nine of ten cases at least (here: all), as all pairs tell."""
+    rng = random.Random(21)
+    texts = []
+    for k in range(60):
+        base = [f"v{rng.randrange(4000)}" for _ in range(rng.randint(40, 400))]
+        texts += [" ".join(base), " ".join(_template(rng, base, rng.uniform(0, 0.12)))]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(list(enumerate(texts)))).collect()}
+    want = brute_groups(texts)
+    pairs = [i for i in range(0, 120, 2) if want[i] == want[i + 1]]
+    assert len(pairs) > 20 and sum(got[i] == got[i + 1] for i in pairs) >= 0.9 * len(pairs)
+    assert all(got[i] == i for i in range(0, 120, 2)) and all(got[i + 1] != i for i in range(0, 120, 2) if i not in pairs)
+
+
 def test_likeness_estimates_jaccard():
     rng = random.Random(1)
     words = [f"w{i}" for i in range(400)]

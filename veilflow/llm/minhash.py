@@ -7,9 +7,11 @@ their shingle sets from the share of equal bytes, less what chance makes equal."
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, drop_table, few, filled, mix, steps, text_bytes, words
 from .graph import components
@@ -83,69 +85,95 @@ def _hex(prints: np.ndarray) -> pa.Array:
     return pa.array([row.tobytes().hex() for row in prints], pa.string())
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
+#: Bytes of text of a range of ids, ranges at most, and rows of one id from which its rows are dealt over ranges.
+PART_BYTES, MOST_PARTS, CROWDED = 1 << 24, 1 << 16, 10_000
+_SUB = 20  # bits of a part's number that tell ranges of one id apart
 
 
 def _pairs(batches):
     """Rows of one task come in order (part, then falling id); each but a guest meets the one that follows."""
     from hashlib import sha256
 
-    last = None  # the row before: (doc_id, text, fingerprint)
+    last = None  # the row before and its fingerprint
     for batch in batches:
         texts = filled(batch.column("text"))
         prints = short(_sign(texts))
-        strings, ids = texts.to_pylist(), batch.column("doc_id").to_pylist()
-        guest, part = batch.column("guest").to_pylist(), batch.column("part").to_pylist()
-        rows = [(p, g, i, t) for p, g, i, t in zip(part, guest, ids, strings)]
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("part", "guest", "doc_id", "component_id")), texts.to_pylist()))
         if last is not None:
             rows, prints = [last[0], *rows], np.concatenate([last[1], prints])
         last = (rows[-1], prints[-1:])
         own = [k for k in range(len(rows) - 1) if not rows[k][1] and rows[k + 1][0] == rows[k][0]]
         if not own:
             continue
-        new = [edited(rows[k][3], rows[k + 1][3]) for k in own]
+        new = [edited(rows[k][4], rows[k + 1][4]) for k in own]
         p, q = prints[own], prints[np.array(own) + 1]
         e = short(_sign(pa.array(new, pa.string())))
+        ids, groups = (pa.array([rows[k][j] for k in own], pa.int64()) for j in (2, 3))
         yield pa.RecordBatch.from_arrays(
-            [pa.array([rows[k][2] for k in own], pa.int64()), pa.array([len(rows[k][3]) for k in own], pa.int64()), pa.array([sha256(t.encode()).hexdigest() for t in new]), _hex(p), _hex(e), pa.array(likeness(p, e)), pa.array(likeness(p, q))],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            [ids, pa.array([len(rows[k][4]) for k in own], pa.int64()), pa.array([sha256(t.encode()).hexdigest() for t in new]), _hex(p), _hex(e), pa.array(likeness(p, e)), pa.array(likeness(p, q)), groups],
+            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"],
         )
 
 
-def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _placer(spark, keys: DataFrame, total: int):
+    """(function of id and text hash that gives a row's part, number of parts). Parts are ranges of falling ids of
+    about PART_BYTES; an id that many rows have, and rows without one, are ranges of the text's hash besides."""
+    parts = min(max(1, -(-total // PART_BYTES)), MOST_PARTS)
+    crowded = {r["doc_id"]: r["n"] for r in keys.groupBy("doc_id").agg(F.count("*").alias("n")).where((F.col("n") >= CROWDED) | F.col("doc_id").isNull()).orderBy(F.desc("n")).limit(MOST_PARTS).collect()}
+    rows = max(keys.count(), 1)
+    quantiles = keys.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
+    alone = [i for i in crowded if i is not None]
+    cuts = np.array(sorted({int(c) for c in quantiles} | set(alone) | {i + 1 for i in alone}), np.int64)
+    each = {i: max(1, min(1 << _SUB, -(-n * parts // rows))) for i, n in crowded.items()}
+    known = np.array(sorted(alone), np.int64)
+    shares = np.array([each[i] for i in known.tolist()], np.int64)
+    shared = spark.sparkContext.broadcast((cuts, known, shares, each.get(None, 1)))
+
+    def place(ids: pd.Series, hashes: pd.Series, missing: pd.Series) -> pd.Series:
+        cuts, known, shares, none = shared.value
+        i, gone = ids.to_numpy(np.int64), missing.to_numpy(bool)
+        index = len(cuts) - np.searchsorted(cuts, i, "right")
+        share = np.ones(len(i), np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, i), len(known) - 1)
+            share = np.where(known[at] == i, shares[at], 1)
+        index, share = np.where(gone, len(cuts) + 1, index), np.where(gone, none, share)
+        sub = np.floor((0.5 - hashes.to_numpy(np.int64) / 2.0**64) * share).astype(np.int64)
+        return pd.Series((index << _SUB) | np.clip(sub, 0, share - 1))
+
+    fn = F.pandas_udf(place, T.LongType())
+    return fn(F.coalesce("doc_id", F.lit(0)), F.col("th"), F.col("doc_id").isNull()), max(1, min(len(cuts) + int(sum(each.values())) + 1, 2 * parts))
+
+
+def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness: one row for each of ``docs``.
 
     The edited text takes its last half from the next document, by falling id (after the last: the first).
-    Null texts are empty. Rows that repeat an id follow one another by the hash of their text; rows with a
-    null id come last, in that order too. A table of one row is its own next. An empty table gives none. Other
-    columns are not read.
+    ``component_id`` is the smallest id among the documents that links of ``similarity`` or more (exact Jaccard of
+    shingle sets, ``links``) reach. Null texts are empty. Rows that repeat an id follow one another by
+    the hash of their text; rows with a null id come last, in that order too, and their component_id is null
+    unless it has an id. A table of one row is its own next. An empty table gives none. Other columns are not read.
 
     Documents are dealt once, by ranges of ids, and each range is read in order; the first row of each
     range also visits the range before it as a guest, so nothing else moves and no task sees all."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    keys = rows.select("doc_id", F.xxhash64("text").alias("th"))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2)
-    cuts = sorted(set(keys.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) or []), reverse=True)
-    cuts = [int(c) for c in cuts]
-    # ids above the first cut are part 0; rows without an id are parts of their own, by ranges of the hash
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    by_hash = F.floor((F.lit(0.5) - F.col("th") / F.lit(float(1 << 64))) * parts)
-    place = F.when(F.col("doc_id").isNull(), F.least(F.greatest(by_hash, F.lit(0)), F.lit(parts - 1)) + len(cuts) + 1)
-    place = place.otherwise(F.size(F.filter(bounds, lambda c: F.col("doc_id") < c))).cast("int")
-    keys = keys.withColumn("part", place)
-    heads = keys.groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "th")).alias("head"))
-    heads = sorted((r["part"], r["head"][0], r["head"][1]) for r in heads.collect())  # a row a part
-    if not heads:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
+    groups = _named(rows, similarity)
+    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0]
+    if not total:
         return spark.createDataFrame([], _OUT)
-    before = {heads[i][0]: heads[i - 1][0] for i in range(len(heads))}
-    table = spark.createDataFrame([(p, i, t, before[p]) for p, i, t in heads], "head_part int, head_id long, head_th long, visits int")
-    placed = rows.withColumn("th", F.xxhash64("text")).withColumn("part", place)
-    joined = placed.join(F.broadcast(table), (F.col("part") == F.col("head_part")) & (F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("head_id")) & (F.col("th") == F.col("head_th")), "left")
+    place, parts = _placer(spark, rows.select("doc_id", "th"), total)
+    low = F.lit(-(1 << 63)).cast("long")
+    heads = rows.select("doc_id", "th").withColumn("part", place).groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", low), "th")).alias("head"))
+    heads = sorted((r["part"], r["head"][0], r["head"][1]) for r in heads.collect())  # a row a part
+    table = spark.createDataFrame([(p, i, t, heads[k - 1][0]) for k, (p, i, t) in enumerate(heads)], "head_part long, head_id long, head_th long, visits long")
+    placed = rows.withColumn("part", place).join(few(groups), "th", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    joined = placed.join(F.broadcast(table), (F.col("part") == F.col("head_part")) & (F.coalesce("doc_id", low) == F.col("head_id")) & (F.col("th") == F.col("head_th")), "left")
     stays = F.struct(F.col("part"), F.lit(0).alias("guest"))
     visit = F.struct(F.col("visits").alias("part"), F.lit(1).alias("guest"))
-    both = joined.withColumn("at", F.explode(F.when(F.col("visits").isNull(), F.array(stays)).otherwise(F.array(stays, visit)))).select("at.part", "at.guest", "doc_id", "th", "text")
+    both = joined.withColumn("at", F.explode(F.when(F.col("visits").isNull(), F.array(stays)).otherwise(F.array(stays, visit)))).select("at.part", "at.guest", "doc_id", "component_id", "th", "text")
     dealt = both.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.desc("th"))
     return dealt.mapInArrow(_pairs, _OUT)
 
@@ -271,6 +299,16 @@ def _roots(edges: DataFrame) -> DataFrame:
     return components(edges).select(F.col("u").alias("th"), F.col("v").alias("root"))
 
 
+def _named(rows: DataFrame, similarity: float) -> DataFrame:
+    """(th, component_id) of the texts that links join to others or that rows repeat, from (doc_id, th, text)."""
+    nodes = cut(rows.groupBy("th").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    node = nodes.join(_roots(links(rows.select("th", "text"), similarity)), "th", "left").withColumn("root", F.coalesce("root", "th"))
+    sums = node.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("n").alias("members")).where("members > 1").select("root", "component_id")
+    named = cut(node.join(sums, "root").select("th", "component_id"))
+    drop_table(nodes)
+    return named
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id): ids of documents linked by a shingle Jaccard similarity of ``similarity`` or more.
 
@@ -278,8 +316,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     id reachable; null ids are never chosen unless a component has no other."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text"))
-    nodes = cut(rows.groupBy("th").agg(F.min("doc_id").alias("least")))
-    roots = components(links(rows, similarity)).select(F.col("u").alias("th"), F.col("v").alias("root"))
-    node = nodes.join(roots, "th", "left").select("th", "least", F.coalesce("root", "th").alias("root"))
-    named = node.join(node.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("th", "component_id")
-    return rows.select("doc_id", "th").join(named, "th").select("doc_id", "component_id")
+    return rows.select("doc_id", "th").join(_named(rows, similarity), "th", "left").select("doc_id", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -86,10 +86,11 @@ def links(prints: DataFrame, max_distance: int = 3, hot: int = HOT) -> DataFrame
         if crowded.limit(1).count():
             crowd = few(crowded)
             halves = lambda x: ((0, x.bitwiseAND(quarter)), (1, F.shiftrightunsigned(x, 16)))
+            tagged = lambda k, values: F.transform(values, lambda y: F.struct(F.lit(k).alias("k"), y.alias("h")))
             dense = table.join(crowd, F.col("at") == F.col("crowd")).drop("crowd")
-            dense = dense.select("at", "v", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), h.alias("h")) for k, h in halves(F.col("rest"))])).alias("at2"))
+            dense = dense.select("at", "v", F.explode(F.concat(*[tagged(k, F.array(h)) for k, h in halves(F.col("rest"))])).alias("at2"))
             ring = asks.join(crowd, F.col("key") == F.col("crowd")).drop("crowd")
-            ring = ring.select("key", "u", F.explode(F.concat(*[F.transform(_around(h, 16), lambda y, k=k: F.struct(F.lit(k).alias("k"), y.alias("h"))) for k, h in halves(F.col("other"))])).alias("key2"))
+            ring = ring.select("key", "u", F.explode(F.concat(*[tagged(k, _around(h, 16)) for k, h in halves(F.col("other"))])).alias("key2"))
             found.append(ring.join(dense, (F.col("key") == F.col("at")) & (F.col("key2") == F.col("at2"))))
             table, asks = table.join(crowd, F.col("at") == F.col("crowd"), "left_anti"), asks.join(crowd, F.col("key") == F.col("crowd"), "left_anti")
         found.append(asks.join(table, F.col("key") == F.col("at")))
