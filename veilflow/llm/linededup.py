@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, filled, portions
+from .common import cut, filled, lean, portions
 
 #: Bits of one block of the filter; all bits of a key lie in one block.
 BLOCK_BITS = 1 << 16
@@ -192,10 +192,10 @@ def _gone(docs: DataFrame, id_col: str, text_col: str, min_documents: int, min_c
         expected_lines = rows.agg(F.sum(F.length("text"))).first()[0] or 1
         expected_lines //= 64
     blocks = min(MOST_BLOCKS, 1 << max(0, math.ceil(math.log2(max(1, expected_lines * PROBES * 2 / BLOCK_BITS)))))
-    found = twice_seen(rows.select("text").mapInArrow(_sketcher(blocks, min_chars), _SKETCH), blocks)
+    found = twice_seen(rows.select("text").mapInArrow(lean(_sketcher(blocks, min_chars)), _SKETCH), blocks)
     filter_ = spark.sparkContext.broadcast(found)
     keyed = rows.withColumn("th", F.xxhash64("text"))
-    suspects = cut(keyed.mapInArrow(_suspects(filter_, blocks, min_chars), "doc_id long, th long, line_no int, key binary"))
+    suspects = cut(keyed.mapInArrow(lean(_suspects(filter_, blocks, min_chars)), "doc_id long, th long, line_no int, key binary"))
     # an exact count of documents, by key: once per document, then summed
     per_doc = suspects.groupBy("doc_id", "th", "key").agg(F.lit(1).alias("one"))
     # written out, so that the join reads plain tables on both sides and Spark can split a frequent key

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, LOWER_KEYS, cut, drop_table, filled, mix, steps, text_bytes, train_rows, words
+from .common import BYTE_KEYS, LOWER_KEYS, cut, drop_table, filled, lean, mix, steps, text_bytes, train_rows, words
 
 #: Members of a softmax. Classes whose places are single frequent words (END is one of them), and of all other words.
 SLOTS, HEADS, TAILS = 16, 8, 8
@@ -296,7 +296,7 @@ def _counter(batches):
 
 def count_words(train: DataFrame) -> DataFrame:
     """(h, tail, c) of all training texts; END is a word like any other."""
-    counts = train.select("text").mapInArrow(_counter, "h long, tail int, c long")
+    counts = train.select("text").mapInArrow(lean(_counter), "h long, tail int, c long")
     return counts.groupBy("h").agg(F.min("tail").alias("tail"), F.sum("c").alias("c"))
 
 
@@ -357,7 +357,7 @@ def train(docs: DataFrame, v: Vocabulary, tokens: int, rounds: int = ROUNDS) ->
     for k in range(rounds):
         table_ = sc.broadcast(table)
         part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k).select("text").coalesce(tasks)
-        sums = cut(part.mapInArrow(_train_task(table_, vocab_), schema).groupBy("row").agg(*[F.sum(f"w{j}").cast("float").alias(f"w{j}") for j in range(WIDTH)]))
+        sums = cut(part.mapInArrow(lean(_train_task(table_, vocab_)), schema).groupBy("row").agg(*[F.sum(f"w{j}").cast("float").alias(f"w{j}") for j in range(WIDTH)]))
         got = sums.toPandas().set_index("row")
         drop_table(sums)
         if -1 in got.index:
@@ -416,7 +416,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     v, n, kinds = vocabulary(counts)
     table = train(learn, v, n, rounds)
     table_, vocab_ = spark.sparkContext.broadcast(table), spark.sparkContext.broadcast(v)
-    scored = cut(rows.mapInArrow(_score_task(table_, vocab_), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>").withColumn("rid", F.monotonically_increasing_id()))
+    scored = cut(rows.mapInArrow(lean(_score_task(table_, vocab_)), "doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, rare array<long>").withColumn("rid", F.monotonically_increasing_id()))
     rare = scored.select("rid", F.explode("rare").alias("h"))
     c = F.coalesce("c", F.lit(0))
     seen = rare.join(counts.select("h", "c"), "h", "left").groupBy("rid").agg(F.sum(F.log10(c + F.lit(0.1))).alias("more"), F.sum((c > 0).cast("long")).alias("known"))

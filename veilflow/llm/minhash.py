@@ -7,13 +7,12 @@ their shingle sets from the share of equal bytes, less what chance makes equal."
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, drop_table, few, filled, mix, steps, text_bytes, words
+from .common import cut, drop_table, few, filled, lean, mix, steps, text_bytes, words
 from .graph import components
 
 #: Permutations, words of a shingle, and bytes of a band (rows of a banded signature).
@@ -22,6 +21,8 @@ PERMUTATIONS, WIDTH, BAND = 128, 5, 5
 BANDS = PERMUTATIONS // BAND
 #: What a fingerprint's estimate may lie under the similarity asked for: over five standard deviations.
 SLACK = 0.2
+#: Members up to which those of a band meet each other.
+SMALL = 32
 _RNG = np.random.default_rng(8128)
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -98,22 +99,23 @@ def _pairs(batches):
     last = None  # the row before and its fingerprint
     for batch in batches:
         texts = filled(batch.column("text"))
-        prints = short(_sign(texts))
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("part", "guest", "doc_id", "component_id")), texts.to_pylist()))
-        if last is not None:
-            rows, prints = [last[0], *rows], np.concatenate([last[1], prints])
-        last = (rows[-1], prints[-1:])
-        own = [k for k in range(len(rows) - 1) if not rows[k][1] and rows[k + 1][0] == rows[k][0]]
-        if not own:
-            continue
-        new = [edited(rows[k][4], rows[k + 1][4]) for k in own]
-        p, q = prints[own], prints[np.array(own) + 1]
-        e = short(_sign(pa.array(new, pa.string())))
-        ids, groups = (pa.array([rows[k][j] for k in own], pa.int64()) for j in (2, 3))
-        yield pa.RecordBatch.from_arrays(
-            [ids, pa.array([len(rows[k][4]) for k in own], pa.int64()), pa.array([sha256(t.encode()).hexdigest() for t in new]), _hex(p), _hex(e), pa.array(likeness(p, e)), pa.array(likeness(p, q)), groups],
-            ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"],
-        )
+        for x, y in steps(texts):
+            prints = short(_sign(texts.slice(x, y - x)))
+            rows = list(zip(*(batch.column(c).slice(x, y - x).to_pylist() for c in ("part", "guest", "doc_id", "component_id", "text"))))
+            if last is not None:
+                rows, prints = [last[0], *rows], np.concatenate([last[1], prints])
+            last = (rows[-1], prints[-1:])
+            own = [k for k in range(len(rows) - 1) if not rows[k][1] and rows[k + 1][0] == rows[k][0]]
+            if not own:
+                continue
+            new = [edited(rows[k][4], rows[k + 1][4]) for k in own]
+            p, q = prints[own], prints[np.array(own) + 1]
+            e = short(_sign(pa.array(new, pa.string())))
+            ids, groups = (pa.array([rows[k][j] for k in own], pa.int64()) for j in (2, 3))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([len(rows[k][4]) for k in own], pa.int64()), pa.array([sha256(t.encode()).hexdigest() for t in new]), _hex(p), _hex(e), pa.array(likeness(p, e)), pa.array(likeness(p, q)), groups],
+                ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"],
+            )
 
 
 def _placer(spark, keys: DataFrame, total: int):
@@ -130,19 +132,19 @@ def _placer(spark, keys: DataFrame, total: int):
     shares = np.array([each[i] for i in known.tolist()], np.int64)
     shared = spark.sparkContext.broadcast((cuts, known, shares, each.get(None, 1)))
 
-    def place(ids: pd.Series, hashes: pd.Series, missing: pd.Series) -> pd.Series:
+    def place(ids: pa.Array, hashes: pa.Array, missing: pa.Array) -> pa.Array:
         cuts, known, shares, none = shared.value
-        i, gone = ids.to_numpy(np.int64), missing.to_numpy(bool)
+        i, gone = ids.to_numpy(), missing.to_numpy(zero_copy_only=False)
         index = len(cuts) - np.searchsorted(cuts, i, "right")
         share = np.ones(len(i), np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, i), len(known) - 1)
             share = np.where(known[at] == i, shares[at], 1)
         index, share = np.where(gone, len(cuts) + 1, index), np.where(gone, none, share)
-        sub = np.floor((0.5 - hashes.to_numpy(np.int64) / 2.0**64) * share).astype(np.int64)
-        return pd.Series((index << _SUB) | np.clip(sub, 0, share - 1))
+        sub = np.floor((0.5 - hashes.to_numpy() / 2.0**64) * share).astype(np.int64)
+        return pa.array((index << _SUB) | np.clip(sub, 0, share - 1))
 
-    fn = F.pandas_udf(place, T.LongType())
+    fn = F.arrow_udf(place, T.LongType())
     return fn(F.coalesce("doc_id", F.lit(0)), F.col("th"), F.col("doc_id").isNull()), max(1, min(len(cuts) + int(sum(each.values())) + 1, 2 * parts))
 
 
@@ -175,7 +177,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     visit = F.struct(F.col("visits").alias("part"), F.lit(1).alias("guest"))
     both = joined.withColumn("at", F.explode(F.when(F.col("visits").isNull(), F.array(stays)).otherwise(F.array(stays, visit)))).select("at.part", "at.guest", "doc_id", "component_id", "th", "text")
     dealt = both.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.desc("th"))
-    return dealt.mapInArrow(_pairs, _OUT)
+    return dealt.mapInArrow(lean(_pairs), _OUT)
 
 
 def _signed(batches):
@@ -223,12 +225,21 @@ def _near(similarity: float):
 
 
 def _grouped(keyed: DataFrame, key: str, roots: DataFrame) -> DataFrame:
-    """(key, th, c): the rows of keys that still hold two groups or more, with the group of each."""
-    own = keyed.join(roots, "th", "left").withColumn("c", F.coalesce("root", "th")).drop("root")
-    split = own.groupBy(key).agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select(key)
+    """(key, th, c, members): the rows of keys that still hold two groups or more, with the group of each."""
+    own = keyed.join(few(roots), "th", "left").withColumn("c", F.coalesce("root", "th")).drop("root")
+    split = own.groupBy(key).agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("members")).where("low < high").select(key, "members")
     return cut(own.join(split, key))
 
 
+def _facing(own: DataFrame, key: str, one: str = "true", two: str = "true") -> DataFrame:
+    """(u, v): members of different groups of a key, those that ``one`` holds for with those that ``two`` does."""
+    groups = own.where(one).select(key, F.col("c").alias("c1")).distinct()
+    facing = groups.join(own.where(two).select(key, F.col("c").alias("c2")).distinct(), key).where("c1 <> c2")
+    left = own.where(one).select(key, F.col("c").alias("c1"), F.col("th").alias("u"), F.col("n").alias("p"))
+    right = own.where(two).select(key, F.col("c").alias("c2"), F.col("th").alias("v"), F.col("n").alias("q"))
+    return facing.join(left, [key, "c1"]).join(right, [key, "c2"])
+
+
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     """(s, th, n, asks, stands): the rare shingles of each set by which similar sets are sure to meet.
 
@@ -249,24 +260,25 @@ def links(texts: DataFrame, similarity: float = 0.8, stars: int = 2) -> DataFram
 
     ``texts`` holds (th, text), th naming a text; rows may repeat. Texts that agree in a band of their
     signature are candidates. First, in ``stars`` rounds, each band's members are held against one of them,
-    which it picks by a hash: this links groups of near copies, however large, in step with their size. Texts
-    of bands that still hold several components then meet by their rarest shingles (``_prefixes``), which
-    finds every similar pair among them, and templates that many unlike texts share make none meet. A
-    link counts if the exact similarity reaches the threshold; fingerprints rule most others out before."""
-    signed = cut(texts.select("th", "text").mapInArrow(_signed, "th long, print binary, n long, bands array<long>").dropDuplicates(["th"]))
+    which it picks by a hash: this links groups of near copies, however large, in step with their size. Where a
+    band still holds several components, its members meet if they are few (SMALL). Texts of larger bands meet by their
+    rarest shingles (``_prefixes``), which finds every similar pair among them, and templates that many
+    unlike texts share make none meet. A link counts if the exact similarity reaches the threshold;
+    fingerprints rule most others out before."""
+    signed = cut(texts.select("th", "text").mapInArrow(lean(_signed), "th long, print binary, n long, bands array<long>").dropDuplicates(["th"]))
     flat = signed.select("th", F.explode("bands").alias("band"))
     shared = flat.groupBy("band").agg(F.min("th").alias("low"), F.max("th").alias("high")).where("low < high").select("band")
     bands = cut(flat.join(cut(shared), "band"))
     wanted = cut(bands.select("th").distinct())
     prints = cut(signed.join(wanted, "th").select("th", "print", "n"))
     drop_table(signed)
-    sets = cut(texts.join(few(wanted), "th", "left_semi").select("th", "text").mapInArrow(_sets, "th long, set array<int>").dropDuplicates(["th"]))
+    sets = cut(texts.join(few(wanted), "th", "left_semi").select("th", "text").mapInArrow(lean(_sets), "th long, set array<int>").dropDuplicates(["th"]))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (u, v), either way round, that are similar enough. Sizes and fingerprints rule most others out."""
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         both = pairs.join(prints.withColumnsRenamed({"th": "u", "print": "pu", "n": "p"}), "u").join(prints.withColumnsRenamed({"th": "v", "print": "pv", "n": "q"}), "v")
-        able = both.select("u", "v", "pu", "pv").mapInArrow(_near(similarity), "u long, v long")
+        able = both.select("u", "v", "pu", "pv").mapInArrow(lean(_near(similarity)), "u long, v long")
         held = able.join(sets.withColumnsRenamed({"th": "u", "set": "x"}), "u").join(sets.withColumnsRenamed({"th": "v", "set": "y"}), "v")
         common = F.size(F.array_intersect("x", "y"))
         return cut(held.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("u", "v"))
@@ -280,18 +292,19 @@ def links(texts: DataFrame, similarity: float = 0.8, stars: int = 2) -> DataFram
         edges = edges.unionByName(verified(pairs))
         drop_table(open_)
     roots = cut(_roots(edges))
-    open_ = _grouped(bands, "band", roots)
-    rare = _prefixes(sets.join(open_.select("th").distinct(), "th", "left_semi"), similarity)
-    own = _grouped(rare, "s", roots)
-    groups = own.groupBy("s", "c").agg(F.max("n").alias("most"), F.min(F.when(F.col("stands"), F.col("n"))).alias("least"))
-    facing = groups.select("s", F.col("c").alias("c1"), "most").join(groups.where("least is not null").select("s", F.col("c").alias("c2"), "least"), "s")
-    facing = facing.where((F.col("c1") != F.col("c2")) & (F.col("least") <= F.col("most"))).select("s", "c1", "c2")
-    one = own.select("s", F.col("c").alias("c1"), F.col("th").alias("u"), F.col("n").alias("p"))
-    two = own.where("stands").select("s", F.col("c").alias("c2"), F.col("th").alias("v"), F.col("n").alias("q"))
-    pairs = facing.join(one, ["s", "c1"]).join(two, ["s", "c2"]).where((F.col("p") >= F.col("q")) & (F.col("q") >= F.col("p") * (similarity - 1e-9))).select("u", "v")
-    found = cut(edges.unionByName(verified(pairs)))
-    for table in (bands, prints, sets, open_, rare, own, roots, wanted):
-        drop_table(table)
+    open_ = _grouped(bands, "band", roots).withColumn("n", F.lit(0))
+    small = F.col("members") <= SMALL
+    near = _facing(open_.where(small), "band").where("c1 < c2").select("u", "v")
+    crowd = cut(open_.where(~small).select("th").distinct())
+    own = None
+    if crowd.limit(1).count():
+        own = _grouped(_prefixes(sets.join(few(crowd), "th", "left_semi"), similarity), "s", roots)
+        rare = _facing(own, "s", two="stands").where((F.col("p") >= F.col("q")) & (F.col("q") >= F.col("p") * (similarity - 1e-9)))
+        near = near.unionByName(rare.select("u", "v"))
+    found = cut(edges.unionByName(verified(near)))
+    for table in (bands, prints, sets, open_, crowd, own, roots, wanted):
+        if table is not None:
+            drop_table(table)
     return found
 
 

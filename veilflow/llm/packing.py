@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, filled, mix, portions, powers
+from .common import cut, drop_table, filled, lean, mix, portions, powers
 
 #: Pieces that one partition packs at first, partitions that exchange in a round, and pieces that each gives.
 PIECES, FAN_IN, GIVE = 1 << 14, 16, 1 << 10
@@ -245,7 +245,7 @@ def _pieces(path: str, capacity: int, end_id: int):
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece of each document: doc_id, piece, start, length, ids_crc32."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_pieces(tokenizer, capacity, end_id), _PIECE)
+    return rows.mapInArrow(lean(_pieces(tokenizer, capacity, end_id)), _PIECE)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filled, steps, text_bytes, train_rows, words
+from .common import filled, lean, steps, text_bytes, train_rows, words
 
 #: Statistics of a text, all doubles; all are 0 for an empty text.
 STATS = ("words", "word_bytes", "distinct", "top_word", "repeat", "upper", "digit", "symbol", "pipe", "wide", "breaks", "doubled", "ended", "capital")
@@ -91,7 +91,7 @@ NAME = "__quality_stats"
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with a struct of STATS; null texts count as empty."""
     schema = T.StructType([*docs.schema.fields, T.StructField(NAME, T.StructType([T.StructField(s, T.DoubleType()) for s in STATS]))])
-    return docs.mapInArrow(_with_stats(text_col), schema)
+    return docs.mapInArrow(lean(_with_stats(text_col)), schema)
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, above?, threshold), all of which must hold

@@ -5,7 +5,6 @@ from __future__ import annotations
 from itertools import accumulate
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import minhash
-from .common import cut, few, filled, portions
+from .common import cut, few, filled, lean, portions
 from .graph import components
 
 #: Fingerprints that may have one value in a segment before it is split.
@@ -51,7 +50,7 @@ def _fingerprints(width: int):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
     """One (doc_id, fp) per row; fp holds the 64 bits as a signed long."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprints(width), "doc_id long, fp long")
+    return rows.mapInArrow(lean(_fingerprints(width)), "doc_id long, fp long")
 
 
 def _ball(value, bits: int):
@@ -112,7 +111,7 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, max_distance: int, widt
     else:
         text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
         texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-        rows = cut(texts.mapInArrow(_fingerprints(width), "doc_id long, th long, fp long"))
+        rows = cut(texts.mapInArrow(lean(_fingerprints(width)), "doc_id long, th long, fp long"))
         of = rows.groupBy("th").agg(F.min("fp").alias("fp"))
         more = minhash.links(texts.select("th", "text"), similarity)
         more = more.join(of.withColumnsRenamed({"th": "u", "fp": "fu"}), "u").join(of.withColumnsRenamed({"th": "v", "fp": "fv"}), "v")
@@ -148,14 +147,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count()
     if not twice:
         return docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    marked = docs.withColumn("__fp", F.pandas_udf(_print_series(width), T.LongType())(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    marked = docs.withColumn("__fp", F.arrow_udf(_print_array(width), T.LongType())(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     first = marked.join(kept.select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__of")), F.col(id_col).cast("long").eqNullSafe(F.col("__kept")) & (F.col("__fp") == F.col("__of")), "left_semi")
     return first.dropDuplicates([id_col, "__fp"]).drop("__fp")
 
 
-def _print_series(width: int):
-    def run(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t.encode(), width) for t in texts], np.uint64).view(np.int64))
+def _print_array(width: int):
+    def run(texts: pa.Array) -> pa.Array:
+        found = [fingerprint(t, width) for _, part in portions(filled(texts), pa.binary()) for t in part]
+        return pa.array(np.array(found, np.uint64).view(np.int64))
 
     return run
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_KEYS, cut, drop_table, filled, mix, powers, steps, text_bytes
+from .common import BYTE_KEYS, cut, drop_table, filled, lean, mix, powers, steps, text_bytes
 
 #: Bytes of an anchor; bytes of a shard's text; bytes of different runs that one anchor may bring to a shard.
 ANCHOR, SHARD_BYTES, MOST_BYTES = 32, 1 << 19, 1 << 23
@@ -261,7 +261,7 @@ def _apply(batches):
 
 def repeated_ranges(rows: DataFrame, min_bytes: int = 200, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(doc_id, th, x, y): byte ranges to remove, from (doc_id, th, text), th a hash of the text."""
-    runs = cut(rows.mapInArrow(_run_task(min_bytes), _RUN))
+    runs = cut(rows.mapInArrow(lean(_run_task(min_bytes)), _RUN))
     # written out, so that the join reads plain tables on both sides and Spark can split a frequent anchor
     twice = cut(runs.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").select("a"))
     live = cut(runs.join(twice, "a", "left_semi"))
@@ -273,7 +273,7 @@ def repeated_ranges(rows: DataFrame, min_bytes: int = 200, most_bytes: int = MOS
     wanted = taken.groupBy("_id", "_th").agg(F.collect_list("w").alias("wanted"))
     own = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     texts = rows.join(wanted, own).select("text", "wanted")
-    segments = cut(texts.mapInArrow(_cut_segments(min_bytes), _SEGMENT))
+    segments = cut(texts.mapInArrow(lean(_cut_segments(min_bytes)), _SEGMENT))
     group, ready, repeats, used = ["g", "low", "high"], [], [], []
     while True:
         sums = segments.groupBy(*group).agg(F.sum(F.length("data")).alias("bytes"), F.sum("copies").alias("n"))
@@ -289,7 +289,7 @@ def repeated_ranges(rows: DataFrame, min_bytes: int = 200, most_bytes: int = MOS
             break
         ready.append(segments.join(large, group, "left_anti"))
         used.append(segments)
-        segments = cut(segments.join(large, group, "left_semi").mapInArrow(_halve(min_bytes), _SEGMENT))
+        segments = cut(segments.join(large, group, "left_semi").mapInArrow(lean(_halve(min_bytes)), _SEGMENT))
     all_ = ready[0]
     for more in ready[1:]:
         all_ = all_.unionByName(more.select(*all_.columns))
@@ -321,4 +321,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_b
     ranges = repeated_ranges(rows, min_bytes, most_bytes).groupBy("doc_id", "th").agg(F.collect_set(F.struct("x", "y")).alias("ranges"))
     ranges = ranges.withColumnsRenamed({"doc_id": "_id", "th": "_th"})
     joined = rows.join(ranges, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th")), "left")
-    return joined.select("doc_id", "text", "ranges").mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.select("doc_id", "text", "ranges").mapInArrow(lean(_apply), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

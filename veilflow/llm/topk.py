@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, lean
 
 #: Bytes of the queries of one block, which is broadcast; dimensions of one step.
 QUERY_BYTES, STEP = 1 << 25, 16
@@ -157,7 +157,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "ve
         ids, lists = table["vec_id"].to_numpy(), table["v"].combine_chunks()
         lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], pa.list_(pa.int64()))
         block = sc.broadcast([(d, ids[r], m) for d, r, m in _by_length(lists)])
-        part = rows.mapInArrow(_task(block, k), "query_id long, vec_id long, score long")
+        part = rows.mapInArrow(lean(_task(block, k)), "query_id long, vec_id long, score long")
         part = part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
         if blocks > 1:
             part = cut(part)
