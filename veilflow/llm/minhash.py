@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from .common import cut, drop_table, few, filled, lean, mix, steps, text_bytes, words
 from .graph import components
@@ -89,7 +89,6 @@ def _hex(prints: np.ndarray) -> pa.Array:
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
 #: Bytes of text of a range of ids, ranges at most, and rows of one id from which its rows are dealt over ranges.
 PART_BYTES, MOST_PARTS, CROWDED = 1 << 24, 1 << 16, 10_000
-_SUB = 20  # bits of a part's number that tell ranges of one id apart
 
 
 def _pairs(batches):
@@ -127,25 +126,21 @@ def _placer(spark, keys: DataFrame, total: int):
     quantiles = keys.where("doc_id IS NOT NULL").stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts) if parts > 1 else []
     alone = [i for i in crowded if i is not None]
     cuts = np.array(sorted({int(c) for c in quantiles} | set(alone) | {i + 1 for i in alone}), np.int64)
-    each = {i: max(1, min(1 << _SUB, -(-n * parts // rows))) for i, n in crowded.items()}
-    known = np.array(sorted(alone), np.int64)
-    shares = np.array([each[i] for i in known.tolist()], np.int64)
-    shared = spark.sparkContext.broadcast((cuts, known, shares, each.get(None, 1)))
+    share = np.ones(len(cuts) + 2, np.int64)  # parts of each range, from the largest ids to none
+    for i, n in crowded.items():
+        at = len(cuts) + 1 if i is None else len(cuts) - int(np.searchsorted(cuts, i, "right"))
+        share[at] = max(1, -(-n * parts // rows))
+    first = np.cumsum(share) - share
+    shared = spark.sparkContext.broadcast((cuts, share, first))
 
     def place(ids: pa.Array, hashes: pa.Array, missing: pa.Array) -> pa.Array:
-        cuts, known, shares, none = shared.value
-        i, gone = ids.to_numpy(), missing.to_numpy(zero_copy_only=False)
-        index = len(cuts) - np.searchsorted(cuts, i, "right")
-        share = np.ones(len(i), np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, i), len(known) - 1)
-            share = np.where(known[at] == i, shares[at], 1)
-        index, share = np.where(gone, len(cuts) + 1, index), np.where(gone, none, share)
-        sub = np.floor((0.5 - hashes.to_numpy() / 2.0**64) * share).astype(np.int64)
-        return pa.array((index << _SUB) | np.clip(sub, 0, share - 1))
+        cuts, share, first = shared.value
+        index = len(cuts) - np.searchsorted(cuts, ids.to_numpy(), "right")
+        index = np.where(missing.to_numpy(zero_copy_only=False), len(cuts) + 1, index)
+        sub = np.floor((0.5 - hashes.to_numpy() / 2.0**64) * share[index]).astype(np.int64)
+        return pa.array((first[index] + np.clip(sub, 0, share[index] - 1)).astype(np.int32))
 
-    fn = F.arrow_udf(place, T.LongType())
-    return fn(F.coalesce("doc_id", F.lit(0)), F.col("th"), F.col("doc_id").isNull()), max(1, min(len(cuts) + int(sum(each.values())) + 1, 2 * parts))
+    return F.arrow_udf(place, "int", ArrowUDFType.SCALAR)(F.coalesce("doc_id", F.lit(0)), F.col("th"), F.col("doc_id").isNull()), int(share.sum())
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
@@ -170,13 +165,13 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     low = F.lit(-(1 << 63)).cast("long")
     heads = rows.select("doc_id", "th").withColumn("part", place).groupBy("part").agg(F.max(F.struct(F.coalesce("doc_id", low), "th")).alias("head"))
     heads = sorted((r["part"], r["head"][0], r["head"][1]) for r in heads.collect())  # a row a part
-    table = spark.createDataFrame([(p, i, t, heads[k - 1][0]) for k, (p, i, t) in enumerate(heads)], "head_part long, head_id long, head_th long, visits long")
+    table = spark.createDataFrame([(p, i, t, heads[k - 1][0]) for k, (p, i, t) in enumerate(heads)], "head_part int, head_id long, head_th long, visits int")
     placed = rows.withColumn("part", place).join(few(groups), "th", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     joined = placed.join(F.broadcast(table), (F.col("part") == F.col("head_part")) & (F.coalesce("doc_id", low) == F.col("head_id")) & (F.col("th") == F.col("head_th")), "left")
     stays = F.struct(F.col("part"), F.lit(0).alias("guest"))
     visit = F.struct(F.col("visits").alias("part"), F.lit(1).alias("guest"))
     both = joined.withColumn("at", F.explode(F.when(F.col("visits").isNull(), F.array(stays)).otherwise(F.array(stays, visit)))).select("at.part", "at.guest", "doc_id", "component_id", "th", "text")
-    dealt = both.repartition(parts, "part").sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.desc("th"))
+    dealt = both.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "guest", F.desc_nulls_last("doc_id"), F.desc("th"))
     return dealt.mapInArrow(lean(_pairs), _OUT)
 
 
@@ -231,17 +226,8 @@ def _grouped(keyed: DataFrame, key: str, roots: DataFrame) -> DataFrame:
     return cut(own.join(split, key))
 
 
-def _facing(own: DataFrame, key: str, one: str = "true", two: str = "true") -> DataFrame:
-    """(u, v): members of different groups of a key, those that ``one`` holds for with those that ``two`` does."""
-    groups = own.where(one).select(key, F.col("c").alias("c1")).distinct()
-    facing = groups.join(own.where(two).select(key, F.col("c").alias("c2")).distinct(), key).where("c1 <> c2")
-    left = own.where(one).select(key, F.col("c").alias("c1"), F.col("th").alias("u"), F.col("n").alias("p"))
-    right = own.where(two).select(key, F.col("c").alias("c2"), F.col("th").alias("v"), F.col("n").alias("q"))
-    return facing.join(left, [key, "c1"]).join(right, [key, "c2"])
-
-
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
-    """(s, th, n, asks, stands): the rare shingles of each set by which similar sets are sure to meet.
+    """(s, th, n, rank, asks, stands): the rare shingles of each set by which similar sets are sure to meet.
 
     With shingles in one order, the rarest first, the larger of two sets that are similar enough holds in its
     first n - ceil(t n) + 1 one of the first n - ceil(2t / (1 + t) n) + 1 of the smaller."""
@@ -252,18 +238,38 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     t = F.lit(similarity - 1e-9)
     asks = F.col("rank") <= F.col("n") - F.ceil(t * F.col("n")) + 1
     stands = F.col("rank") <= F.col("n") - F.ceil(t * 2 / (t + 1) * F.col("n")) + 1
-    return cut(ranked.select("s", "th", "n", asks.alias("asks"), stands.alias("stands")).where("asks"))
+    return cut(ranked.select("s", "th", "n", "rank", asks.alias("asks"), stands.alias("stands")).where("asks"))
+
+
+def _meetings(own: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): sets of different groups that one's first shared shingle doesn't rule out, from ``_grouped`` prefixes.
+
+    A shingle's largest group doesn't meet itself, and whoever isn't in it meets all others. What two sets can
+    share at most after a shingle that is the first one shared follows from its ranks."""
+    counts = own.groupBy("s", "c").agg(F.count("*").alias("k"))
+    major = counts.groupBy("s").agg(F.max_by("c", F.struct("k", "c")).alias("m"))
+    minor = own.join(major, "s").where("c <> m").drop("m", "members")
+    x = minor.select("s", *[F.col(k).alias(f"x_{k}") for k in ("th", "c", "n", "rank", "asks", "stands")])
+    y = own.select("s", *[F.col(k).alias(f"y_{k}") for k in ("th", "c", "n", "rank", "asks", "stands")])
+    t = similarity - 1e-9
+    apart = F.col("x_c") != F.col("y_c")
+    sizes = F.least("x_n", "y_n") >= F.greatest("x_n", "y_n") * t
+    roles = F.when(F.col("x_n") > F.col("y_n"), F.col("y_stands")).when(F.col("x_n") < F.col("y_n"), F.col("x_stands")).otherwise(F.col("x_stands") | F.col("y_stands"))
+    most = 1 + F.least(F.col("x_n") - F.col("x_rank"), F.col("y_n") - F.col("y_rank"))
+    enough = most >= (F.col("x_n") + F.col("y_n")) * (t / (1 + t))
+    return x.join(y, "s").where(apart & sizes & roles & enough).select(F.col("x_th").alias("u"), F.col("y_th").alias("v"))
 
 
 def links(texts: DataFrame, similarity: float = 0.8, stars: int = 2) -> DataFrame:
     """(u, v), u > v: links between texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     ``texts`` holds (th, text), th naming a text; rows may repeat. Texts that agree in a band of their
-    signature are candidates. First, in ``stars`` rounds, each band's members are held against one of them,
-    which it picks by a hash: this links groups of near copies, however large, in step with their size. Where a
+    signature are candidates. First, in ``stars`` rounds, each band's members are held against one of them - the one
+    that meets most texts in its bands, as originals of many copies do, then one by a hash: this links groups of
+    near copies, however large, in step with their size. Where a
     band still holds several components, its members meet if they are few (SMALL). Texts of larger bands meet by their
-    rarest shingles (``_prefixes``), which finds every similar pair among them, and templates that many
-    unlike texts share make none meet. A link counts if the exact similarity reaches the threshold;
+    rarest shingles (``_prefixes``, ``_meetings``), which finds every similar pair among them, and templates that
+    many unlike texts share make few meet. A link counts if the exact similarity reaches the threshold;
     fingerprints rule most others out before."""
     signed = cut(texts.select("th", "text").mapInArrow(lean(_signed), "th long, print binary, n long, bands array<long>").dropDuplicates(["th"]))
     flat = signed.select("th", F.explode("bands").alias("band"))
@@ -283,26 +289,27 @@ def links(texts: DataFrame, similarity: float = 0.8, stars: int = 2) -> DataFram
         common = F.size(F.array_intersect("x", "y"))
         return cut(held.where(common / (F.size("x") + F.size("y") - common) >= similarity).select("u", "v"))
 
+    size = bands.groupBy("band").agg(F.count("*").alias("k"))
+    known = cut(bands.join(bands.join(size, "band").groupBy("th").agg(F.sum("k").alias("met")), "th"))
     edges = texts.sparkSession.createDataFrame([], "u long, v long")
     for k in range(stars):
-        open_ = _grouped(bands, "band", _roots(edges))
-        pick = F.xxhash64("th") if not k else F.xxhash64("th", "band", F.lit(k))
-        chosen = open_.groupBy("band").agg(F.min_by(F.struct("th", "c"), pick).alias("s"))
+        open_ = _grouped(known, "band", _roots(edges))
+        pick = F.struct("met", "th") if not k else F.xxhash64("th", "band")
+        chosen = open_.groupBy("band").agg(F.max_by(F.struct("th", "c"), pick).alias("s"))
         pairs = open_.join(chosen, "band").where(F.col("c") != F.col("s.c")).select(F.col("th").alias("u"), F.col("s.th").alias("v"))
         edges = edges.unionByName(verified(pairs))
         drop_table(open_)
     roots = cut(_roots(edges))
-    open_ = _grouped(bands, "band", roots).withColumn("n", F.lit(0))
-    small = F.col("members") <= SMALL
-    near = _facing(open_.where(small), "band").where("c1 < c2").select("u", "v")
-    crowd = cut(open_.where(~small).select("th").distinct())
+    open_ = _grouped(bands, "band", roots)
+    small = open_.where(F.col("members") <= SMALL)
+    near = small.select("band", F.col("th").alias("u"), F.col("c").alias("c1")).join(small.select("band", F.col("th").alias("v"), F.col("c").alias("c2")), "band").where("c1 < c2").select("u", "v")
+    crowd = cut(open_.where(F.col("members") > SMALL).select("th").distinct())
     own = None
     if crowd.limit(1).count():
         own = _grouped(_prefixes(sets.join(few(crowd), "th", "left_semi"), similarity), "s", roots)
-        rare = _facing(own, "s", two="stands").where((F.col("p") >= F.col("q")) & (F.col("q") >= F.col("p") * (similarity - 1e-9)))
-        near = near.unionByName(rare.select("u", "v"))
+        near = near.unionByName(_meetings(own, similarity))
     found = cut(edges.unionByName(verified(near)))
-    for table in (bands, prints, sets, open_, crowd, own, roots, wanted):
+    for table in (bands, known, prints, sets, open_, crowd, own, roots, wanted):
         if table is not None:
             drop_table(table)
     return found

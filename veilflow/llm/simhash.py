@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from . import minhash
 from .common import cut, few, filled, lean, portions
@@ -147,7 +147,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count()
     if not twice:
         return docs.join(kept.select(F.col("doc_id").alias("__kept")), F.col(id_col).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
-    marked = docs.withColumn("__fp", F.arrow_udf(_print_array(width), T.LongType())(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    marked = docs.withColumn("__fp", F.arrow_udf(_print_array(width), "long", ArrowUDFType.SCALAR)(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     first = marked.join(kept.select(F.col("doc_id").alias("__kept"), F.col("fp").alias("__of")), F.col(id_col).cast("long").eqNullSafe(F.col("__kept")) & (F.col("__fp") == F.col("__of")), "left_semi")
     return first.dropDuplicates([id_col, "__fp"]).drop("__fp")
 
