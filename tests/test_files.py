@@ -69,3 +69,78 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(tmp_path), "--entities", "EMAIL_ADDRESS"]) == 0
     assert "Mail [EMAIL_1]" in capsys.readouterr().out
     assert main(["--list-entities"]) == 0 and "FI_HETU" in capsys.readouterr().out
+
+
+def test_outline_levels():
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("word/document.xml", f'<w:document {w}><w:body><w:p><w:pPr><w:outlineLvl w:val="1"/></w:pPr><w:r><w:t>A</w:t></w:r></w:p><w:p><w:pPr><w:outlineLvl w:val="9"/></w:pPr><w:r><w:t>b</w:t></w:r></w:p></w:body></w:document>')
+    assert [(b["kind"], b["level"]) for b in files.docx_blocks(out.getvalue())] == [("heading", 2), ("paragraph", None)]
+
+
+def fake_pages(content):
+    """Stands in for a PDF reader: one page a form feed, one block a blank line."""
+    pages = content.decode().split("\f")
+    return [{"kind": "paragraph", "level": None, "text": b, "page": i} for i, page in enumerate(pages, 1) for b in page.split("\n\n") if b.strip()]
+
+
+def test_pdf_chain(spark, tmp_path):
+    page = "ACME OY, Testikatu 1, 02330 Espoo\n\nsoft\nwrap number {0} of a text that is long enough\n\n{0} (3)"
+    (tmp_path / "a.pdf").write_bytes("\f".join(page.format(i) for i in (1, 2, 3)).encode() + b"\n\nMail to user@example.\nfi please")
+    (tmp_path / "thin.pdf").write_bytes(b"x")
+    (tmp_path / "b.txt").write_text("left out", encoding="utf-8")
+    inputs = [tmp_path / "a.pdf", tmp_path / "thin.pdf"]
+    rows = {r["source"].rsplit("/", 1)[1]: r for r in files.read_documents(spark, str(tmp_path), inputs, extract=fake_pages, ocr=lambda c: b"A text layer made by recognition, long enough to count").collect()}
+    assert set(rows) == {"a.pdf", "thin.pdf"}
+    texts = [b["text"] for b in rows["a.pdf"]["blocks"]]
+    assert texts == [f"soft wrap number {i} of a text that is long enough" for i in (1, 2, 3)] + ["Mail to user@example. fi please"] or texts[-1].startswith("Mail to user@example")
+    assert rows["thin.pdf"]["used_ocr"] and "recognition" in rows["thin.pdf"]["blocks"][0]["text"]
+    kept = files.read_documents(spark, str(tmp_path), inputs[:1], keep_headers=True, extract=fake_pages, no_ocr=True).first()
+    assert len(kept["blocks"]) == 10 and not kept["used_ocr"]
+    assert files.pdf_document(b"x", fake_pages, no_ocr=True) == (fake_pages(b"x"), False)
+    with pytest.raises(RuntimeError):
+        files.pdf_document(b"x", fake_pages, ocr=files.recognized, force_ocr=True)
+
+
+def test_native_and_files_by_folder(spark, tmp_path):
+    for d in ("one", "two"):
+        (tmp_path / "in" / d).mkdir(parents=True)
+        (tmp_path / "in" / d / "same.docx").write_bytes(docx(("Normal", [f"mail {d}@f.fi"])))
+    docs = files.read_documents(spark, str(tmp_path / "in"))
+    out = anonymize_blocks(docs, MAIL)
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(tmp_path / "in")).select(F.col("path").alias("source"), "content")
+    native = sinks.native_documents(out, raw)
+    rows = native.select(sinks.relative(F.col("source"), str(tmp_path / "in"), sinks.native_name(F.col("source"))).alias("path"), "content")
+    assert sinks.write_files(rows, str(tmp_path / "out")) == 2
+    for d in ("one", "two"):
+        text = files.docx_blocks((tmp_path / "out" / d / "same.anonymized.docx").read_bytes())[0]["text"]
+        assert text == "mail [EMAIL_1]"
+    assert sinks.write_maps(out, str(tmp_path / "maps"), str(tmp_path / "in")) == 2
+    made = tmp_path / "maps" / "two" / "same.anonymized.map.json"
+    assert "two@f.fi" in made.read_text() and made.stat().st_mode & 0o77 == 0
+    assert [r["stats"][0]["n"] for r in native.collect()] == [1, 1]
+    with pytest.raises(ValueError):
+        sinks.write_files(rows, "hdfs://x/y")
+
+
+def test_command_line_options(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("Mail a@b.fi and c@d.fi", encoding="utf-8")
+    packs = str(tmp_path / "packs")
+    common = ["--entities", "EMAIL_ADDRESS", "--template-dir", packs, "-q"]
+    assert main(["strict", str(tmp_path / "in"), "--out-dir", str(tmp_path / "out"), "--map", str(tmp_path / "maps"), "--reject", "email_1", "--learn-to", "mine", *common]) == 0
+    text = (tmp_path / "out" / "a.anonymized.md").read_text()
+    assert "Mail a@b.fi and [EMAIL_2]" in text and "anonymized_at:" in text and 'tool: "veilflow"' in text and "used_ocr: false" in text
+    assert "a@b.fi" not in (tmp_path / "maps" / "a.anonymized.map.json").read_text()
+    # what was learnt is allowed from now on
+    assert main(["strict", str(tmp_path / "in"), "-o", str(tmp_path / "one.md"), "--template", "mine", *common]) == 0
+    assert "Mail a@b.fi and [EMAIL_1]" in (tmp_path / "one.md").read_text()
+    capsys.readouterr()
+    assert main(["templates", "get", "mine", "--dir", packs]) == 0 and "a@b.fi" in capsys.readouterr().out
+    assert main(["templates", "fork", "en-field-labels", "--dir", packs]) == 0 and main(["templates", "new", "x", "--allow", "Foo", "--dir", packs]) == 0
+    assert main(["templates", "new", "x", "--dir", packs]) == 2 and main(["templates", "delete", "en-field-labels", "--dir", packs]) == 2
+    assert main(["templates", "set-enabled", "x,mine", "--dir", packs]) == 0
+    capsys.readouterr()
+    assert main(["templates", "print-enabled", "--dir", packs]) == 0 and capsys.readouterr().out.strip() == "x,mine"
+    assert main(["templates", "delete", "x", "--dir", packs]) == 0 and main(["templates", "get", "x", "--dir", packs]) == 2

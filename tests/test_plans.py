@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from veilflow.entities import Registry
 from veilflow.plans import review, templates
-from veilflow.plans.config import Config, load_config
+from veilflow.plans.config import Config, load_config, with_packs
 from veilflow.plans.pipeline import anonymize, anonymize_blocks
 
 TEXT = "Supplier ACME Widgets Oy, 0737546-2. Mail a@b.fi or call 040 123 4567. Acme widgets oy again: c@d.fi, a@b.fi"
@@ -87,3 +87,44 @@ def test_templates(spark, tmp_path):
     assert path.stat().st_mode & 0o77 == 0 and templates.load(path).allow == t.allow
     assert [x.id for x in templates.discover(tmp_path)][-1] == "a"
     assert templates.enabled_ids(packs, flag="") == [] and templates.lines("# no\n a \n\n") == ["a"]
+
+
+def test_packs_in_a_run(spark, tmp_path):
+    templates.save(templates.Template("own", allow=("A@b.fi",), deny=(("again", "CUSTOM"), ("a@B.fi", "ORG"))), tmp_path / "own.json")
+    cfg = with_packs(Config(entities=("EMAIL_ADDRESS",)), "own", (tmp_path,))
+    assert cfg.allow == ("A@b.fi",) and cfg.deny == (("again", "CUSTOM"),)
+    out = anonymize(docs(spark, TEXT), cfg).first()["anonymized_text"]
+    assert "a@b.fi" in out and "[CUSTOM_1]" in out
+    assert "Y-tunnus" in with_packs(Config()).allow and with_packs(Config(), "").allow == ()
+    with pytest.raises(ValueError):
+        with_packs(Config(), "nothing")
+    assert templates.migrated({"allowlist_extra": ["x"], "denylist": ["y"]}).deny == (("y", "ORG"),) and templates.migrated({}) is None
+
+
+def test_configuration_is_checked(tmp_path):
+    path = tmp_path / "c.json"
+    for wrong in ({"modus": "strict"}, {"score_threshold": "high"}, {"include_dates": 1}, {"plugins": {}}):
+        path.write_text(json.dumps(wrong))
+        with pytest.raises(ValueError):
+            load_config(path)
+    path.write_text(json.dumps({"templates": ["own"], "output_format": "native", "languages": ["en"]}))
+    cfg = load_config(path)
+    assert (cfg.templates, cfg.output_format, cfg.languages) == (("own",), "source", ("en",))
+
+
+def test_row_plugin_from_a_file(spark, tmp_path):
+    (tmp_path / "badge.py").write_text("import re\n\ndef find(text):\n    return [(m.start(), m.end(), 0.9) for m in re.finditer('EMP-[0-9]+', text)]\n")
+    (tmp_path / "c.json").write_text(json.dumps({"entities": ["BADGE"], "plugins": [{"python": "badge.py:find", "rows": True, "entity_type": "BADGE"}]}))
+    cfg = load_config(tmp_path / "c.json")
+    rows = anonymize(docs(spark, "é EMP-12 here", None, ""), cfg).orderBy("doc_id").collect()
+    assert [r["anonymized_text"] for r in rows] == ["é [BADGE_1] here", "", ""]
+
+
+def test_recount_sorting_and_surfaces(spark):
+    df = spark.createDataFrame([(1, "[EMAIL_2] and [EMAIL_1], [EMAIL_2] [PLATE_FI_10] [PLATE_FI_9] [x]"), (2, None)], "doc_id int, anonymized_text string")
+    assert {(r["doc_id"], r["entity_type"], r["n"]) for r in review.recount(df).collect()} == {(1, "EMAIL_ADDRESS", 2), (1, "FI_LICENSE_PLATE", 2)}
+    row = spark.range(1).select(
+        review.sorted_placeholders(F.array(*[F.lit(x) for x in ("[PLATE_FI_10]", "[EMAIL_2]", "[PLATE_FI_9]", "[A]")])),
+        review.resolved_surface(F.lit("met Jane Doe once"), F.lit(" Jane \n Doe ")), review.resolved_surface(F.lit("met Jane"), F.lit(" Jane ")), review.resolved_surface(F.lit("met Jane"), F.lit("Bob")),
+    ).first()
+    assert list(row) == [["[A]", "[EMAIL_2]", "[PLATE_FI_9]", "[PLATE_FI_10]"], "Jane Doe", "Jane", None]

@@ -18,10 +18,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), lambda v: body(v)), 1)
 
 
-def step(value: Column) -> Column:
-    """``value`` as a step of its own: the optimizer copies no column that isn't deterministic into the
-    expressions that name it, so a long chain of steps is planned and worked out once."""
-    return F.when(F.rand(0) >= 0, value)
+def scan(values: Column, kind: str = "int") -> Column:
+    """Sums of all values before each of an array, and of all at the end. Arrays are worked through in pieces of
+    about the root of their size, so that appending costs little however long they are."""
+    size = F.ceil(F.sqrt(F.size(values) + F.lit(1))).cast("int")
+
+    def append(acc: Column, x: Column) -> Column:
+        return F.concat(acc, F.array((F.element_at(acc, -1) + x).cast(kind)))
+
+    def pieces(k: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / k).cast("int")), lambda j: F.slice(values, j * k + 1, k))
+
+    def totals(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, F.lit(0).cast(kind), lambda a, x: (a + x).cast(kind)))
+        return F.aggregate(sums, F.array(F.lit(0).cast(kind)), append)
+
+    def within(parts: Column, starts: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda p, j: F.slice(F.aggregate(p, F.array(F.get(starts, j)), append), F.lit(1), F.size(p))))
+
+    def whole(parts: Column) -> Column:
+        return let(totals(parts), lambda starts: F.concat(within(parts, starts), F.array(F.element_at(starts, -1))))
+
+    return let(size, lambda k: let(pieces(k), whole))
 
 
 def none() -> Column:
@@ -34,26 +52,28 @@ def span(entity: Column | str, start: Column, end: Column, score: Column | float
     return F.struct(entity.alias("entity_type"), start.cast("int").alias("start"), end.cast("int").alias("end"), score.cast("double").alias("score"), surface.alias("surface"))
 
 
+#: A character for private use that marks both ends of matches.
+MARK = "\ue0a7"
+
+
 def matches(text: Column, pattern: str | Column, guard: Column | None = None) -> Column:
-    """(start, surface) of every match of a regular expression, from the matches and what lies between:
-    a match starts where all matches and gaps before it end. No Python, no second search.
+    """(start, surface) of every match of a regular expression, by one search: matches are marked, the marked
+    text is split, and a match starts where all parts before it end.
 
-    ``pattern`` must not hold capturing groups. ``guard``, a cheap test, spares texts that can't match."""
+    ``guard``, a cheap test, spares texts that can't match. A text that holds MARK itself is searched twice."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    marked = F.split(F.regexp_replace(text, p, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
     whole = F.regexp_extract_all(text, F.concat(F.lit("("), p, F.lit(")")), F.lit(1))
-    gaps = F.split(text, p, -1)
-    steps = F.transform(whole, lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("m")))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,surface:string>>").alias("out"))
+    zipped = F.flatten(F.transform(F.split(text, p, -1), lambda g, i: F.when(i < F.size(whole), F.array(g, F.get(whole, i))).otherwise(F.array(g))))
+    nothing = F.array().cast("array<struct<start:int,surface:string>>")
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.struct(start.cast("int").alias("start"), x["m"].alias("surface"))
-        return F.struct((start + F.length(x["m"])).cast("int").alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def placed(parts: Column) -> Column:
+        odd = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
+        at = scan(F.transform(parts, lambda x: F.length(x)))
+        return F.when(F.size(parts) > 2, let(at, lambda s: F.transform(odd, lambda i: F.struct(F.get(s, i).alias("start"), F.get(parts, i).alias("surface"))))).otherwise(nothing)
 
-    found = F.aggregate(steps, empty, add)["out"]
-    nothing = F.array().cast("array<struct<start:int,surface:string>>")
-    found = F.coalesce(found, nothing)
-    return found if guard is None else F.when(guard, found).otherwise(nothing)
+    found = let(F.when(text.contains(MARK), zipped).otherwise(marked), placed)
+    return F.coalesce(found if guard is None else F.when(guard, found), nothing)
 
 
 def pattern_spans(text: Column, pattern: str, entity: str, score: float | Callable[[Column], Column], keep: Callable[[Column], Column] | None = None, part: str | None = None, guard: Column | None = None) -> Column:
@@ -75,15 +95,26 @@ def window_before(text: Column, start: Column, size: int) -> Column:
 def _fold(spans: Column, order: Callable[[Column, Column], Column], better: Callable[[Column, Column], Column], kind: str) -> Column:
     """Go through sorted spans; one that overlaps the last kept replaces it if it is better, else goes.
 
-    Kept spans never overlap and starts only grow, so none but the last can be in the way."""
+    Kept spans never overlap and starts only grow, so none but the last can be in the way: pieces of the
+    spans, of about the root of their number, take the last kept one over and hand theirs on."""
 
     def step(kept: Column, x: Column) -> Column:
         last = F.element_at(kept, -1)
-        clash = (F.size(kept) > 0) & (x["start"] < last["end"]) & (x["end"] > last["start"])
+        clash = (x["start"] < last["end"]) & (x["end"] > last["start"])
         swap = F.concat(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))), F.array(x))
         return F.when(F.size(kept) == 0, F.array(x)).when(~clash, F.concat(kept, F.array(x))).when(better(x, last), swap).otherwise(kept)
 
-    return F.aggregate(F.array_sort(spans, order), F.array().cast(kind), step)
+    def piece(acc: Column, p: Column) -> Column:
+        kept = F.aggregate(p, F.slice(acc["last"], F.lit(1), F.lit(1)), step)
+        return let(kept, lambda k: F.struct(F.concat(acc["done"], F.array(F.slice(k, F.lit(1), F.greatest(F.size(k) - 1, F.lit(0))))).alias("done"), F.slice(k, F.greatest(F.size(k), F.lit(1)), F.lit(1)).alias("last")))
+
+    def whole(xs: Column) -> Column:
+        k = F.ceil(F.sqrt(F.size(xs) + F.lit(1))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.floor(F.size(xs) / k).cast("int")), lambda j: F.slice(xs, j * k + 1, k))
+        empty = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("last"))
+        return F.aggregate(parts, empty, piece, lambda acc: F.concat(F.flatten(acc["done"]), acc["last"]))
+
+    return let(F.array_sort(spans, order), whole)
 
 
 def _compare(*keys: tuple[Column, Column]) -> Column:

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import ArrowUDFType
 
 from ..functions import scalar as S
-from ..functions.spans import let, longest, matches, merge, none, pattern_spans, span, window_before
+from ..functions.spans import SPANS, let, longest, matches, merge, none, pattern_spans, span, window_before
 from ..lexicon import BRAND_JOINERS, COMPANY_ROLES, FORMISH, LEGALISH, TITLE_TAILS, Lexicon
 
 # --- fixed values: shapes of identifiers ----------------------------------------------------------
@@ -331,6 +333,25 @@ def rule_recognizer(name: str, entity: str, patterns: list[tuple[str, float]]) -
     return Recognizer(name, (entity,), lambda text: F.concat(*[pattern_spans(text, p, entity, s, empty) for p, s in own]))
 
 
+def row_recognizer(name: str, entity: str, find: Callable) -> Recognizer:
+    """A recognizer from a Python function of one text that returns (start, end, score) tuples, run over Arrow
+    batches. Spans out of a text's range are left out; a null text has none."""
+    from pyspark import cloudpickle
+
+    code = cloudpickle.dumps(find)  # by value: executors need not have the module
+
+    def run(texts: pa.Array) -> pa.Array:
+        own = cloudpickle.loads(code)
+        found = []
+        for t in texts.to_pylist():
+            spans = [(int(a), int(b), float(s)) for a, b, s in own(t)] if t is not None else []
+            found.append([{"entity_type": entity, "start": a, "end": b, "score": s, "surface": t[a:b]} for a, b, s in spans if 0 <= a < b <= len(t)])
+        kind = pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("surface", pa.string())])
+        return pa.array(found, pa.list_(kind))
+
+    return Recognizer(name, (entity,), F.arrow_udf(run, SPANS, ArrowUDFType.SCALAR))
+
+
 def deny_spans(text: Column, deny: list[tuple[str, str]]) -> Column:
     """Every occurrence of listed surfaces, in any case, scored 1.0: (surface, type) each."""
     out = [none()]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
+import importlib.util
 import json
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from ..entities import Registry, normalize_mode
 from ..lexicon import SEED_ALLOW, Lexicon
-from ..operators.recognizers import Recognizer, rule_recognizer
+from ..operators.recognizers import Recognizer, row_recognizer, rule_recognizer
 
 # --- fixed values: aliases ------------------------------------------------------------------------
 STYLES = {"placeholder": "placeholder", "tag": "placeholder", "tags": "placeholder", "remove": "remove", "delete": "remove", "strip": "remove"}
@@ -68,18 +70,29 @@ def deny_entries(raw) -> tuple[tuple[str, str], ...]:
     return tuple(out)
 
 
+def _module(path: str, base: Path | None):
+    """A Python file next to the configuration as a module."""
+    where = (base or Path()) / path
+    spec = importlib.util.spec_from_file_location(where.stem, where)
+    if spec is None or not where.is_file():
+        raise ValueError(f"{where} is no Python file")
+    made = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(made)
+    return made
+
+
 def plugin(entry: dict, registry: Registry, base: Path | None = None) -> Recognizer:
-    """A recognizer from rules (``patterns``: name, regex, score), or from ``module: package.module:name``, a
-    function of a text column that returns spans. The type is registered unless it is known."""
+    """A recognizer from rules (``patterns``: name, regex, score), or from ``module: package.module:name`` or
+    ``python: file.py:name``, a function of a text column that returns spans; with ``rows``, a function of one
+    text that returns (start, end, score) tuples, run over Arrow batches. The type is registered unless it is
+    known."""
     if "rules" in entry:
         entry = _read((base or Path()) / entry["rules"])
-    if "module" in entry:
-        import importlib
-
-        module, _, name = entry["module"].partition(":")
-        fn = getattr(importlib.import_module(module), name)
+    if "module" in entry or "python" in entry:
+        module, _, name = (entry.get("module") or entry["python"]).partition(":")
+        fn = getattr(_module(module, base) if "python" in entry else importlib.import_module(module), name)
         kind = entry["entity_type"].upper()
-        made = Recognizer(entry.get("name", name), (kind,), fn)
+        made = row_recognizer(entry.get("name", name), kind, fn) if entry.get("rows") else Recognizer(entry.get("name", name), (kind,), fn)
     elif entry.get("patterns"):
         kind = entry["entity_type"].upper()
         made = rule_recognizer(entry.get("name", kind), kind, [(p["regex"], float(p.get("score", 0.85))) for p in entry["patterns"]])
@@ -90,9 +103,33 @@ def plugin(entry: dict, registry: Registry, base: Path | None = None) -> Recogni
     return made
 
 
+#: Keys that a file may hold, and the types of their values.
+KEYS = {"mode": str, "redact_style": str, "output_format": str, "languages": list, "entities": list, "include_dates": bool, "score_threshold": (int, float), "allowlist": list, "allowlist_extra": list, "denylist": list, "lexicon_extra": dict, "plugins": list, "templates": list, "template_dirs": list}
+
+
+def checked(raw: dict, path) -> dict:
+    """``raw`` if it holds known keys of right types only."""
+    wrong = [f"{k} is not known" for k in raw if k not in KEYS]
+    wrong += [f"{k} has a wrong type" for k, v in raw.items() if k in KEYS and v is not None and (not isinstance(v, KEYS[k]) or isinstance(v, bool) != (KEYS[k] is bool))]
+    if wrong:
+        raise ValueError(f"{path}: {'; '.join(wrong)}")
+    return raw
+
+
+def with_packs(cfg: Config, flag: str | None = None, folders: tuple[Path, ...] = ()) -> Config:
+    """``cfg`` with the lists of its packs: those that the flag names, else the configuration's, else the default
+    ones. The library's own allow list gives way to packs; a run's own entries are kept."""
+    from .templates import discover, enabled_ids, run_lists
+
+    packs = discover(*folders)
+    own = tuple(a for a in cfg.allow if a not in SEED_ALLOW)
+    allow, deny = run_lists(packs, enabled_ids(packs, list(cfg.templates) if cfg.templates is not None else None, flag), own, cfg.deny)
+    return replace(cfg, allow=allow, deny=deny)
+
+
 def load_config(path: str | Path | None = None, **overrides) -> Config:
     """Values of a file, then of the call. Plugin errors are gathered and raised together."""
-    raw = _read(path) if path else {}
+    raw = checked(_read(path), path) if path else {}
     registry = Registry()
     errors, plugins = [], []
     for entry in raw.get("plugins") or ():
@@ -112,6 +149,12 @@ def load_config(path: str | Path | None = None, **overrides) -> Config:
         cfg = replace(cfg, entities=tuple(str(e).upper() for e in raw["entities"]))
     if raw.get("redact_style"):
         cfg = replace(cfg, redact_style=STYLES[str(raw["redact_style"]).lower()])
+    if raw.get("output_format"):
+        cfg = replace(cfg, output_format=FORMATS[str(raw["output_format"]).lower()])
+    if raw.get("languages"):
+        cfg = replace(cfg, languages=tuple(str(x) for x in raw["languages"]))
+    if raw.get("templates") is not None:
+        cfg = replace(cfg, templates=tuple(str(x) for x in raw["templates"]))
     if "mode" in overrides:
         overrides["mode"] = normalize_mode(overrides["mode"])
     return replace(cfg, **overrides)

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPANS, merge, none, pattern_spans, step, to_block
+from ..functions.spans import SPANS, merge, none, pattern_spans
 from ..operators import blocks as B
 from ..operators import filters as X
 from ..operators import language as L
@@ -50,27 +50,27 @@ def analyze(docs: DataFrame, cfg: Config = Config(), text_col: str = "text") ->
     noise, then other mentions of companies (resolved and filtered again), the allow list last. Null texts are
     empty. In extract mode nothing is detected."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumn("clean_text", step(B.repair(text))).withColumn("language", L.detect(F.col("clean_text")))
+    out = docs.withColumn("clean_text", (B.repair(text))).withColumn("language", L.detect(F.col("clean_text")))
     if cfg.languages:
         out = out.withColumn("language", F.struct(F.array(*[F.lit(c) for c in cfg.languages]).alias("languages"), F.lit("forced").alias("reason")))
     wanted = cfg.effective_entities()
     if not wanted:
         return out.withColumn("spans", none())
     t, priority = F.col("clean_text"), cfg.registry.priority_column
-    out = out.withColumn("spans", step(merge(raw_spans(t, cfg), priority)))
-    out = out.withColumn("spans", step(X.drop_noisy(t, X.drop_false_positives(t, X.drop_field_labels(t, F.col("spans")), cfg.lexicon))))
+    out = out.withColumn("spans", (merge(raw_spans(t, cfg), priority)))
+    out = out.withColumn("spans", (X.drop_noisy(t, X.drop_false_positives(t, X.drop_field_labels(t, F.col("spans")), cfg.lexicon))))
     if "ORG" in wanted:
         # most documents name no company by its legal form, and are spared the second pass
         more = stem_spans(t, F.col("spans"), cfg.lexicon)
-        out = out.withColumn("_stems", step(more))
+        out = out.withColumn("_stems", (more))
         again = X.drop_false_positives(t, merge(F.concat("spans", "_stems"), priority), cfg.lexicon)
-        out = out.withColumn("spans", step(F.when(F.size("_stems") > 0, again).otherwise(F.col("spans")))).drop("_stems")
+        out = out.withColumn("spans", (F.when(F.size("_stems") > 0, again).otherwise(F.col("spans")))).drop("_stems")
     return out.withColumn("spans", X.drop_allowed(F.col("spans"), list(cfg.allow)).cast(SPANS))
 
 
 def anonymize(docs: DataFrame, cfg: Config = Config(), text_col: str = "text") -> DataFrame:
     """``analyze`` and then ``hits`` (numbered spans), ``anonymized_text`` and ``mapping``."""
-    out = analyze(docs, cfg, text_col).withColumn("hits", step(W.numbered(F.col("spans"), cfg.registry)))
+    out = analyze(docs, cfg, text_col).withColumn("hits", (W.numbered(F.col("spans"), cfg.registry)))
     return out.withColumn("anonymized_text", W.rewritten(F.col("clean_text"), F.col("hits"), cfg.redact_style)).withColumn("mapping", W.mapping(F.col("hits")))
 
 
@@ -92,10 +92,7 @@ def anonymize_blocks(docs: DataFrame, cfg: Config = Config(), blocks_col: str =
 
 
 def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` over all cores if it came in fewer partitions, as one small file does. Large inputs stay as they are."""
+    """``docs`` over all cores if it came in few partitions, as small files do: their rows may all lie in one. Large
+    inputs stay as they are."""
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
-
-
-def project(spans: Column, first: Column, last: Column, text: Column) -> Column:
-    return to_block(spans, first, last, text)
+    return docs if docs.rdd.getNumPartitions() >= 8 * cores else docs.repartition(4 * cores)

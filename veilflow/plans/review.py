@@ -80,6 +80,26 @@ def teach(table: DataFrame) -> tuple[DataFrame, DataFrame]:
     return allow, deny
 
 
-def recount(table: DataFrame) -> DataFrame:
-    """Entities that are still redacted, by type."""
-    return table.where("enabled").groupBy("entity_type").agg(F.count("*").alias("n"))
+#: Fixed value: types by labels that differ from them.
+TYPES = {"EMAIL": "EMAIL_ADDRESS", "PHONE": "PHONE_NUMBER", "IBAN": "IBAN_CODE", "IP": "IP_ADDRESS", "POSTAL": "FI_POSTAL_CODE", "PLATE_FI": "FI_LICENSE_PLATE", "VAT_FI": "FI_VAT", "VIN": "VEHICLE_VIN"}
+
+
+def recount(docs: DataFrame, id_col: str = "doc_id", text_col: str = "anonymized_text") -> DataFrame:
+    """(id, entity_type, n): how many different placeholders of each type are left in a text."""
+    tags = F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(r"(\[[A-Z][A-Z0-9_]*_[0-9]+\])"), F.lit(1)))
+    left = docs.select(id_col, F.explode(tags).alias("tag")).withColumn("label", S.placeholder_label(F.col("tag")))
+    kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in TYPES.items() for x in pair]), F.col("label")), F.col("label"))
+    return left.groupBy(id_col, kind.alias("entity_type")).agg(F.count("*").alias("n"))
+
+
+def sorted_placeholders(tags: Column) -> Column:
+    """An array of placeholders by label, then by number."""
+    keyed = F.transform(tags, lambda t: F.struct(F.regexp_extract(t, r"^\[?(.*?)(?:_[0-9]+)?\]?$", 1), F.coalesce(F.regexp_extract(t, r"_([0-9]+)\]?$", 1).try_cast("int"), F.lit(0)), t.alias("tag")))
+    return F.transform(F.array_sort(keyed), lambda k: k["tag"])
+
+
+def resolved_surface(text: Column, typed: Column) -> Column:
+    """What a user marked, as it stands in the text: without the white space around it, or collapsed; null if neither does."""
+    bare = F.regexp_replace(typed, r"(?U)^\s+|\s+$", "")
+    flat = S.collapse(typed)
+    return F.when((bare != "") & text.contains(bare), bare).when((flat != "") & text.contains(flat), flat)

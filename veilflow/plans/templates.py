@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import dataclass, replace
 from pathlib import Path
 
@@ -70,6 +71,18 @@ def merged(t: Template, allow: list[str], deny: list[tuple[str, str]]) -> Templa
     return replace(t, allow=t.allow + more, deny=t.deny + bad)
 
 
+def run_lists(templates: list[Template], ids: list[str], allow: tuple[str, ...] = (), deny: tuple[tuple[str, str], ...] = ()) -> tuple[tuple[str, ...], tuple[tuple[str, str], ...]]:
+    """(allow, deny) of a run: the enabled packs in order, then a run's own entries. Equal entries, in any case, count
+    once, and what is allowed is not denied. Ids that no pack has are an error."""
+    known = {t.id: t for t in templates}
+    if unknown := [i for i in ids if i not in known]:
+        raise ValueError(f"no pack is named {', '.join(unknown)}; there are {', '.join(sorted(known))}")
+    packs = [known[i] for i in dict.fromkeys(ids)]
+    good = {a.casefold(): a for a in reversed([a for t in packs for a in t.allow] + list(allow)) if a.strip()}
+    bad = {d[0].casefold(): d for d in reversed([d for t in packs for d in t.deny] + list(deny)) if d[0].strip()}
+    return tuple(reversed(good.values())), tuple(d for k, d in reversed(bad.items()) if k not in good)
+
+
 def fork(t: Template) -> Template:
     return replace(t, id=f"{t.id}-custom", title=f"{t.title or t.id} (custom)", builtin=False, default=False)
 
@@ -95,6 +108,28 @@ def load(path: Path) -> Template:
     return Template(str(raw.get("id") or path.stem), str(raw.get("title") or ""), tuple(str(a) for a in raw.get("allow") or ()), deny_entries(raw.get("deny")), False, bool(raw.get("default")), tuple(raw.get("languages") or ()), str(raw.get("description") or ""))
 
 
+def taught(pack: str, folder: Path, allow: list[str], deny: list[tuple[str, str]]) -> Path:
+    """Add what a review taught to a pack of ``folder``; one that isn't there is made, one of the library is forked."""
+    found = {t.id: t for t in discover(folder)}
+    t = found.get(pack) or Template(pack, pack)
+    t = fork(t) if t.builtin else t
+    return save(merged(t, allow, deny), Path(folder) / f"{file_name(t.id)}.json")
+
+
+def file_name(name: str) -> str:
+    """``slug`` for one name on the driver."""
+    out = re.sub(r"[^a-z0-9]+", "-", name.strip().lower()).strip("-")
+    return out or "template"
+
+
+def migrated(raw: dict) -> Template | None:
+    """The lists of an old configuration as a pack of their own; None if it has none."""
+    from .config import deny_entries
+
+    allow, deny = tuple(str(a) for a in raw.get("allowlist_extra") or ()), deny_entries(raw.get("denylist"))
+    return Template("my-lists", "My lists", allow, deny, default=True) if allow or deny else None
+
+
 def discover(*folders: Path) -> list[Template]:
     """Packs of the library, then of each folder; later ones of an id win; files that can't be read are left out."""
     found = {t.id: t for t in BUILTIN}

@@ -1,9 +1,14 @@
-"""Documents from files: text and Markdown natively, DOCX and PDF by Arrow batches over file contents."""
+"""Documents from files: text and Markdown natively, DOCX and PDF by Arrow batches over file contents.
+
+A PDF's text layer comes page by page; where it is too thin, a hook may make one by character recognition.
+Lines are reflowed, broken e-mails repaired and running headers dropped, all by column expressions."""
 
 from __future__ import annotations
 
 import io
 import re
+import shutil
+import subprocess
 import zipfile
 from pathlib import Path
 from xml.etree import ElementTree
@@ -65,8 +70,11 @@ def docx_blocks(content: bytes) -> list[dict]:
             if not text:
                 continue
             head = re.match(r"(?:heading|otsikko)\s*(\d?)", name)
+            outline = node.find(f"{_W}pPr/{_W}outlineLvl")
+            level = int(head[1] or 1) if head else int(outline.get(f"{_W}val") or 9) + 1 if outline is not None else 0
+            head = 0 < level <= 9  # level 9 of an outline is body text
             kind = "heading" if head else "list_item" if "list" in name else "paragraph"
-            out.append({"kind": kind, "level": min(int(head[1] or 1), 6) if head else None, "text": text})
+            out.append({"kind": kind, "level": min(level, 6) if head else None, "text": text})
         elif node.tag == f"{_W}tbl":
             for row in node.iter(f"{_W}tr"):
                 cells = [words(c).strip() for c in row.findall(f"{_W}tc")]
@@ -77,7 +85,7 @@ def docx_blocks(content: bytes) -> list[dict]:
 
 
 def pdf_blocks(content: bytes) -> list[dict]:
-    """Text blocks of a PDF, by PyMuPDF where it is installed."""
+    """Text blocks of a PDF with their pages, by PyMuPDF where it is installed. Lines stay apart."""
     try:
         import pymupdf
     except ImportError as e:
@@ -88,24 +96,74 @@ def pdf_blocks(content: bytes) -> list[dict]:
     return out
 
 
-def _binary(batches):
-    for batch in batches:
-        found, errors = [], []
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            try:
-                found.append((docx_blocks if path.lower().endswith(".docx") else pdf_blocks)(content))
-                errors.append(None)
-            except Exception as e:  # one bad file must not stop a folder
-                found.append([])
-                errors.append(f"{type(e).__name__}: {e}")
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())]))
-        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, kind), pa.array(errors, pa.string())], ["source", "blocks", "error"])
-
-
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(source, blocks, error) of every supported file under ``path``. Files that can't be read have an error."""
+def recognized(content: bytes, languages: str = "eng+fin") -> bytes:
+    """A PDF with a text layer made by ``ocrmypdf``, where that is installed."""
+    if not shutil.which("ocrmypdf"):
+        raise RuntimeError("character recognition needs ocrmypdf")
+    done = subprocess.run(["ocrmypdf", "--force-ocr", "-l", languages, "-", "-"], input=content, capture_output=True, timeout=1800)
+    if done.returncode:
+        raise RuntimeError(done.stderr.decode("utf-8", "replace")[-500:])
+    return done.stdout
+
+
+def pdf_document(content: bytes, extract=pdf_blocks, ocr=recognized, force_ocr: bool = False, no_ocr: bool = False) -> tuple[list[dict], bool]:
+    """(blocks, was recognition used) of a PDF. It is used if asked for, or if the text layer is thinner than 40
+    characters a page; if it fails, the text layer stands unless recognition was asked for."""
+    blocks = extract(content)
+    pages = max((b["page"] for b in blocks), default=0)
+    thin = pages <= 0 or sum(len(b["text"]) for b in blocks) / pages < 40
+    if no_ocr or not (force_ocr or thin):
+        return blocks, False
+    try:
+        return extract(ocr(content)), True
+    except RuntimeError:
+        if force_ocr:
+            raise
+        return blocks, False
+
+
+def _binary(**how):
+    def run(batches):
+        for batch in batches:
+            found, pages, used, errors = [], [], [], []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                own, ocr, error = [], False, None
+                try:
+                    own, ocr = (docx_blocks(content), False) if path.lower().endswith(".docx") else pdf_document(content, **how)
+                except Exception as e:  # one bad file must not stop a folder
+                    error = f"{type(e).__name__}: {e}"
+                found.append([{k: b[k] for k in ("kind", "level", "text")} for b in own])
+                pages.append([b.get("page") for b in own] if path.lower().endswith(".pdf") else None)
+                used.append(ocr)
+                errors.append(error)
+            kind = pa.list_(pa.struct([("kind", pa.string()), ("level", pa.int32()), ("text", pa.string())]))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, kind), pa.array(pages, pa.list_(pa.int32())), pa.array(used, pa.bool_()), pa.array(errors, pa.string())], ["source", "blocks", "pages", "used_ocr", "error"])
+
+    return run
+
+
+def without_headers(docs: DataFrame) -> DataFrame:
+    """PDF documents (with ``pages``) without running headers: blocks are rows for that, and come back in order."""
+    flat = docs.select("source", F.posexplode(F.arrays_zip("blocks", "pages")).alias("pos", "z")).select("source", "pos", F.col("z.blocks").alias("b"), F.col("z.pages").alias("page"))
+    flat = flat.withColumn("text", F.col("b.text"))
+    kept = B.drop_running_headers(flat, "source").groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "b"))), lambda x: x["b"]).alias("_kept"))
+    joined = docs.join(kept, "source", "left")
+    return joined.withColumn("blocks", F.coalesce("_kept", F.array()).cast(BLOCKS)).select(*docs.columns)
+
+
+def read_documents(spark: SparkSession, path: str, inputs: list[Path] | None = None, keep_headers: bool = False, **pdf) -> DataFrame:
+    """(source, blocks, used_ocr, error) of the supported files under ``path``, or of those of ``inputs`` only, as
+    ``collect_inputs`` lists them. Files that can't be read have an error. ``pdf``: how ``pdf_document`` reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    if inputs is not None:
+        own = spark.createDataFrame([(f"file:{p.absolute()}",) for p in inputs], "path string")
+        files = files.join(F.broadcast(own), "path", "left_semi")
     low = F.lower("path")
-    plain = files.where(low.rlike(r"\.(txt|md|markdown|text)$")).select(F.col("path").alias("source"), text_blocks(decode(F.col("content"))).alias("blocks"), F.lit(None).cast("string").alias("error"))
-    packed = files.where(low.rlike(r"\.(docx|pdf)$")).mapInArrow(_binary, f"source string, blocks {BLOCKS}, error string")
-    return plain.unionByName(packed)
+    nothing = F.lit(None).cast("string").alias("error")
+    plain = files.where(low.rlike(r"\.(txt|md|markdown|text)$")).select(F.col("path").alias("source"), text_blocks(decode(F.col("content"))).alias("blocks"), F.lit(False).alias("used_ocr"), nothing)
+    packed = files.where(low.rlike(r"\.(docx|pdf)$")).mapInArrow(_binary(**pdf), f"source string, blocks {BLOCKS}, pages array<int>, used_ocr boolean, error string")
+    pages = packed.where("pages IS NOT NULL")
+    flowing = lambda b: F.struct(b["kind"].alias("kind"), b["level"].alias("level"), B.repair(B.reflow(F.split(b["text"], "\n"))).alias("text"))
+    pages = pages.withColumn("blocks", F.transform("blocks", flowing))
+    pages = pages if keep_headers else without_headers(pages)
+    return plain.unionByName(packed.where("pages IS NULL").drop("pages")).unionByName(pages.drop("pages"))

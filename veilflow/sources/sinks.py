@@ -9,6 +9,7 @@ import re
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +32,66 @@ def native_name(source: Column) -> Column:
     return F.when(ext.isin(".docx", ".pdf"), F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(".anonymized"), ext))
 
 
-def markdown_document(out: DataFrame, mode: str = "strict", style: str = "placeholder") -> DataFrame:
-    """(source, markdown) from anonymized documents with ``source`` and ``anonymized_blocks``. No time stamp, so reruns agree."""
+VERSION = "0.2.0"
+
+
+def markdown_document(out: DataFrame, mode: str = "strict", style: str = "placeholder", lang_mode: str = "auto", anonymized_at: str | None = None) -> DataFrame:
+    """(source, markdown) from anonymized documents with ``source`` and ``anonymized_blocks``. A time is written only if
+    it is given, so that reruns agree."""
     counts = F.to_json(F.map_from_entries(F.transform(F.array_distinct(F.transform("hits", lambda h: h["entity_type"])), lambda t: F.struct(t, F.size(F.array_distinct(F.transform(F.filter("hits", lambda h: h["entity_type"] == t), lambda h: h["norm"])))))))
-    front = B.front_matter({"source": F.to_json(F.array("source")), "mode": F.lit(mode), "redact_style": F.lit(style), "detected_languages": F.to_json("language.languages"), "entity_counts": counts})
-    return out.select("source", F.concat(front, B.markdown(F.col("anonymized_blocks")), F.lit("\n")).alias("markdown"))
+    quoted = lambda x: F.lit(json.dumps(x, ensure_ascii=False))
+    text = lambda c: F.regexp_extract(F.to_json(F.array(c)), r"(?s)^\[(.*)\]$", 1)
+    fields = {"source": text("source"), "tool": quoted("veilflow"), "tool_version": quoted(VERSION), "mode": quoted(mode), "redact_style": quoted(style), "lang_mode": quoted(lang_mode), "detected_languages": F.to_json("language.languages"), "nlp_passes": F.lit("[]"), "entity_counts": counts}
+    fields["used_ocr"] = F.col("used_ocr").cast("string") if "used_ocr" in out.columns else F.lit("false")
+    if anonymized_at:
+        fields["anonymized_at"] = quoted(anonymized_at)
+    return out.select("source", F.concat(B.front_matter(fields), B.markdown(F.col("anonymized_blocks")), F.lit("\n")).alias("markdown"))
+
+
+def relative(source: Column, root: str, name: Column) -> Column:
+    """``name`` in the folder that ``source`` has below ``root``: sources of one name in two folders stay apart."""
+    below = F.regexp_replace(F.regexp_replace(source, "^file:/*", "/"), "^" + re.escape(str(Path(root).absolute())) + "/*", "")
+    return F.concat(F.regexp_replace(below, "[^/]*$", ""), name)
+
+
+def _writer(folder: str, private: bool):
+    def run(batches):
+        for batch in batches:
+            sizes = []
+            for name, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
+                target = Path(folder) / name
+                if not target.resolve().is_relative_to(Path(folder).resolve()):
+                    raise ValueError(f"{name} leads out of {folder}")
+                target.parent.mkdir(parents=True, exist_ok=True)
+                part = target.with_name(f".{target.name}.{os.getpid()}")
+                fd = os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC | getattr(os, "O_NOFOLLOW", 0), 0o600 if private else 0o644)
+                with os.fdopen(fd, "wb") as f:
+                    f.write(content)
+                os.replace(part, target)  # a retried task writes the same file again
+                sizes.append(len(content))
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64())], ["path", "size"])
+
+    return run
 
 
-def write_markdown(documents: DataFrame, folder: str) -> None:
-    """Markdown files of a table (source, markdown) as text partitions, one folder a file name: executors write, nothing is collected."""
-    documents.select(F.col("markdown").alias("value"), output_name(F.col("source")).alias("name")).write.partitionBy("name").mode("overwrite").option("lineSep", "\n").text(folder)
+def write_files(files: DataFrame, folder: str, private: bool = False) -> int:
+    """Write a table (path below the folder, content) as one file a row, by the tasks; the folder must be one that
+    all of them share. Returns how many."""
+    if "://" in folder and not folder.startswith("file://"):
+        raise ValueError("files are written to a mounted folder; write a table to other stores")
+    return files.select("path", "content").mapInArrow(_writer(folder.removeprefix("file://"), private), "path string, size long").count()
+
+
+def write_markdown(documents: DataFrame, folder: str, root: str = "/", mode: str = "strict") -> int:
+    """Markdown files of a table (source, markdown), in the folders that the sources have below ``root``."""
+    return write_files(documents.select(relative(F.col("source"), root, output_name(F.col("source"), mode)).alias("path"), F.col("markdown").cast("binary").alias("content")), folder)
+
+
+def write_maps(out: DataFrame, folder: str, root: str = "/") -> int:
+    """The placeholder map of each document as JSON, readable by its owner only."""
+    body = F.to_json(F.map_from_entries(F.transform("mapping", lambda m: F.struct(m["placeholder"], m["original"]))))
+    name = F.regexp_replace(output_name(F.col("source")), r"\.md$", ".map.json")
+    return write_files(out.select(relative(F.col("source"), root, name).alias("path"), body.cast("binary").alias("content")), folder, private=True)
 
 
 def write_map(entries: dict[str, str], path: str | Path) -> None:
@@ -85,6 +136,53 @@ def redact_docx(content: bytes, entries: list[tuple[str, str]], style: str = "pl
     return target.getvalue(), hits
 
 
+def redact_pdf(content: bytes, entries: list[tuple[str, str]], style: str = "placeholder") -> tuple[bytes, dict[str, int]]:
+    """A PDF with every surface covered and its text removed, and its properties blanked, by PyMuPDF where it is installed."""
+    try:
+        import pymupdf
+    except ImportError as e:
+        raise RuntimeError("redacting PDF files needs PyMuPDF") from e
+    hits = {s: 0 for _, s in entries}
+    doc = pymupdf.open(stream=content, filetype="pdf")
+    for page in doc:
+        for tag, surface in sorted(entries, key=lambda e: (-len(e[1]), e[1].casefold())):
+            for box in page.search_for(surface):
+                hits[surface] += 1
+                page.add_redact_annot(box, text="" if style == "remove" else tag, fill=(1, 1, 1))
+        page.apply_redactions()
+    doc.set_metadata({})
+    return doc.tobytes(garbage=4, deflate=True), hits
+
+
+_NATIVE = "source string, content binary, stats array<struct<surface:string,n:int>>, error string"
+
+
+def _redacted(style: str):
+    def run(batches):
+        for batch in batches:
+            made, stats, errors = [], [], []
+            for source, content, entries in zip(*(batch.column(c).to_pylist() for c in ("source", "content", "mapping"))):
+                new, hits, error = None, {}, None
+                try:
+                    new, hits = (redact_docx if source.lower().endswith(".docx") else redact_pdf)(content, [(e["placeholder"], e["original"]) for e in entries], style)
+                except Exception as e:  # one bad file must not stop a folder
+                    error = f"{type(e).__name__}: {e}"
+                made.append(new)
+                stats.append([{"surface": k, "n": v} for k, v in hits.items()])
+                errors.append(error)
+            kind = pa.list_(pa.struct([("surface", pa.string()), ("n", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([batch.column("source"), pa.array(made, pa.binary()), pa.array(stats, kind), pa.array(errors, pa.string())], ["source", "content", "stats", "error"])
+
+    return run
+
+
+def native_documents(out: DataFrame, files: DataFrame, style: str = "placeholder") -> DataFrame:
+    """(source, content, stats, error): DOCX and PDF files (source, content) redacted by the maps of ``out``. Other
+    formats are left out; files that fail have an error."""
+    known = files.where(native_name(F.col("source")).isNotNull()).select("source", "content")
+    return known.join(out.select("source", "mapping"), "source").mapInArrow(_redacted(style), _NATIVE)
+
+
 def match_stats(hits: DataFrame) -> DataFrame:
     """From (document, surface, n): surfaces found and missed, replacements, and the rate found (1 if none was asked for)."""
     total, found = F.count("*"), F.count_if(F.col("n") > 0)
