@@ -5,6 +5,8 @@ A span is (entity_type, start, end, score, surface); offsets are code points, ha
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,28 +54,65 @@ def span(entity: Column | str, start: Column, end: Column, score: Column | float
     return F.struct(entity.alias("entity_type"), start.cast("int").alias("start"), end.cast("int").alias("end"), score.cast("double").alias("score"), surface.alias("surface"))
 
 
-#: A character for private use that marks both ends of matches.
-MARK = "\ue0a7"
+#: Characters for private use: one marks both ends of matches, the other stands for it where a text holds it.
+MARK, STAND_IN = "\ue0a7", "\ue0a8"
+_FINDER: ContextVar[Finder | None] = ContextVar("finder", default=None)
+_FOUND = "array<struct<start:int,surface:string>>"
 
 
-def matches(text: Column, pattern: str | Column, guard: Column | None = None) -> Column:
-    """(start, surface) of every match of a regular expression, by one search: matches are marked, the marked
-    text is split, and a match starts where all parts before it end.
+class Finder:
+    """Searches that are worked out together as one column ``name``: what they have in common is planned once."""
+
+    def __init__(self, name: str):
+        self.name, self.entries = name, []
+
+    def add(self, entry: Column) -> Column:
+        self.entries.append(entry)
+        return F.get(F.col(self.name), F.lit(len(self.entries) - 1))
+
+    def column(self) -> Column:
+        return _placed(self.entries) if self.entries else F.array().cast(f"array<{_FOUND}>")
+
+
+@contextmanager
+def collecting(name: str):
+    """Within it ``matches`` of constant patterns refer to the column ``name``, which the finder then makes."""
+    finder = Finder(name)
+    token = _FINDER.set(finder)
+    try:
+        yield finder
+    finally:
+        _FINDER.reset(token)
 
-    ``guard``, a cheap test, spares texts that can't match. A text that holds MARK itself is searched twice."""
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    marked = F.split(F.regexp_replace(text, p, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
-    whole = F.regexp_extract_all(text, F.concat(F.lit("("), p, F.lit(")")), F.lit(1))
-    zipped = F.flatten(F.transform(F.split(text, p, -1), lambda g, i: F.when(i < F.size(whole), F.array(g, F.get(whole, i))).otherwise(F.array(g))))
-    nothing = F.array().cast("array<struct<start:int,surface:string>>")
 
-    def placed(parts: Column) -> Column:
+def _placed(entries: list[Column]) -> Column:
+    """For each (parts, text, marked): the matches among the parts, every second one, with their starts."""
+
+    def one(e: Column) -> Column:
+        parts, text = e["parts"], e["text"]
         odd = F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2))
-        at = scan(F.transform(parts, lambda x: F.length(x)))
-        return F.when(F.size(parts) > 2, let(at, lambda s: F.transform(odd, lambda i: F.struct(F.get(s, i).alias("start"), F.get(parts, i).alias("surface"))))).otherwise(nothing)
 
-    found = let(F.when(text.contains(MARK), zipped).otherwise(marked), placed)
-    return F.coalesce(found if guard is None else F.when(guard, found), nothing)
+        def found(starts: Column) -> Column:
+            surface = lambda i: F.when(e["marked"], F.substring(text, F.get(starts, i) + 1, F.length(F.get(parts, i)))).otherwise(F.get(parts, i))
+            return F.transform(odd, lambda i: F.struct(F.get(starts, i).alias("start"), surface(i).alias("surface")))
+
+        some = let(scan(F.transform(parts, lambda x: F.length(x))), found)
+        return F.when(F.size(parts) > 2, some).otherwise(F.array().cast(_FOUND))
+
+    return F.transform(F.array(*entries), one)
+
+
+def matches(text: Column, pattern: str | Column, guard: Column | None = None) -> Column:
+    """(start, surface) of every match of a regular expression, by one search: matches are marked, the marked
+    text is split, and a match starts where all parts before it end. ``guard``, a cheap test, spares texts that
+    can't match."""
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    parts = F.split(F.regexp_replace(F.translate(text, MARK, STAND_IN), p, F.lit(f"{MARK}$0{MARK}")), MARK, -1)
+    entry = F.struct((parts if guard is None else F.when(guard, parts)).alias("parts"), text.alias("text"), text.contains(MARK).alias("marked"))
+    finder = _FINDER.get()
+    if finder is not None and isinstance(pattern, str):
+        return finder.add(entry)
+    return F.element_at(_placed([entry]), 1)
 
 
 def pattern_spans(text: Column, pattern: str, entity: str, score: float | Callable[[Column], Column], keep: Callable[[Column], Column] | None = None, part: str | None = None, guard: Column | None = None) -> Column:

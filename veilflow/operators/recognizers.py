@@ -112,10 +112,11 @@ def postal(text: Column) -> Column:
 def phone(text: Column) -> Column:
     """Finnish numbers in nine shapes, and broader runs of digits after a label; the longer of overlapping ones."""
     plain = F.translate(text, "   ", "   ")
-    found = [pattern_spans(plain, p, "PHONE_NUMBER", 0.90, S.plausible_phone) for p in PHONES]
-    found.append(pattern_spans(plain, PHONE_LABEL + PHONE_AFTER + "(?![0-9])", "PHONE_NUMBER", 0.90, lambda s: S.plausible_phone(s, True), part=f"^({PHONE_LABEL})({PHONE_AFTER})$"))
-    own = F.transform(longest(F.concat(*found)), lambda x: span("PHONE_NUMBER", x["start"], x["end"], x["score"], F.substring(text, x["start"] + 1, x["end"] - x["start"])))
-    return F.when(text.rlike("[0-9].*[0-9]|[0-9]\\s"), own).otherwise(none())
+    guard = text.rlike("[0-9].*[0-9]|[0-9]\\s")
+    shapes = F.filter(F.concat(*[matches(plain, p, guard) for p in PHONES]), lambda m: S.plausible_phone(m["surface"]))
+    found = F.transform(shapes, lambda m: span("PHONE_NUMBER", m["start"], m["start"] + F.length(m["surface"]), 0.90, m["surface"]))
+    labelled = pattern_spans(plain, PHONE_LABEL + PHONE_AFTER + "(?![0-9])", "PHONE_NUMBER", 0.90, lambda s: S.plausible_phone(s, True), part=f"^({PHONE_LABEL})({PHONE_AFTER})$", guard=guard)
+    return F.transform(longest(F.concat(found, labelled)), lambda x: span("PHONE_NUMBER", x["start"], x["end"], x["score"], F.substring(text, x["start"] + 1, x["end"] - x["start"])))
 
 
 def url(text: Column) -> Column:
@@ -241,13 +242,17 @@ def person(text: Column) -> Column:
     return F.array_distinct(F.concat(pairs, labelled))
 
 
-def _place(m: Column, score: float) -> Column:
+def _scored(found: Column, score: float) -> Column:
+    return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["surface"].alias("surface"), F.lit(score).alias("score")))
+
+
+def _place(m: Column, score: Column | float) -> Column:
     """Postcode and city spans of a match that ends in ``12345 City``; a city that is none leaves the postcode at nine tenths."""
     tail = F.regexp_extract(m["surface"], rf"[0-9]{{5}}{GAP}{CITY}$", 0)
     at = m["start"] + F.length(m["surface"]) - F.length(tail)
     city = F.regexp_extract(tail, rf"({CITY})$", 1)
     city_at = m["start"] + F.length(m["surface"]) - F.length(city)
-    ok = S.plausible_city(city)
+    ok, score = S.plausible_city(city), F.lit(score)
     code = span("FI_POSTAL_CODE", at, at + 5, F.when(ok, score).otherwise(score * 0.9), F.substring(tail, 1, 5))
     return F.when(ok, F.array(code, span("CITY", city_at, city_at + F.length(city), score, city))).otherwise(F.array(code))
 
@@ -258,14 +263,12 @@ def address(text: Column) -> Column:
     five, house, kind = text.rlike("[0-9]{5}"), text.rlike(SUFFIX + "|" + SUFFIX.replace("(?:", "(?i:", 1)), text.rlike(r"[a-z][ \t\n]+" + EN_KIND)
     head = rf"(?s)^(.*?{HOUSE})\s*,\s*[0-9]{{5}}{GAP}{CITY}$"
 
-    def whole(score: float) -> Callable[[Column], Column]:
-        def parts(m: Column) -> Column:
-            street = F.regexp_extract(m["surface"], head, 1)
-            return F.concat(F.array(span("STREET", m["start"], m["start"] + F.length(street), score, street)), _place(m, score))
-
-        return parts
+    def whole(m: Column) -> Column:
+        street = F.regexp_extract(m["surface"], head, 1)
+        return F.concat(F.array(span("STREET", m["start"], m["start"] + F.length(street), m["score"], street)), _place(m, m["score"]))
 
-    out = [F.flatten(F.transform(matches(text, pattern, five), whole(score))) for pattern, score in ((FI_FULL, 0.96), (FI_LOOSE, 0.94))]
+    scored = [_scored(matches(text, pattern, five), score) for pattern, score in ((FI_FULL, 0.96), (FI_LOOSE, 0.94))]
+    out = [F.flatten(F.transform(F.concat(*scored), whole))]
 
     def english(m: Column) -> Column:
         street = F.regexp_extract(m["surface"], rf"^([0-9]{{1,5}}[A-Za-z]?[ \t]+{EN_NAME})[ \t]*,", 1)
@@ -290,9 +293,9 @@ def address(text: Column) -> Column:
         return F.when(own.isNotNull(), both).otherwise(none())
 
     out.append(let(cities, lambda cs: F.concat(F.flatten(F.transform(cs, claims)), F.flatten(F.transform(cs, lambda p: _place(p, 0.91))))))
-    for pattern, guard in zip(STREETS_ALONE, (house, house, kind)):
-        alone = pattern_spans(text, pattern, "STREET", 0.85, guard=guard, keep= lambda s: (F.length(F.trim(s)) >= 5) & ~S.fold(F.trim(s)).isin("katu", "tie", "street", "road", "kierto"))
-        out.append(alone)
+    alone = F.concat(*[matches(text, pattern, guard) for pattern, guard in zip(STREETS_ALONE, (house, house, kind))])
+    alone = F.filter(alone, lambda m: (F.length(F.trim(m["surface"])) >= 5) & ~S.fold(F.trim(m["surface"])).isin("katu", "tie", "street", "road", "kierto"))
+    out.append(F.transform(alone, lambda m: span("STREET", m["start"], m["start"] + F.length(m["surface"]), 0.85, m["surface"])))
     priority = lambda t: F.when(t == "LOCATION", 1).otherwise(3)
     return merge(F.concat(*out), priority, typed_only=True)
 

@@ -14,36 +14,56 @@ def numbered(spans: Column, registry: Registry | None = None) -> Column:
     """Spans left to right, each with label, norm, number and placeholder. Within a label, equal normal
     forms share a number, and numbers follow first appearance."""
     registry = registry or Registry()
-    rich = F.transform(in_order(spans), lambda x: F.struct(x["entity_type"].alias("entity_type"), x["start"].alias("start"), x["end"].alias("end"), x["score"].alias("score"), x["surface"].alias("surface"), registry.label_column(x["entity_type"]).alias("label"), S.entity_norm(x["surface"]).alias("norm")))
+    fields = ("entity_type", "start", "end", "score", "surface")
+    named = F.transform(in_order(spans), lambda x: F.struct(*[x[c].alias(c) for c in fields], registry.label_column(x["entity_type"]).alias("label"), S.entity_norm(x["surface"]).alias("norm")))
+    rich = F.transform(named, lambda x: F.struct(*[x[c].alias(c) for c in (*fields, "label", "norm")], F.xxhash64(x["label"], x["norm"]).alias("key")))
     return let(rich, _numbered)
 
 
 def _numbered(rich: Column) -> Column:
-    keys = F.array_distinct(F.transform(rich, lambda x: F.struct(x["label"].alias("label"), x["norm"].alias("norm"))))
+    """The entities of a label are numbered by 64-bit keys, whose distinct values are told by a hash set."""
+    labels = F.array_distinct(F.transform(rich, lambda x: x["label"]))
 
-    def number(x: Column, keys: Column) -> Column:
-        own = F.filter(keys, lambda k: k["label"] == x["label"])
-        return F.array_position(F.transform(own, lambda k: k["norm"]), x["norm"]).cast("int")
+    def entities(label: Column) -> Column:
+        keys = F.transform(F.filter(rich, lambda x: x["label"] == label), lambda x: x["key"])
+        return F.struct(label.alias("label"), F.array_distinct(keys).alias("keys"))
 
-    return let(keys, lambda keys: F.transform(rich, lambda x: F.struct(*[x[c].alias(c) for c in ("entity_type", "start", "end", "score", "surface", "label", "norm")], number(x, keys).alias("number"), F.concat(F.lit("["), x["label"], F.lit("_"), number(x, keys).cast("string"), F.lit("]")).alias("placeholder"))))
+    def with_number(x: Column, own: Column) -> Column:
+        keys = F.element_at(F.filter(own, lambda o: o["label"] == x["label"]), 1)["keys"]
+        return F.struct(*[x[c].alias(c) for c in ("entity_type", "start", "end", "score", "surface", "label", "norm")], F.array_position(keys, x["key"]).cast("int").alias("number"))
+
+    def with_name(x: Column) -> Column:
+        return F.struct(*[x[c].alias(c) for c in ("entity_type", "start", "end", "score", "surface", "label", "norm", "number")], F.concat(F.lit("["), x["label"], F.lit("_"), x["number"].cast("string"), F.lit("]")).alias("placeholder"))
+
+    return let(F.transform(labels, entities), lambda own: F.transform(F.transform(rich, lambda x: with_number(x, own)), with_name))
 
 
 def rewritten(text: Column, hits: Column, style: str = "placeholder") -> Column:
-    """The text with placeholders for spans, or (``remove``) without them and the gaps they leave."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with placeholders for spans, or (``remove``) without them and the gaps they leave. Spans must not
+    overlap and come in order; what lies between them is joined at once. Parts of ASCII texts are taken by byte, so
+    the time doesn't depend on where they lie."""
+    tag = (lambda h: F.lit("")) if style == "remove" else (lambda h: h["placeholder"])
+
+    def whole(v: Column) -> Column:
+        def part(first: Column, size: Column) -> Column:
+            return F.when(v["ascii"], F.substring(v["bytes"], first + 1, size).cast("string")).otherwise(F.substring(text, first + 1, size))
+
+        def piece(h: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.get(hits, i - 1)["end"])
+            return F.concat(part(before, h["start"] - before), tag(h))
 
-    def add(acc: Column, x: Column) -> Column:
-        new = F.lit("") if style == "remove" else x["placeholder"]
-        return F.struct(x["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), new).alias("out"))
+        return F.concat(F.array_join(F.transform(hits, piece), ""), part(F.element_at(hits, -1)["end"], F.length(text)))
 
-    done = F.aggregate(hits, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    done = let(F.struct(text.cast("binary").alias("bytes"), (F.octet_length(text) == F.length(text)).alias("ascii")), whole)
     out = F.when(F.size(hits) == 0, text).otherwise(done)
     return S.close_gaps(out) if style == "remove" else out
 
 
 def mapping(hits: Column) -> Column:
     """Entries (placeholder, original): the surface seen first stands for its entity."""
-    return F.array_distinct(F.transform(hits, lambda h: F.struct(h["placeholder"].alias("placeholder"), F.element_at(F.filter(hits, lambda o: o["placeholder"] == h["placeholder"]), 1)["surface"].alias("original"))))
+    names = F.transform(hits, lambda h: F.xxhash64(h["placeholder"]))
+    first = let(names, lambda keys: F.filter(hits, lambda h, i: F.array_position(keys, F.xxhash64(h["placeholder"])) == i + 1))
+    return F.transform(first, lambda h: F.struct(h["placeholder"].alias("placeholder"), h["surface"].alias("original")))
 
 
 def entity_counts(docs: DataFrame, hits: str = "hits", *keys: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.spans import SPANS, merge, none, pattern_spans
+from ..functions.spans import SPANS, collecting, merge, none, pattern_spans
 from ..operators import blocks as B
 from ..operators import filters as X
 from ..operators import language as L
@@ -57,7 +57,9 @@ def analyze(docs: DataFrame, cfg: Config = Config(), text_col: str = "text") ->
     if not wanted:
         return out.withColumn("spans", none())
     t, priority = F.col("clean_text"), cfg.registry.priority_column
-    out = out.withColumn("spans", (merge(raw_spans(t, cfg), priority)))
+    with collecting("_found") as finder:
+        raw = raw_spans(t, cfg)
+    out = out.withColumn("_found", finder.column()).withColumn("spans", merge(raw, priority)).drop("_found")
     out = out.withColumn("spans", (X.drop_noisy(t, X.drop_false_positives(t, X.drop_field_labels(t, F.col("spans")), cfg.lexicon))))
     if "ORG" in wanted:
         # most documents name no company by its legal form, and are spared the second pass
