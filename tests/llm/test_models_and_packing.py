@@ -67,6 +67,24 @@ def test_lm_empty_and_untaught(docs):
     assert rows[0]["held_out"] and rows[0]["train_tokens"] == 0 and rows[0]["base_score"] == 0.0
 
 
+def test_words_of_long_texts_in_windows(monkeypatch):
+    from veilflow.llm import common
+
+    rng = random.Random(2)
+    texts = ["", " ", "a" * 700, "".join(rng.choices("ab  \n\u00e9", k=3000)), "x y", " ".join(rng.choices(["Ab", "\u4e2d", "c" * 90], k=400))]
+    data, places = common.text_bytes(common.filled(common.pa.array(texts)))
+    whole = common.words(data, places)
+    monkeypatch.setattr(common, "_WINDOW", 64)
+    parts = common.words(data, places)
+    assert all((x == y).all() for x, y in zip(whole, parts)) and len(whole[0]) == sum(len(t.encode().split()) for t in texts)
+
+
+def test_lm_scores_of_a_long_text(docs):
+    rows = [(i, "the cat sat on the mat") for i in range(20)] + [(100, " ".join(f"w{i % 5000}" for i in range(400_000)))]
+    got = {r["doc_id"]: r for r in lm.score(docs(rows, True)).collect()}
+    assert got[100]["n_tokens"] == 400_001 and math.isfinite(got[100]["score"]) and len(got) == 21
+
+
 def test_lookup_finds_every_key():
     keys = np.random.default_rng(1).integers(0, 1 << 63, 50_000, dtype=np.uint64)
     keys[1000:2000] = keys[:1000] + np.uint64(1 << 63)  # equal low bits
