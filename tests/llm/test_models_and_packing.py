@@ -26,29 +26,29 @@ def test_lm_scores(docs):
 
 
 def test_lm_is_a_distribution():
-    """After any context the probabilities of all words with a place of their own and of all shared places sum to one."""
+    """After any context the probabilities of all words with a place of their own and of all tail classes sum to one."""
     rng = np.random.default_rng(0)
     for words in (59, 5000):
-        v = lm.Vocabulary(np.arange(1, words + 1, dtype=np.uint64), np.arange(words, 0, -1), 5, np.zeros(lm.TAIL_PLACES))
+        v = lm.Vocabulary(np.arange(1, words + 1, dtype=np.uint64), np.arange(words, 0, -1), 5, np.zeros(lm.TAILS))
         w = lm.Weights(rng.normal(size=lm.new_table(256).shape).astype(np.float32))
-        places = np.r_[np.arange(v.n_items), lm.HEAD_WORDS + np.arange(lm.TAIL_PLACES)]
+        places = np.r_[lm.dealt(np.arange(v.n_items)), lm.HEAD_WORDS + np.arange(lm.TAILS)]
         f = np.tile(rng.integers(0, 1 << 63, (lm.FEATURES, 1), dtype=np.uint64), (1, len(places)))
         p = np.ones(len(places))
-        for z, total, member, _ in lm.forward(w, v, f, places):
-            p *= z[np.arange(len(places)), member] / total
+        for tokens, z, total, member, _ in lm.forward(w, v, f, places):
+            p[tokens] *= z[np.arange(len(tokens)), member] / total
         assert abs(p.sum() - 1) < 1e-4
 
 
-def test_lm_shares_of_a_place_sum_to_one(spark):
-    """Known words of a shared place by their counts, and one unknown word, have its whole probability."""
-    rows = [(i, i % lm.TAIL_PLACES if i < 3000 else 7, 1 + 4000 // (i + 1)) for i in range(6000)]
+def test_lm_shares_of_a_class_sum_to_one(spark):
+    """Known words of a tail class by their counts, and one unknown word, have its whole probability."""
+    rows = [(i, i % lm.TAILS if i < 3000 else 7, 1 + 4000 // (i + 1)) for i in range(6000)]
     counts = spark.createDataFrame([*rows, (int(lm.END.view(np.int64)), 0, 9)], "h long, tail int, c long")
     v, n, kinds = lm.vocabulary(counts)
     heads = {int(k) for k in v.keys[: v.n_items - 1]}
     assert n == sum(r[2] for r in rows) + 9 and kinds == 6001 and v.n_items == lm.HEAD_WORDS
-    for place in (0, 7, 100):
-        own = [c for h, t, c in rows if t == place and h not in heads]
-        assert abs((sum(c + 0.1 for c in own) + 0.1) / 10 ** v.tail_mass[place] - 1) < 1e-9
+    for tail in range(lm.TAILS):
+        own = [c for h, t, c in rows if t == tail and h not in heads]
+        assert abs((sum(c + 0.1 for c in own) + 0.1) / 10 ** v.tail_mass[tail] - 1) < 1e-9
 
 
 def test_lm_gains_from_contexts_held_out(docs):

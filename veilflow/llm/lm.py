@@ -1,11 +1,11 @@
 """Language-model scoring by a hashed maximum-entropy model.
 
 The next token depends on hashed features of the words before it: the last word, the last two, a skip to the
-second last, and the classes of the last three. The softmax is factored by class, in three levels of
-16: a class, a group in it and a place in the group. In the first HEADS classes a place is a frequent word;
-all other words share the places of the other classes, told by their last letters and their hash, and
-share a place by smoothed counts - so every word, known or not, has a probability, and all of them sum to
-one. Weights are learnt by rounds of distributed gradient updates: a task follows the gradient over its own
+second last, and the classes of the last three by their last letters. The softmax is factored by class: a class of
+32, and in the first HEADS classes, of frequent words, a group of 16 and a word of 16 in the group. All
+other words belong to classes told by their last letters, and share their class by smoothed counts - so
+every word, known or not, has a probability, and all of them sum to one. (Places of rare words told by
+hashes, learnt like those of frequent ones, made held-out texts likelier by less.) Weights are learnt by rounds of distributed gradient updates: a task follows the gradient over its own
 documents of the round from the common weights, and the changes are averaged by token. Every training
 document is in one round. The weight table grows with the square root of the training tokens, and the
 tasks that learn do as well, so that what they exchange grows in step with the input.
@@ -24,18 +24,20 @@ from pyspark.sql import functions as F
 
 from .common import BYTE_KEYS, LOWER_KEYS, cut, drop_table, filled, lean, mix, steps, text_bytes, train_rows, words
 
-#: Members of a softmax. Classes whose places are single frequent words (END is one of them), and of all other words.
-SLOTS, HEADS, TAILS = 16, 8, 8
+#: Members of a softmax within a class. Classes of frequent words (END is one of them), and of all other words.
+SLOTS, HEADS, TAILS = 16, 8, 24
 CLASSES = HEADS + TAILS
 GROUP = SLOTS * SLOTS
-#: Words with a place of their own, and places that all other words share.
-HEAD_WORDS, TAIL_PLACES = HEADS * GROUP, TAILS * GROUP
+#: Words that a softmax of their own class tells apart; the places of all other words follow, one a class.
+HEAD_WORDS = HEADS * GROUP
+#: Classes of words by their last two letters, for the history.
+ENDINGS = 30
 #: Features of a token, and columns of the weight table: one softmax of each level.
 FEATURES, WIDTH = 4, CLASSES + 2 * SLOTS
-#: Rows of the hashed weight table that features share: least and most (50 MB).
-LEAST_ROWS, MOST_ROWS = 1 << 12, 1 << 18
+#: Rows of the hashed weight table that features share: least and most (67 MB).
+LEAST_ROWS, MOST_ROWS = 1 << 13, 1 << 18
 #: Training tokens for each row and task that a task sees in a round at least.
-TOKENS_PER_ROW = 64
+TOKENS_PER_ROW = 32
 #: Words that are sent to every task at most.
 FREQUENT = 1 << 17
 ROUNDS, STEP_TOKENS, RATE = 4, 16384, 0.5
@@ -44,16 +46,17 @@ _SALTS = mix(np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def table_rows(tokens: int) -> int:
-    """Rows of the weight table for so many training tokens: a power of two near the root of eight times as many."""
-    return int(min(max(1 << int(np.log2(max(8 * tokens, 1)) / 2), LEAST_ROWS), MOST_ROWS))
+    """Rows of the weight table for so many training tokens: a power of two near the root of 128 times as many."""
+    return int(min(max(1 << int(np.log2(max(128 * tokens, 1)) / 2), LEAST_ROWS), MOST_ROWS))
 
 
 @dataclass
 class Tokens:
-    """Tokens of some texts, each text closed by END: hash, place among the tails, text, place in it."""
+    """Tokens of some texts, each text closed by END: hash, tail class and class for the history by the last letters, text, place in it."""
 
     h: np.ndarray
     tail: np.ndarray
+    ending: np.ndarray
     text: np.ndarray
     first: np.ndarray  # index of the first token of each token's text
 
@@ -65,14 +68,15 @@ def tokenize(data: np.ndarray, places: np.ndarray) -> Tokens:
     starts = np.r_[0, np.cumsum(count + 1)[:-1]]
     total = int(count.sum()) + n
     at = np.arange(len(h)) + text
-    hash_, tail = np.full(total, END), np.zeros(total, np.int16)
+    hash_, tail, ending = np.full(total, END), np.zeros(total, np.int8), np.full(total, ENDINGS, np.int8)
     hash_[at] = h
     if len(h):
         last, before = data[b - 1], np.where(b - a > 1, data[np.maximum(b - 2, 0)], 0)
-        letters = mix(LOWER_KEYS[last] ^ (LOWER_KEYS[before] << np.uint64(1))) % np.uint64(TAILS)
-        tail[at] = (letters * np.uint64(GROUP) + (h >> np.uint64(40)) % np.uint64(GROUP)).astype(np.int16)
+        letters = mix(LOWER_KEYS[last] ^ (LOWER_KEYS[before] << np.uint64(1)))
+        ending[at] = (letters >> np.uint64(8)) % np.uint64(ENDINGS)
+        tail[at] = letters % np.uint64(TAILS)
     texts = np.repeat(np.arange(n), count + 1)
-    return Tokens(hash_, tail, texts, starts[texts])
+    return Tokens(hash_, tail, ending, texts, starts[texts])
 
 
 class Lookup:
@@ -109,6 +113,12 @@ class Lookup:
         return out
 
 
+def dealt(rank: np.ndarray) -> np.ndarray:
+    """Places of words by rank, dealt out in turn to classes, then to groups: all have about the same mass, and the
+    most frequent words are told apart by the first levels."""
+    return rank % HEADS * GROUP + rank // HEADS % SLOTS * SLOTS + rank // (HEADS * SLOTS)
+
+
 @dataclass
 class Vocabulary:
     """What tasks need of the counts. ``keys`` are the frequent words by falling count."""
@@ -116,7 +126,7 @@ class Vocabulary:
     keys: np.ndarray
     counts: np.ndarray
     ends: int  # training documents
-    tail_mass: np.ndarray  # log10 of N_k + 0.1 (V_k + 1) for each place of the tails
+    tail_mass: np.ndarray  # log10 of N_k + 0.1 (V_k + 1) for each tail class
 
     def __post_init__(self):
         # END takes the place among the tokens with weights that its count gives it
@@ -125,13 +135,15 @@ class Vocabulary:
         self.end_item = min(int(np.searchsorted(-self.counts, -self.ends)), self.n_items - 1)
         # without features a place has its share of the counts: biases are logarithms of these
         items = np.insert(self.counts[: self.n_items - 1].astype(float), self.end_item, self.ends) + 0.1
-        mass = np.r_[items, np.zeros(HEAD_WORDS - self.n_items), 10.0**self.tail_mass].reshape(CLASSES, SLOTS, SLOTS)
+        mass = np.zeros(HEAD_WORDS)
+        mass[dealt(np.arange(self.n_items))] = items
+        mass = mass.reshape(HEADS, SLOTS, SLOTS)
 
         def log(m):
             share = m / np.maximum(m.sum(axis=-1, keepdims=True), 1e-30)
             return np.where(m > 0, np.log(np.maximum(share, 1e-30)), -80).astype(np.float32)
 
-        self.bias = log(mass.sum((1, 2))), log(mass.sum(2)), log(mass.reshape(-1, SLOTS))
+        self.bias = log(np.r_[mass.sum((1, 2)), 10.0**self.tail_mass]), log(mass.sum(2)), log(mass.reshape(-1, SLOTS))
 
     def __getstate__(self):
         return self.keys, self.counts, self.ends, self.tail_mass
@@ -140,17 +152,17 @@ class Vocabulary:
         self.__init__(*state)
 
     def code(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Index of each token among the frequent words (-1: not there, -2: END), its place, whether others share it."""
+        """Index of each token among the frequent words (-1: not there, -2: END), its place, whether it is in a tail class."""
         index = self.lookup(t.h)
         end = t.h == END
         index[end] = -2
         item = np.where(index >= self.end_item, index + 1, index)
         item[end] = self.end_item
         head = (item >= 0) & (item < self.n_items)
-        return index, np.where(head, item, HEAD_WORDS + t.tail).astype(np.int64), ~head
+        return index, np.where(head, dealt(item), HEAD_WORDS + t.tail.astype(np.int64)), ~head
 
 
-def features(t: Tokens, place: np.ndarray, a: int, b: int) -> np.ndarray:
+def features(t: Tokens, a: int, b: int) -> np.ndarray:
     """Hashes of the features of tokens a to b: FEATURES x tokens."""
     at = np.arange(a, b)
 
@@ -159,10 +171,9 @@ def features(t: Tokens, place: np.ndarray, a: int, b: int) -> np.ndarray:
         return np.where(j >= t.first[a:b], values[np.maximum(j, 0)], none)
 
     one, two = (back(t.h, k, _SALTS[k]) for k in (1, 2))
-    node = place // SLOTS
-    n1, n2, n3 = (back(node, k, CLASSES * SLOTS).astype(np.uint64) for k in (1, 2, 3))
+    e1, e2, e3 = (back(t.ending, k, ENDINGS + 1).astype(np.uint64) for k in (1, 2, 3))
     s = _SALTS
-    return np.stack([mix(one + s[11]), mix(one * s[12] + two + s[13]), mix(two + s[14]), mix((n1 * np.uint64(512) + n2) * np.uint64(32) + n3 // np.uint64(SLOTS) + s[16])])
+    return np.stack([mix(one + s[11]), mix((e1 * np.uint64(64) + e2) * np.uint64(64) + e3 + s[16]), mix(one * s[12] + two + s[13]), mix(two + s[14])])
 
 
 class Weights:
@@ -190,31 +201,34 @@ def _exps(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def forward(w: Weights, v: Vocabulary, f: np.ndarray, place: np.ndarray):
-    """For each level (weights of its members, their sum, the token's member, rows of its features). The history
-    of classes, the last feature, tells classes apart; groups and places go by the words before."""
-    cls, node = place // GROUP, place // SLOTS
-    wide = np.uint64(w.rows - 1)
-    for level, own, member in ((0, None, cls), (1, cls, node % SLOTS), (2, node, place % SLOTS)):
+    """For each level (tokens that have it, weights of its members, their sum, the token's member, rows of its
+    features). The skip, the last feature, tells classes apart, the two last words groups as well; words go by the
+    last word and the history."""
+    wide, all_ = np.uint64(w.rows - 1), np.arange(len(place))
+    heads = np.flatnonzero(place < HEAD_WORDS)
+    cls = np.where(place < HEAD_WORDS, place // GROUP, place - HEAD_WORDS + HEADS)
+    own = place[heads]
+    for level, tokens, node, member in ((0, all_, None, cls), (1, heads, own // GROUP, own // SLOTS % SLOTS), (2, heads, own // SLOTS, own % SLOTS)):
         table = w.levels[level]
         if level:
-            rows = ((f[:-1] >> np.uint64(20 * level)) + (own.astype(np.uint64) * np.uint64(0x9E3779B1)) & wide).astype(np.int32)
-            z = np.take(v.bias[level], own, axis=0)
+            rows = ((f[: FEATURES - level, heads] >> np.uint64(20 * level)) + (node.astype(np.uint64) * np.uint64(0x9E3779B1)) & wide).astype(np.int32)
+            z = np.take(v.bias[level], node, axis=0)
         else:
             rows = (f & wide).astype(np.int32)
             z = np.tile(v.bias[0], (len(place), 1))
         for r in rows:
             z += np.take(table, r, axis=0)
-        yield *_exps(z), member, rows
+        yield tokens, *_exps(z), member, rows
 
 
 def log_probs(w: Weights, v: Vocabulary, t: Tokens, place: np.ndarray) -> np.ndarray:
-    """log10 of each token's place: of its class, its group in the class and its place in the group."""
+    """log10 of each token's class, and of its group and place in it where it has one."""
     out = np.empty(len(place))
     for a in range(0, len(place), STEP_TOKENS):
         b = min(a + STEP_TOKENS, len(place))
-        at, p = np.arange(b - a), np.ones(b - a)
-        for z, total, member, _ in forward(w, v, features(t, place, a, b), place[a:b]):
-            p *= z[at, member] / total
+        p = np.ones(b - a)
+        for tokens, z, total, member, _ in forward(w, v, features(t, a, b), place[a:b]):
+            p[tokens] *= z[np.arange(len(tokens)), member] / total
         out[a:b] = np.log10(np.maximum(p, 1e-30))
     return out
 
@@ -249,11 +263,10 @@ class Trainer:
         _, place, _ = self.v.code(t)
         for a in range(0, len(place), STEP_TOKENS):
             b = min(a + STEP_TOKENS, len(place))
-            at = np.arange(b - a)
-            for level, (z, total, member, rows) in enumerate(forward(self.w, self.v, features(t, place, a, b), place[a:b])):
+            for level, (tokens, z, total, member, rows) in enumerate(forward(self.w, self.v, features(t, a, b), place[a:b])):
                 z /= total[:, None]
-                z[at, member] -= 1
-                for r in rows:
+                z[np.arange(len(tokens)), member] -= 1
+                for r in rows if len(tokens) else ():
                     _push(self.w.levels[level], self.seen[level], r, z)
         self.n += len(place)
 
@@ -309,17 +322,17 @@ def vocabulary(counts: DataFrame) -> tuple[Vocabulary, int, int]:
     level = F.floor(F.log2("c") * 4).cast("int")
     levels = counts.groupBy(level.alias("level")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).toPandas().sort_values("level", ascending=False)
     if not len(levels):
-        return Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, np.full(TAIL_PLACES, -1.0)), 0, 0
+        return Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, np.full(TAILS, -1.0)), 0, 0
     ok = levels.v.cumsum() <= FREQUENT
     least = int(levels.level[ok].min()) if ok.any() else int(levels.level.max()) + 1
     top = counts.where((level >= least) | (F.col("h") == end)).toPandas().sort_values(["c", "h"], ascending=[False, True])
     ends = int(top.c[top.h == end].sum())
     top = top[top.h != end]
-    by_place = counts.where(F.col("h") != end).groupBy("tail").agg(F.count("*").alias("v"), F.sum("c").alias("n")).toPandas().set_index("tail")
-    v = Vocabulary(top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64), ends, np.zeros(TAIL_PLACES))
+    by_class = counts.where(F.col("h") != end).groupBy("tail").agg(F.count("*").alias("v"), F.sum("c").alias("n")).toPandas().set_index("tail")
+    v = Vocabulary(top.h.to_numpy(np.int64).view(np.uint64), top.c.to_numpy(np.int64), ends, np.zeros(TAILS))
     heads = top.iloc[: v.n_items - 1].groupby("tail").c.agg(["count", "sum"])
-    n, kinds = np.zeros(TAIL_PLACES), np.zeros(TAIL_PLACES)
-    n[by_place.index], kinds[by_place.index] = by_place.n, by_place.v
+    n, kinds = np.zeros(TAILS), np.zeros(TAILS)
+    n[by_class.index], kinds[by_class.index] = by_class.n, by_class.v
     n[heads.index] -= heads["sum"]
     kinds[heads.index] -= heads["count"]
     v.tail_mass = np.log10(n + 0.1 * (kinds + 1))
