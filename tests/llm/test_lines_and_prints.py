@@ -240,7 +240,10 @@ def skewed():
     return texts
 
 
-def test_minhash_near_duplicates_in_skewed_buckets(docs):
+@pytest.mark.parametrize("few", [1 << 22, 0])
+def test_minhash_near_duplicates_in_skewed_buckets(docs, monkeypatch, few):
+    """With counts of shingles in the tasks, and with sets taken apart and joined."""
+    monkeypatch.setattr(minhash, "FEW", few)
     texts = skewed()
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs(list(enumerate(texts)), True)).collect()}
     want = brute_groups(texts)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from .common import cut, drop_table, few, filled, lean, mix, steps, text_bytes, words
+from .common import FEW, cut, drop_table, few, filled, lean, mix, steps, text_bytes, words
 from .graph import components
 
 #: Permutations, words of a shingle, and bytes of a band (rows of a banded signature).
@@ -226,13 +226,57 @@ def _grouped(keyed: DataFrame, key: str, roots: DataFrame) -> DataFrame:
     return cut(own.join(split, key))
 
 
+def _counter(batches):
+    """(s, df): how many sets of a task hold each shingle."""
+    held = (np.zeros(0, np.int32), np.zeros(0, np.int64))
+    for batch in batches:
+        own, n = np.unique(batch.column("set").flatten().to_numpy(), return_counts=True)
+        both, at = np.unique(np.r_[held[0], own], return_inverse=True)
+        held = both, np.bincount(at, weights=np.r_[held[1], n]).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(held[0], pa.int32()), pa.array(held[1])], ["s", "df"])
+
+
+def _parts_asked(n, similarity: float):
+    """How many of a set's n rarest shingles ask, and how many of them stand."""
+    t = similarity - 1e-9
+    return n - np.ceil(t * n) + 1, n - np.ceil(2 * t / (1 + t) * n) + 1
+
+
+def _rarest(shared, similarity: float):
+    def run(batches):
+        known, count = shared.value
+        for batch in batches:
+            out = []
+            for th, own in zip(batch.column("th").to_pylist(), batch.column("set")):
+                s = own.values.to_numpy()
+                df = np.ones(len(s), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    df = np.where(known[at] == s, count[at], 1)
+                order = np.lexsort((s, mix(s.astype(np.int64).view(np.uint64)), df))
+                asks, stands = _parts_asked(len(s), similarity)
+                rank = np.flatnonzero(df[order[: int(asks)]] > 1)
+                out.append((s[order[rank]], np.full(len(rank), th), np.full(len(rank), len(s)), rank + 1, rank + 1 <= stands))
+            if out:
+                s, th, n, rank, stands = (np.concatenate(x) for x in zip(*out))
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int32()), pa.array(th, pa.int64()), pa.array(n, pa.int32()), pa.array(rank, pa.int32()), pa.array(np.ones(len(s), bool)), pa.array(stands)], ["s", "th", "n", "rank", "asks", "stands"])
+
+    return run
+
+
 def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     """(s, th, n, rank, asks, stands): the rare shingles of each set by which similar sets are sure to meet.
 
     With shingles in one order, the rarest first, the larger of two sets that are similar enough holds in its
-    first n - ceil(t n) + 1 one of the first n - ceil(2t / (1 + t) n) + 1 of the smaller."""
+    first n - ceil(t n) + 1 one of the first n - ceil(2t / (1 + t) n) + 1 of the smaller. How often the shared ones
+    are found is sent to the tasks up to FEW of them; beyond, sets are taken apart and joined."""
+    held = cut(sets.select("set").mapInArrow(lean(_counter), "s int, df long").groupBy("s").agg(F.sum("df").alias("df")).where("df > 1"))
+    if held.limit(FEW + 1).count() <= FEW:
+        table = held.toArrow()
+        order = np.argsort(table["s"].to_numpy())
+        shared = sets.sparkSession.sparkContext.broadcast((table["s"].to_numpy()[order], table["df"].to_numpy()[order]))
+        return cut(sets.select("th", "set").mapInArrow(lean(_rarest(shared, similarity)), "s int, th long, n int, rank int, asks boolean, stands boolean"))
     flat = sets.select("th", F.size("set").alias("n"), F.explode("set").alias("s"))
-    held = cut(flat.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
     rank = F.row_number().over(Window.partitionBy("th").orderBy("df", F.xxhash64("s"), "s"))
     ranked = flat.join(held, "s", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("rank", rank).where("df > 1")
     t = F.lit(similarity - 1e-9)
