@@ -16,30 +16,40 @@ from veilflow.llm.queries import byte_bpe
 ORACLE_SQL = None  # the stages hold models, tokens and searches that SQL can't express
 
 
+def _aside(docs: DataFrame, *names: str) -> DataFrame:
+    """``docs`` with its own columns of these names, which an operator uses too, under other ones."""
+    return docs.withColumnsRenamed({c: f"__own_{c}" for c in names if c in docs.columns})
+
+
+def _back(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[F.col(f"`__own_{c}`" if f"__own_{c}" in rows.columns else f"`{c}`").alias(c) for c in columns])
+
+
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the documents that the rule ensemble holds for low quality (score under 0.5). Labels are
     learned as in the query of its own: rows with crc32(doc_id) mod 3 = 1 are held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    scored = quality.classify(docs, labels)
-    return scored.where("predicted = 1").select(*docs.columns)
+    scored = quality.classify(_aside(docs, "held_out", "score", "predicted"), labels)
+    return _back(scored.where("predicted = 1"), docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take out lines that ten documents or more hold; n_chars is counted again."""
-    return linededup.rewrite(docs, min_documents=10, min_chars=1)
+    return _back(linededup.rewrite(_aside(docs, "__gone", "__line_id", "__line_th"), min_documents=10, min_chars=1), docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leave one document of each group of near copies, the one with the smallest id. Linked are texts with a
     5-word shingle similarity of 0.8 or more, and those that the operator's own query links: 3-word
     shingles, at most three differing bits."""
-    return simhash.keep_one(docs, width=3, similarity=0.8)
+    return _back(simhash.keep_one(_aside(docs, "__kept", "__fp", "__of"), width=3, similarity=0.8), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Take each document as often as the mix of its source asks: none to three times, as rows."""
-    copies = mixing.mix(docs, weights=(5, 2, 1), most=3, carry=tuple(docs.columns))
-    return copies.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    own = _aside(docs, "copies", "_copy")
+    copies = mixing.mix(own, weights=(5, 2, 1), most=3, carry=tuple(own.columns))
+    return _back(copies.where("copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

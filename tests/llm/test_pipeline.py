@@ -32,7 +32,7 @@ def test_stages_of_an_empty_table_and_clashing_names(spark, tmp_path):
             if name != "pack":
                 assert out.columns == docs.columns, name
                 got = out.collect()
-                assert all(r[c] == f"own {c}" for r in got for c in NAMES)
+                assert all(r[c] == f"own {c}" for r in got for c in NAMES), name
                 assert not empty or not got
             else:
                 assert bool(out.count()) == (not empty)
