@@ -114,6 +114,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if not a.path:
         parser().error("a path is needed")
+    began = time.monotonic()
     say = (lambda *x: None) if a.quiet else (lambda *x: print(*x, file=sys.stderr))
     over = {k: v for k, v in {"mode": a.mode, "score_threshold": a.score_threshold}.items() if v is not None}
     if a.redact_style:
@@ -169,7 +170,7 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_map({m["placeholder"]: m["original"] for m in out.first()["mapping"]}, a.map)
     elif a.map:
         sinks.write_maps(out, str(Path(a.map).absolute()), root)
-    say(f"{len(inputs) - len(bad)} of {len(inputs)} files done")
+    say(f"{len(inputs) - len(bad)} of {len(inputs)} files done in {time.monotonic() - began:.1f} s")
     return 1 if bad and len(bad) == len(inputs) else 0
 
 

@@ -143,11 +143,3 @@ def front_matter(fields: dict[str, Column]) -> Column:
     """YAML front matter with sorted keys; values are JSON, which YAML reads."""
     lines = [F.concat(F.lit(f"{k}: "), F.coalesce(v, F.lit("null"))) for k, v in sorted(fields.items())]
     return F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"))
-
-
-def docx_kind(style: Column) -> Column:
-    """Kind of a paragraph by the name of its style."""
-    s = F.lower(style)
-    return F.when(s.rlike("^(heading|otsikko)"), "heading").when(s.contains("list"), "list_item").otherwise("paragraph")
-
-

@@ -151,7 +151,7 @@ register("plugin_rules", span_sql(DOCS, TOKEN_RULE, "SECRET", "0.85"))(found(DOC
 register("deny_hits", span_sql(DOCS, "(?i)apache license", "ORG", "1.0"))(found(DOCS, lambda t: R.deny_spans(t, [("Apache License", "org")])))
 
 
-@register("company_stems", span_sql("SELECT s_suppkey AS id, concat('Lahti', CAST(s_suppkey AS STRING), ' Rahoitus Oy ja Lahti', CAST(s_suppkey AS STRING), 'lle asti') AS text FROM supplier", r"Lahti[0-9]+ Rahoitus|Lahti[0-9]+(?:lle)?", "ORG", "0.87").replace("SELECT id, entity_type, start_at", "SELECT id, entity_type, start_at", 1) + " UNION ALL SELECT s_suppkey, 'ORG', 0, CAST(5 + length(CAST(s_suppkey AS VARCHAR)) AS INTEGER), 0.87, concat('Lahti', CAST(s_suppkey AS VARCHAR)) FROM supplier")
+@register("company_stems", span_sql("SELECT s_suppkey AS id, concat('Lahti', CAST(s_suppkey AS STRING), ' Rahoitus Oy ja Lahti', CAST(s_suppkey AS STRING), 'lle asti') AS text FROM supplier", r"Lahti[0-9]+ Rahoitus|Lahti[0-9]+(?:lle)?", "ORG", "0.87") + " UNION ALL SELECT s_suppkey, 'ORG', 0, CAST(5 + length(CAST(s_suppkey AS VARCHAR)) AS INTEGER), 0.87, concat('Lahti', CAST(s_suppkey AS VARCHAR)) FROM supplier")
 def company_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = "SELECT s_suppkey AS id, concat('Lahti', CAST(s_suppkey AS STRING), ' Rahoitus Oy ja Lahti', CAST(s_suppkey AS STRING), 'lle asti') AS text FROM supplier"
     return found(source, lambda t: R.stem_spans(t, R.company(t)))(spark, sf_dir)
@@ -262,7 +262,7 @@ WITH l AS (SELECT source, doc_id AS page, doc_id * 1000000 + generate_subscripts
 n AS (SELECT *, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS norm FROM l),
 g AS (SELECT source, norm, count(*) AS c, count(DISTINCT page) AS p, arg_min(text, pos) AS s, trim(arg_min(text, pos)) AS t FROM n WHERE norm <> '' GROUP BY ALL),
 h AS (SELECT *, t <> '' AND length(t) <= 220 AND ({_MARK.format('t')}
-  OR length(t) BETWEEN 20 AND 200 AND regexp_matches(t, '{_PATTERN['HEAD_LEGAL']}') AND (regexp_matches(t, '[0-9]{{5}}') OR regexp_matches(t, '(?i)https?://|www\.') OR regexp_matches(t, '{_PATTERN['HEAD_STREET']}'))
+  OR length(t) BETWEEN 20 AND 200 AND regexp_matches(t, '{_PATTERN['HEAD_LEGAL']}') AND (regexp_matches(t, '[0-9]{{5}}') OR regexp_matches(t, '(?i)https?://|www\\.') OR regexp_matches(t, '{_PATTERN['HEAD_STREET']}'))
   OR regexp_matches(t, '{_PATTERN['FIELD']}') AND length(t) <= 180 AND NOT regexp_matches(t, '[.!].{{40,}}')
   OR regexp_matches(t, '{_PATTERN['ONLY_URLS']}') OR regexp_matches(t, '{_PATTERN['ONLY_PHONE']}') AND length(t) < 40
   OR regexp_matches(t, '(?i)y-tunnus') AND regexp_matches(t, '(?i)alv') AND length(t) < 120) AS chrome FROM g),
