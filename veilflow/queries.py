@@ -29,12 +29,14 @@ ORACLE: dict[str, str] = {}
 
 
 def _sql(spark: SparkSession, sf_dir: str, query: str) -> DataFrame:
-    """A query over the tables that it names after FROM or JOIN, each a view of the folder's own name."""
+    """A query over the tables that it names after FROM or JOIN, each a view of the folder's own name. Rows of
+    documents are spread over all cores, which one small file would not do."""
     mark = f"t{zlib.crc32(sf_dir.encode()):08x}"
     own = re.compile(rf"\b(FROM|JOIN) ({'|'.join(TABLES)})\b")
     for t in {m[1] for m in own.findall(query)}:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"{mark}_{t}")
-    return spark.sql(own.sub(rf"\1 {mark}_\2", query))
+    found = spark.sql(own.sub(rf"\1 {mark}_\2", query))
+    return spread(found) if "FROM documents" in query else found
 
 
 def register(name: str, oracle: str | None = None):
@@ -236,7 +238,7 @@ k AS (SELECT doc_id, i, length(regexp_extract(bare, '^#+')) AS marks, regexp_mat
 
 @register("block_split", _BLOCKS + " SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (marks > 0) AS n_headings, count(*) FILTER (marks = 0 AND item) AS n_items, CAST(max(least(marks, 6)) AS INTEGER) AS deepest, CAST(sum(length(x)) AS BIGINT) AS chars FROM k GROUP BY doc_id")
 def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = spread(_sql(spark, sf_dir, PARAGRAPHS)).select("doc_id", F.explode(B.blocks(F.col("text"))).alias("b"))
+    b = _sql(spark, sf_dir, PARAGRAPHS).select("doc_id", F.explode(B.blocks(F.col("text"))).alias("b"))
     kind = F.col("b.kind")
     return b.groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count_if(kind == "heading").alias("n_headings"), F.count_if(kind == "list_item").alias("n_items"), F.max(F.coalesce("b.level", F.lit(0))).alias("deepest"), F.sum(F.length("b.text")).cast("long").alias("chars"))
 
@@ -447,7 +449,7 @@ def template_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run(mode: str, style: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = spread(_sql(spark, sf_dir, "SELECT doc_id, text FROM documents"))
+        docs = _sql(spark, sf_dir, "SELECT doc_id, text FROM documents")
         out = anonymize(docs, Config(mode=mode, redact_style=style))
         return out.select("doc_id", F.size("hits").alias("n_hits"), "anonymized_text", F.array_join("language.languages", ",").alias("languages"))
 
@@ -466,7 +468,7 @@ _REPAIRED = f"SELECT doc_id AS id, CASE WHEN contains(text, chr(10)) AND contain
 
 def _emails_only(style: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = spread(_sql(spark, sf_dir, "SELECT doc_id, text FROM documents"))
+        docs = _sql(spark, sf_dir, "SELECT doc_id, text FROM documents")
         out = anonymize(docs, Config(entities=("EMAIL_ADDRESS",), redact_style=style))
         return out.select("doc_id", F.size("hits").alias("n"), "anonymized_text")
 
