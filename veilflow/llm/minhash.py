@@ -304,13 +304,13 @@ def _meetings(own: DataFrame, similarity: float) -> DataFrame:
     return x.join(y, "s").where(apart & sizes & roles & enough).select(F.col("x_th").alias("u"), F.col("y_th").alias("v"))
 
 
-def links(texts: DataFrame, similarity: float = 0.8, stars: int = 3) -> DataFrame:
+def links(texts: DataFrame, similarity: float = 0.8, stars: int = 2) -> DataFrame:
     """(u, v), u > v: links between texts whose shingle sets have a Jaccard similarity of ``similarity`` or more.
 
     ``texts`` holds (th, text), th naming a text; rows may repeat. Texts that agree in a band of their
     signature are candidates. First, in ``stars`` rounds, each band's members are held against one of them - the one
-    that meets most texts in its bands, as originals of many copies do, then the one that does outside its component,
-    then one by a hash: this links groups of near copies, however large, in step with their size. Where a
+    that meets most texts in its bands, as originals of many copies do, then the one that does outside its component:
+    this links groups of near copies, however large, in step with their size. Where a
     band still holds several components, its members meet if they are few (SMALL). Texts of larger bands meet by their
     rarest shingles (``_prefixes``, ``_meetings``), which finds every similar pair among them, and templates that
     many unlike texts share make few meet. A link counts if the exact similarity reaches the threshold;
@@ -338,8 +338,8 @@ def links(texts: DataFrame, similarity: float = 0.8, stars: int = 3) -> DataFram
     edges = texts.sparkSession.createDataFrame([], "u long, v long")
     for k in range(stars):
         open_ = _grouped(known, "band", _roots(edges))
-        chosen = open_.groupBy("band").agg(F.max_by(F.struct("th", "c"), F.struct("met", "th") if k < 2 else F.xxhash64("th", "band")).alias("s"))
-        if k == 1:  # the first one's component has its star; now the one that meets most of the others
+        chosen = open_.groupBy("band").agg(F.max_by(F.struct("th", "c"), F.struct("met", "th")).alias("s"))
+        if k:  # the first one's component has its star; now the one that meets most of the others
             rest = open_.join(chosen, "band").where(F.col("c") != F.col("s.c"))
             chosen = rest.groupBy("band").agg(F.max_by(F.struct("th", "c"), F.struct("met", "th")).alias("s"))
         pairs = open_.join(chosen, "band").where(F.col("c") != F.col("s.c")).select(F.col("th").alias("u"), F.col("s.th").alias("v"))
