@@ -46,8 +46,8 @@ _SALTS = mix(np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def table_rows(tokens: int) -> int:
-    """Rows of the weight table for so many training tokens: a power of two near the root of 128 times as many."""
-    return int(min(max(1 << int(np.log2(max(128 * tokens, 1)) / 2), LEAST_ROWS), MOST_ROWS))
+    """Rows of the weight table for so many training tokens: a power of two near the root of 32 times as many."""
+    return int(min(max(1 << int(np.log2(max(32 * tokens, 1)) / 2), LEAST_ROWS), MOST_ROWS))
 
 
 @dataclass
@@ -371,12 +371,13 @@ def train(docs: DataFrame, v: Vocabulary, tokens: int, rounds: int = ROUNDS) ->
         table_ = sc.broadcast(table)
         part = docs.where(F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)) == k).select("text").coalesce(tasks)
         sums = cut(part.mapInArrow(lean(_train_task(table_, vocab_)), schema).groupBy("row").agg(*[F.sum(f"w{j}").cast("float").alias(f"w{j}") for j in range(WIDTH)]))
-        got = sums.toPandas().set_index("row")
+        got = sums.toArrow()
         drop_table(sums)
-        if -1 in got.index:
-            change = got.drop(index=-1)
+        row, change = got["row"].to_numpy(), np.stack([got[f"w{j}"].to_numpy() for j in range(WIDTH)], axis=1)
+        learnt = change[row < 0, 0].sum()
+        if learnt:
             table = table.copy()
-            table[change.index.to_numpy()] += (change.to_numpy() / got.loc[-1, "w0"]).astype(np.float32)
+            table[row[row >= 0]] += change[row >= 0] / np.float32(learnt)
         table_.unpersist()
     return table
 
