@@ -8,6 +8,7 @@ import argparse
 import json
 import logging
 import sys
+import time
 from dataclasses import replace
 from datetime import datetime, timezone
 from pathlib import Path
