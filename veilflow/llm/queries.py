@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, lm, minhash, mixing, packing, quality, simhash, suffixdedup, topk, urlfilter
+from . import collocations, infill, licenses, linededup, lm, minhash, mixing, packing, quality, simhash, suffixdedup, topk, urlfilter
 
 
 def _docs(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -71,6 +71,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir), byte_bpe(), capacity=2048, end_id=0)
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.transform(_docs(spark, sf_dir), seed=42, texts=False, digests=True)
+    return made.select("doc_id", *(f"fim.{c}" for c in ("n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_docs(spark, sf_dir)).drop("spans")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_docs(spark, sf_dir, "lang", "text"), least=10, longest=3, contained=50, keep=2000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lm_score": op1_lm_score,
     "op2_line_dedup": op2_line_dedup,
@@ -82,6 +95,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_infill": op11_infill,
+    "op12_licenses": op12_licenses,
+    "op13_collocations": op13_collocations,
 }
 
 _WS = r"\x20\x09-\x0D"
@@ -105,4 +121,44 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(sum(q.x * d.x) AS BIGINT) AS s
       FROM v q JOIN v d ON q.i = d.i AND q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0 GROUP BY ALL),
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= 5""",
+    "op11_infill": rf"""
+WITH u AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+         list_transform(regexp_extract_all(coalesce(text, ''), '[{_WS}]*[^{_WS}]+|[{_WS}]+'), lambda x: length(x)) AS lens FROM documents),
+k AS (
+  SELECT *, len(lens) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM u),
+f AS (
+  SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+                 WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         CAST(coalesce(list_sum(lens[1:least(h1 % (n + 1), h2 % (n + 1))]), 0) AS BIGINT) AS a,
+         CAST(coalesce(list_sum(lens[1:greatest(h1 % (n + 1), h2 % (n + 1))]), 0) AS BIGINT) AS b FROM k),
+o AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM o""",
+    "op13_collocations": rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (
+  SELECT lang, unnest(w) AS phrase, 1 AS k FROM w UNION ALL
+  SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM w UNION ALL
+  SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM w),
+f AS (SELECT lang, phrase, k, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+c AS (SELECT lang, phrase, k AS size, f AS a, unnest(range(1, k)) AS k, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+s AS (
+  SELECT c.lang, c.phrase, c.size, c.a, c.k, x.f AS l, y.f AS r,
+         CAST((CAST(1000000 AS HUGEINT) * c.a * c.a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.k], ' ')
+         JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.k + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+h AS (
+  SELECT lang, phrase, max(f) AS f FROM (
+    SELECT lang, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '), array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS phrase, f FROM f WHERE k = 3) GROUP BY ALL),
+d AS (SELECT b.* FROM b LEFT JOIN h ON b.size = 2 AND b.lang = h.lang AND b.phrase = h.phrase WHERE h.f IS NULL OR 100 * h.f < 50 * b.a),
+r AS (SELECT d.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT r.lang, rank, phrase, a, l, r, n.n, score FROM r JOIN n ON n.lang = r.lang WHERE rank <= 2000""",
 }
