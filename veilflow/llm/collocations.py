@@ -30,11 +30,11 @@ _PLAIN = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c + 3
 _LISTS = "lang string, words array<string>, lengths array<int>, fresh array<int>, places array<int>, again int"
 
 
-def windows(data: bytes, most: int = BLOCK):
+def windows(data: bytes, most: int = BLOCK, repeat: int = 2):
     """(bytes before that belong to words already counted, window) of one text, A-Z in small, pieces parted by _BREAK.
 
     A window ends where a piece ends, if one does in its last tenth, else after a word; then the next one
-    starts with the last two words once more, so that no phrase of three is lost."""
+    starts with the last ``repeat`` words once more, so that no phrase of one word more is lost."""
     data = data.translate(_PLAIN)
     at, seen = 0, 0
     while at < len(data) or not at:
@@ -51,7 +51,7 @@ def windows(data: bytes, most: int = BLOCK):
             return
         piece = data[max(data.rfind(_BREAK, at - seen, end) + 1, at - seen) : end]
         back = len(piece.rstrip(b" "))
-        for _ in range(2):
+        for _ in range(repeat):
             back = len(piece[:back].rstrip(b" "))
             back = piece.rfind(b" ", 0, back) + 1
         seen, at = len(piece) - back, end
@@ -73,7 +73,7 @@ def inverted(parts: list[tuple[bytes, bytes]]) -> tuple[list[bytes], np.ndarray,
     return list(index)[1:], lengths[1:], fresh[1:], order[lengths[0] :], again
 
 
-def _lister(most: int):
+def _lister(most: int, repeat: int):
     def row(lang: str, parts):
         words, *lists, again = inverted(parts)
         if words:
@@ -88,7 +88,7 @@ def _lister(most: int):
             langs = batch.column("lang").to_pylist()
             for lang, text in zip(langs, filled(batch.column("text")).cast(pa.binary())):
                 data = text.as_buffer()
-                for before, window in windows(data.to_pybytes() if data else b"", most):
+                for before, window in windows(data.to_pybytes() if data else b"", most, repeat):
                     if held.get(lang) and (before or size[lang] + len(window) > most):
                         size.pop(lang)
                         yield from row(lang, held.pop(lang))
@@ -211,7 +211,7 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     ``least`` times or more in a language, f exact; (lang, n), all words of a language."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    lists = cut(rows.mapInArrow(lean(_lister(block)), _LISTS))
+    lists = cut(rows.mapInArrow(lean(_lister(block, longest - 1)), _LISTS))
     total = cut(lists.select("lang", F.aggregate("fresh", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
     of_words = lists.select("lang", F.explode(F.arrays_zip("words", "fresh")).alias("x")).select("lang", F.col("x.words").alias("phrase"), F.col("x.fresh").cast("long").alias("n"))
     tables, filters = [], []
