@@ -348,3 +348,50 @@ def test_compiled_rules_equal_a_plain_evaluation(spark, docs):
     got = np.array([r["p"] for r in own.select(model.score().alias("p")).collect()])
     total = model.bias + sum(w * quality._holds(x, rule) for rule, w in model.rules)
     assert np.abs(got - 1 / (1 + np.exp(-total))).max() < 1e-9 and ((got > 0.5) == y).mean() > 0.95
+
+
+def _pattern(doublings):
+    """Words of which polynomial sums modulo 2^64 can't tell the two: a pattern and its complement, doubled."""
+    one, two = "a", "b"
+    for _ in range(doublings):
+        one, two = one + two, two + one
+    return one, two
+
+
+@pytest.mark.parametrize("doublings", [5, 8, 10, 11, 13])
+def test_unlike_words_have_unlike_hashes(doublings):
+    from veilflow.llm import common
+
+    one, two = _pattern(doublings)
+    data = np.frombuffer(f"{one} {two} {one.upper()} {one}".encode(), np.uint8)
+    h, first, last, text = common.words(data, np.array([0, len(data)]))
+    assert h[0] != h[1] and h[0] == h[2] == h[3]
+
+
+def test_unlike_words_are_encoded_by_themselves(monkeypatch):
+    one, two = _pattern(11)
+    texts = [f"x {one} y", f"x {two} y", f"{two} {one}", "plain words", one, two]
+    enc = packing.Encoder(byte_bpe())
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in packing.Encoder(byte_bpe()).encode(texts)] == want
+    assert [x.tolist() for t in texts for x in enc.encode([t])] == want
+    # even where all hashes are one
+    monkeypatch.setattr(packing, "hashed", lambda values, first, last: np.zeros(len(first), np.uint64))
+    broken = packing.Encoder(byte_bpe())
+    assert [x.tolist() for t in texts for x in broken.encode([t])] == want and [x.tolist() for x in broken.encode(texts)] == want
+
+
+def test_unlike_words_of_a_pattern_are_not_near_or_counted_as_one(docs):
+    from veilflow.llm import minhash
+
+    one, two = _pattern(11)
+    df = docs([(1, one), (2, two), (3, one)])
+    got = {r["doc_id"]: r for r in minhash.fingerprint_edits(df).collect()}
+    assert got[1]["fingerprint"] == got[3]["fingerprint"] != got[2]["fingerprint"] and got[2]["near_next"] < 0.5
+    assert [got[i]["component_id"] for i in (1, 2, 3)] == [1, 2, 1]
+    scored = lm.score(docs([(1, one), (2, two), (4, one), (5, two), (7, one)]), modulus=10, held=0)
+    n, c = 5 + 5, {one: 3, two: 2}
+    for r in scored.collect():
+        word = one if r["doc_id"] in (1, 4, 7) else two
+        want = math.log10((c[word] + 0.1) / (n + 0.1 * 4)) + math.log10((5 + 0.1) / (n + 0.1 * 4))
+        assert abs(r["base_score"] - want) < 1e-9

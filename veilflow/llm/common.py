@@ -153,6 +153,33 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Values that one sum takes in: sums modulo 2**64 of many more have collisions of strings that repeat a pattern.
+PIECE = 32
+
+
+def hashed(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans [first, last) of keyed values. A span is hashed in pieces of PIECE values, each by
+    a sum that is then spread; the pieces' hashes, each spread anew with its number, add up."""
+    up, down = powers(len(values))
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values * up, dtype=np.uint64, out=sums[1:])
+
+    def of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix((sums[b] - sums[a]) * down[np.minimum(a, len(down) - 1)] + (b - a).astype(np.uint64))
+
+    out = of(first, np.minimum(last, first + PIECE))
+    long = np.flatnonzero(last - first > PIECE)
+    if len(long):
+        pieces = -(-(last[long] - first[long]) // PIECE)
+        at = np.cumsum(pieces) - pieces
+        k = np.arange(int(pieces.sum())) - np.repeat(at, pieces)
+        a = np.repeat(first[long], pieces) + k * PIECE
+        own = of(a, np.minimum(a + PIECE, np.repeat(last[long], pieces)))
+        out[long] = mix(np.add.reduceat(mix(own ^ mix(k.astype(np.uint64) + STEP)), at) + (last[long] - first[long]).astype(np.uint64))
+    return out
+
+
 #: Bytes that are hashed at once; longer texts go in windows cut at white space.
 _WINDOW = 1 << 22
 
@@ -188,8 +215,4 @@ def _words(data: np.ndarray, places: np.ndarray, lower: bool):
     end = ink.copy()
     end[:-1] &= ~ink[1:] | cut_at[1:-1]
     first, last = np.flatnonzero(start), np.flatnonzero(end) + 1
-    up, down = powers(n)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((LOWER_KEYS if lower else BYTE_KEYS)[data] * up, dtype=np.uint64, out=sums[1:])
-    return mix((sums[last] - sums[first]) * down[first]), first, last
+    return hashed((LOWER_KEYS if lower else BYTE_KEYS)[data], first, last), first, last

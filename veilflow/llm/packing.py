@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, filled, lean, mix, portions, powers
+from .common import cut, drop_table, filled, hashed, lean, mix, portions
 
 #: Pieces that one partition packs at first, partitions that exchange in a round, and pieces that each gives.
 PIECES, FAN_IN, GIVE = 1 << 14, 16, 1 << 10
@@ -89,7 +89,7 @@ def word_starts(points: np.ndarray, kinds: np.ndarray, places: np.ndarray) -> np
 
 class Encoder:
     """Token ids of texts. Tokenizers of the byte-level family work on each word by itself, so words are told
-    by hashes in whole portions, encoded once and remembered; other texts and tokenizers go as wholes."""
+    by hashes in whole portions, compared, encoded once and remembered; other texts and tokenizers go as wholes."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks share the cores already
@@ -100,27 +100,27 @@ class Encoder:
         pre = spec.get("pre_tokenizer") or {}
         self.by_word = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.added = [t["content"] for t in spec.get("added_tokens", ())]
-        self.keys, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.keys, self.spelt, self.flat = np.zeros(0, np.uint64), np.zeros(0, object), np.zeros(0, np.uint32)
         self.at, self.size, self.used = (np.zeros(0, np.int64) for _ in range(3))
         self.time = 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, words: list[str], keys: np.ndarray) -> None:
+    def _learn(self, words: np.ndarray, keys: np.ndarray) -> None:
         """Remember more words (their hashes sorted); beyond REMEMBERED those that were not met for longest are forgotten."""
         if len(self.keys) > REMEMBERED:
             keep = self.used > np.partition(self.used, len(self.used) // 2)[len(self.used) // 2]
             keep |= self.used == self.time
             size, at = self.size[keep], self.at[keep]
             self.flat = self.flat[_ranges(at, size)]
-            self.keys, self.used, self.size, self.at = self.keys[keep], self.used[keep], size, np.cumsum(size) - size
-        found = [e.ids for i in range(0, len(words), 10_000) for e in self.tok.encode_batch_fast(words[i : i + 10_000], add_special_tokens=False)]
+            self.keys, self.spelt, self.used, self.size, self.at = self.keys[keep], self.spelt[keep], self.used[keep], size, np.cumsum(size) - size
+        found = [e.ids for i in range(0, len(words), 10_000) for e in self.tok.encode_batch_fast(words[i : i + 10_000].tolist(), add_special_tokens=False)]
         size = np.fromiter(map(len, found), np.int64, len(found))
         at = len(self.flat) + np.cumsum(size) - size
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(size.sum()))])
         place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size, self.used = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.at, at), (self.size, size), (self.used, self.time)))
+        self.keys, self.spelt, self.at, self.size, self.used = (np.insert(x, place, y) for x, y in ((self.keys, keys), (self.spelt, words), (self.at, at), (self.size, size), (self.used, self.time)))
 
     def _words(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of texts of known characters, the places of each text's ids, and whether a text had others (its ids don't count)."""
@@ -134,21 +134,20 @@ class Encoder:
             unsure[np.searchsorted(places, np.flatnonzero(kinds == _UNSURE), "right") - 1] = True
         first = np.flatnonzero(word_starts(points, kinds, places))
         last = np.r_[first[1:], len(points)] if len(first) else first
-        up, down = powers(len(points))
-        sums = np.empty(len(points) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(keys[points] * up, dtype=np.uint64, out=sums[1:])
-        h = mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
-        own, example, which = np.unique(h, return_index=True, return_inverse=True)
+        own, example, which = np.unique(hashed(keys[points], first, last), return_index=True, return_inverse=True)
+        spelt = np.array([joined[a:b] for a, b in zip(first[example].tolist(), last[example].tolist())], object)
         self.time += 1
         at = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))
         new = np.flatnonzero(self.keys[at] != own) if len(self.keys) else np.arange(len(own))
         if len(new):
             if len(self.keys):
                 self.used[at[self.keys[at] == own]] = self.time
-            self._learn([joined[a:b] for a, b in zip(first[example[new]].tolist(), last[example[new]].tolist())], own[new])
+            self._learn(spelt[new], own[new])
             at = np.searchsorted(self.keys, own)
         self.used[at] = self.time
+        # equal hashes of different words: their texts go as wholes
+        other = (self.spelt[at] != spelt)[which] | _differ(points, first, last - first, example[which])
+        unsure[np.searchsorted(places, first[other], "right") - 1] = True
         place = at[which]
         size = self.size[place]
         ends = np.r_[0, np.cumsum(size)]
@@ -184,6 +183,16 @@ class Encoder:
         return [np.concatenate(got) if ok else self._whole(t) for t, got, ok in zip(texts, out, plain)]
 
 
+def _differ(points: np.ndarray, first: np.ndarray, size: np.ndarray, example: np.ndarray) -> np.ndarray:
+    """Which words (first place, size) aren't the same characters as the words that stand for them."""
+    out = size != size[example]
+    same = np.flatnonzero(~out)
+    if len(same):
+        unlike = points[_ranges(first[same], size[same])] != points[_ranges(first[example[same]], size[same])]
+        out[same] = np.logical_or.reduceat(unlike, np.cumsum(size[same]) - size[same])
+    return out
+
+
 def _ranges(at: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indexes at, at + 1, ... of each range, one after another."""
     ends = np.cumsum(size)
