@@ -41,7 +41,29 @@ def scan(values: Column, kind: str = "int") -> Column:
     def whole(parts: Column) -> Column:
         return let(totals(parts), lambda starts: F.concat(within(parts, starts), F.array(F.element_at(starts, -1))))
 
-    return let(size, lambda k: let(pieces(k), whole))
+    return F.when(F.size(values) <= 64, F.aggregate(values, F.array(F.lit(0).cast(kind)), append)).otherwise(let(size, lambda k: let(pieces(k), whole)))
+
+
+def slicing(text: Column, body: Callable[[Callable[[Column, Column | int], Column]], Column]) -> Column:
+    """``body`` of a function (start, size) that gives a part of ``text`` in time that doesn't depend on where it lies:
+    one byte a character for ASCII texts, four for others."""
+
+    def whole(v: Column) -> Column:
+        def part(start: Column, size: Column | int) -> Column:
+            size = F.lit(size) if isinstance(size, int) else size
+            first = F.greatest(start, F.lit(0))
+            wide = F.decode(F.substring(v["bytes"], first * 4 + 1, F.greatest(size, F.lit(0)) * 4), "UTF-32")
+            return F.when(v["ascii"], F.substring(v["bytes"], first + 1, size).cast("string")).otherwise(wide)
+
+        return body(part)
+
+    ascii_ = F.octet_length(text) == F.length(text)
+    return let(F.struct(F.when(ascii_, text.cast("binary")).otherwise(F.encode(text, "UTF-32")).alias("bytes"), ascii_.alias("ascii")), whole)
+
+
+def sliced_spans(text: Column, spans: Column, body: Callable[[Column, Callable[[Column, Column | int], Column]], Column]) -> Column:
+    """``body`` of spans and a function as in ``slicing``, which texts without spans are spared."""
+    return let(spans, lambda xs: F.when(F.size(xs) == 0, F.filter(xs, lambda x: F.lit(False))).otherwise(slicing(text, lambda part: body(xs, part))))
 
 
 def none() -> Column:
@@ -127,8 +149,9 @@ def pattern_spans(text: Column, pattern: str, entity: str, score: float | Callab
     return F.transform(found, lambda m: span(entity, m["start"], m["start"] + F.length(m["surface"]), value(m["surface"]), m["surface"]))
 
 
-def window_before(text: Column, start: Column, size: int) -> Column:
-    return F.substring(text, F.greatest(start - size, F.lit(0)) + 1, F.least(start, F.lit(size)))
+def before(part: Callable[[Column, Column | int], Column], start: Column, size: int) -> Column:
+    """What stands before a place, ``size`` characters at most."""
+    return part(start - size, F.least(start, F.lit(size)))
 
 
 def _fold(spans: Column, order: Callable[[Column, Column], Column], better: Callable[[Column, Column], Column], kind: str) -> Column:

@@ -2,23 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import scalar as S
-from ..functions.spans import let
+from ..functions.spans import before, let, sliced_spans
 from ..lexicon import FEE_TAIL, TITLE_TAILS, Lexicon
 from .recognizers import LEGAL_WORD
 
+#: A function (start, size) that gives a part of the text.
+Part = Callable[[Column, "Column | int"], Column]
 LABEL_TAIL = r"(?iu)(numero|tunniste|tunnus|osoite|koodi|kenttä|field|label|code)$"  # fixed value
 LEASE_WORDS = r"(?iu)\b(leasingkohde|sopimusehdot|peruutusehdot|yleiset\s+ehdot|yleiset\s+sopimusehdot|vastuunrajoitus|salassapito)\b"  # fixed value
 LONG_FEE = r"(?iu)(veloitus|maksu|palkkio|raja|kilometri|omavastuu|vakuutus)"  # fixed value
 
 
-def field_label(text: Column, x: Column) -> Column:
+def field_label(part: Part, x: Column) -> Column:
     """A form label such as ``Rekisterinumero/tunniste:``; looks 24 characters ahead."""
     s = F.trim(x["surface"])
-    rest = F.substring(text, x["end"] + 1, 24)
+    rest = part(x["end"], 24)
     separated = rest.rlike(r"^\s*[/：:]") | s.endswith(":")
     tail = s.rlike(LABEL_TAIL)
     slash = s.contains("/") & F.trim(F.element_at(F.split(s, "/"), -1)).rlike(LABEL_TAIL)
@@ -27,7 +31,7 @@ def field_label(text: Column, x: Column) -> Column:
 
 
 def drop_field_labels(text: Column, spans: Column) -> Column:
-    return F.filter(spans, lambda x: ~field_label(text, x))
+    return sliced_spans(text, spans, lambda xs, part: F.filter(xs, lambda x: ~field_label(part, x)))
 
 
 def drop_noisy(text: Column, spans: Column) -> Column:
@@ -48,10 +52,9 @@ def all_noise(toks: Column, lexicon: Lexicon = Lexicon()) -> Column:
     return F.forall(toks, lambda t: (S.token_norm(t) == "") | _among(S.token_norm(t), lexicon.noise))
 
 
-def near_boilerplate(text: Column, x: Column, lexicon: Lexicon = Lexicon(), size: int = 64) -> Column:
+def near_boilerplate(part: Part, x: Column, lexicon: Lexicon = Lexicon(), size: int = 64) -> Column:
     """A section sign or a cue word within 64 characters on either side."""
-    left = F.substring(text, F.greatest(x["start"] - size, F.lit(0)) + 1, F.least(x["start"], F.lit(size)))
-    around = F.concat(left, F.lit(" "), F.substring(text, x["end"] + 1, size))
+    around = F.concat(before(part, x["start"], size), F.lit(" "), part(x["end"], size))
     words = F.transform(F.split(S.fold(around), r"[^\p{L}\p{N}_\-]+"), lambda t: F.regexp_replace(t, "^-+|-+$", ""))
     return around.contains("§") | F.arrays_overlap(words, F.array(*[F.lit(c) for c in sorted(lexicon.boilerplate_cues)]))
 
@@ -70,27 +73,27 @@ def false_location(surface: Column) -> Column:
     return (s == "") | s.rlike(FEE_TAIL) | ((F.length(s) > 18) & ~s.rlike("[ -]") & s.rlike(r"^\p{Lu}") & s.rlike(LONG_FEE))
 
 
-def false_positive(text: Column, x: Column, lexicon: Lexicon = Lexicon()) -> Column:
+def false_positive(part: Part, x: Column, lexicon: Lexicon = Lexicon()) -> Column:
     """Roles, legal phrases, headers and form words taken for an organisation, a person or a place."""
     s = x["surface"]
-    return let(F.struct(S.surface_norm(s).alias("norm"), tokens(s).alias("toks")), lambda v: _false_positive(text, x, v["norm"], v["toks"], lexicon))
+    return let(F.struct(S.surface_norm(s).alias("norm"), tokens(s).alias("toks")), lambda v: _false_positive(part, x, v["norm"], v["toks"], lexicon))
 
 
-def _false_positive(text: Column, x: Column, norm: Column, toks: Column, lexicon: Lexicon) -> Column:
+def _false_positive(part: Part, x: Column, norm: Column, toks: Column, lexicon: Lexicon) -> Column:
     s = x["surface"]
     listed = _among(norm, lexicon.roles | lexicon.legal_phrases)
     one, noise = F.size(toks) == 1, all_noise(toks, lexicon)
     only = F.coalesce(F.get(toks, 0), F.lit(""))
     weak = (F.length(S.surface_norm(only)) < 4) | _among(S.surface_norm(only), lexicon.weak)
-    bare = (F.size(toks) >= 2) & noise | one & (only.rlike(FEE_TAIL) | weak & (F.length(only) <= 24)) | noise & near_boilerplate(text, x, lexicon) | s.rlike(LEASE_WORDS)
+    bare = (F.size(toks) >= 2) & noise | one & (only.rlike(FEE_TAIL) | weak & (F.length(only) <= 24)) | noise & near_boilerplate(part, x, lexicon) | s.rlike(LEASE_WORDS)
     org = listed | caps_header(s) | ~s.rlike(LEGAL_WORD) & bare
     label = one & _among(S.fold(only), lexicon.legalish_tokens | lexicon.formish_tokens | lexicon.doc_title_tails)
-    person = listed | (F.size(toks) >= 2) & noise | (s == S.fold(s)) | label | (F.size(toks) <= 3) & noise & near_boilerplate(text, x, lexicon)
+    person = listed | (F.size(toks) >= 2) & noise | (s == S.fold(s)) | label | (F.size(toks) <= 3) & noise & near_boilerplate(part, x, lexicon)
     return F.when(x["entity_type"] == "ORG", org).when(x["entity_type"] == "PERSON", person).when(x["entity_type"].isin("LOCATION", "CITY"), false_location(s)).otherwise(F.lit(False))
 
 
 def drop_false_positives(text: Column, spans: Column, lexicon: Lexicon = Lexicon()) -> Column:
-    return F.filter(spans, lambda x: ~false_positive(text, x, lexicon))
+    return sliced_spans(text, spans, lambda xs, part: F.filter(xs, lambda x: ~false_positive(part, x, lexicon)))
 
 
 def drop_allowed(spans: Column, allow: list[str]) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
 from ..functions import scalar as S
-from ..functions.spans import SPANS, let, longest, matches, merge, none, pattern_spans, span, window_before
+from ..functions.spans import SPANS, before, let, longest, matches, merge, none, pattern_spans, sliced_spans, slicing, span
 from ..lexicon import BRAND_JOINERS, COMPANY_ROLES, FORMISH, LEGALISH, TITLE_TAILS, Lexicon
 
 # --- fixed values: shapes of identifiers ----------------------------------------------------------
@@ -61,6 +61,9 @@ NAME_LABEL = r"(?:^|[\n:])\s*(?iu:nimi|name|yhteyshenkilö|contact\s*person|busi
 NOT_LAST = ("intent", "understanding", "agreement", "section", "article", "schedule", "appendix", "force", "green")
 NOT_FIRST = ("intent", "understanding", "majeure", "card")
 FI_ENDINGS = "lle|lta|ltä|ssa|ssä|sta|stä|lla|llä|ksi|na|nä|tta|ttä|in|aan|ään|een|iin|oon|öön|uun|yyn|n|a|ä|t"
+#: Characters between a street and its postcode at most, and streets and postcodes that lie within them: streets
+#: take six characters or more, postcodes with a city nine, and neither overlap their own kind.
+REACH, NEAR = 160, 160 // 6 + 160 // 9 + 4
 SUFFIX = "(?:katu|tie|kuja|polku|väylä|raitti|tori|aukio|puistikko|ranta|mäki|rinne|bulevardi|esplanadi|puisto|kaari|penger|silta|laituri|kallio|niemi|saari|kylä|kierto)"
 HOUSE = r"\s+[0-9]{1,4}(?:[A-Za-z]|-[0-9]{1,4})?(?:\s+[A-Za-z])?(?:\s+[0-9]{1,3})?"
 CITY = rf"[{UP}][{A}\-]{{1,40}}"
@@ -106,7 +109,7 @@ def plate(text: Column) -> Column:
 
 def postal(text: Column) -> Column:
     found = pattern_spans(text, POSTAL, "FI_POSTAL_CODE", 0.90, S.plausible_postal, guard=text.rlike("[0-9]{5}"))
-    return F.filter(found, lambda x: ~window_before(text, x["start"], 48).rlike(NOT_POSTAL))
+    return sliced_spans(text, found, lambda xs, part: F.filter(xs, lambda x: ~before(part, x["start"], 48).rlike(NOT_POSTAL)))
 
 
 def phone(text: Column) -> Column:
@@ -116,7 +119,8 @@ def phone(text: Column) -> Column:
     shapes = F.filter(F.concat(*[matches(plain, p, guard) for p in PHONES]), lambda m: S.plausible_phone(m["surface"]))
     found = F.transform(shapes, lambda m: span("PHONE_NUMBER", m["start"], m["start"] + F.length(m["surface"]), 0.90, m["surface"]))
     labelled = pattern_spans(plain, PHONE_LABEL + PHONE_AFTER + "(?![0-9])", "PHONE_NUMBER", 0.90, lambda s: S.plausible_phone(s, True), part=f"^({PHONE_LABEL})({PHONE_AFTER})$", guard=guard)
-    return F.transform(longest(F.concat(found, labelled)), lambda x: span("PHONE_NUMBER", x["start"], x["end"], x["score"], F.substring(text, x["start"] + 1, x["end"] - x["start"])))
+    own = longest(F.concat(found, labelled))
+    return sliced_spans(text, own, lambda xs, part: F.transform(xs, lambda x: span("PHONE_NUMBER", x["start"], x["end"], x["score"], part(x["start"], x["end"] - x["start"]))))
 
 
 def url(text: Column) -> Column:
@@ -128,11 +132,11 @@ def url(text: Column) -> Column:
 def vin(text: Column) -> Column:
     found = pattern_spans(text, VIN, "VEHICLE_VIN", lambda s: F.when(S.vin_check(s), 0.95).otherwise(0.85), S.vin_like, guard=text.rlike("[A-Za-z0-9]{17}"))
 
-    def near_label(x: Column) -> Column:
-        label = F.lower(window_before(text, x["start"], 48)).rlike(VIN_LABEL)
+    def near_label(x: Column, part) -> Column:
+        label = F.lower(before(part, x["start"], 48)).rlike(VIN_LABEL)
         return span("VEHICLE_VIN", x["start"], x["end"], F.when(label, F.least(F.lit(0.98), x["score"] + 0.05)).otherwise(x["score"]), x["surface"])
 
-    return F.transform(found, near_label)
+    return sliced_spans(text, found, lambda xs, part: F.transform(xs, lambda x: near_label(x, part)))
 
 
 def email(text: Column) -> Column:
@@ -280,19 +284,29 @@ def address(text: Column) -> Column:
     cities = matches(text, POSTAL_CITY, five)
     streets = matches(text, STREET_HOUSE, house & five)
 
-    def claims(p: Column) -> Column:
-        """The first street that this postcode is the next one of."""
+    def claims(p: Column, near: Column, part) -> Column:
+        """The first street that this postcode is the next one of, among what ends or begins before it."""
 
         def open_gap(s: Column) -> Column:
-            end = s["start"] + F.length(s["surface"])
-            gap = F.substring(text, end + 1, p["start"] - end)
-            return (p["start"] > end) & (p["start"] - end <= 160) & ~gap.rlike(r"(?<![0-9])[0-9]{5}(?![0-9])|@|://")
+            gap = part(s["at"], p["at"] - s["at"])
+            return s["surface"].isNotNull() & (p["at"] > s["at"]) & (p["at"] - s["at"] <= REACH) & ~gap.rlike(r"(?<![0-9])[0-9]{5}(?![0-9])|@|://")
 
-        own = F.get(F.filter(streets, open_gap), 0)
-        both = F.concat(F.array(span("STREET", own["start"], own["start"] + F.length(own["surface"]), 0.96, own["surface"])), _place(p, 0.96))
-        return F.when(own.isNotNull(), both).otherwise(none())
+        def both(own: Column) -> Column:
+            found = F.concat(F.array(span("STREET", own["at"] - F.length(own["surface"]), own["at"], 0.96, own["surface"])), _place(p["place"], 0.96))
+            return F.when(own.isNotNull(), found).otherwise(none())
 
-    out.append(let(cities, lambda cs: F.concat(F.flatten(F.transform(cs, claims)), F.flatten(F.transform(cs, lambda p: _place(p, 0.91))))))
+        return let(F.get(F.filter(near, open_gap), 0), both)
+
+    def paired(events: Column, part) -> Column:
+        """Ends of streets and starts of postcodes in one order: each postcode looks back over NEAR of them at most."""
+        back = lambda j: F.slice(events, F.greatest(j - NEAR, F.lit(0)) + 1, F.least(j, F.lit(NEAR)))
+        own = F.transform(events, lambda p, j: F.when(p["place"].isNotNull(), F.concat(claims(p, back(j), part), _place(p["place"], 0.91))).otherwise(none()))
+        return F.flatten(own)
+
+    place = "struct<start:int,surface:string>"
+    ends = F.transform(streets, lambda m: F.struct((m["start"] + F.length(m["surface"])).alias("at"), m["surface"].alias("surface"), F.lit(None).cast(place).alias("place")))
+    begins = F.transform(cities, lambda m: F.struct(m["start"].alias("at"), F.lit(None).cast("string").alias("surface"), m.cast(place).alias("place")))
+    out.append(F.when(F.size(cities) > 0, let(F.array_sort(F.concat(ends, begins)), lambda events: slicing(text, lambda part: paired(events, part)))).otherwise(none()))
     alone = F.concat(*[matches(text, pattern, guard) for pattern, guard in zip(STREETS_ALONE, (house, house, kind))])
     alone = F.filter(alone, lambda m: (F.length(F.trim(m["surface"])) >= 5) & ~S.fold(F.trim(m["surface"])).isin("katu", "tie", "street", "road", "kierto"))
     out.append(F.transform(alone, lambda m: span("STREET", m["start"], m["start"] + F.length(m["surface"]), 0.85, m["surface"])))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..entities import Registry
 from ..functions import scalar as S
-from ..functions.spans import in_order, let
+from ..functions.spans import in_order, let, slicing
 
 
 def numbered(spans: Column, registry: Registry | None = None) -> Column:
@@ -15,55 +18,75 @@ def numbered(spans: Column, registry: Registry | None = None) -> Column:
     forms share a number, and numbers follow first appearance."""
     registry = registry or Registry()
     fields = ("entity_type", "start", "end", "score", "surface")
-    named = F.transform(in_order(spans), lambda x: F.struct(*[x[c].alias(c) for c in fields], registry.label_column(x["entity_type"]).alias("label"), S.entity_norm(x["surface"]).alias("norm")))
-    rich = F.transform(named, lambda x: F.struct(*[x[c].alias(c) for c in (*fields, "label", "norm")], F.xxhash64(x["label"], x["norm"]).alias("key")))
+    fields = ("entity_type", "start", "end", "score", "surface")
+    rich = F.transform(in_order(spans), lambda x: F.struct(*[x[c].alias(c) for c in fields], registry.label_column(x["entity_type"]).alias("label"), S.entity_norm(x["surface"]).alias("norm")))
     return let(rich, _numbered)
 
 
+def _first(xs: Column, *fields: str) -> Callable[[Column, Column], Column]:
+    """Of a sorted array: does an element, given with its place, differ from the one before in one of the fields?"""
+
+    def differs(x: Column, j: Column) -> Column:
+        before = F.get(xs, j - 1)
+        return functools.reduce(lambda a, b: a | b, [before[f] != x[f] for f in fields], j == 0)
+
+    return differs
+
+
 def _numbered(rich: Column) -> Column:
-    """The entities of a label are numbered by 64-bit keys, whose distinct values are told by a hash set."""
-    labels = F.array_distinct(F.transform(rich, lambda x: x["label"]))
+    """Entities are numbered by sorts, so many in one document cost little more each: spans by label, form and place bring
+    an entity's together, its first ones by label and place give the numbers, and these are sorted back."""
 
-    def entities(label: Column) -> Column:
-        keys = F.transform(F.filter(rich, lambda x: x["label"] == label), lambda x: x["key"])
-        return F.struct(label.alias("label"), F.array_distinct(keys).alias("keys"))
+    def entities(ordered: Column) -> Column:
+        heads = F.transform(ordered, lambda x, j: F.struct(x["label"].alias("label"), x["i"].alias("i"), j.alias("j"), _first(ordered, "label", "norm")(x, j).alias("new")))
+        return let(F.filter(heads, lambda x: x["new"]), lambda hs: members(ordered, hs))
 
-    def with_number(x: Column, own: Column) -> Column:
-        keys = F.element_at(F.filter(own, lambda o: o["label"] == x["label"]), 1)["keys"]
-        return F.struct(*[x[c].alias(c) for c in ("entity_type", "start", "end", "score", "surface", "label", "norm")], F.array_position(keys, x["key"]).cast("int").alias("number"))
+    def members(ordered: Column, heads: Column) -> Column:
+        """(i, number) of each span: those of entity g stand from its head to the next one's."""
 
-    def with_name(x: Column) -> Column:
-        return F.struct(*[x[c].alias(c) for c in ("entity_type", "start", "end", "score", "surface", "label", "norm", "number")], F.concat(F.lit("["), x["label"], F.lit("_"), x["number"].cast("string"), F.lit("]")).alias("placeholder"))
+        def of(own: Column) -> Column:
+            last = lambda g: F.coalesce(F.get(heads, g + 1)["j"], F.size(ordered)) - 1
+            return F.flatten(F.transform(own, lambda e: F.transform(F.sequence(F.get(heads, e["g"])["j"], last(e["g"])), lambda j: F.struct(F.get(ordered, j)["i"].alias("i"), e["number"].alias("number")))))
 
-    return let(F.transform(labels, entities), lambda own: F.transform(F.transform(rich, lambda x: with_number(x, own)), with_name))
+        return F.array_sort(let(let(F.array_sort(F.transform(heads, lambda x, g: F.struct(x["label"].alias("label"), x["i"].alias("i"), g.alias("g")))), counted), of))
+
+    def counted(ranked: Column) -> Column:
+        """(g, number) of each entity: its place among those of its label, which lie together."""
+        starts = F.filter(F.transform(ranked, lambda x, j: F.struct(x["label"].alias("label"), j.alias("j"), _first(ranked, "label")(x, j).alias("new"))), lambda x: x["new"])
+        return let(starts, lambda own: F.transform(ranked, lambda x, j: F.struct(x["g"].alias("g"), (j - F.get(F.filter(own, lambda h: h["label"] == x["label"]), 0)["j"] + 1).cast("int").alias("number"))))
+
+    def named(numbers: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            number = F.get(numbers, i)["number"]
+            name = F.concat(F.lit("["), x["label"], F.lit("_"), number.cast("string"), F.lit("]"))
+            return F.struct(*[x[c].alias(c) for c in ("entity_type", "start", "end", "score", "surface", "label", "norm")], number.alias("number"), name.alias("placeholder"))
+
+        return F.transform(rich, one)
+
+    return let(let(F.array_sort(F.transform(rich, lambda x, i: F.struct(x["label"].alias("label"), x["norm"].alias("norm"), i.alias("i")))), entities), named)
 
 
 def rewritten(text: Column, hits: Column, style: str = "placeholder") -> Column:
     """The text with placeholders for spans, or (``remove``) without them and the gaps they leave. Spans must not
-    overlap and come in order; what lies between them is joined at once. Parts of ASCII texts are taken by byte, so
-    the time doesn't depend on where they lie."""
+    overlap and come in order; what lies between them is joined at once."""
     tag = (lambda h: F.lit("")) if style == "remove" else (lambda h: h["placeholder"])
 
-    def whole(v: Column) -> Column:
-        def part(first: Column, size: Column) -> Column:
-            return F.when(v["ascii"], F.substring(v["bytes"], first + 1, size).cast("string")).otherwise(F.substring(text, first + 1, size))
-
+    def whole(hits: Column, part: Callable[[Column, Column | int], Column]) -> Column:
         def piece(h: Column, i: Column) -> Column:
-            before = F.when(i == 0, 0).otherwise(F.get(hits, i - 1)["end"])
-            return F.concat(part(before, h["start"] - before), tag(h))
+            last = F.when(i == 0, 0).otherwise(F.get(hits, i - 1)["end"])
+            return F.concat(part(last, h["start"] - last), tag(h))
 
         return F.concat(F.array_join(F.transform(hits, piece), ""), part(F.element_at(hits, -1)["end"], F.length(text)))
 
-    done = let(F.struct(text.cast("binary").alias("bytes"), (F.octet_length(text) == F.length(text)).alias("ascii")), whole)
-    out = F.when(F.size(hits) == 0, text).otherwise(done)
+    out = let(hits, lambda hs: F.when(F.size(hs) == 0, text).otherwise(slicing(text, lambda part: whole(hs, part))))
     return S.close_gaps(out) if style == "remove" else out
 
 
 def mapping(hits: Column) -> Column:
     """Entries (placeholder, original): the surface seen first stands for its entity."""
-    names = F.transform(hits, lambda h: F.xxhash64(h["placeholder"]))
-    first = let(names, lambda keys: F.filter(hits, lambda h, i: F.array_position(keys, F.xxhash64(h["placeholder"])) == i + 1))
-    return F.transform(first, lambda h: F.struct(h["placeholder"].alias("placeholder"), h["surface"].alias("original")))
+    ordered = F.array_sort(F.transform(hits, lambda h, i: F.struct(h["placeholder"].alias("placeholder"), i.alias("i"))))
+    first = let(ordered, lambda xs: F.array_sort(F.transform(F.filter(xs, _first(xs, "placeholder")), lambda x: x["i"])))
+    return F.transform(first, lambda i: let(F.get(hits, i), lambda h: F.struct(h["placeholder"].alias("placeholder"), h["surface"].alias("original"))))
 
 
 def entity_counts(docs: DataFrame, hits: str = "hits", *keys: str) -> DataFrame:
