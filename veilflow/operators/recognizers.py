@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
 from ..functions import scalar as S
 from ..functions.spans import SPANS, before, let, longest, matches, merge, none, pattern_spans, sliced_spans, slicing, span
 from ..lexicon import BRAND_JOINERS, COMPANY_ROLES, FORMISH, LEGALISH, TITLE_TAILS, Lexicon
+from . import search
 
 # --- fixed values: shapes of identifiers ----------------------------------------------------------
 A = "A-Za-zÅÄÖåäö"
@@ -370,29 +372,64 @@ def row_recognizer(name: str, entity: str, find: Callable) -> Recognizer:
 
 
 def deny_spans(text: Column, deny: list[tuple[str, str]]) -> Column:
-    """Every occurrence of listed surfaces, in any case, scored 1.0: (surface, type) each."""
-    out = [none()]
-    for needle, entity in deny:
-        if needle.strip():
-            quoted = r"(?iu)\Q" + needle.strip().replace(r"\E", r"\E\\E\Q") + r"\E"
-            out.append(pattern_spans(text, quoted, entity.upper(), 1.0, guard=F.lower(text).contains(needle.strip().lower())))
-    return F.concat(*out)
-
-
-def stem_spans(text: Column, spans: Column, lexicon: Lexicon = Lexicon()) -> Column:
-    """Other mentions of companies: the name without legal form and its first word, with Finnish case endings.
-
-    The patterns are made per document from its own ORG spans."""
+    """Every occurrence of listed surfaces, in any case, scored 1.0: (surface, type) each, all by one pass."""
+    return search.listed(text, deny) if any(s.strip() for s, _ in deny) else none()
+
+
+#: The case endings above, and letters and digits that part no word.
+_ENDINGS, _WORD = frozenset(FI_ENDINGS.split("|")), frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyzÅÄÖåäö0123456789")
+
+
+def _stem_places(text: str, stems: list[str]) -> list[tuple[int, int]]:
+    """(start, end) of the places where a stem begins a word that ends with it or with a case ending, by stem. A
+    hyphen may also be a space or left out; places of one stem don't overlap."""
+    forms, owner = [], []
+    for k, s in enumerate(stems):
+        for form in functools.reduce(lambda heads, tail: [h + d + tail for h in heads for d in ("-", " ", "")], s.split("-")[1:], s.split("-")[:1]) if s.count("-") <= 4 else [s]:
+            forms.append(form)
+            owner.append(k)
+    found = []
+    for form, start, end in search.Automaton(forms).find(text):
+        if not start or text[start - 1] not in _WORD:
+            rest = end
+            while rest < len(text) and text[rest] in _WORD and rest - end < 4:
+                rest += 1
+            if rest == end or rest - end < 4 and text[end:rest].lower() in _ENDINGS:
+                found.append((owner[form], start, rest))
+    out, last = [], {}
+    for k, start, end in sorted(found):
+        if start >= last.get(k, 0):
+            last[k] = end
+            out.append((start, end))
+    return list(dict.fromkeys(out))
+
+
+def _stem_spans(texts: pa.Array, lists: pa.Array) -> pa.Array:
+    kind = pa.struct([("entity_type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("surface", pa.string())])
+    return pa.array([[{"entity_type": "ORG", "start": a, "end": b, "score": 0.87, "surface": t[a:b]} for a, b in _stem_places(t, own)] if t and own else [] for t, own in zip(texts.to_pylist(), lists.to_pylist())], pa.list_(kind))
+
+
+def stems(spans: Column, lexicon: Lexicon = Lexicon()) -> Column:
+    """The names of a document's companies without their legal form, and the first words of those."""
     bare = F.transform(F.filter(spans, lambda x: (x["entity_type"] == "ORG") & x["surface"].rlike(LEGAL_END)), lambda x: F.regexp_replace(F.regexp_replace(x["surface"], LEGAL_END, ""), r"^[\s,.\-(\"«]+|[\s,.\-)\"»]+$", ""))
     bare = F.filter(bare, lambda s: F.length(s) >= 4)
     first = F.filter(F.transform(bare, lambda s: F.when(s.rlike(r"\s"), F.regexp_extract(s, r"^\S+", 0)).otherwise("")), lambda s: F.length(s) >= 4)
-    weak = lambda s: (F.length(S.surface_norm(s)) < 4) | _among(S.surface_norm(s), lexicon.weak)
-    stems = F.filter(F.array_distinct(F.concat(bare, first)), lambda s: ~(~s.contains(" ") & weak(s)) & ~_among(S.fold(s), lexicon.roles))
+    return F.filter(F.array_distinct(F.concat(bare, first)), lambda s: ~(~s.contains(" ") & _weak(s, lexicon)) & ~_among(S.fold(s), lexicon.roles))
+
+
+def _weak(s: Column, lexicon: Lexicon) -> Column:
+    return (F.length(S.surface_norm(s)) < 4) | _among(S.surface_norm(s), lexicon.weak)
+
+
+def with_mentions(docs: DataFrame, text_col: str, spans_col: str, into: str, lexicon: Lexicon = Lexicon()) -> DataFrame:
+    """``docs`` with a column of other mentions of companies: the stems of the spans, with Finnish case endings, all by
+    one pass over the text. Texts that name no company by its legal form don't go to Python."""
+    named = docs.withColumn("__stems", stems(F.col(spans_col), lexicon))
+    return named.withColumn(into, mentions(F.col(text_col), F.col("__stems"), lexicon)).drop("__stems")
 
-    def found(s: Column) -> Column:
-        quoted = F.replace(F.concat(F.lit(r"\Q"), s, F.lit(r"\E")), F.lit("-"), F.lit(r"\E[\- ]?\Q"))
-        pattern = F.concat(F.lit(rf"(?iu)(?<![{A}0-9])"), quoted, F.lit(rf"(?:{FI_ENDINGS})?(?![{A}0-9])"))
-        return F.transform(matches(text, pattern), lambda m: span("ORG", m["start"], m["start"] + F.length(m["surface"]), 0.87, m["surface"]))
 
-    own = F.array_distinct(F.flatten(F.transform(stems, found)))
-    return F.coalesce(F.filter(own, lambda x: ~weak(x["surface"]) & ~_among(F.regexp_replace(S.fold(x["surface"]), "n+$", ""), lexicon.roles)), none())
+def mentions(text: Column, stems: Column, lexicon: Lexicon = Lexicon()) -> Column:
+    """Spans of given stems. Both must be columns of a table: Spark doesn't hand Python what lambdas make in passing."""
+    some = F.size(stems) > 0
+    own = search.arrow_column(_stem_spans, SPANS, F.when(some, text), F.when(some, stems))
+    return F.filter(own, lambda x: ~_weak(x["surface"], lexicon) & ~_among(F.regexp_replace(S.fold(x["surface"]), "n+$", ""), lexicon.roles))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..entities import Registry
 from ..functions import scalar as S
 from ..functions.spans import in_order, let, slicing
+from . import search
 
 
 def numbered(spans: Column, registry: Registry | None = None) -> Column:
@@ -96,9 +97,8 @@ def entity_counts(docs: DataFrame, hits: str = "hits", *keys: str) -> DataFrame:
 
 
 def apply_mapping(text: Column, entries: Column, style: str = "placeholder") -> Column:
-    """Literal replacement of originals by placeholders, longest first; for texts without spans."""
-    ordered = F.array_sort(entries, lambda a, b: F.when(F.length(a["original"]) > F.length(b["original"]), -1).when(F.length(a["original"]) < F.length(b["original"]), 1).when(S.fold(a["original"]) < S.fold(b["original"]), -1).when(S.fold(a["original"]) > S.fold(b["original"]), 1).otherwise(0))
-    out = F.aggregate(ordered, text, lambda acc, e: F.replace(acc, e["original"], F.lit("") if style == "remove" else e["placeholder"]))
+    """Literal replacement of originals by placeholders, longest first and in one pass; for texts without spans."""
+    out = search.replaced(text, entries, style)
     return S.close_gaps(out) if style == "remove" else out
 
 

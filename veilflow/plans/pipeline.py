@@ -13,7 +13,7 @@ from ..operators import blocks as B
 from ..operators import filters as X
 from ..operators import language as L
 from ..operators import rewriting as W
-from ..operators.recognizers import BUILTIN, Recognizer, deny_spans, stem_spans
+from ..operators.recognizers import BUILTIN, Recognizer, deny_spans, with_mentions
 from .config import Config
 
 DATE = r"\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})\b"
@@ -63,8 +63,7 @@ def analyze(docs: DataFrame, cfg: Config = Config(), text_col: str = "text") ->
     out = out.withColumn("spans", (X.drop_noisy(t, X.drop_false_positives(t, X.drop_field_labels(t, F.col("spans")), cfg.lexicon))))
     if "ORG" in wanted:
         # most documents name no company by its legal form, and are spared the second pass
-        more = stem_spans(t, F.col("spans"), cfg.lexicon)
-        out = out.withColumn("_stems", (more))
+        out = with_mentions(out, "clean_text", "spans", "_stems", cfg.lexicon)
         again = X.drop_false_positives(t, merge(F.concat("spans", "_stems"), priority), cfg.lexicon)
         out = out.withColumn("spans", (F.when(F.size("_stems") > 0, again).otherwise(F.col("spans")))).drop("_stems")
     return out.withColumn("spans", X.drop_allowed(F.col("spans"), list(cfg.allow)).cast(SPANS))

@@ -70,7 +70,8 @@ def apply(docs: DataFrame, table: DataFrame, id_col: str = "doc_id", style: str
     own = F.filter(F.col("hits"), lambda h: F.coalesce(F.array_contains(F.col("_on"), h["placeholder"]), F.lit(False)))
     text = W.rewritten(F.col("clean_text"), own, style)
     user = F.coalesce("_user", F.array().cast("array<struct<placeholder:string,original:string>>"))
-    return joined.withColumn("anonymized_text", W.apply_mapping(text, user, style)).drop("_on", "_user")
+    done = joined.withColumn("anonymized_text", text).withColumn("_user", user)
+    return done.withColumn("anonymized_text", W.apply_mapping(F.col("anonymized_text"), F.col("_user"), style)).drop("_on", "_user")
 
 
 def teach(table: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -74,12 +74,16 @@ BROKEN = "SELECT c_custkey AS id, concat('mail u', CAST(c_custkey AS STRING), CA
 
 def found(source: str, recognizer: Callable[[Column], Column]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _sql(spark, sf_dir, source).select("id", F.explode(recognizer(F.col("text"))).alias("x"))
-        return rows.select("id", "x.entity_type", F.col("x.start").alias("start_at"), F.col("x.end").alias("end_at"), F.round("x.score", 4).alias("score"), "x.surface")
+        rows = _sql(spark, sf_dir, source).select("id", recognizer(F.col("text")).alias("xs")).select("id", F.explode("xs").alias("x"))
+        return _flat(rows)
 
     return run
 
 
+def _flat(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "x.entity_type", F.col("x.start").alias("start_at"), F.col("x.end").alias("end_at"), F.round("x.score", 4).alias("score"), "x.surface")
+
+
 def span_sql(source: str, pattern: str, entity: str, score: str, where: str = "TRUE") -> str:
     """Matches with offsets in SQL: a match starts where the matches and gaps before it end."""
     p = pattern.replace("'", "''")
@@ -156,7 +160,8 @@ register("deny_hits", span_sql(DOCS, "(?i)apache license", "ORG", "1.0"))(found(
 @register("company_stems", span_sql("SELECT s_suppkey AS id, concat('Lahti', CAST(s_suppkey AS STRING), ' Rahoitus Oy ja Lahti', CAST(s_suppkey AS STRING), 'lle asti') AS text FROM supplier", r"Lahti[0-9]+ Rahoitus|Lahti[0-9]+(?:lle)?", "ORG", "0.87") + " UNION ALL SELECT s_suppkey, 'ORG', 0, CAST(5 + length(CAST(s_suppkey AS VARCHAR)) AS INTEGER), 0.87, concat('Lahti', CAST(s_suppkey AS VARCHAR)) FROM supplier")
 def company_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = "SELECT s_suppkey AS id, concat('Lahti', CAST(s_suppkey AS STRING), ' Rahoitus Oy ja Lahti', CAST(s_suppkey AS STRING), 'lle asti') AS text FROM supplier"
-    return found(source, lambda t: R.stem_spans(t, R.company(t)))(spark, sf_dir)
+    rows = R.with_mentions(_sql(spark, sf_dir, source).withColumn("orgs", R.company(F.col("text"))), "text", "orgs", "xs")
+    return _flat(rows.select("id", F.explode("xs").alias("x")))
 
 
 # --- spans, placeholders, counts ----------------------------------------------------------------------
