@@ -24,11 +24,14 @@ ONLY_URLS, ONLY_PHONE = r"(?i)^(?:\s*(?:https?://|www\.)\S+\s*)+$", r"(?i)^(?:pu
 
 def repair(text: Column) -> Column:
     """Rejoin e-mail addresses that line ends broke, in up to four rounds; texts on one line stay as they are."""
-    out = text
+    return F.when(text.contains("\n") & text.contains("@"), rejoined(text)).otherwise(text)
+
+
+def rejoined(text: Column) -> Column:
     for _ in range(4):
         for pattern in BREAKS:
-            out = F.regexp_replace(out, pattern, "$1$2")
-    return F.when(text.contains("\n") & text.contains("@"), out).otherwise(text)
+            text = F.regexp_replace(text, pattern, "$1$2")
+    return text
 
 
 def blocks(text: Column) -> Column:

@@ -56,19 +56,28 @@ def analyze(docs: DataFrame, cfg: Config = Config(), text_col: str = "text") ->
     wanted = cfg.effective_entities()
     if not wanted:
         return out.withColumn("spans", none())
-    t, priority = F.col("clean_text"), cfg.registry.priority_column
-    with collecting("_found") as finder:
-        raw = raw_spans(t, cfg)
-    out = out.withColumn("_found", finder.column()).withColumn("spans", merge(raw, priority)).drop("_found")
-    out = out.withColumn("spans", (X.drop_noisy(t, X.drop_false_positives(t, X.drop_field_labels(t, F.col("spans")), cfg.lexicon))))
+    out = detected(out, cfg)
     if "ORG" in wanted:
         # most documents name no company by its legal form, and are spared the second pass
-        out = with_mentions(out, "clean_text", "spans", "_stems", cfg.lexicon)
-        again = X.drop_false_positives(t, merge(F.concat("spans", "_stems"), priority), cfg.lexicon)
-        out = out.withColumn("spans", (F.when(F.size("_stems") > 0, again).otherwise(F.col("spans")))).drop("_stems")
+        out = settled(with_mentions(out, "clean_text", "spans", "_stems", cfg.lexicon), "_stems", cfg)
     return out.withColumn("spans", X.drop_allowed(F.col("spans"), list(cfg.allow)).cast(SPANS))
 
 
+def detected(docs: DataFrame, cfg: Config) -> DataFrame:
+    """``docs`` with ``spans`` of ``clean_text``: detect, deny, resolve overlaps, drop labels, false positives and noise."""
+    t = F.col("clean_text")
+    with collecting("_found") as finder:
+        raw = raw_spans(t, cfg)
+    out = docs.withColumn("_found", finder.column()).withColumn("spans", merge(raw, cfg.registry.priority_column)).drop("_found")
+    return out.withColumn("spans", X.drop_noisy(t, X.drop_false_positives(t, X.drop_field_labels(t, F.col("spans")), cfg.lexicon)))
+
+
+def settled(docs: DataFrame, more: str, cfg: Config) -> DataFrame:
+    """``spans`` with those of the column ``more``, resolved and filtered again where there are any."""
+    again = X.drop_false_positives(F.col("clean_text"), merge(F.concat("spans", more), cfg.registry.priority_column), cfg.lexicon)
+    return docs.withColumn("spans", F.when(F.size(more) > 0, again).otherwise(F.col("spans"))).drop(more)
+
+
 def anonymize(docs: DataFrame, cfg: Config = Config(), text_col: str = "text") -> DataFrame:
     """``analyze`` and then ``hits`` (numbered spans), ``anonymized_text`` and ``mapping``."""
     out = analyze(docs, cfg, text_col).withColumn("hits", (W.numbered(F.col("spans"), cfg.registry)))
