@@ -19,11 +19,12 @@ from .operators import filters as X
 from .operators import language as L
 from .operators import recognizers as R
 from .operators import rewriting as W
-from .plans import review, templates
+from .operators import search
+from .plans import chunks, review, templates
 from .plans.config import Config
 from .plans.pipeline import anonymize, spread
 
-TABLES = "region nation customer supplier part orders lineitem events documents pages labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents pages benchmark labels conversations".split()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -484,6 +485,55 @@ register("anonymize_emails", f"SELECT doc_id, n, text AS anonymized_text FROM ({
 register("anonymize_emails_remove", f"SELECT doc_id, n, regexp_replace(text, '[^\\S\\n]{{2,}}', ' ', 'g') AS anonymized_text FROM ({_replaced(_REPAIRED, "''")})")(_emails_only("remove"))
 
 
+@register("anonymize_chunked", f"SELECT doc_id, text AS anonymized_text FROM ({_replaced(_REPAIRED, "'[EMAIL_' || k || ']'")})")
+def anonymize_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in chunks of some 2,000 characters, and whole again: as if it had never been cut."""
+    docs = _sql(spark, sf_dir, "SELECT doc_id, text FROM documents")
+    pieces, _ = chunks.anonymize_chunks(docs, Config(entities=("EMAIL_ADDRESS",)), size=2000, halo=400)
+    return chunks.whole(pieces).select(F.col("id").alias("doc_id"), F.col("text").alias("anonymized_text"))
+
+
+_ORDER_TEXTS = """SELECT s_suppkey AS doc_id, CASE s_suppkey % 3
+  WHEN 0 THEN concat('Lahti', s_suppkey, ' Rahoitus Oy maksaa u', s_suppkey, '@example.com tai Lahti', s_suppkey, 'lle. Salainen sana ja ok@example.com.')
+  WHEN 1 THEN concat('ok@example.com ja Lahti', s_suppkey, ' Rahoitus Ltd sanoo Lahti', s_suppkey, 'lle, U', s_suppkey, '@example.com')
+  ELSE concat('Asiakas on Lahti', s_suppkey, ' Oy. u1@example.com, U1@example.com, Lahti', s_suppkey, 'ssa SALAINEN SANA, SALAINEN SANA') END AS text FROM supplier"""
+_ORDER = """SELECT s_suppkey AS doc_id, CASE s_suppkey % 3
+  WHEN 0 THEN '[ORG_1] maksaa [EMAIL_1] tai [ORG_2]. [PERSON_1] ja ok@example.com.'
+  WHEN 1 THEN 'ok@example.com ja Lahti' || s_suppkey || ' Rahoitus [PERSON_1] Lahti' || s_suppkey || 'lle, [EMAIL_1]'
+  ELSE 'Asiakas on [ORG_1]. [EMAIL_1], [EMAIL_1], [ORG_2] [PERSON_1], [PERSON_1]' END AS anonymized_text FROM supplier"""
+
+
+@register("anonymize_order", _ORDER)
+def anonymize_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectors, deny list, overlaps, filters, other mentions and allow list in their order: a denied surface takes a company's
+    name over, whose stem is then no longer looked for; what is allowed goes last, and takes no number."""
+    cfg = Config(entities=("ORG", "EMAIL_ADDRESS", "PERSON"), deny=(("salainen sana", "PERSON"), ("ltd sanoo", "PERSON")), allow=("ok@example.com",))
+    return anonymize(_sql(spark, sf_dir, _ORDER_TEXTS), cfg).select("doc_id", "anonymized_text")
+
+
+# --- tables of surfaces ---------------------------------------------------------------------------------
+
+_PLACES = """
+WITH d AS ({docs}), e AS ({entries}), m AS (SELECT d.id, d.text, e.surface, e.entity_type FROM d JOIN e ON contains(lower(d.text), lower(e.surface))),
+p AS (SELECT id, text, surface, entity_type, unnest(range(1, length(text) - length(surface) + 2)) AS i FROM m)
+SELECT id, entity_type, CAST(i - 1 AS INTEGER) AS start_at, substr(text, i, length(surface)) AS surface FROM p WHERE lower(substr(text, i, length(surface))) = lower(surface)"""
+_NOTES = "SELECT p_partkey AS id, concat(p_name, ' of ', upper(p_brand), ' by supplier#', lpad(CAST(p_partkey % 150 AS STRING), 9, '0'), ' in nation_', CAST(p_partkey % 30 AS STRING)) AS text FROM part"
+_NAMES = "SELECT s_name AS surface, 'ORG' AS entity_type FROM supplier UNION SELECT n_name, 'LOCATION' FROM nation UNION SELECT p_brand, 'PRODUCT' FROM part"
+_PASSAGES = "SELECT DISTINCT trim(text) AS surface, 'PASSAGE' AS entity_type FROM benchmark WHERE length(trim(text)) >= 4"
+
+
+def _placed(docs: str, entries: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hits = search.search_table(_sql(spark, sf_dir, docs), _sql(spark, sf_dir, entries))
+        return hits.select("id", F.explode("spans").alias("x")).select("id", "x.entity_type", F.col("x.start").alias("start_at"), "x.surface")
+
+    return run
+
+
+register("surface_table", _PLACES.format(docs=_NOTES, entries=_NAMES))(_placed(_NOTES, _NAMES))
+register("passages_in_documents", _PLACES.format(docs=DOCS, entries=_PASSAGES))(_placed(DOCS, _PASSAGES))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["anonymize_strict"](spark, sf_dir)
 
