@@ -20,7 +20,7 @@ from .operators import language as L
 from .operators import recognizers as R
 from .operators import rewriting as W
 from .operators import search
-from .plans import chunks, review, templates
+from .plans import chunks, folder, review, templates
 from .plans.config import Config
 from .plans.pipeline import anonymize, spread
 
@@ -493,6 +493,15 @@ def anonymize_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.whole(pieces).select(F.col("id").alias("doc_id"), F.col("text").alias("anonymized_text"))
 
 
+@register("folder_names", f"""
+WITH e AS ({span_sql(_REPAIRED, R.EMAIL, 'EMAIL_ADDRESS', '1.0')}), f AS (SELECT d.source, lower(e.surface) AS norm, arg_min(e.surface, (e.id, e.start_at)) AS original, min((e.id, e.start_at)) AS first FROM e JOIN documents d ON d.doc_id = e.id GROUP BY ALL)
+SELECT source, '[EMAIL_' || row_number() OVER (PARTITION BY source ORDER BY first) || ']' AS placeholder, original FROM f""")
+def folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources as folders: the documents of each share one map."""
+    docs = _sql(spark, sf_dir, "SELECT doc_id, source, text FROM documents")
+    return folder.anonymize_together(docs, Config(entities=("EMAIL_ADDRESS",)), "source")[1].select("source", "placeholder", "original")
+
+
 _ORDER_TEXTS = """SELECT s_suppkey AS doc_id, CASE s_suppkey % 3
   WHEN 0 THEN concat('Lahti', s_suppkey, ' Rahoitus Oy maksaa u', s_suppkey, '@example.com tai Lahti', s_suppkey, 'lle. Salainen sana ja ok@example.com.')
   WHEN 1 THEN concat('ok@example.com ja Lahti', s_suppkey, ' Rahoitus Ltd sanoo Lahti', s_suppkey, 'lle, U', s_suppkey, '@example.com')
