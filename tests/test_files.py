@@ -144,3 +144,56 @@ def test_command_line_options(spark, tmp_path, capsys):
     capsys.readouterr()
     assert main(["templates", "print-enabled", "--dir", packs]) == 0 and capsys.readouterr().out.strip() == "x,mine"
     assert main(["templates", "delete", "x", "--dir", packs]) == 0 and main(["templates", "get", "x", "--dir", packs]) == 2
+
+
+def test_lists_verbs(tmp_path, capsys):
+    from veilflow.plans.config import load_config, load_lists
+
+    path = tmp_path / "c" / "config.json"
+    assert main(["lists", "print", "--config", str(path)]) == 0 and capsys.readouterr().out.startswith("---ALLOW---\n")
+    (tmp_path / "allow").write_text("# mine\nFoo Oy\n\n Bar \n", encoding="utf-8")
+    (tmp_path / "deny").write_text("Secret\n", encoding="utf-8")
+    path.parent.mkdir()
+    path.write_text('{"mode": "standard"}', encoding="utf-8")
+    assert main(["lists", "save", "--config", str(path), "--allow-file", str(tmp_path / "allow"), "--deny-file", str(tmp_path / "deny")]) == 0
+    assert load_lists(path) == (["Foo Oy", "Bar"], ["Secret"]) and load_config(path).mode == "standard" and path.stat().st_mode & 0o77 == 0
+    capsys.readouterr()
+    assert main(["lists", "print", "--config", str(path)]) == 0 and capsys.readouterr().out == "---ALLOW---\nFoo Oy\nBar\n---DENY---\nSecret\n"
+    assert main(["lists", "migrate", "--config", str(path), "--dir", str(tmp_path)]) == 0
+    assert main(["lists", "migrate", "--config", str(tmp_path / "none.json"), "--dir", str(tmp_path)]) == 2
+    (tmp_path / "empty").write_text("", encoding="utf-8")
+    assert main(["lists", "save", "--config", str(path), "--allow-file", str(tmp_path / "empty")]) == 0 and load_lists(path) == ([], ["Secret"])
+
+
+def test_doctor(capsys):
+    assert main(["doctor"]) == 0 and "pyspark" in capsys.readouterr().out
+
+
+def test_match_statistics_of_a_run(spark):
+    native = spark.createDataFrame([("a", b"", [("x", 2), ("y", 0)], None), ("b", None, [], "bad")], "source string, content binary, stats array<struct<surface:string,n:int>>, error string")
+    (r,) = sinks.native_stats(native).collect()
+    assert (r["document"], r["total"], r["found"], r["missed"], r["hit_count"], r["match_rate"], r["missing"]) == ("a", 2, 1, 1, 2, 0.5, ["y"])
+
+
+def test_package_is_sent_where_workers_lack_it(spark, monkeypatch, tmp_path):
+    from veilflow import shipping
+
+    sent = []
+
+    class Context:
+        master = "spark://x:1"
+
+        def addPyFile(self, path):
+            sent.append(path)
+
+    class Session:
+        sparkContext = Context()
+
+    monkeypatch.setenv("PYTHONPATH", str(tmp_path))
+    shipping.ship(Session)
+    shipping.ship(Session)
+    assert len(sent) == 1 and "veilflow/shipping.py" in zipfile.ZipFile(sent[0]).namelist()
+    Session.sparkContext = Context()
+    monkeypatch.setenv("PYTHONPATH", str(shipping.HERE.parent))
+    shipping.ship(Session)
+    assert len(sent) == 1

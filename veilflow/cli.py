@@ -1,6 +1,7 @@
 """Command line: anonymize files or a folder. ``python -m veilflow.cli [MODE] PATH -o OUT``; nothing leaves the machine.
 
-``templates list|get|new|fork|delete|teach|set-enabled|print-enabled`` keep packs of allowed and denied surfaces."""
+``templates list|get|new|fork|delete|teach|set-enabled|print-enabled`` keep packs of allowed and denied surfaces,
+``lists print|save|migrate`` a configuration's own ones; ``doctor`` tells what this installation can do."""
 
 from __future__ import annotations
 
@@ -16,13 +17,15 @@ from pathlib import Path
 from .entities import Registry
 from .operators.language import forced, ocr_languages
 from .plans import review, templates
-from .plans.config import FORMATS, STYLES, load_config, with_packs
+from .plans.config import FORMATS, STYLES, load_config, load_lists, load_raw, save_lists, with_packs
 from .plans.pipeline import anonymize_blocks
+from .plans.tables import remove, written
+from .shipping import ship
 from .sources import sinks
 from .sources.files import collect_inputs, read_documents, recognized
 
 MODES = ("extract", "standard", "strict")
-PACKS = Path("~/.config/veilflow/templates")
+CONFIG, PACKS = Path("~/.config/veilflow/config.json"), Path("~/.config/veilflow/templates")
 
 
 def parser() -> argparse.ArgumentParser:
@@ -102,8 +105,53 @@ def packs(argv: list[str]) -> int:
     return 0
 
 
+def lists(argv: list[str]) -> int:
+    """The verbs of ``lists``: print the allowed and denied surfaces of a configuration, or save new ones from files."""
+    p = argparse.ArgumentParser(prog="veilflow lists")
+    p.add_argument("verb", choices=("print", "save", "migrate"))
+    p.add_argument("--config", default=str(CONFIG))
+    p.add_argument("--allow-file")
+    p.add_argument("--deny-file")
+    p.add_argument("--dir", default=str(PACKS))
+    a = p.parse_args(argv)
+    path = Path(a.config).expanduser()
+    if a.verb == "save":
+        allow, deny = load_lists(path)
+        own = lambda name, old: Path(name).read_text(encoding="utf-8").splitlines() if name else old
+        print(save_lists(own(a.allow_file, allow), own(a.deny_file, deny), path))
+    elif a.verb == "migrate":
+        pack = templates.migrated(load_raw(path)) if path.is_file() else None
+        if pack is None:
+            print("the configuration has no lists", file=sys.stderr)
+            return 2
+        print(templates.save(pack, Path(a.dir).expanduser() / f"{templates.file_name(pack.id)}.json"))
+    else:
+        allow, deny = load_lists(path)
+        print("\n".join(["---ALLOW---", *allow, "---DENY---", *deny]))
+    return 0
+
+
+def doctor() -> int:
+    """What this installation can do: Spark, Java, the shared folder, and the programs that plugins of formats use."""
+    import importlib.util
+    import os
+    import shutil
+
+    import pyspark
+
+    rows = [("python", sys.version.split()[0], True), ("pyspark", pyspark.__version__, True), ("java", shutil.which("java") or os.environ.get("JAVA_HOME", ""), True)]
+    rows += [("yaml configurations", "PyYAML" if importlib.util.find_spec("yaml") else "", False), ("PDF text", "PyMuPDF" if importlib.util.find_spec("pymupdf") else "", False), ("recognition of scans", shutil.which("ocrmypdf") or "", False)]
+    for name, found, needed in rows:
+        print(name, found or ("missing" if needed else "not installed"), sep="\t")
+    return int(any(needed and not found for _, found, needed in rows))
+
+
 def main(argv: list[str] | None = None) -> int:
     argv = list(sys.argv[1:] if argv is None else argv)
+    if argv[:1] == ["lists"]:
+        return lists(argv[1:])
+    if argv[:1] == ["doctor"]:
+        return doctor()
     if argv[:1] == ["templates"]:
         return packs(argv[1:])
     if argv[:1] and argv[0] in MODES:
@@ -143,11 +191,14 @@ def main(argv: list[str] | None = None) -> int:
         logging.getLogger("py4j").setLevel(logging.ERROR)
     spark = SparkSession.builder.appName("veilflow").getOrCreate()
     languages = ocr_languages(a.lang)
-    docs = read_documents(spark, str(a.path), inputs, a.keep_headers, ocr=lambda content: recognized(content, languages), force_ocr=a.force_ocr, no_ocr=a.no_ocr)
+    ship(spark)
+    # files are parsed once, and documents worked out once, however many results are asked for
+    docs = written(read_documents(spark, str(a.path), inputs, a.keep_headers, ocr=lambda content: recognized(content, languages), force_ocr=a.force_ocr, no_ocr=a.no_ocr))
     bad = docs.where("error IS NOT NULL").select("source", "error").collect()
     for r in bad:
         print(f"{r['source']}: {r['error']}", file=sys.stderr)
-    out = anonymize_blocks(docs.where("error IS NULL"), cfg)
+    say(f"{docs.count() - len(bad)} files read in {time.monotonic() - began:.1f} s")
+    out = written(anonymize_blocks(docs.where("error IS NULL"), cfg))
     if a.reject:
         out = _without(out, a.reject, cfg, folder if a.learn_to else None, a.learn_to)
     made = sinks.markdown_document(out, cfg.mode, cfg.redact_style, a.lang, datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ"))
@@ -162,15 +213,19 @@ def main(argv: list[str] | None = None) -> int:
             sinks.write_markdown(made, str(Path(target).absolute()), root, cfg.mode)
     if cfg.output_format in ("source", "both"):
         files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(a.path)).select(F.col("path").alias("source"), "content")
-        native = sinks.native_documents(out, files, cfg.redact_style)
+        native = written(sinks.native_documents(out, files, cfg.redact_style))
         rows = native.where("error IS NULL").select(sinks.relative(F.col("source"), root, sinks.native_name(F.col("source"))).alias("path"), "content")
         say(sinks.write_files(rows, str(Path(target or root).absolute())), "files in their own format")
         for r in native.where("error IS NOT NULL").select("source", "error").collect():
             print(f"{r['source']}: {r['error']}", file=sys.stderr)
+        for r in sinks.native_stats(native).orderBy("document").toLocalIterator():
+            say(f"{r['document']}: {r['found']} of {r['total']} surfaces found, {r['hit_count']} replaced" + (f"; not found: {', '.join(r['missing'][:10])}" if r["missing"] else ""))
+        remove(native)
     if a.map and one and Path(a.map).suffix:
         sinks.write_map({m["placeholder"]: m["original"] for m in out.first()["mapping"]}, a.map)
     elif a.map:
         sinks.write_maps(out, str(Path(a.map).absolute()), root)
+    remove(docs)
     say(f"{len(inputs) - len(bad)} of {len(inputs)} files done in {time.monotonic() - began:.1f} s")
     return 1 if bad and len(bad) == len(inputs) else 0
 

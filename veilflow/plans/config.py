@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import importlib.util
 import json
+import os
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
@@ -158,3 +159,32 @@ def load_config(path: str | Path | None = None, **overrides) -> Config:
     if "mode" in overrides:
         overrides["mode"] = normalize_mode(overrides["mode"])
     return replace(cfg, **overrides)
+
+
+def load_raw(path: str | Path) -> dict:
+    """The keys of a configuration file."""
+    return checked(_read(path), path)
+
+
+def load_lists(path: str | Path) -> tuple[list[str], list[str]]:
+    """The allowed and the denied surfaces of a configuration file; the library's own where there is no file. A list
+    that is there and empty stays empty."""
+    cfg = load_config(path if Path(path).is_file() else None)
+    return list(cfg.allow), [t for t, _ in cfg.deny]
+
+
+def save_lists(allow: list[str], deny: list[str], path: str | Path) -> Path:
+    """Put lists into a configuration file (JSON, which is YAML, too), whose other keys stay; for its owner's eyes only. Blank
+    lines and those that begin with # don't count. What a file would not be read with isn't written."""
+    from .templates import lines
+
+    path = Path(path)
+    data = checked(_read(path), path) if path.is_file() else {}
+    data |= {"allowlist": lines("\n".join(allow)), "denylist": [{"text": t, "entity_type": "ORG"} for t in lines("\n".join(deny))]}
+    checked(data, path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    fd = os.open(path, os.O_WRONLY | os.O_CREAT | os.O_TRUNC | getattr(os, "O_NOFOLLOW", 0), 0o600)
+    with os.fdopen(fd, "w", encoding="utf-8") as f:
+        json.dump(data, f, ensure_ascii=False, indent=2)
+    os.chmod(path, 0o600)
+    return path

@@ -266,7 +266,7 @@ _MARK = f"(regexp_matches({{0}}, '{_PATTERN['PAGE_MARK']}') OR regexp_matches({{
 
 
 @register("header_filter", f"""
-WITH l AS (SELECT source, doc_id AS page, doc_id * 1000000 + generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents),
+WITH l AS (SELECT source, doc_id AS page, CAST(doc_id AS BIGINT) * 4294967296 + generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos, unnest(string_split(text, chr(10))) AS text FROM documents),
 n AS (SELECT *, replace(lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))), 'ß', 'ss') AS norm FROM l),
 g AS (SELECT source, norm, count(*) AS c, count(DISTINCT page) AS p, arg_min(text, pos) AS s, trim(arg_min(text, pos)) AS t FROM n WHERE norm <> '' GROUP BY ALL),
 h AS (SELECT *, t <> '' AND length(t) <= 220 AND ({_MARK.format('t')}
@@ -279,7 +279,7 @@ SELECT n.source, n.page, n.pos, n.text FROM n LEFT JOIN gone ON gone.source = n.
 def header_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every line of every text as a block: sources as documents, texts as pages."""
     lines = _sql(spark, sf_dir, "SELECT source, doc_id AS page, text FROM documents").select("source", "page", F.posexplode(F.split("text", "\n", -1)).alias("i", "text"))
-    return B.drop_running_headers(lines.select("source", "page", (F.col("page") * 1000000 + F.col("i")).alias("pos"), "text"), "source", "pos", "page", "text")
+    return B.drop_running_headers(lines.select("source", "page", (F.col("page").cast("long") * (1 << 32) + F.col("i")).alias("pos"), "text"), "source", "pos", "page", "text")
 
 
 @register("repair_emails", f"SELECT id, replace(text, chr(10), '') AS fixed FROM ({BROKEN}) WHERE contains(text, chr(10)) UNION ALL SELECT id, text FROM ({BROKEN}) WHERE NOT contains(text, chr(10))")

@@ -151,13 +151,17 @@ def without_headers(docs: DataFrame) -> DataFrame:
     return joined.withColumn("blocks", F.coalesce("_kept", F.array()).cast(BLOCKS)).select(*docs.columns)
 
 
+#: Paths of a list that a join broadcasts.
+FEW = 10_000
+
+
 def read_documents(spark: SparkSession, path: str, inputs: list[Path] | None = None, keep_headers: bool = False, **pdf) -> DataFrame:
     """(source, blocks, used_ocr, error) of the supported files under ``path``, or of those of ``inputs`` only, as
     ``collect_inputs`` lists them. Files that can't be read have an error. ``pdf``: how ``pdf_document`` reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
     if inputs is not None:
         own = spark.createDataFrame([(f"file:{p.absolute()}",) for p in inputs], "path string")
-        files = files.join(F.broadcast(own), "path", "left_semi")
+        files = files.join(F.broadcast(own) if len(inputs) <= FEW else own, "path", "left_semi")
     low = F.lower("path")
     nothing = F.lit(None).cast("string").alias("error")
     plain = files.where(low.rlike(r"\.(txt|md|markdown|text)$")).select(F.col("path").alias("source"), text_blocks(decode(F.col("content"))).alias("blocks"), F.lit(False).alias("used_ocr"), nothing)

@@ -26,7 +26,7 @@ def output_name(source: Column, mode: str = "strict") -> Column:
 
 
 def native_name(source: Column) -> Column:
-    """``stem.anonymized.docx`` or ``.pdf``; null for formats that are not written natively."""
+    """``stem.anonymized.docx`` or ``.pdf``; null for formats that keep no layout."""
     name = F.element_at(F.split(source, "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"(\.[^.]*)$", 1))
     return F.when(ext.isin(".docx", ".pdf"), F.concat(F.regexp_replace(name, r"\.[^.]*$", ""), F.lit(".anonymized"), ext))
@@ -136,24 +136,6 @@ def redact_docx(content: bytes, entries: list[tuple[str, str]], style: str = "pl
     return target.getvalue(), hits
 
 
-def redact_pdf(content: bytes, entries: list[tuple[str, str]], style: str = "placeholder") -> tuple[bytes, dict[str, int]]:
-    """A PDF with every surface covered and its text removed, and its properties blanked, by PyMuPDF where it is installed."""
-    try:
-        import pymupdf
-    except ImportError as e:
-        raise RuntimeError("redacting PDF files needs PyMuPDF") from e
-    hits = {s: 0 for _, s in entries}
-    doc = pymupdf.open(stream=content, filetype="pdf")
-    for page in doc:
-        for tag, surface in sorted(entries, key=lambda e: (-len(e[1]), e[1].casefold())):
-            for box in page.search_for(surface):
-                hits[surface] += 1
-                page.add_redact_annot(box, text="" if style == "remove" else tag, fill=(1, 1, 1))
-        page.apply_redactions()
-    doc.set_metadata({})
-    return doc.tobytes(garbage=4, deflate=True), hits
-
-
 _NATIVE = "source string, content binary, stats array<struct<surface:string,n:int>>, error string"
 
 
@@ -164,7 +146,7 @@ def _redacted(style: str):
             for source, content, entries in zip(*(batch.column(c).to_pylist() for c in ("source", "content", "mapping"))):
                 new, hits, error = None, {}, None
                 try:
-                    new, hits = (redact_docx if source.lower().endswith(".docx") else redact_pdf)(content, [(e["placeholder"], e["original"]) for e in entries], style)
+                    new, hits = redact_docx(content, [(e["placeholder"], e["original"]) for e in entries], style)
                 except Exception as e:  # one bad file must not stop a folder
                     error = f"{type(e).__name__}: {e}"
                 made.append(new)
@@ -177,12 +159,20 @@ def _redacted(style: str):
 
 
 def native_documents(out: DataFrame, files: DataFrame, style: str = "placeholder") -> DataFrame:
-    """(source, content, stats, error): DOCX and PDF files (source, content) redacted by the maps of ``out``. Other
-    formats are left out; files that fail have an error."""
-    known = files.where(native_name(F.col("source")).isNotNull()).select("source", "content")
+    """(source, content, stats, error): DOCX files (source, content) redacted by the maps of ``out``. Other formats
+    are left out: a PDF file's text is covered safely by rewriting the whole file only, which Markdown does. Files that
+    fail have an error."""
+    known = files.where(F.lower("source").endswith(".docx")).select("source", "content")
     return known.join(out.select("source", "mapping"), "source").mapInArrow(_redacted(style), _NATIVE)
 
 
+def native_stats(native: DataFrame) -> DataFrame:
+    """``match_stats`` of the files that ``native_documents`` made, and the surfaces that weren't found in them."""
+    flat = native.where("error IS NULL").select(F.col("source").alias("document"), F.explode("stats").alias("x")).select("document", "x.surface", "x.n")
+    missed = flat.where("n = 0").groupBy("document").agg(F.sort_array(F.collect_list("surface")).alias("missing"))
+    return match_stats(flat).join(missed, "document", "left")
+
+
 def match_stats(hits: DataFrame) -> DataFrame:
     """From (document, surface, n): surfaces found and missed, replacements, and the rate found (1 if none was asked for)."""
     total, found = F.count("*"), F.count_if(F.col("n") > 0)
