@@ -189,7 +189,7 @@ def main(argv: list[str] | None = None) -> int:
 
     if not a.verbose:
         logging.getLogger("py4j").setLevel(logging.ERROR)
-    spark = SparkSession.builder.appName("veilflow").getOrCreate()
+    spark = SparkSession.builder.appName("veilflow").config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate()
     languages = ocr_languages(a.lang)
     ship(spark)
     # files are parsed once, and documents worked out once, however many results are asked for

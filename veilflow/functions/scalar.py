@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .spans import let
+
 
 def fold(x: Column) -> Column:
     """Case folding as far as results need it: lower case, with sharp s as ss."""
@@ -66,9 +68,12 @@ def valid_hetu(x: Column) -> Column:
 def vin_check(x: Column) -> Column:
     """ISO 3779 check digit, in the ninth place."""
     v = F.upper(x)
-    t = F.translate(v, "ABCDEFGHJKLMNPRSTUVWXYZ", "12345678123457923456789")  # fixed value: transliteration
-    rem = _weighted(t, [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2]) % 11
-    return F.coalesce(F.when(rem == 10, "X").otherwise(rem.cast("string")) == F.substring(v, 9, 1), F.lit(False))
+
+    def holds(t: Column) -> Column:
+        rem = _weighted(t, [8, 7, 6, 5, 4, 3, 2, 10, 0, 9, 8, 7, 6, 5, 4, 3, 2]) % 11
+        return F.coalesce(F.when(rem == 10, "X").otherwise(rem.cast("string")) == F.substring(v, 9, 1), F.lit(False))
+
+    return let(F.translate(v, "ABCDEFGHJKLMNPRSTUVWXYZ", "12345678123457923456789"), holds)  # fixed value: transliteration
 
 
 def vin_like(x: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .entities import Registry
 from .functions import scalar as S
-from .functions.spans import merge, span, to_block
+from .functions.spans import collecting, merge, span, to_block
 from .operators import blocks as B
 from .operators import filters as X
 from .operators import language as L
@@ -75,7 +75,11 @@ BROKEN = "SELECT c_custkey AS id, concat('mail u', CAST(c_custkey AS STRING), CA
 
 def found(source: str, recognizer: Callable[[Column], Column]):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = _sql(spark, sf_dir, source).select("id", recognizer(F.col("text")).alias("xs")).select("id", F.explode("xs").alias("x"))
+        texts = _sql(spark, sf_dir, source)
+        texts = texts if "FROM documents" in source else spread(texts)
+        with collecting("_found") as finder:
+            spans = recognizer(F.col("text"))
+        rows = texts.withColumn("_found", finder.column()).select("id", spans.alias("xs")).select("id", F.explode("xs").alias("x"))
         return _flat(rows)
 
     return run
