@@ -185,7 +185,10 @@ def found(text: Column, surfaces: Column, fold: bool = True) -> Column:
 
 def replaced(text: Column, entries: Column, style: str = "placeholder") -> Column:
     """A text with every ``original`` of its entries (placeholder, original) replaced, in one pass: longer ones
-    first, of equally long ones the first by letters, each from left to right; what was put in is not searched again."""
+    first, of equally long ones the first by letters, each from left to right; what was put in is not searched again.
+
+    Both must be columns of a table: Spark doesn't hand Python what lambdas make in passing. Texts without entries
+    don't go to Python."""
 
     def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
@@ -194,7 +197,8 @@ def replaced(text: Column, entries: Column, style: str = "placeholder") -> Colum
             out.append(substitute(t, own, style) if t and own else t)
         return pa.array(out, pa.string())
 
-    return arrow_column(run, "string", text, entries)
+    some = F.size(entries) > 0
+    return F.when(some, arrow_column(run, "string", F.when(some, text), F.when(some, entries))).otherwise(text)
 
 
 def substitute(text: str, entries: list[tuple[str, str]], style: str = "placeholder") -> str:
