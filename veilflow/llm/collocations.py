@@ -21,7 +21,7 @@ from pyspark.sql.types import LongType
 from .common import cut, drop_table, filled, lean, mix
 
 #: Bytes of text of a block; a longer text goes in several, cut where a word ends.
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 #: Bits of a filter at most: 32 MB. Past some 10^8 frequent phrases it lets more through, which costs shuffling only.
 MOST_BITS = 1 << 28
 #: A byte that no UTF-8 text has stands for what parts pieces.
@@ -217,7 +217,9 @@ def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", le
     tables, filters = [], []
     for size in range(1, longest + 1):
         found = of_words if size == 1 else lists.mapInArrow(lean(_extender(filters)), "lang string, phrase string, n long")
-        tables.append(cut(found.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)))
+        # a block gives a phrase once, so tasks have little to add up before they shuffle: phrases are dealt first
+        dealt = found if size == 1 else found.repartition("lang", "phrase")
+        tables.append(cut(dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least)))
         if size < longest:
             filters = [*filters, spark.sparkContext.broadcast(_filter(tables[-1]))]
     drop_table(lists)
