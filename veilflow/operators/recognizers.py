@@ -48,7 +48,8 @@ VIN_LABEL = r"(valmistenumer|vin|chassis|runkonumer)"
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,24}"
 IPV4 = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 IPV6 = r"(?i)(?<![0-9a-f:])(?:(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}|(?:[0-9a-f]{1,4}:){1,6}(?::[0-9a-f]{1,4}){1,5})(?![0-9a-f:])"
-CARD = r"(?<![0-9])(?:[0-9][ \-]?){11,18}[0-9](?![0-9])"
+#: Twelve to nineteen digits at a stretch, else in groups, none of them so long: a number beside a card is no part of it.
+CARD = r"(?<![0-9])(?:[0-9]{12,19}|(?:(?![0-9]{12})[0-9][ \-]?){11,18}[0-9])(?![0-9])"
 IBAN = r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 INTL_PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[\s\-.]?)?(?:\([0-9]{1,4}\)[\s\-.]?)?[0-9]{2,4}(?:[\s\-.][0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z])\+[0-9]{10,15}(?![0-9])"
 LEGAL = r"(?iu:Oyj|Oy\s+Ab|Oy|Abp|Ab|Ky|Avoin\s+yhtiö|Ltd\.?|Limited|Inc\.?|Incorporated|Corp\.?|Corporation|LLC|LLP|plc|GmbH|AG|SA|SAS|BV|NV|Co\.|Company|Group|Holdings?)"
