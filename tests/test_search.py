@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +125,43 @@ def test_numbers_by_first_appearance(spark, seed):
     for x in row["h"]:
         firsts.setdefault(x["placeholder"], x["surface"])
     assert [tuple(x) for x in row["m"]] == list(firsts.items())
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_surfaces_singly_and_by_automaton(seed):
+    rng = random.Random(seed)
+    needles = ["".join(rng.choices("aÄb ", k=rng.randrange(1, 6))) for _ in range(20)] + [""]
+    text = "".join(rng.choices("aAäÄbB ß😀", k=400))
+    assert search._find(text, needles) == search.Automaton(needles).find(text) == search._find(text, needles + ["zz"] * 20)
+
+
+def test_surfaces_that_begin_alike_meet_only_texts_that_hold_them():
+    """Surfaces have all their short grams in common, and most of their letters: texts met hundreds of them, or all."""
+    import pyarrow as pa
+
+    surfaces = [f"Supplier#{i:09d}" for i in range(2000)]
+    keys = search._surface_keys(pa.array(surfaces)).to_pylist()
+    bits = 1 << 17
+    firsts, wholes = np.zeros(bits, bool), np.zeros(bits, bool)
+    firsts[[k["first"] & (bits - 1) for k in keys]] = True
+    wholes[[k["whole"] & (bits - 1) for k in keys]] = True
+    numbers = {k["whole"]: i for i, k in enumerate(keys)}
+    texts = [f"by supplier#{i:09d} and SUPPLIER#{i + 1:09d}" for i in range(0, 1900, 7)] + ["", "supplier#00000", "supplier#", "000000012 supplier"]
+    row, key = search._met(texts, {16: [18]}, firsts, wholes)
+    met = {}
+    for r, k in zip(row.tolist(), key.tolist()):
+        met.setdefault(r, []).append(numbers.get(k))
+    for i, t in enumerate(texts):
+        own = [x for x in met.get(i, []) if x is not None]
+        assert sorted(own) == [k for k, s in enumerate(surfaces) if s.lower() in t.lower()]
+        assert len(met.get(i, [])) <= 4
+
+
+@pytest.mark.parametrize("size", [4, 5, 7, 8, 9, 31, 32, 33, 300])
+def test_table_of_surfaces_of_each_size(spark, size):
+    """At both ends of texts, across neighbouring texts of one step, and one letter off."""
+    s = "".join(random.Random(size).choices("abcdefghÄ", k=size))
+    rows = [(0, s.upper()), (1, "x" + s), (2, s + "x" + s), (3, s[:-1]), (4, s[-1:] + "q"), (5, s[:-1] + "#"), (6, "#" + s[1:]), (7, s[: size // 2]), (8, s[size // 2 :])]
+    out = search.search_table(spark.createDataFrame(rows, "id int, text string").coalesce(1), spark.createDataFrame([(s, "org")], "surface string, entity_type string"))
+    got = {r["id"]: [x["start"] for x in r["spans"] or []] for r in out.collect()}
+    assert got == {0: [0], 1: [1], 2: [0, size + 1]} | {i: [] for i in range(3, 9)}

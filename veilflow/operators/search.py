@@ -218,78 +218,176 @@ def substitute(text: str, entries: list[tuple[str, str]], style: str = "placehol
 
 # --- tables of surfaces ---------------------------------------------------------------------------
 
-#: Code points of the gram by which surfaces of a table meet texts; shorter ones can't be searched so.
+#: Code points of the least window by which surfaces of a table meet texts; shorter ones can't be searched so.
 JOIN_GRAM = 4
-#: Bits of the filter of grams that the tasks get: 4 MB. Beyond some millions of surfaces it lets more grams through.
+#: Bits of a filter of hashes that the tasks get, at most: 4 MB. Beyond some millions of surfaces it lets more through.
 _BITS = 1 << 25
+#: Code points of texts that are hashed at once (a longer text is a step of its own).
+_STEP = 1 << 18
+_KEY = "struct<size:int,first:long,whole:long>"
 
 
-def _gram_keys(p: np.ndarray) -> np.ndarray:
-    n = max(len(p) - JOIN_GRAM + 1, 0)
-    h = np.zeros(n, np.uint64)
-    for k in range(JOIN_GRAM):
-        h = (h ^ p[k : k + n].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+def _both(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """Hashes of pairs, in that order."""
+    h = (a ^ (a >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(b)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
 
 
-def _surface_keys(surfaces: pa.Array) -> pa.Array:
-    """The gram of each surface whose hash is least: one rule for all, so equal grams of texts meet it."""
-    keys = [_gram_keys(points(s)) for s in surfaces.to_pylist()]
-    return pa.array([int(k.min()) if len(k) else None for k in keys], pa.int64())
+def _windows(p: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(w, hashes of all windows of w code points) for w = 4, 8, 16 and so on up to ``most``."""
+    w, h = 1, p.astype(np.uint64)
+    while 2 * w <= min(most, len(p)):
+        h = _both(h[:-w], h[w:])
+        w *= 2
+        if w >= JOIN_GRAM:
+            yield w, h
+
+
+def _whole(h: np.ndarray, at: np.ndarray, size: int, w: int) -> np.ndarray:
+    """Hashes of what stands at places, ``size`` code points, from 2 windows of w that cover them."""
+    return _both(_both(h[at], h[at + size - w]), size)
+
 
+def _window(p: np.ndarray) -> np.ndarray:
+    """The hash of each row of a table of code points, as ``_windows`` has it: rows are of a power of two."""
+    h = p.astype(np.uint64)
+    while h.shape[1] > 1:
+        h = _both(h[:, ::2], h[:, 1::2])
+    return h[:, 0]
 
-def _text_keys(filter_):
+
+def _surface_keys(surfaces: pa.Array) -> pa.Array:
+    """Size, the hash of the largest window at the start, and that of the whole surface; null for those that are too short."""
+    same: dict[int, list[int]] = {}
+    texts = surfaces.to_pylist()
+    for i, s in enumerate(texts):
+        same.setdefault(len(s), []).append(i)
+    size, first, whole = np.zeros(len(texts), np.int32), np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64)
+    for m, at in same.items():  # all of one size at once
+        if m >= JOIN_GRAM:
+            p, w = points("".join(texts[i] for i in at)).reshape(len(at), m), 1 << (m.bit_length() - 1)
+            size[at], first[at] = m, (head := _window(p[:, :w]))
+            whole[at] = _both(_both(head, _window(p[:, m - w :])), m)
+    numbers = [pa.array(size), pa.array(first.view(np.int64)), pa.array(whole.view(np.int64))]
+    return pa.StructArray.from_arrays(numbers, ["size", "first", "whole"], mask=pa.array(size == 0))
+
+
+def _filters(keyed: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the hashes of first windows and of whole surfaces, a byte each eight."""
+    at = lambda c: F.col(f"key.{c}").bitwiseAND(F.lit(bits - 1).cast("long"))
+    both = keyed.select(F.explode(F.array(at("first"), at("whole") + F.lit(bits))).alias("bit")).distinct()
+    cells = both.groupBy(F.shiftright("bit", 16).alias("cell")).agg(F.collect_list(F.col("bit").bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int")).alias("bits"))
+    out = np.zeros(bits // 4, np.uint8)
+    for r in cells.toLocalIterator():  # a cell at a time: 65,536 bits at most
+        mask = np.zeros(1 << 16, bool)
+        mask[r["bits"]] = True
+        out[r["cell"] << 13 : (r["cell"] + 1) << 13] = np.packbits(mask, bitorder="little")
+    return out[: bits // 8], out[bits // 8 :]
+
+
+def _steps(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first, texts) of about _STEP code points together."""
+    first, own, n = 0, [], 0
+    for i, t in enumerate(texts):
+        if own and n + len(t or "") > _STEP:
+            yield first, own
+            first, own, n = i, [], 0
+        own.append(t or "")
+        n += len(t or "")
+    if own:
+        yield first, own
+
+
+def _met(texts: list[str], sizes: dict[int, list[int]], firsts: np.ndarray, wholes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of a text, hash of a surface that may stand in it), each once. ``sizes``: of surfaces, by their largest window."""
+    p, last = points("".join(texts)), np.cumsum([len(t) for t in texts])
+    mask, rows, keys = np.uint64(len(firsts) - 1), [], []
+    for w, h in _windows(p, max(sizes)):
+        if w not in sizes:
+            continue
+        at = np.flatnonzero(firsts[h & mask])
+        row = np.searchsorted(last, at, "right")
+        left = last[row] - at  # code points from here to the end of the text
+        for size in sizes[w]:
+            ok = np.flatnonzero(left >= size)
+            key = _whole(h, at[ok], size, w)
+            some = wholes[key & mask]
+            rows.append(row[ok][some])
+            keys.append(key[some])
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(keys).view(np.int64)], names="row,key"))
+    return found["row"], found["key"]
+
+
+def _text_keys(shared):
     def run(batches):
-        bits = np.unpackbits(filter_.value, bitorder="little").view(bool)
+        sizes, *packed = shared.value
+        firsts, wholes = (np.unpackbits(x, bitorder="little").view(bool) for x in packed)
         for batch in batches:
-            rows, keys = [], []
-            for row, t in enumerate(batch.column("text").to_pylist()):
-                own = _gram_keys(points(t or ""))
-                own = np.unique(own[bits[own & (_BITS - 1)]])
-                rows.append(np.full(len(own), row))
-                keys.append(own)
-            if rows:
-                at = pa.array(np.concatenate(rows))
-                yield pa.RecordBatch.from_arrays([batch.column("rid").take(at), pa.array(np.concatenate(keys))], ["rid", "gram"])
+            rest = [c for c in batch.schema.names if c != "text"]
+            for first, texts in _steps(batch.column("text").to_pylist()) if sizes else ():
+                row, key = _met(texts, sizes, firsts, wholes)
+                at = pa.array(row + first)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in rest), pa.array(key)], [*rest, "whole"])
 
     return run
 
 
+#: Surfaces up to which a text is searched for one after another: less work than an automaton of its own.
+_SINGLY = 32
+
+
+def _find(text: str, surfaces: list[str]) -> list[tuple[int, int, int]]:
+    """As ``Automaton(surfaces).find(text)``, for surfaces of which most stand in the text."""
+    if len(surfaces) > _SINGLY:
+        return Automaton(surfaces).find(text)
+    small = lambda t: points(t).tobytes().decode("utf-32-le", "surrogatepass")
+    folded, found = small(text), []
+    for number, s in enumerate(map(small, surfaces)):
+        at = folded.find(s) if s else -1
+        while at >= 0:
+            found.append((number, at, at + len(s)))
+            at = folded.find(s, at + len(s))
+    return found
+
+
 def search_table(docs: DataFrame, entries: DataFrame, text_col: str = "text", within: str | None = None, into: str = "spans", score: float = 1.0) -> DataFrame:
     """``docs`` with a column ``into``: spans of every place, in any case, of the surfaces of a table ``entries`` (surface,
     entity_type), of any size. With ``within``, a column of both tables, only entries of the same group count.
 
-    A surface stands for its least gram; the grams of a text that a filter of all surfaces' grams lets through are
-    joined with them, and each text is then searched for the surfaces that it met. Surfaces of fewer than JOIN_GRAM
-    characters raise an error, blank ones don't count; null texts have no spans. Spans come by surface and start.
+    A surface is told by the hash of the whole of it, made of two windows of a power of two code points, at its start and
+    at its end. Places of a text where a filter lets the first window through are hashed in all sizes that surfaces with
+    such a window have (sizes are a list that goes to the tasks, as long as the longest surface at most); what a filter of
+    whole surfaces lets through is joined with them. So a text meets what stands in it, however much of it other surfaces
+    begin with or have in common, and is then searched for that. Surfaces of fewer than JOIN_GRAM characters raise an
+    error, blank ones don't count; null texts have no spans. Spans come by surface and start.
     Rows of ``docs`` stay what they are, repeated ones too."""
     spark = docs.sparkSession
-    keyed = entries.where(F.trim("surface") != "").select(F.trim("surface").alias("surface"), F.upper("entity_type").alias("entity_type"), *([within] if within else [])).distinct()
-    keyed = keyed.withColumn("gram", arrow_column(_surface_keys, "long", F.col("surface")))
-    if keyed.where("gram IS NULL").limit(1).count():
-        raise ValueError(f"surfaces of fewer than {JOIN_GRAM} characters can't be searched by table")
-    cells = keyed.select(F.col("gram").bitwiseAND(F.lit(_BITS - 1).cast("long")).alias("bit")).distinct().groupBy(F.shiftright("bit", 16).alias("cell")).agg(F.collect_list(F.col("bit").bitwiseAND(F.lit(0xFFFF).cast("long")).cast("int")).alias("bits"))
-    filter_ = np.zeros(_BITS // 8, np.uint8)
-    for r in cells.toLocalIterator():  # a cell at a time: 65,536 bits at most
-        mask = np.zeros(1 << 16, bool)
-        mask[r["bits"]] = True
-        filter_[r["cell"] << 13 : (r["cell"] + 1) << 13] = np.packbits(mask, bitorder="little")
+    keyed = entries.where(F.trim("surface") != "").select(F.trim("surface").alias("surface"), F.upper("entity_type").alias("entity_type"), *([F.col(f"`{within}`").alias("__in")] if within else [])).distinct()
+    keyed = keyed.withColumn("key", arrow_column(_surface_keys, _KEY, F.col("surface")))
+    sizes, n = {}, 0
+    for r in keyed.groupBy("key.size").count().orderBy("size").collect():
+        if r["size"] is None:
+            raise ValueError(f"surfaces of fewer than {JOIN_GRAM} characters can't be searched by table")
+        sizes.setdefault(1 << (r["size"].bit_length() - 1), []).append(r["size"])
+        n += r["count"]
+    bits = min(_BITS, max(1 << 16, 1 << (32 * n).bit_length()))
+    shared = spark.sparkContext.broadcast((sizes, *_filters(keyed, bits)))
+    own_in = [F.col(f"`{within}`").alias("__in")] if within else []
     rows = docs.withColumn("__rid", F.xxhash64(F.col(f"`{text_col}`"), *([F.col(f"`{within}`")] if within else [])))
-    texts = rows.select(F.col("__rid").alias("rid"), F.col(f"`{text_col}`").cast("string").alias("text"), *([F.col(f"`{within}`").alias("__in")] if within else [])).dropDuplicates(["rid"])
-    met = texts.select("rid", "text").mapInArrow(_text_keys(spark.sparkContext.broadcast(filter_)), "rid long, gram long")
-    if within:
-        met = met.join(texts.select("rid", "__in"), "rid")
-        pairs = met.join(keyed.withColumnRenamed(within, "__in"), ["gram", "__in"])
-    else:
-        pairs = met.join(keyed, "gram")
-    own = pairs.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("surface", "entity_type"))).alias("__own"))
+    texts = rows.select(F.col("__rid").alias("rid"), *own_in, F.col(f"`{text_col}`").cast("string").alias("text"))
+    kind = "rid long, " + (f"__in {docs.schema[within].dataType.simpleString()}, " if within else "") + "whole long"
+    met = texts.where("text IS NOT NULL").mapInArrow(_text_keys(shared), kind).distinct()
+    pairs = met.join(keyed.withColumn("whole", F.col("key.whole")).drop("key"), ["whole", "__in"] if within else "whole")
+    own = pairs.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("surface", "entity_type"))).alias("__own"))
     joined = rows.join(own.withColumnRenamed("rid", "__rid"), "__rid", "left")
 
     def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
         out = []
         for t, own in zip(texts.to_pylist(), lists.to_pylist()):
-            places = Automaton([e["surface"] for e in own]).find(t) if t and own else []
+            places = _find(t, [e["surface"] for e in own]) if t and own else []
             out.append([{"entity_type": own[k]["entity_type"], "start": a, "end": b, "score": score, "surface": t[a:b]} for k, a, b in places])
         return pa.array(out, pa.list_(_SPAN))
 
