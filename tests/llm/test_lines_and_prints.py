@@ -258,3 +258,17 @@ def test_near_dedup_leaves_no_pair_of_similar_texts(docs, spark):
     # every group by similarity leaves one at most, and its first text unless a fingerprint links it to an earlier one
     assert kept <= set(brute_groups(texts)) and len(kept) > 10
     assert corpus_pipeline.near_dedup(spark, docs(EDGE).where("false"), "").count() == 0
+
+
+def test_balls_of_fingerprints_are_not_broadcast(spark, tmp_path):
+    """By its file a ball looks small enough for the driver, whatever the session's threshold is."""
+    spark.range(20_000).selectExpr("xxhash64(id) AS fp").write.parquet(f"{tmp_path}/prints")
+    prints = spark.read.parquet(f"{tmp_path}/prints")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        found = simhash.links(prints)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan

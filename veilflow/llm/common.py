@@ -30,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Settings of a write: files of shuffles that nothing reads any more go, and batches that Python gets are bounded by bytes.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+#: Spark guesses a table's size by its files, which explode and compression make far too small: what it broadcasts unasked
+#: is built in the driver's heap, so this is kept to small files.
+_WRITING = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def cut(df: DataFrame) -> DataFrame:

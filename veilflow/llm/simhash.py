@@ -90,9 +90,10 @@ def links(prints: DataFrame, max_distance: int = 3, hot: int = HOT) -> DataFrame
             dense = dense.select("at", "v", F.explode(F.concat(*[tagged(k, F.array(h)) for k, h in halves(F.col("rest"))])).alias("at2"))
             ring = asks.join(crowd, F.col("key") == F.col("crowd")).drop("crowd")
             ring = ring.select("key", "u", F.explode(F.concat(*[tagged(k, _around(h, 16)) for k, h in halves(F.col("other"))])).alias("key2"))
-            found.append(ring.join(dense, (F.col("key") == F.col("at")) & (F.col("key2") == F.col("at2"))))
+            found.append(ring.hint("merge").join(dense.hint("merge"), (F.col("key") == F.col("at")) & (F.col("key2") == F.col("at2"))))
             table, asks = table.join(crowd, F.col("at") == F.col("crowd"), "left_anti"), asks.join(crowd, F.col("key") == F.col("crowd"), "left_anti")
-        found.append(asks.join(table, F.col("key") == F.col("at")))
+        # a ball has 17 times the rows of the table that it is made of, which is all that Spark knows of its size
+        found.append(asks.hint("merge").join(table.hint("merge"), F.col("key") == F.col("at")))
     near = None
     for pairs in found:
         pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") != F.col("v"))
