@@ -327,6 +327,21 @@ def test_url_likelihood_by_dictionaries(spark, monkeypatch, most):
         assert abs(got[u] - plain_difference(labelled, u, kept)) < 1e-9
 
 
+def test_url_models_keep_all_contexts(spark, monkeypatch):
+    """However few rows of an order are broadcast, the others count too."""
+    monkeypatch.setattr(urlfilter, "KEPT", 20)
+    rng = random.Random(4)
+    labelled = [("".join(rng.choices("abc/é", k=rng.randint(0, 12))), rng.choice(["allow", "block"])) for _ in range(150)]
+    urls = ["", "abc", "zz", "ab/c" * 20, "é😀", "abc"]
+    df = spark.createDataFrame(labelled, "url string, label string")
+    tables, _ = urlfilter.fit(df)
+    trains = urlfilter.F.pmod(urlfilter.F.xxhash64("url", urlfilter.F.lit("calibrate")), urlfilter.F.lit(urlfilter.CALIBRATE)) != 0
+    trained = [(r["url"], r["label"]) for r in df.where(trains).collect()]
+    got = urlfilter.differences(spark.createDataFrame([(u,) for u in urls], "url string"), tables).collect()
+    assert sorted(r["url"] for r in got) == sorted(urls)
+    assert all(abs(r["difference"] - plain_difference(trained, r["url"])) < 1e-9 for r in got)
+
+
 def test_url_ties_repeats_and_clashing_names(spark):
     rules = [("allow", "a.com/x/"), ("block", "a.com/x/"), ("block", "b.com/")]
     rows = [(1, "http://a.com/x/1"), (1, "http://a.com/x/1"), (2, "http://b.com/"), (None, "http://c.com/"), (None, "http://c.com/"), (3, "http://d.com/" + "y" * 50_000)]
