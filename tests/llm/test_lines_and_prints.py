@@ -272,3 +272,19 @@ def test_balls_of_fingerprints_are_not_broadcast(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_near_copies_are_not_broadcast(spark, docs):
+    """Tables of a row a document stay out of the driver, whatever the session's threshold is; so do keys beyond FEW."""
+    from veilflow.llm.common import few
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        for rows in (EDGE, [(i, f"text {i}") for i in range(5)]):  # with and without repeated ids
+            plan = simhash.keep_one(docs(rows))._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = lambda n: few(spark.range(n))._jdf.queryExecution().analyzed().toString()
+    assert "broadcast" in keys(1 << 20) and "broadcast" not in keys((1 << 20) + 1)

@@ -63,8 +63,8 @@ def drop_table(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Rows of a table of keys that a join broadcasts at most (32 MB of longs).
-FEW = 1 << 22
+#: Rows of a table of keys that a join broadcasts at most: 16 MB of longs, some 100 MB in the driver while it is built.
+FEW = 1 << 20
 
 
 def few(keys: DataFrame) -> DataFrame:

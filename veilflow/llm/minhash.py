@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import ArrowUDFType
 
-from .common import FEW, cut, drop_table, few, filled, lean, mix, steps, text_bytes, words
+from .common import cut, drop_table, few, filled, lean, mix, steps, text_bytes, words
 from .graph import components
 
 #: Permutations, words of a shingle, and bytes of a band (rows of a banded signature).
@@ -23,6 +23,8 @@ BANDS = PERMUTATIONS // BAND
 SLACK = 0.2
 #: Members up to which those of a band meet each other.
 SMALL = 32
+#: Shared shingles whose counts go to the tasks at most (48 MB).
+HELD = 1 << 22
 _RNG = np.random.default_rng(8128)
 _A = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -269,9 +271,9 @@ def _prefixes(sets: DataFrame, similarity: float) -> DataFrame:
 
     With shingles in one order, the rarest first, the larger of two sets that are similar enough holds in its
     first n - ceil(t n) + 1 one of the first n - ceil(2t / (1 + t) n) + 1 of the smaller. How often the shared ones
-    are found is sent to the tasks up to FEW of them; beyond, sets are taken apart and joined."""
+    are found is sent to the tasks up to HELD of them; beyond, sets are taken apart and joined."""
     held = cut(sets.select("set").mapInArrow(lean(_counter), "s int, df long").groupBy("s").agg(F.sum("df").alias("df")).where("df > 1"))
-    if held.limit(FEW + 1).count() <= FEW:
+    if held.limit(HELD + 1).count() <= HELD:
         table = held.toArrow()
         order = np.argsort(table["s"].to_numpy())
         shared = sets.sparkSession.sparkContext.broadcast((table["s"].to_numpy()[order], table["df"].to_numpy()[order]))

@@ -123,7 +123,8 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, max_distance: int, widt
     node = prints.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("v", "fp").alias("root"))
     least = node.groupBy("root").agg(F.min("least").alias("component_id"))
     named = cut(node.join(least, "root").select("fp", "root", "component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    # a result is written under the session's own threshold, by which Spark may build a table of all fingerprints in the driver
+    return rows.hint("merge").join(named.hint("merge"), "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_distance: int = 3, width: int = 3) -> DataFrame:
@@ -143,7 +144,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     Rows that repeat an id within a group count as one; rows of a group without any id leave one. Groups
     are told apart by their links, not by that id, so rows without an id or with one id in two groups stay."""
     groups = _groups(docs, id_col, text_col, max_distance, width, similarity)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.first("component_id").alias("doc_id"), F.min("fp").alias("fp")).select("doc_id", "fp").hint("merge")
     # only ids that a table holds more than once need their fingerprints compared again
     twice = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col("n") > 1).limit(1).count()
     if not twice:
