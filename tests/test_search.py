@@ -165,3 +165,17 @@ def test_table_of_surfaces_of_each_size(spark, size):
     out = search.search_table(spark.createDataFrame(rows, "id int, text string").coalesce(1), spark.createDataFrame([(s, "org")], "surface string, entity_type string"))
     got = {r["id"]: [x["start"] for x in r["spans"] or []] for r in out.collect()}
     assert got == {0: [0], 1: [1], 2: [0, size + 1]} | {i: [] for i in range(3, 9)}
+
+
+def test_tables_of_surfaces_move_no_texts(spark):
+    """Hits join the rows they are asked for by hashes of texts; the texts themselves, and what only looks like a surface, stay."""
+    rows = [(k, f"text {k} with ABCDEFGH and again abcdefgh abcdEFGHabcdefgh") for k in range(3)] * 2 + [(7, None), (8, "aaaaaaaaa")]
+    docs = spark.createDataFrame(rows, "id int, text string")
+    entries = spark.createDataFrame([("abcdefgh", "org"), ("ABCDEFGH", "org"), ("aaaa", "x")], "surface string, entity_type string")
+    out = search.search_table(docs, entries)
+    plan = out.select("id", F.size("spans"))._jdf.queryExecution().optimizedPlan().toString()
+    left = next(x for x in plan[plan.index("Join LeftOuter") :].splitlines() if "Project" in x)
+    assert "xxhash64(text#" in left and not re.search(r"[\[ ]text#", left)
+    got = sorted((r["id"], [(x["start"], x["surface"]) for x in r["spans"]]) for r in out.collect())
+    places = [(12, "ABCDEFGH"), (31, "abcdefgh"), (40, "abcdEFGH"), (48, "abcdefgh")]
+    assert got == sorted([(k, places * 2) for k in range(3)] * 2 + [(7, []), (8, [(0, "aaaa"), (4, "aaaa")])])

@@ -2,7 +2,7 @@
 
 Lists that are part of a job (deny lists) are one automaton a worker; lists of a document's own (company stems, answers
 of models, maps) are one a document. Tables of surfaces that grow with the corpus are joined to documents by hashed
-grams first (``search_table``), so that each document is searched only for what it may hold."""
+windows first (``search_table``), so that each document meets only what it may hold."""
 
 from __future__ import annotations
 
@@ -224,7 +224,14 @@ JOIN_GRAM = 4
 _BITS = 1 << 25
 #: Code points of texts that are hashed at once (a longer text is a step of its own).
 _STEP = 1 << 18
-_KEY = "struct<size:int,first:long,whole:long>"
+_KEY = "struct<size:int,first:long,whole:long,small:string>"
+#: Places of texts that go on to Spark at once, bits of a filter at least, and the base of the hashes of windows.
+_ROWS, _LEAST_BITS, _BASE = 1 << 14, 1 << 20, 0x9E6C63D0876A9A47
+
+
+def _small(text: str) -> str:
+    """A text with its letters in small, code point by code point."""
+    return points(text).tobytes().decode("utf-32-le", "surrogatepass")
 
 
 def _both(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
@@ -234,31 +241,29 @@ def _both(a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _windows(p: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(w, hashes of all windows of w code points) for w = 4, 8, 16 and so on up to ``most``."""
-    w, h = 1, p.astype(np.uint64)
-    while 2 * w <= min(most, len(p)):
-        h = _both(h[:-w], h[w:])
-        w *= 2
-        if w >= JOIN_GRAM:
-            yield w, h
+@lru_cache(1)
+def _step_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _raised(2 * _STEP)
 
 
-def _whole(h: np.ndarray, at: np.ndarray, size: int, w: int) -> np.ndarray:
-    """Hashes of what stands at places, ``size`` code points, from 2 windows of w that cover them."""
-    return _both(_both(h[at], h[at + size - w]), size)
+def _raised(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        run = np.full(n, base, np.uint64)
+        run[:1] = 1
+        out.append(np.cumprod(run, dtype=np.uint64))
+    return out[0], out[1]
 
 
-def _window(p: np.ndarray) -> np.ndarray:
-    """The hash of each row of a table of code points, as ``_windows`` has it: rows are of a power of two."""
-    h = p.astype(np.uint64)
-    while h.shape[1] > 1:
-        h = _both(h[:, ::2], h[:, 1::2])
-    return h[:, 0]
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of _BASE modulo 2**64, and those of its inverse."""
+    up, down = _step_powers() if n <= 2 * _STEP else _raised(n)
+    return up[:n], down[:n]
 
 
 def _surface_keys(surfaces: pa.Array) -> pa.Array:
-    """Size, the hash of the largest window at the start, and that of the whole surface; null for those that are too short."""
+    """Size, the hash of the largest window at the start, that of the whole surface, and the surface in small; null for those
+    that are too short."""
     same: dict[int, list[int]] = {}
     texts = surfaces.to_pylist()
     for i, s in enumerate(texts):
@@ -267,10 +272,10 @@ def _surface_keys(surfaces: pa.Array) -> pa.Array:
     for m, at in same.items():  # all of one size at once
         if m >= JOIN_GRAM:
             p, w = points("".join(texts[i] for i in at)).reshape(len(at), m), 1 << (m.bit_length() - 1)
-            size[at], first[at] = m, (head := _window(p[:, :w]))
-            whole[at] = _both(_both(head, _window(p[:, m - w :])), m)
-    numbers = [pa.array(size), pa.array(first.view(np.int64)), pa.array(whole.view(np.int64))]
-    return pa.StructArray.from_arrays(numbers, ["size", "first", "whole"], mask=pa.array(size == 0))
+            terms = p * _powers(m)[0]
+            size[at], first[at], whole[at] = m, terms[:, :w].sum(axis=1) >> np.uint64(32), _both(terms.sum(axis=1), m)
+    numbers = [pa.array(size), pa.array(first.view(np.int64)), pa.array(whole.view(np.int64)), pa.array([_small(s) for s in texts], pa.string())]
+    return pa.StructArray.from_arrays(numbers, ["size", "first", "whole", "small"], mask=pa.array(size == 0))
 
 
 def _filters(keyed: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -299,25 +304,40 @@ def _steps(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
         yield first, own
 
 
-def _met(texts: list[str], sizes: dict[int, list[int]], firsts: np.ndarray, wholes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of a text, hash of a surface that may stand in it), each once. ``sizes``: of surfaces, by their largest window."""
+def _places(texts: list[str], sizes: dict[int, list[int]], firsts: np.ndarray, wholes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(number of a text, start, size, hash) of every place where a surface may stand. ``sizes``: of surfaces, by their largest
+    window. Windows are differences of one running sum, whatever their sizes are."""
     p, last = points("".join(texts)), np.cumsum([len(t) for t in texts])
-    mask, rows, keys = np.uint64(len(firsts) - 1), [], []
-    for w, h in _windows(p, max(sizes)):
-        if w not in sizes:
+    up, down = _powers(len(p))
+    sums = np.zeros(len(p) + 1, np.uint64)
+    np.cumsum(p * up, dtype=np.uint64, out=sums[1:])
+    mask, begin, found = np.uint64(len(firsts) - 1), last - [len(t) for t in texts], []
+    for w, own in sizes.items():
+        if w > len(p):
+            continue
+        h = sums[w:] - sums[:-w]
+        h *= down[: len(h)]
+        h >>= np.uint64(32)
+        h &= mask
+        at = np.flatnonzero(firsts[h.view(np.int64)])
+        if not len(at):
             continue
-        at = np.flatnonzero(firsts[h & mask])
         row = np.searchsorted(last, at, "right")
         left = last[row] - at  # code points from here to the end of the text
-        for size in sizes[w]:
-            ok = np.flatnonzero(left >= size)
-            key = _whole(h, at[ok], size, w)
-            some = wholes[key & mask]
-            rows.append(row[ok][some])
-            keys.append(key[some])
-    if not rows:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    found = np.unique(np.rec.fromarrays([np.concatenate(rows), np.concatenate(keys).view(np.int64)], names="row,key"))
+        for size in own:
+            ok = left >= size
+            a, number = at[ok], row[ok]
+            key = _both((sums[a + size] - sums[a]) * down[a], size)
+            some = np.flatnonzero(wholes[(key & mask).view(np.int64)])
+            if len(some):
+                found.append((number[some], a[some] - begin[number[some]], np.full(len(some), size), key[some].view(np.int64)))
+    return tuple(map(np.concatenate, zip(*found))) if found else (np.zeros(0, np.int64),) * 4
+
+
+def _met(texts: list[str], sizes: dict[int, list[int]], firsts: np.ndarray, wholes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of a text, hash of a surface that may stand in it), each once."""
+    row, _, _, key = _places(texts, sizes, firsts, wholes)
+    found = np.unique(np.rec.fromarrays([row, key], names="row,key"))
     return found["row"], found["key"]
 
 
@@ -328,9 +348,12 @@ def _text_keys(shared):
         for batch in batches:
             rest = [c for c in batch.schema.names if c != "text"]
             for first, texts in _steps(batch.column("text").to_pylist()) if sizes else ():
-                row, key = _met(texts, sizes, firsts, wholes)
-                at = pa.array(row + first)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in rest), pa.array(key)], [*rest, "whole"])
+                found = _places(texts, sizes, firsts, wholes)
+                for k in range(0, len(found[0]), _ROWS):
+                    row, start, size, key = (x[k : k + _ROWS] for x in found)
+                    pieces = [texts[r][a : a + m] for r, a, m in zip(row.tolist(), start.tolist(), size.tolist())]
+                    own = [pa.array(key), pa.array(start.astype(np.int32)), pa.array(pieces, pa.string()), pa.array([_small(t) for t in pieces], pa.string())]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(row + first)) for c in rest), *own], [*rest, "whole", "start", "piece", "small"])
 
     return run
 
@@ -343,9 +366,8 @@ def _find(text: str, surfaces: list[str]) -> list[tuple[int, int, int]]:
     """As ``Automaton(surfaces).find(text)``, for surfaces of which most stand in the text."""
     if len(surfaces) > _SINGLY:
         return Automaton(surfaces).find(text)
-    small = lambda t: points(t).tobytes().decode("utf-32-le", "surrogatepass")
-    folded, found = small(text), []
-    for number, s in enumerate(map(small, surfaces)):
+    folded, found = _small(text), []
+    for number, s in enumerate(map(_small, surfaces)):
         at = folded.find(s) if s else -1
         while at >= 0:
             found.append((number, at, at + len(s)))
@@ -357,12 +379,13 @@ def search_table(docs: DataFrame, entries: DataFrame, text_col: str = "text", wi
     """``docs`` with a column ``into``: spans of every place, in any case, of the surfaces of a table ``entries`` (surface,
     entity_type), of any size. With ``within``, a column of both tables, only entries of the same group count.
 
-    A surface is told by the hash of the whole of it, made of two windows of a power of two code points, at its start and
-    at its end. Places of a text where a filter lets the first window through are hashed in all sizes that surfaces with
-    such a window have (sizes are a list that goes to the tasks, as long as the longest surface at most); what a filter of
-    whole surfaces lets through is joined with them. So a text meets what stands in it, however much of it other surfaces
-    begin with or have in common, and is then searched for that. Surfaces of fewer than JOIN_GRAM characters raise an
-    error, blank ones don't count; null texts have no spans. Spans come by surface and start.
+    A surface is told by the hash of the whole of it. Places of a text where a filter lets the largest window through that
+    surfaces begin with (of a power of two code points) are hashed in all sizes that surfaces with such a window have (sizes
+    are a list that goes to the tasks, as long as the longest surface at most); what a filter of whole surfaces lets through
+    is joined with them, and counts if it is a surface letter by letter. So a text meets what stands in it, however much of
+    it other surfaces begin with or have in common; it is read once, and what was found joins its row by two hashes of the
+    text. Surfaces of fewer than JOIN_GRAM characters raise an error, blank ones don't count; null texts have no spans.
+    Spans come by surface and start, places of a surface that overlap an earlier one of it are left out.
     Rows of ``docs`` stay what they are, repeated ones too."""
     spark = docs.sparkSession
     keyed = entries.where(F.trim("surface") != "").select(F.trim("surface").alias("surface"), F.upper("entity_type").alias("entity_type"), *([F.col(f"`{within}`").alias("__in")] if within else [])).distinct()
@@ -373,23 +396,31 @@ def search_table(docs: DataFrame, entries: DataFrame, text_col: str = "text", wi
             raise ValueError(f"surfaces of fewer than {JOIN_GRAM} characters can't be searched by table")
         sizes.setdefault(1 << (r["size"].bit_length() - 1), []).append(r["size"])
         n += r["count"]
-    bits = min(_BITS, max(1 << 16, 1 << (32 * n).bit_length()))
+    bits = min(_BITS, max(_LEAST_BITS, 1 << (32 * n).bit_length()))
     shared = spark.sparkContext.broadcast((sizes, *_filters(keyed, bits)))
     own_in = [F.col(f"`{within}`").alias("__in")] if within else []
-    rows = docs.withColumn("__rid", F.xxhash64(F.col(f"`{text_col}`"), *([F.col(f"`{within}`")] if within else [])))
-    texts = rows.select(F.col("__rid").alias("rid"), *own_in, F.col(f"`{text_col}`").cast("string").alias("text"))
-    kind = "rid long, " + (f"__in {docs.schema[within].dataType.simpleString()}, " if within else "") + "whole long"
-    met = texts.where("text IS NOT NULL").mapInArrow(_text_keys(shared), kind).distinct()
-    pairs = met.join(keyed.withColumn("whole", F.col("key.whole")).drop("key"), ["whole", "__in"] if within else "whole")
-    own = pairs.groupBy("rid").agg(F.sort_array(F.collect_set(F.struct("surface", "entity_type"))).alias("__own"))
-    joined = rows.join(own.withColumnRenamed("rid", "__rid"), "__rid", "left")
-
-    def run(texts: pa.Array, lists: pa.Array) -> pa.Array:
+    text = F.col(f"`{text_col}`").cast("string")
+    rows = docs.withColumns({"__rid": F.xxhash64(f"`{text_col}`", *([F.col(f"`{within}`")] if within else [])), "__crc": F.crc32(text.cast("binary"))})
+    texts = rows.where(text.isNotNull()).select(F.col("__rid").alias("rid"), F.col("__crc").alias("crc"), *own_in, text.alias("text"))
+    kind = "rid long, crc long, " + (f"__in {docs.schema[within].dataType.simpleString()}, " if within else "")
+    met = texts.mapInArrow(_text_keys(shared), kind + "whole long, start int, piece string, small string").distinct()
+    surfaces = keyed.withColumns({"whole": F.col("key.whole"), "small": F.col("key.small")}).drop("key")
+    pairs = met.join(surfaces, ["whole", "small", *(["__in"] if within else [])])
+    own = pairs.groupBy("rid", "crc").agg(F.sort_array(F.collect_list(F.struct("surface", "entity_type", "start", "piece"))).alias("own"))
+
+    def run(lists: pa.Array) -> pa.Array:
         out = []
-        for t, own in zip(texts.to_pylist(), lists.to_pylist()):
-            places = _find(t, [e["surface"] for e in own]) if t and own else []
-            out.append([{"entity_type": own[k]["entity_type"], "start": a, "end": b, "score": score, "surface": t[a:b]} for k, a, b in places])
+        for found in lists.to_pylist():
+            spans, entry, end = [], None, 0
+            for x in found:
+                if (x["surface"], x["entity_type"]) != entry:
+                    entry, end = (x["surface"], x["entity_type"]), 0
+                if x["start"] >= end:
+                    end = x["start"] + len(x["piece"])
+                    spans.append({"entity_type": x["entity_type"], "start": x["start"], "end": end, "score": score, "surface": x["piece"]})
+            out.append(spans)
         return pa.array(out, pa.list_(_SPAN))
 
-    text = F.when(F.col("__own").isNotNull(), F.col(f"`{text_col}`").cast("string"))
-    return joined.withColumn(into, arrow_column(run, SPANS, text, F.col("__own"))).drop("__rid", "__own")
+    spans = own.select(F.col("rid").alias("__rid"), F.col("crc").alias("__crc"), arrow_column(run, SPANS, F.col("own")).alias("__own"))
+    joined = rows.join(spans, ["__rid", "__crc"], "left")
+    return joined.withColumn(into, F.coalesce("__own", F.array().cast(SPANS))).drop("__rid", "__crc", "__own")
