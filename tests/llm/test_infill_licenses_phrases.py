@@ -214,3 +214,20 @@ def test_filter_lets_pass_all_when_full():
 
     f = collocations.Filter(1 << 16, np.full(1 << 13, 255, np.uint8))
     assert f.holds(np.arange(100, dtype=np.uint64) * np.uint64(2**57 + 1)).all()
+
+
+def test_lists_are_read_a_few_blocks_at_once(spark, monkeypatch):
+    """A task of many blocks read all of them at once: groups of rows are told by bytes, however few rows that are."""
+    import random
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(collocations, "GROUP", 1 << 16, raising=False)
+    rng = random.Random(5)
+    rows = [("en", " ".join(f"w{rng.randrange(10**6)}" for _ in range(2000))) for _ in range(120)]
+    kept = []
+    monkeypatch.setattr(collocations, "drop_table", kept.append)
+    collocations.frequent(spark.createDataFrame(rows, "lang string, text string").coalesce(1), block=1 << 14)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in kept[0].inputFiles()]
+    sizes = [m.row_group(k).num_rows for m in groups for k in range(m.num_row_groups)]
+    assert sum(sizes) == kept[0].count() > 100 and max(sizes) <= 10

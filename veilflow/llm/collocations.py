@@ -22,6 +22,8 @@ from .common import cut, drop_table, filled, lean, mix
 
 #: Bytes of text of a block; a longer text goes in several, cut where a word ends.
 BLOCK = 1 << 21
+#: Bytes of lists that a task reads at once: a few blocks.
+GROUP = 1 << 23
 #: Bits of a filter at most: 32 MB. Past some 10^8 frequent phrases it lets more through, which costs shuffling only.
 MOST_BITS = 1 << 28
 #: A byte that no UTF-8 text has stands for what parts pieces.
@@ -206,12 +208,17 @@ def _filter(phrases: DataFrame) -> Filter:
     return Filter(bits, out)
 
 
+def _blocks(rows: DataFrame, block: int, repeat: int) -> DataFrame:
+    """The inverted lists of texts (lang, text), a row a block."""
+    return cut(rows.mapInArrow(lean(_lister(block, repeat)), _LISTS), GROUP)
+
+
 def frequent(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, longest: int = 3, block: int = BLOCK) -> tuple[list[DataFrame], DataFrame]:
     """([words, pairs and so on up to ``longest`` words], totals): (lang, phrase, f) of all phrases that stand
     ``least`` times or more in a language, f exact; (lang, n), all words of a language."""
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    lists = cut(rows.mapInArrow(lean(_lister(block, longest - 1)), _LISTS))
+    lists = _blocks(rows, block, longest - 1)
     total = cut(lists.select("lang", F.aggregate("fresh", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n")))
     of_words = lists.select("lang", F.explode(F.arrays_zip("words", "fresh")).alias("x")).select("lang", F.col("x.words").alias("phrase"), F.col("x.fresh").cast("long").alias("n"))
     tables, filters = [], []

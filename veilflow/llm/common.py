@@ -35,18 +35,20 @@ def shared_dir(spark: SparkSession) -> str:
 _WRITING = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, lost executors lose nothing.
 
     Once the table is written nothing reads the shuffles that made it, so Spark is asked to remove their
-    files at the end of the write."""
+    files at the end of the write. Parquet is read by groups of rows, 128 MB or 4,096 rows at once: tables of rows of
+    some MB each are written in groups of about ``group_bytes``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     before = {k: spark.conf.get(k, None) for k in _WRITING}
     for k, v in _WRITING.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        options = {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1} if group_bytes else {}
+        df.write.options(**options).parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
