@@ -41,6 +41,8 @@ TOKENS_PER_ROW = 32
 #: Words that are sent to every task at most.
 FREQUENT = 1 << 17
 ROUNDS, STEP_TOKENS, RATE = 4, 16384, 0.5
+#: Rows of a gradient that one pass adds up.
+PART = 8
 END = np.uint64(0x5851F42D4C957F2D)
 _SALTS = mix(np.arange(1, 40, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -240,16 +242,44 @@ def _order(rows: np.ndarray) -> np.ndarray:
     return order[np.argsort(high[order].astype(np.uint16), kind="stable")] if high.any() else order
 
 
+def _sums(values: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Sums of the rows order[at[i]], order[at[i] + 1], ... of ``values`` up to the next run, for each run i.
+
+    Runs are added up in parts of up to PART rows, longest first: the first rows of all parts, then the second rows of
+    those that have one, and so on, whole rows at a time (``reduceat`` takes a step for each column of each run). Runs
+    of several parts add up their parts' sums alike."""
+    size = np.diff(at, append=len(order))
+    parts = -(-size // PART)
+    first = np.cumsum(parts) - parts
+    k = PART * (np.arange(int(parts.sum())) - np.repeat(first, parts))
+    held = np.minimum(np.repeat(size, parts) - k, PART)
+    by = np.argsort((PART - held).astype(np.uint8), kind="stable")
+    start = (np.repeat(at, parts) + k)[by]
+    longer = len(held) - np.cumsum(np.bincount(held, minlength=PART + 1))
+    out = np.take(values, order[start], axis=0)
+    for j in range(1, PART):
+        n = longer[j]
+        if not n:
+            break
+        out[:n] += np.take(values, order[start[:n] + j], axis=0)
+    place = np.empty_like(by)
+    place[by] = np.arange(len(by))
+    many = np.flatnonzero(parts > 1)
+    if len(many):
+        out[place[first[many]]] = _sums(out, place[np.repeat(parts > 1, parts)], np.cumsum(parts[many]) - parts[many])
+    return np.take(out, place[first], axis=0)
+
+
 def _push(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, grad: np.ndarray) -> None:
     """Adagrad by row: add up the gradient of each row, and step along it."""
     order = _order(rows)
     own = rows[order]
     at = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    g = np.add.reduceat(np.take(grad, order, axis=0), at, axis=0)
-    r = own[at]
+    g = _sums(grad, order, at)
+    r = own[at].astype(np.int64)
     seen[r] += np.einsum("ij,ij->i", g, g)
     g *= (RATE / np.sqrt(1.0 + seen[r]))[:, None]
-    table[r] -= g
+    table[r] = np.take(table, r, axis=0) - g
 
 
 class Trainer:
